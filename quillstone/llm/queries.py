@@ -6,10 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm.block_naming import exact_duplicates
+from quillstone.llm.forced_bpe import encode_digests
 from quillstone.llm.hilbert import hilbert_shards
+from quillstone.llm.isomedia import media_index
 from quillstone.llm.preference import preference_pairs
 
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(TOKENIZER))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -29,6 +40,14 @@ def op5_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(documents(spark, sf_dir))
 
 
+def op6_isomedia(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_index(documents(spark, sf_dir)).drop("keyframes")
+
+
+def op8_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(documents(spark, sf_dir), tokenizer_path())
+
+
 def op9_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
@@ -66,6 +85,8 @@ def queries() -> dict:
     return {
         "op3_preference": op3_preference,
         "op5_hilbert": op5_hilbert,
+        "op6_isomedia": op6_isomedia,
+        "op8_forced_bpe": op8_forced_bpe,
         "op9_block_naming": op9_block_naming,
     }
 
