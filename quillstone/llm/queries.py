@@ -10,6 +10,8 @@ from quillstone.llm.forced_bpe import encode_digests
 from quillstone.llm.hilbert import hilbert_shards
 from quillstone.llm.isomedia import media_index
 from quillstone.llm.preference import preference_pairs
+from quillstone.llm.quality_pu import quality
+from quillstone.llm.toxicity_zstd import toxicity
 
 
 TOKENIZER = "word_bpe_49k.json"
@@ -25,6 +27,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def _spelt(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -83,6 +97,8 @@ SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t
 
 def queries() -> dict:
     return {
+        "op1_quality": op1_quality,
+        "op2_toxicity": op2_toxicity,
         "op3_preference": op3_preference,
         "op5_hilbert": op5_hilbert,
         "op6_isomedia": op6_isomedia,
