@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
-#: Entries that a worker's tables may hold; a full table is begun anew, which changes no result.
-CACHED = 200_000
+#: Entries that each of a worker's tables may hold; what is forgotten changes no result.
+CACHED = 300_000
 #: Characters of words that may be remembered.
 REMEMBERED = 64
 #: Characters for which Python's lower(), isspace() and categories agree with the library's, and that NFC leaves alone among themselves.
@@ -117,16 +117,23 @@ class ForcedBoundaryEncoder:
 
 
 class _Words(dict):
-    """Renders a word on its first use; holds a bounded number of them."""
+    """Renders a word on its first use; holds a bounded number of them.
+
+    A full table becomes the old one and a new one is begun; words found in the old one
+    move over, so that the common words stay.
+    """
 
     def __init__(self, encoder: ForcedBoundaryEncoder, render: Callable):
         super().__init__()
-        self.encoder, self.render = encoder, render
+        self.encoder, self.render, self.old = encoder, render, {}
 
     def __missing__(self, word: str):
-        out = self.render(self.encoder.word_ids(word))
+        out = self.old.get(word)
+        if out is None:
+            out = self.render(self.encoder.word_ids(word))
         if len(word) <= REMEMBERED:
             if len(self) >= self.encoder.cached:
+                self.old = dict(self)
                 self.clear()
             self[word] = out
         return out

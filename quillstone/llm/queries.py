@@ -9,6 +9,7 @@ from quillstone.llm.block_naming import exact_duplicates
 from quillstone.llm.forced_bpe import encode_digests
 from quillstone.llm.hilbert import hilbert_shards
 from quillstone.llm.isomedia import media_index
+from quillstone.llm.nnls_packing import pack
 from quillstone.llm.preference import preference_pairs
 from quillstone.llm.quality_pu import quality
 from quillstone.llm.toxicity_zstd import toxicity
@@ -66,6 +67,10 @@ def op9_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
 
+def op10_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), tokenizer_path())
+
+
 OP3_SQL = """
 WITH t AS (SELECT conv_id, conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, '') AS role, coalesce(text, '') AS text,
                   row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos
@@ -104,6 +109,7 @@ def queries() -> dict:
         "op6_isomedia": op6_isomedia,
         "op8_forced_bpe": op8_forced_bpe,
         "op9_block_naming": op9_block_naming,
+        "op10_nnls_packing": op10_nnls_packing,
     }
 
 
