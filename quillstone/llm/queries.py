@@ -9,6 +9,7 @@ from quillstone.llm.block_naming import exact_duplicates
 from quillstone.llm.forced_bpe import encode_digests
 from quillstone.llm.hilbert import hilbert_shards
 from quillstone.llm.isomedia import media_index
+from quillstone.llm.minhash_tensor import near_duplicates
 from quillstone.llm.nnls_packing import pack
 from quillstone.llm.preference import preference_pairs
 from quillstone.llm.quality_pu import quality
@@ -59,6 +60,10 @@ def op6_isomedia(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_index(documents(spark, sf_dir)).drop("keyframes")
 
 
+def op7_minhash_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op8_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(documents(spark, sf_dir), tokenizer_path())
 
@@ -107,6 +112,7 @@ def queries() -> dict:
         "op3_preference": op3_preference,
         "op5_hilbert": op5_hilbert,
         "op6_isomedia": op6_isomedia,
+        "op7_minhash_tensor": op7_minhash_tensor,
         "op8_forced_bpe": op8_forced_bpe,
         "op9_block_naming": op9_block_naming,
         "op10_nnls_packing": op10_nnls_packing,
