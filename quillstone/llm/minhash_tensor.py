@@ -28,7 +28,9 @@ from quillstone.shelf import Shelf
 BLOCKS, DEPTH = 8, 2
 PERCENT = 85
 #: Keys that one task of the bucket stage sorts, about.
-KEYS_A_TASK = 1_000_000
+KEYS_A_TASK = 250_000
+#: Nodes whose tables are built at once.
+NODES_AT_ONCE = 2500
 #: Buckets up to this size are searched pair by pair for links between components.
 SMALL = 32
 #: So many ids are broadcast at most (8 bytes each); more are joined by shuffle.
@@ -114,16 +116,44 @@ def pairs_in_buckets(keys: np.ndarray, nodes: np.ndarray, groups: np.ndarray, si
     return pairs, order
 
 
+def pairs_across_groups(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of different groups within a key whose sizes allow a link; nodes of groups alone in their key cost nothing."""
+    r = records[np.lexsort((records["node"], records["group"], records["key"]))]
+    change = np.flatnonzero((r["key"][1:] != r["key"][:-1]) | (r["group"][1:] != r["group"][:-1])) + 1
+    runs = np.concatenate([[0], change, [len(r)]])
+    ends = {}  # of each run's key
+    for i in range(len(runs) - 2, -1, -1):
+        a, b = runs[i], runs[i + 1]
+        ends[i] = ends[i + 1] if i + 1 < len(runs) - 1 and r["key"][b] == r["key"][a] else b
+    low, high = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(len(runs) - 1):
+        later = r[runs[i + 1] : ends[i]]
+        if not len(later):
+            continue
+        for x in r[runs[i] : runs[i + 1]]:
+            y = later[100 * np.minimum(later["size"], x["size"]) >= PERCENT * np.maximum(later["size"], x["size"])]["node"]
+            low.append(np.minimum(y, x["node"]))
+            high.append(np.maximum(y, x["node"]))
+    pairs = np.unique(np.stack([np.concatenate(low), np.concatenate(high)]), axis=1)
+    return pairs[0], pairs[1]
+
+
 _RECORD = np.dtype([("key", "<u8"), ("node", "<i8"), ("group", "<i8"), ("size", "<i8")])
 _SENT = "bucket int, records binary"
 
 
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, NODES_AT_ONCE):
+            yield b.slice(at, NODES_AT_ONCE)
+
+
 def _candidates(nodes: DataFrame, turn: int, buckets: int) -> DataFrame:
     """Distinct candidate pairs (a, b) of nodes (node, grp, n_shingles, blocks)."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs within a batch, as bucket -1; of each bucket and group, one member goes on."""
-        for b in batches:
+        """Pairs within a stretch of nodes, as bucket -1; of each bucket and group, one member goes on."""
+        for b in _stretches(batches):
             node, group, size = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
             if not len(node):
                 continue
@@ -162,6 +192,46 @@ def _candidates(nodes: DataFrame, turn: int, buckets: int) -> DataFrame:
     return sent, joined, spelt
 
 
+def _mixed_keys(sent: DataFrame) -> DataFrame:
+    """The keys whose members are of more than one group."""
+
+    def mixed(table: pa.Table) -> pa.Table:
+        r = np.frombuffer(b"".join(table.column("records").to_pylist()), _RECORD)
+        r = r[np.lexsort((r["group"], r["key"]))]
+        differ = (r["key"][1:] == r["key"][:-1]) & (r["group"][1:] != r["group"][:-1])
+        return pa.table({"key": np.unique(r["key"][1:][differ]).view(np.int64)})
+
+    return sent.filter("bucket >= 0").groupBy("bucket").applyInArrow(mixed, "key long")
+
+
+def _remaining(nodes: DataFrame, mixed: DataFrame, buckets: int) -> DataFrame:
+    """All candidate pairs (a, b) between groups in the mixed keys."""
+    # Keys beyond the bound aren't sent to the tasks: then every key is looked at again.
+    few = mixed.count() <= BROADCAST_IDS
+    wanted = np.sort(np.array([r[0] for r in mixed.collect()], np.int64).view(np.uint64)) if few else None
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _stretches(batches):
+            node, group, size = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+            if not len(node):
+                continue
+            keys = table_keys(np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint64).reshape(len(node), -1))
+            at = np.arange(keys.size) if wanted is None else np.flatnonzero(np.isin(keys.reshape(-1), wanted))
+            records = np.empty(len(at), _RECORD)
+            row = at // keys.shape[1]
+            for name, x in (("key", keys.reshape(-1)[at]), ("node", node[row]), ("group", group[row]), ("size", size[row])):
+                records[name] = x
+            where = (records["key"] % np.uint64(buckets)).astype(np.int32)
+            hit = np.unique(where)
+            yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), pa.array([records[where == i].tobytes() for i in hit], pa.binary())], names=["bucket", "records"])
+
+    def joined(table: pa.Table) -> pa.Table:
+        a, b = pairs_across_groups(np.frombuffer(b"".join(table.column("records").to_pylist()), _RECORD))
+        return pa.table({"a": a, "b": b})
+
+    return nodes.select("node", "grp", "n_shingles", "blocks").mapInArrow(local, _SENT).groupBy("bucket").applyInArrow(joined, "a long, b long").distinct()
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, shelf: Shelf, label: str) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the similarity, as edges (u, v)."""
     ids = shelf.put(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{label}_ids")
@@ -210,22 +280,29 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     nodes = shelf.put(nodes.select("node", "s.n_shingles", "s.blocks"), "nodes")
     buckets = max(1, nodes.count() * BLOCKS * BLOCKS // KEYS_A_TASK)
 
-    links, turn, grouped = None, 0, nodes.withColumn("grp", F.col("node"))
+    links, turn, grouped, last = None, 0, nodes.withColumn("grp", F.col("node")), False
     while True:
-        sent, joined, spelt = _candidates(grouped, turn, buckets)
-        sent = shelf.put(sent, f"sent_{turn}")
-        pairs = sent.filter("bucket >= 0").groupBy("bucket").applyInArrow(joined, "a long, b long").unionByName(sent.filter("bucket < 0").select("records").mapInArrow(spelt, "a long, b long"))
-        pairs = shelf.put(pairs.distinct(), f"pairs_{turn}")
-        shelf.drop(f"sent_{turn}")
+        if last:
+            pairs = shelf.put(_remaining(grouped, mixed, buckets), f"pairs_{turn}")
+        else:
+            sent, joined, spelt = _candidates(grouped, turn, buckets)
+            sent = shelf.put(sent, f"sent_{turn}")
+            pairs = sent.filter("bucket >= 0").groupBy("bucket").applyInArrow(joined, "a long, b long").unionByName(sent.filter("bucket < 0").select("records").mapInArrow(spelt, "a long, b long"))
+            pairs = shelf.put(pairs.distinct(), f"pairs_{turn}")
         new = _confirmed(pairs, rows, shelf, f"turn_{turn}")
         found = new.count()
         links = new if links is None else links.unionByName(new)
-        if not found:
+        if found:
+            tied = shelf.put(components(links, shelf, f"components_{turn}"), f"tied_{turn}")
+            grouped = nodes.join(tied, "node", "left").select("node", "n_shingles", "blocks", F.coalesce("component", "node").alias("grp"))
+        if last:
             break
-        tied = components(links, shelf, f"components_{turn}")
-        tied = shelf.put(tied, f"tied_{turn}")
+        if not found:
+            mixed, last = shelf.put(_mixed_keys(sent), "mixed"), True
+            if mixed.isEmpty():
+                break
+        shelf.drop(f"sent_{turn}")
         turn += 1
-        grouped = nodes.join(tied, "node", "left").select("node", "n_shingles", "blocks", F.coalesce("component", "node").alias("grp"))
     final = grouped.select("node", F.col("grp").alias("component_id"))
     named = classes.join(final, "node").select("mark", "component_id")
     out = signed.join(named, "mark", "left")
