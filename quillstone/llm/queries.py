@@ -13,6 +13,7 @@ from quillstone.llm.minhash_tensor import near_duplicates
 from quillstone.llm.nnls_packing import pack
 from quillstone.llm.preference import preference_pairs
 from quillstone.llm.quality_pu import quality
+from quillstone.llm.suffix_dedup import removal_digests
 from quillstone.llm.toxicity_zstd import toxicity
 
 
@@ -52,6 +53,10 @@ def op3_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference_pairs(sides, "pair", "is_rejected").withColumns({c: _spelt(F.col(c)) for c in ("chosen_spans", "rejected_spans")})
 
 
+def op4_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digests(documents(spark, sf_dir))
+
+
 def op5_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(documents(spark, sf_dir))
 
@@ -110,6 +115,7 @@ def queries() -> dict:
         "op1_quality": op1_quality,
         "op2_toxicity": op2_toxicity,
         "op3_preference": op3_preference,
+        "op4_suffix_sort": op4_suffix_sort,
         "op5_hilbert": op5_hilbert,
         "op6_isomedia": op6_isomedia,
         "op7_minhash_tensor": op7_minhash_tensor,
