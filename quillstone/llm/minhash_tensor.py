@@ -5,9 +5,12 @@ a table's key joins one block of either: 8 and 8 blocks of 2 make 64 tables of 4
 MinHashes, where plain banding would take 256. Sets that meet in a table are candidates,
 and candidates are confirmed on the full sets.
 
-A table never lists all pairs of a bucket. Every bucket first ties its members to one of
-them; once these links have made components, further rounds only look for links between
-members of different components, until a round finds none.
+A table never lists all pairs of a bucket: it ties each member to the bucket's first one,
+and the ties make clusters. A cluster's full sets are then compared in one task, from
+component to component, so that every link between its members counts. Clusters too large
+for a task go through further rounds of the tables instead, which look for links between
+members of different components until a round finds none, and then search the buckets
+that still hold several components in full.
 """
 
 from __future__ import annotations
@@ -31,7 +34,9 @@ PERCENT = 85
 KEYS_A_TASK = 250_000
 #: Nodes whose tables are built at once.
 NODES_AT_ONCE = 2500
-#: Buckets up to this size are searched pair by pair for links between components.
+#: A cluster of so many members and shingles is compared in one task at most.
+CLUSTER_NODES, CLUSTER_SHINGLES = 20_000, 8_000_000
+#: In the rounds for larger ones, buckets up to this size are searched pair by pair for links between components.
 SMALL = 32
 #: So many ids are broadcast at most (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
@@ -92,8 +97,9 @@ def _ordered(keys: np.ndarray, nodes: np.ndarray, turn: int) -> np.ndarray:
 def pairs_in_buckets(keys: np.ndarray, nodes: np.ndarray, groups: np.ndarray, sizes: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs of nodes of different groups whose sizes allow a link, and the order that keeps buckets together.
 
-    Every member of a bucket is paired with the bucket's first member and with the next
-    one; in later turns, buckets of up to SMALL members pair all.
+    In turn 0 every member of a bucket is paired with the bucket's first member, whatever
+    their sizes. Later it is also paired with the next one, and buckets of up to SMALL
+    members pair all.
     """
     order = _ordered(keys, nodes, turn)
     k, v, g, n = keys[order], nodes[order], groups[order], sizes[order]
@@ -101,8 +107,10 @@ def pairs_in_buckets(keys: np.ndarray, nodes: np.ndarray, groups: np.ndarray, si
     first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
     length = np.diff(np.append(first, len(k)))
     head = np.repeat(first, length)
-    a, b = [same, head[same + 1]], [same + 1, same + 1]
+    a, b = [head[same + 1]], [same + 1]
     if turn:
+        a.append(same)
+        b.append(same + 1)
         for gap in range(2, SMALL):
             at = np.flatnonzero(np.repeat((length > gap) & (length <= SMALL), length))
             at = at[at + gap < len(k)]
@@ -110,7 +118,9 @@ def pairs_in_buckets(keys: np.ndarray, nodes: np.ndarray, groups: np.ndarray, si
             a.append(at)
             b.append(at + gap)
     a, b = np.concatenate(a), np.concatenate(b)
-    fits = (g[a] != g[b]) & (100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b]))
+    fits = g[a] != g[b]
+    if turn:
+        fits &= 100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b])
     low, high = np.minimum(v[a], v[b])[fits], np.maximum(v[a], v[b])[fits]
     pairs = np.unique(np.stack([low, high]), axis=1) if len(low) else np.zeros((2, 0), np.int64)
     return pairs, order
@@ -232,9 +242,8 @@ def _remaining(nodes: DataFrame, mixed: DataFrame, buckets: int) -> DataFrame:
     return nodes.select("node", "grp", "n_shingles", "blocks").mapInArrow(local, _SENT).groupBy("bucket").applyInArrow(joined, "a long, b long").distinct()
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, shelf: Shelf, label: str) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the similarity, as edges (u, v)."""
-    ids = shelf.put(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{label}_ids")
+def _members(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and its full set, for the nodes among ids."""
     few = ids.count() <= BROADCAST_IDS
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +251,50 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, shelf: Shelf, label: str) -> D
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1).to_pylist())], pa.binary())], names=["node", "members"])
 
     texts = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["node"], "left_semi")
-    members = shelf.put(texts.mapInArrow(sets, "node long, members binary").dropDuplicates(["node"]), f"{label}_sets")
+    return texts.mapInArrow(sets, "node long, members binary")
+
+
+def linked_components(nodes: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """For each node the least node that links lead to, all links between the sets counted."""
+    sizes = np.array([len(s) for s in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    mark = np.zeros(int(ids.max()) + 1, bool)
+    found = nodes.copy()
+    left = np.argsort(nodes, kind="stable")
+    while len(left):
+        root, frontier, left = nodes[left[0]], [left[0]], left[1:]
+        tokens, offsets = None, None
+        while frontier and len(left):
+            x = frontier.pop()
+            if tokens is None:
+                tokens = np.concatenate([ids[starts[y] : starts[y] + sizes[y]] for y in left])
+                offsets = np.cumsum(sizes[left]) - sizes[left]
+            own = ids[starts[x] : starts[x] + sizes[x]]
+            mark[own] = True
+            common = np.add.reduceat(mark[tokens], offsets, dtype=np.int64)
+            mark[own] = False
+            near = 100 * common >= PERCENT * (sizes[left] + sizes[x] - common)
+            if near.any():
+                found[left[near]] = root
+                frontier.extend(left[near])
+                left, tokens = left[~near], None
+    return found
+
+
+def _solved(table: pa.Table) -> pa.Table:
+    table = table.sort_by("node")
+    nodes = table.column("node").to_numpy()
+    first = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]]))  # a repeated doc_id stands once
+    members = table.column("members").to_pylist()
+    found = linked_components(nodes[first], [np.frombuffer(members[i], np.uint64) for i in first])
+    return pa.table({"node": nodes[first], "component": found})
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, shelf: Shelf, label: str) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets reach the similarity, as edges (u, v)."""
+    ids = shelf.put(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{label}_ids")
+    members = shelf.put(_members(ids, docs).dropDuplicates(["node"]), f"{label}_sets")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -262,6 +314,32 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, shelf: Shelf, label: str) -> D
     return links
 
 
+def _pairs(grouped: DataFrame, turn: int, buckets: int, shelf: Shelf) -> DataFrame:
+    sent, joined, spelt = _candidates(grouped, turn, buckets)
+    sent = shelf.put(sent, f"sent_{turn}")
+    pairs = sent.filter("bucket >= 0").groupBy("bucket").applyInArrow(joined, "a long, b long").unionByName(sent.filter("bucket < 0").select("records").mapInArrow(spelt, "a long, b long"))
+    return shelf.put(pairs.distinct(), f"pairs_{turn}")
+
+
+def _by_rounds(nodes: DataFrame, rows: DataFrame, buckets: int, shelf: Shelf) -> DataFrame:
+    """node and component of the nodes of clusters that no task could hold."""
+    links, turn, grouped, last = None, 1, nodes.withColumn("grp", F.col("node")), False
+    while True:
+        pairs = shelf.put(_remaining(grouped, mixed, buckets), "pairs_last") if last else _pairs(grouped, turn, buckets, shelf)
+        new = _confirmed(pairs, rows, shelf, f"turn_{turn}")
+        found = new.count()
+        links = new if links is None else links.unionByName(new)
+        if found:
+            tied = shelf.put(components(links, shelf, f"components_{turn}"), f"tied_{turn}")
+            grouped = nodes.join(tied, "node", "left").select("node", "n_shingles", "blocks", F.coalesce("component", "node").alias("grp"))
+        if last:
+            return grouped.select("node", F.col("grp").alias("component"))
+        if not found:
+            sent = nodes.sparkSession.read.parquet(f"{shelf.path}/sent_{turn}")
+            mixed, last = shelf.put(_mixed_keys(sent), "mixed"), True
+        turn += 1
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row.
 
@@ -279,30 +357,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     nodes = linked.join(classes, "mark").filter("doc_id = node").groupBy("node").agg(F.min_by(F.struct("n_shingles", "blocks"), "mark").alias("s"))
     nodes = shelf.put(nodes.select("node", "s.n_shingles", "s.blocks"), "nodes")
     buckets = max(1, nodes.count() * BLOCKS * BLOCKS // KEYS_A_TASK)
-
-    links, turn, grouped, last = None, 0, nodes.withColumn("grp", F.col("node")), False
-    while True:
-        if last:
-            pairs = shelf.put(_remaining(grouped, mixed, buckets), f"pairs_{turn}")
-        else:
-            sent, joined, spelt = _candidates(grouped, turn, buckets)
-            sent = shelf.put(sent, f"sent_{turn}")
-            pairs = sent.filter("bucket >= 0").groupBy("bucket").applyInArrow(joined, "a long, b long").unionByName(sent.filter("bucket < 0").select("records").mapInArrow(spelt, "a long, b long"))
-            pairs = shelf.put(pairs.distinct(), f"pairs_{turn}")
-        new = _confirmed(pairs, rows, shelf, f"turn_{turn}")
-        found = new.count()
-        links = new if links is None else links.unionByName(new)
-        if found:
-            tied = shelf.put(components(links, shelf, f"components_{turn}"), f"tied_{turn}")
-            grouped = nodes.join(tied, "node", "left").select("node", "n_shingles", "blocks", F.coalesce("component", "node").alias("grp"))
-        if last:
-            break
-        if not found:
-            mixed, last = shelf.put(_mixed_keys(sent), "mixed"), True
-            if mixed.isEmpty():
-                break
-        shelf.drop(f"sent_{turn}")
-        turn += 1
+    ties = _pairs(nodes.withColumn("grp", F.col("node")), 0, buckets, shelf)
+    clusters = shelf.put(components(ties.select(F.col("a").alias("u"), F.col("b").alias("v")), shelf, "clusters").withColumnRenamed("component", "cluster"), "clustered")
+    sized = clusters.join(nodes, "node").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
+    sized = shelf.put(sized.withColumn("large", (F.col("n") > CLUSTER_NODES) | (F.col("shingles") > CLUSTER_SHINGLES)), "sized")
+    marked = clusters.join(sized.select("cluster", "large"), "cluster")
+    small = shelf.put(marked.filter("not large").select("node", "cluster"), "small")
+    sets = _members(small.select("node"), rows).join(small, "node")
+    found = shelf.put(sets.groupBy("cluster").applyInArrow(_solved, "node long, component long"), "solved")
+    large = shelf.put(marked.filter("large").join(nodes, "node").select("node", "n_shingles", "blocks"), "large")
+    if not large.isEmpty():
+        found = found.unionByName(_by_rounds(large, rows, buckets, shelf))
+    grouped = nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("grp"))
     final = grouped.select("node", F.col("grp").alias("component_id"))
     named = classes.join(final, "node").select("mark", "component_id")
     out = signed.join(named, "mark", "left")
