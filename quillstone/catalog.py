@@ -1,11 +1,14 @@
-"""The registry of queries: name, Spark form and DuckDB form."""
+"""All registered queries."""
 
 from __future__ import annotations
 
+from quillstone.plans import machine_learning, postings, relational, similarity, streams, texts  # noqa: F401  they register
+from quillstone.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)

@@ -1 +1 @@
-"""Plans of the engine."""
+"""Queries by area; importing a module registers its queries."""
