@@ -87,7 +87,7 @@ def sections(spark: SparkSession, path: str) -> DataFrame:
     """A Markdown file as records: heading and body of each second-level section."""
     whole = spark.read.option("wholetext", True).text(path)
     parts = whole.select(F.explode(F.slice(F.split("value", r"(?m)^## "), 2, 1_000_000)).alias("part"))
-    return parts.select(F.trim(F.substring_index("part", "\n", 1)).alias("heading"), F.trim(F.regexp_replace("part", r"^[^\n]*\n?", "")).alias("body"))
+    return parts.select(F.trim(F.substring_index("part", "\n", 1)).alias("heading"), F.regexp_extract("part", r"(?s)^[^\n]*\n(.*?)\s*$", 1).alias("body"))
 
 
 JOB_LD = "title: string, datePosted: string, employmentType: string, hiringOrganization: struct<name: string>, jobLocationType: string"
