@@ -85,7 +85,7 @@ def csv_export(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 def sections(spark: SparkSession, path: str) -> DataFrame:
     """A Markdown file as records: heading and body of each second-level section."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     parts = whole.select(F.explode(F.slice(F.split("value", r"(?m)^## "), 2, 1_000_000)).alias("part"))
     return parts.select(F.trim(F.substring_index("part", "\n", 1)).alias("heading"), F.regexp_extract("part", r"(?s)^[^\n]*\n(.*?)\s*$", 1).alias("body"))
 
