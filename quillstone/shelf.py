@@ -29,18 +29,25 @@ class Shelf:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/quillstone-{label}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
         atexit.register(self.clear)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Write df under name and return it as read back."""
         where = f"{self.path}/{name}"
         df.write.option("compression", "zstd").parquet(where)
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(where)
 
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
         for name in names:
             self._delete(f"{self.path}/{name}")
+            self.names.discard(name)
+
+    def keep(self, *names: str) -> None:
+        """Delete all tables but these."""
+        self.drop(*(self.names - set(names)))
 
     def clear(self) -> None:
         """Delete the whole subfolder; at exit the session may already be gone."""
