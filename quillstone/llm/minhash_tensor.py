@@ -32,8 +32,8 @@ BLOCKS, DEPTH = 8, 2
 PERCENT = 85
 #: Keys that one task of the bucket stage sorts, about.
 KEYS_A_TASK = 250_000
-#: Nodes whose tables are built at once.
-NODES_AT_ONCE = 2500
+#: Texts that are hashed, and nodes whose tables are built, at once.
+TEXTS_AT_ONCE, NODES_AT_ONCE = 500, 2500
 #: A cluster of so many members and shingles is compared in one task at most.
 CLUSTER_NODES, CLUSTER_SHINGLES = 20_000, 8_000_000
 #: In the rounds for larger ones, buckets up to this size are searched pair by pair for links between components.
@@ -67,12 +67,12 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 marks[i], blocks[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), row.tobytes()
         return [len(s) for s in sets], marks, blocks
 
-    for b in batches:
+    for b in _stretches(batches, TEXTS_AT_ONCE):
         counts, marks, blocks, held, size = [], [], [], [], 0
         for s in shingle_sets(b.column(1).to_pylist()):
             held.append(s)
             size += len(s)
-            if size > 200_000:
+            if size > 100_000:
                 for out, new in zip((counts, marks, blocks), described(held)):
                     out.extend(new)
                 held, size = [], 0
@@ -152,10 +152,10 @@ _RECORD = np.dtype([("key", "<u8"), ("node", "<i8"), ("group", "<i8"), ("size",
 _SENT = "bucket int, records binary"
 
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stretches(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for at in range(0, b.num_rows, NODES_AT_ONCE):
-            yield b.slice(at, NODES_AT_ONCE)
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def _candidates(nodes: DataFrame, turn: int, buckets: int) -> DataFrame:
@@ -163,7 +163,7 @@ def _candidates(nodes: DataFrame, turn: int, buckets: int) -> DataFrame:
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs within a stretch of nodes, as bucket -1; of each bucket and group, one member goes on."""
-        for b in _stretches(batches):
+        for b in _stretches(batches, NODES_AT_ONCE):
             node, group, size = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
             if not len(node):
                 continue
@@ -221,7 +221,7 @@ def _remaining(nodes: DataFrame, mixed: DataFrame, buckets: int) -> DataFrame:
     wanted = np.sort(np.array([r[0] for r in mixed.collect()], np.int64).view(np.uint64)) if few else None
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _stretches(batches):
+        for b in _stretches(batches, NODES_AT_ONCE):
             node, group, size = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
             if not len(node):
                 continue
@@ -247,7 +247,7 @@ def _members(ids: DataFrame, docs: DataFrame) -> DataFrame:
     few = ids.count() <= BROADCAST_IDS
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _stretches(batches, TEXTS_AT_ONCE):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1).to_pylist())], pa.binary())], names=["node", "members"])
 
     texts = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["node"], "left_semi")
@@ -373,4 +373,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     named = classes.join(final, "node").select("mark", "component_id")
     out = signed.join(named, "mark", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = shelf.put(out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "result")
+    shelf.keep("result")
+    return out

@@ -8,7 +8,7 @@ import numpy as np
 
 WIDTH = 5
 #: Bytes that are hashed at once; a longer text goes piece by piece, whole words each.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = int(_RNG.integers(2**62, 2**63)) | 1
