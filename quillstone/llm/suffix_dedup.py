@@ -28,7 +28,7 @@ WINDOW, ANCHOR = 50, 20
 #: Bytes of text of a batch, about; bytes of stretches that a shard sorts, about.
 BATCH_BYTES, SHARD_BYTES = 8 << 20, 4 << 20
 #: Bytes that are hashed at once.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: So many rows of ids are broadcast at most (40 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 NO_DOC = np.iinfo(np.int64).max
@@ -369,20 +369,24 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     """
     shelf = Shelf(docs.sparkSession, "suffix")
     marked, spans = repeated_spans(docs, shelf, text, doc_id)
+    lost = spans.select("doc_id", "sha", "spans", F.lit(False).alias("__all"))
+    gone = marked.filter("copy").select("doc_id", "sha", F.lit(None).cast("binary").alias("spans"), F.lit(True).alias("__all"))
+    lost = lost.unionByName(gone).distinct().select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha"), F.col("spans").alias("__spans"), "__all")
+    place = docs.columns.index(text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [without(t.as_py(), s.as_py()).decode("utf-8", "ignore") for t, s in zip(b.column(2), b.column(3))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.string())], names=["__id", "__sha", "__kept"])
-
-    kept = _kept(docs, spans, text, doc_id, cut, "__id long, __sha binary, __kept string")
-    gone = marked.filter("copy").select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha"), F.lit("").alias("__kept"))
-    new = shelf.put(kept.unionByName(gone).distinct(), "kept")
-    few = new.count() <= BROADCAST_IDS
-    # Rows that change are few or many; either way only (doc_id, digest) decides which.
+            texts = b.column(place).to_pylist()
+            for i, (spans, whole) in enumerate(zip(b.column(b.num_columns - 2), b.column(b.num_columns - 1))):
+                if whole.as_py():
+                    texts[i] = ""
+                elif spans.is_valid:
+                    texts[i] = without(texts[i].encode(), spans.as_py()).decode("utf-8", "ignore")
+            columns = b.columns[:-2]
+            columns[place] = pa.array(texts, columns[place].type)
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-2])
+
+    # The texts are shuffled once, to meet their spans; rows that lose nothing pass through.
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     keyed = docs.withColumn("__sha", F.unhex(F.sha2(raw, 256))).withColumn("__id", F.col(doc_id).cast("long"))
-    ids = new.select("__id", "__sha")
-    same = keyed.join(F.broadcast(ids) if few else ids, ["__id", "__sha"], "left_anti").drop("__id", "__sha")
-    changed = keyed.join(new, ["__id", "__sha"]).withColumn(text, F.col("__kept")).drop("__id", "__sha", "__kept")
-    return same.unionByName(changed.select(*docs.columns))
+    return keyed.join(lost, ["__id", "__sha"], "left").select(*docs.columns, "__spans", "__all").mapInArrow(cut, docs.schema)
