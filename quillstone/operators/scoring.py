@@ -65,9 +65,10 @@ def experience(jd: Column, title: Column, profile: Profile) -> Column:
     return clamp(50 + years + credit.otherwise(25 * F.size(known) / F.greatest(F.size(title_words), F.lit(1))), 0, 100)
 
 
-def domain(jd: Column, profile: Profile) -> Column:
+def domain(jd: Column, profile: Profile, found: Column | None = None) -> Column:
+    """found: the domain terms of the posting, if they are a column already."""
     resume = profile.resume.lower()
-    found = hits(jd, profile.domains)
+    found = hits(jd, profile.domains) if found is None else found
     known = [d for d in profile.domains if d in resume]
     doubtful = F.lit(0)
     for term, (valid, penalty) in profile.context.items():
@@ -77,9 +78,14 @@ def domain(jd: Column, profile: Profile) -> Column:
     return F.when(F.size(found) > 0, F.least(100 * have / F.size(found), F.lit(100.0))).otherwise(50.0)
 
 
-def soft(jd: Column, profile: Profile) -> Column:
+def soft_wanted(jd: Column, profile: Profile) -> Column:
+    return F.array_compact(F.array(*(F.when(any_term(jd, syn), F.lit(name)) for name, syn in sorted(profile.soft.items()))))
+
+
+def soft(jd: Column, profile: Profile, wanted: Column | None = None) -> Column:
+    """wanted: the soft skills of the posting, if they are a column already."""
     resume = profile.resume.lower()
-    wanted = F.array_compact(F.array(*(F.when(any_term(jd, syn), F.lit(name)) for name, syn in sorted(profile.soft.items()))))
+    wanted = soft_wanted(jd, profile) if wanted is None else wanted
     known = [name for name, syn in profile.soft.items() if any(s in resume for s in syn)]
     return F.when(F.size(wanted) > 0, 100 * F.size(F.array_intersect(wanted, _list(known))) / F.size(wanted)).otherwise(60.0)
 
@@ -113,14 +119,16 @@ def align(jobs: DataFrame, profile: Profile, title: str = "title", description:
     """
     text = without_benefits(F.coalesce(F.col(description), F.lit("")))
     staged = jobs.withColumn("__jd", F.lower(text)).withColumn("track", role_track(F.coalesce(F.col(title), F.lit(""))))
-    staged = staged.withColumn("__all", hits(F.col("__jd"), profile.vocabulary)).withColumn("__required", hits(required_section(F.col("__jd")), profile.vocabulary))
-    staged = staged.withColumn("__preferred", F.array_union(hits(preferred_section(F.col("__jd")), profile.vocabulary), F.array_except("__all", "__required")))
+    staged = staged.withColumns({"__need": required_section(F.col("__jd")), "__wish": preferred_section(F.col("__jd"))})
+    staged = staged.withColumns({"__all": hits(F.col("__jd"), profile.vocabulary), "__required": hits(F.col("__need"), profile.vocabulary), "__wished": hits(F.col("__wish"), profile.vocabulary)})
+    staged = staged.withColumn("__preferred", F.array_union("__wished", F.array_except("__all", "__required"))).drop("__need", "__wish", "__wished")
     jd, skills = F.col("__jd"), _list(profile.skills)
+    staged = staged.withColumns({"__domain": hits(jd, profile.domains), "__soft": soft_wanted(jd, profile)})
     scores = {
         "technical": F.when(F.size("__all") > 0, technical(F.col("__required"), F.col("__preferred"), skills)).otherwise(50.0),
         "experience": experience(jd, F.col(title), profile),
-        "domain": domain(jd, profile),
-        "soft": soft(jd, profile),
+        "domain": domain(jd, profile, F.col("__domain")),
+        "soft": soft(jd, profile, F.col("__soft")),
         "education": education(jd, F.lit(profile.resume.lower())),
     }
     staged = staged.withColumns({f"{k}_score": F.round(v, 1) for k, v in scores.items()}).withColumn("critical_gaps", F.array_except("__required", skills)).withColumn("other_function", other_function(jd, F.coalesce(F.col(title), F.lit("")), profile))
@@ -132,7 +140,7 @@ def align(jobs: DataFrame, profile: Profile, title: str = "title", description:
     overall = F.greatest(clamp(total, 0, 100) - F.when(F.col("other_function").isNotNull(), FUNCTION_PENALTY).otherwise(0), F.lit(0))
     out = staged.withColumn("overall_score", F.round(overall, 1))
     gaps = F.size("critical_gaps") + F.col("other_function").isNotNull().cast("int")
-    return out.withColumn("recommendation", recommendation(F.col("overall_score"), gaps)).withColumn("critical_gaps", F.slice("critical_gaps", 1, 10)).drop("__jd", "__all", "__required", "__preferred")
+    return out.withColumn("recommendation", recommendation(F.col("overall_score"), gaps)).withColumn("critical_gaps", F.slice("critical_gaps", 1, 10)).drop("__jd", "__all", "__required", "__preferred", "__domain", "__soft")
 
 
 def blended(keyword: Column, semantic: Column, threshold: float = 25) -> Column:
