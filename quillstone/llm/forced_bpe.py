@@ -55,16 +55,18 @@ class ForcedBoundaryEncoder:
         self.alphabet = _byte_alphabet()
         self.shown = re.compile("[!-~]*")  # these stand for themselves
         self.plain = re.compile(f"[{PLAIN}]*")
-        self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^ {LETTERS}0-9]+")
+        # What starts with a letter, a digit or an apostrophe can't start otherwise, so that the commonest kind may come first.
+        self.words = re.compile(f"[{LETTERS}]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^ \\t\\n\\r{LETTERS}0-9]+")
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.cached = cached
         self.fragments: dict[tuple[str, bool], tuple[int, ...]] = {}
 
     def fragments_of(self, word: str) -> list[str]:
         """The pieces of a word, in the vocabulary's alphabet, between forced boundaries."""
-        pairs = list(zip(word, [*word[1:-1], word[-1] + self.suffix])) if len(word) > 1 else []
-        if self.joined.issuperset(pairs):
+        n = len(word) - 1
+        if n < 1 or (word[n - 1], word[n] + self.suffix) in self.joined and self.joined.issuperset(zip(word[: n - 1], word[1:n])):
             return [word]
+        pairs = list(zip(word, [*word[1:n], word[n] + self.suffix]))
         cuts = [0, *(i for i, pair in enumerate(pairs, 1) if pair not in self.joined), len(word)]
         return [word[a:b] for a, b in zip(cuts, cuts[1:])]
 
@@ -87,7 +89,7 @@ class ForcedBoundaryEncoder:
 
     def _plain_words(self, segment: str) -> list[str]:
         if self.plain.fullmatch(segment):
-            return self.words.findall(segment.lower().replace("\t", " ").replace("\n", " ").replace("\r", " "))
+            return self.words.findall(segment.lower())
         # Any other character: the library's own rules decide what a word is.
         text = self.library.normalizer.normalize_str(segment)
         split = self.library.pre_tokenizer.pre_tokenize_str(text)

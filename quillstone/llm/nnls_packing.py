@@ -11,6 +11,7 @@ their length and looked up in the resulting plan.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -173,7 +174,7 @@ def tokenised(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = EN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ForcedBoundaryEncoder(path)
-        render = encoder.table(lambda ids: np.array(ids, "<u4").tobytes()).__getitem__
+        render = encoder.table(lambda ids: struct.pack(f"<{len(ids)}I", *ids)).__getitem__
         end, width = end_id.to_bytes(4, "little"), 4 * window
         for b in batches:
             counts, crcs = [], []
