@@ -18,11 +18,15 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Tuples that are handled at once, bytes of queued tuples held in memory.
-BLOCK, MEMORY = 1 << 16, 64 << 20
+BLOCK, MEMORY = 1 << 16, 16 << 20
 #: A reduced string up to this long is sorted in memory.
 BASE = 1 << 22
 
 
+def _joined(blocks: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return blocks[0] if len(blocks) == 1 else (np.concatenate([b[0] for b in blocks]), np.concatenate([b[1] for b in blocks]))
+
+
 class RunQueue:
     """A first-in-first-out run of tuples (position, common prefix) for each symbol, spilled to one file when large."""
 
@@ -42,23 +46,29 @@ class RunQueue:
         for blocks in self.runs.values():
             for i, block in enumerate(blocks):
                 if isinstance(block[0], np.ndarray):
-                    blocks[i] = (self.file.tell(), len(block[0]), block[0].dtype)
+                    blocks[i] = (self.file.tell(), len(block[0]), block[0].dtype, len(block[1]))
                     self.file.write(block[0].tobytes())
                     self.file.write(block[1].tobytes())
         self.held = 0
 
-    def pop(self, symbol: int, backward: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The run's blocks in order, or from its last to its first with the tuples as pushed."""
-        blocks = self.runs.pop(symbol, [])
-        for block in reversed(blocks) if backward else blocks:
+    def pop(self, symbol: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The run in order, in blocks of about BLOCK tuples."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for block in self.runs.pop(symbol, []):
             if isinstance(block[0], np.ndarray):
                 self.held -= block[0].nbytes + block[1].nbytes
-                yield block
             else:
-                offset, n, kind = block
+                offset, n, kind, lcps = block
                 self.file.seek(offset)
-                at = np.frombuffer(self.file.read(n * kind.itemsize), kind)
-                yield at, np.frombuffer(self.file.read(n), np.uint8)
+                block = np.frombuffer(self.file.read(n * kind.itemsize), kind), np.frombuffer(self.file.read(lcps), np.uint8)
+            held.append(block)
+            size += len(block[0])
+            if size >= BLOCK:
+                yield _joined(held)
+                held, size = [], 0
+        if held:
+            yield _joined(held)
 
     def close(self) -> None:
         self.file.close()
@@ -106,9 +116,7 @@ class _Sender:
         keep: list[tuple[np.ndarray, np.ndarray]] = []
         for i in range(0, len(at), BLOCK):
             self._block(at[i : i + BLOCK], lcp[i : i + BLOCK] if self.carry else lcp, symbol, larger, keep)
-        if len(keep) == 1:
-            return keep[0]
-        return (np.concatenate([k[0] for k in keep]), np.concatenate([k[1] for k in keep])) if keep else (at[:0], lcp[:0])
+        return _joined(keep) if keep else (at[:0], lcp[:0])
 
     def _block(self, at: np.ndarray, lcp: np.ndarray, symbol: int, larger: bool, keep: list) -> None:
         before = at - 1
@@ -160,79 +168,121 @@ class _Sender:
         return np.minimum(low.astype(np.int64) + 1, self.cap).astype(np.uint8)
 
 
+def _scratch(n: int, kind: type, memory: int, folder: str | None) -> np.ndarray:
+    """An array of zeros; a large one is a mapping of an unlinked file."""
+    if n * np.dtype(kind).itemsize <= memory:
+        return np.zeros(n, kind)
+    with tempfile.TemporaryFile(dir=folder) as f:
+        return np.memmap(f, kind, "w+", shape=(n,))
+
+
+def _cut(at: np.ndarray, lcp: np.ndarray, step: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for i in range(0, len(at), step):
+        yield at[i : i + step], lcp[i : i + step]
+
+
+def _waves(sender: _Sender, blocks: Iterator, c: int, larger: bool, cap: int, keep) -> None:
+    """Passes the tuples of symbol c to keep, in order: those of the queue, then what precedes them with the same symbol, and so on."""
+    depth = 0
+    while True:
+        after: list[tuple[np.ndarray, np.ndarray]] = []
+        first = True
+        for at, lcp in blocks:
+            if first and sender.carry:
+                lcp = lcp.copy()
+                lcp[0] = min(cap, depth)  # what stands before it starts with one symbol less of this kind
+            first = False
+            keep(at, lcp)
+            same = sender.send(at, lcp, c, larger)
+            if len(same[0]):
+                after.append(same)
+        if not after:
+            return
+        blocks, depth = iter(after), depth + 1
+
+
 def _induce(t: np.ndarray, n: int, symbols: int, lms: np.ndarray, lms_lcp: np.ndarray, cap: int, carry: bool, memory: int, folder: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """All suffixes in order, and their common prefixes, from the LMS suffixes in order. t is padded."""
+    """All suffixes in order, and their common prefixes, from the LMS suffixes in order. t is padded.
+
+    What is held at once is a block of tuples; queues and results beyond the memory bound are files.
+    """
     small = np.int32 if n < 2**31 else np.int64
-    lms = lms.astype(small)
     none = np.zeros(0, np.uint8)
     first = t[lms]
     starts = np.searchsorted(first, np.arange(symbols + 1)) if symbols <= 1 << 16 else None
     present = np.unique(t[:n])
+    low_at, low_lcp = _scratch(n, small, memory, folder), _scratch(n if carry else 0, np.uint8, memory, folder)
+    bounds: dict[int, tuple[int, int]] = {}
+    filled = 0
+
+    def keep_low(at: np.ndarray, lcp: np.ndarray) -> None:
+        nonlocal filled
+        low_at[filled : filled + len(at)] = at
+        if carry:
+            low_lcp[filled : filled + len(at)] = lcp
+        filled += len(at)
+
     queue = RunQueue(memory, folder)
     sender = _Sender(t, symbols, queue, cap, carry)
-    zero = np.zeros(1, np.uint8) if carry else none
-    queue.push(int(t[n - 1]), np.array([n - 1], small), zero)
-    low: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    empty = (lms[:0], none)
+    queue.push(int(t[n - 1]), np.array([n - 1], small), np.zeros(1, np.uint8) if carry else none)
     for c in map(int, present):
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
-        blocks = list(queue.pop(c))
-        wave, depth = empty, 0
-        if blocks:
-            wave = (np.concatenate([b[0] for b in blocks]), np.concatenate([b[1] for b in blocks]))
-        while len(wave[0]):
-            at, lcp = wave
-            if carry:
-                lcp = lcp.copy()
-                lcp[0] = min(cap, depth)  # what precedes it starts with one symbol less of this kind
-            kept.append((at, lcp))
-            wave = sender.send(at, lcp, c, True)
-            depth += 1
-        low[c] = (np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept])) if kept else empty
+        begin = filled
+        _waves(sender, queue.pop(c), c, True, cap, keep_low)
+        bounds[c] = (begin, filled)
         a, b = (starts[c], starts[c + 1]) if starts is not None else np.searchsorted(first, [c, c + 1])
         if b > a:
-            at, lcp = lms[a:b], none
-            if carry:
-                lcp = lms_lcp[a:b].copy()
-                lcp[0] = _compare(t, low[c][0][-1:].astype(np.int64), at[:1].astype(np.int64), cap)[0] if len(low[c][0]) else 0
-            sender.send(at, lcp, c, True)
+            head = int(_compare(t, low_at[filled - 1 : filled].astype(np.int64), lms[a : a + 1], cap)[0]) if carry and filled > begin else 0
+            for at, lcp in _cut(lms[a:b], lms_lcp[a:b] if carry else none):
+                if carry and at[0] == lms[a]:
+                    lcp = lcp.copy()
+                    lcp[0] = head
+                sender.send(at.astype(small), lcp, c, True)
     queue.close()
 
+    out_at, out_lcp = _scratch(n, small, memory, folder), _scratch(n if carry else 0, np.uint8, memory, folder)
+    top = n
+
+    def keep_high(at: np.ndarray, lcp: np.ndarray) -> None:
+        """Writes downwards; lcp compares with the suffix above, which is where it is stored."""
+        nonlocal top
+        out_at[top - len(at) : top] = at[::-1]
+        if carry:
+            stored = lcp[::-1]
+            if top < n:
+                out_lcp[top] = lcp[0]
+            out_lcp[top - len(at) + 1 : top] = stored[:-1]
+        top -= len(at)
+
     queue = RunQueue(memory, folder)
     sender = _Sender(t, symbols, queue, cap, carry)
-    out: list[tuple[np.ndarray, np.ndarray]] = []
     for c in map(int, present[::-1]):
-        kept, (la, ll) = [], low.pop(c)
-        blocks = list(queue.pop(c))
-        wave, depth = empty, 0
-        if blocks:
-            wave = (np.concatenate([b[0] for b in blocks]), np.concatenate([b[1] for b in blocks]))
-        while len(wave[0]):
-            at, lcp = wave
+        was = top
+        if carry and top < n:
+            out_lcp[top] = 0  # another symbol below
+        _waves(sender, queue.pop(c), c, False, cap, keep_high)
+        if carry and was < n and top < was:
+            out_lcp[was] = 0
+        begin, end = bounds[c]
+        if end > begin:
+            seam = 0
+            if carry and top < was:
+                seam = int(_compare(t, out_at[top : top + 1].astype(np.int64), low_at[end - 1 : end].astype(np.int64), cap)[0])
+                out_lcp[top] = seam
+            for stop in range(end, begin, -BLOCK):
+                start = max(begin, stop - BLOCK)
+                lcp = none
+                if carry:
+                    lcp = np.empty(stop - start, np.uint8)
+                    lcp[0] = seam if stop == end else low_lcp[stop]
+                    lcp[1:] = low_lcp[start + 1 : stop][::-1]
+                sender.send(low_at[start:stop][::-1], lcp, c, False)
+            size = end - begin
+            out_at[top - size : top] = low_at[begin:end]
             if carry:
-                lcp = lcp.copy()
-                lcp[0] = min(cap, depth)
-            kept.append((at, lcp))
-            wave = sender.send(at, lcp, c, False)
-            depth += 1
-        sa, sl = (np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept])) if kept else empty
-        seam = 0
-        if len(la):
-            lcp = none
-            if carry:
-                seam = int(_compare(t, sa[-1:].astype(np.int64), la[-1:].astype(np.int64), cap)[0]) if len(sa) else 0
-                # going down, each suffix is compared with the one above it
-                lcp = np.concatenate([[seam], ll[1:][::-1]]).astype(np.uint8)
-            sender.send(la[::-1], lcp, c, False)
-        both = np.concatenate([la, sa[::-1]])
-        if carry:
-            up = np.concatenate([[seam if len(la) else 0], sl[1:][::-1]]).astype(np.uint8) if len(sa) else none
-            out.append((both, np.concatenate([ll, up])))
-        else:
-            out.append((both, none))
+                out_lcp[top - size : top] = low_lcp[begin:end]
+            top -= size
     queue.close()
-    out.reverse()
-    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+    return out_at, out_lcp
 
 
 def _doubled(names: np.ndarray, depth: int) -> np.ndarray:
@@ -274,11 +324,11 @@ def _sorted_lms(t: np.ndarray, n: int, symbols: int, cap: int, memory: int, base
     rough, _ = _induce(t, n, symbols, lms[np.argsort(t[lms], kind="stable")], np.zeros(0, np.uint8), cap, False, memory, folder)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
-    order = rough[is_lms[rough]].astype(np.int64)
-    span = np.zeros(n, np.int64)
+    order = np.concatenate([at[is_lms[at]] for at, _ in _cut(rough, rough)]).astype(np.int64)
+    span = _scratch(n, np.int32 if n < 2**31 - 1 else np.int64, memory, folder)
     span[lms[:-1]] = np.diff(lms) + 1
     span[lms[-1]] = n - lms[-1] + 1  # with the end of the text
-    names = np.empty(n, np.int64)
+    names = _scratch(n, np.int32 if n < 2**31 else np.int64, memory, folder)
     names[order] = _names(t, order, span[order])
     reduced = names[lms]
     if len(reduced) <= base:
@@ -308,7 +358,7 @@ def suffix_array(text: bytes, cap: int = 50, memory: int = MEMORY, base: int = B
     n = len(text)
     if n == 0:
         return np.zeros(0, np.int32), np.zeros(0, np.uint8)
-    t = np.empty(n + cap + 9, np.uint16)
+    t = _scratch(n + cap + 9, np.uint16, memory, folder)
     t[:n] = np.frombuffer(text, np.uint8)
     t[n:] = np.arange(256, 256 + cap + 9)  # past the end, equal to nothing
     return _sorted(t, n, 256, cap, memory, base, folder, True)

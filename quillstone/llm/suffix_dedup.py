@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.induced_sort import suffix_array
+from quillstone.llm.induced_sort import BLOCK, suffix_array
 from quillstone.llm.shingles import _BYTE, _POWERS, mix
 from quillstone.shelf import Shelf
 
@@ -192,20 +192,36 @@ def _sender(buckets: int, shards: int):
 _LEARNT = "batch long, ids binary, froms binary, counts binary, docs binary"
 
 
-def earliest(strings: list[bytes], lows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each string starts in their concatenation, and there the smallest document with the window at each byte."""
+def earliest(strings: list[bytes], lows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each string starts in their concatenation, there the rank of the smallest document with the window at each byte, and the documents by rank.
+
+    Bytes where no window of a string starts have the rank after the last. The suffixes are
+    looked through in blocks, each up to the end of a window's run.
+    """
     text = b"\xff".join(strings) + b"\xff"
     lengths = np.array([len(s) for s in strings])
     starts = np.cumsum(lengths + 1) - lengths - 1
     order, common = suffix_array(text, WINDOW)
-    owner = np.searchsorted(starts, order, "right") - 1
-    whole = order + WINDOW <= starts[owner] + lengths[owner]
-    first = np.flatnonzero(np.concatenate([[True], common[1:] < WINDOW]))
-    low = np.where(whole, lows[owner], NO_DOC)
-    least = np.repeat(np.minimum.reduceat(low, first), np.diff(np.append(first, len(order))))
-    out = np.full(len(text), NO_DOC)
-    out[order[whole]] = least[whole]
-    return starts, out
+    docs, rank = np.unique(lows, return_inverse=True)
+    rank, none = rank.astype(np.int32), np.int32(len(docs))
+    out = np.full(len(text), none, np.int32)
+    begin = 0
+    while begin < len(order):
+        end = min(begin + BLOCK, len(order))
+        while end < len(order):
+            stop = np.flatnonzero(common[end : end + BLOCK] < WINDOW)
+            end = end + int(stop[0]) if len(stop) else min(end + BLOCK, len(order))
+            if len(stop):
+                break
+        at = order[begin:end]
+        owner = np.searchsorted(starts, at, "right") - 1
+        whole = at + WINDOW <= starts[owner] + lengths[owner]
+        head = np.flatnonzero(common[begin:end] < WINDOW)
+        head[0] = 0
+        least = np.repeat(np.minimum.reduceat(np.where(whole, rank[owner], none), head), np.diff(np.append(head, end - begin)))
+        out[at[whole]] = least[whole]
+        begin = end
+    return starts, out, docs
 
 
 def _learn(table: pa.Table) -> pa.Table:
@@ -222,16 +238,15 @@ def _learn(table: pa.Table) -> pa.Table:
     lows = np.full(len(known), NO_DOC)
     np.minimum.at(lows, ident, low)
     strings = list(known)
-    starts, least = earliest(strings, lows)
-    windows = np.array([len(s) for s in strings]) - WINDOW + 1
-    # Runs of windows of each string with one document.
-    inside = np.flatnonzero(least != NO_DOC)
-    owner = np.searchsorted(starts, inside, "right") - 1
-    doc = least[inside]
-    head = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (doc[1:] != doc[:-1])]))
-    run_owner, run_doc, run_from, run_count = owner[head], doc[head], inside[head] - starts[owner[head]], np.diff(np.append(head, len(inside)))
+    starts, least, by_rank = earliest(strings, lows)
+    # Runs of windows with one document; between two strings there are bytes without a window.
+    some = least != len(by_rank)
+    change = np.concatenate([[True], least[1:] != least[:-1], [True]])
+    head, tail = np.flatnonzero(some & change[:-1]), np.flatnonzero(some & change[1:]) + 1
+    run_owner = np.searchsorted(starts, head, "right") - 1
+    run_doc, run_from, run_count = by_rank[least[head]], head - starts[run_owner], tail - head
+    del some, change, least
     begin, end = np.searchsorted(run_owner, ident), np.searchsorted(run_owner, ident, "right")
-    del windows
     each = end - begin
     which = np.repeat(np.arange(len(ident)), each)
     run = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(begin, each)
