@@ -16,6 +16,8 @@ from quillstone.shelf import Shelf
 
 #: So many keys of dropped rows are broadcast at most (40 bytes each); more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
+#: Similarity from which a near duplicate is dropped, in percent.
+NEAR_PERCENT = 80
 
 
 def _without(docs: DataFrame, keys: dict[str, Column], dropped: DataFrame, label: str) -> DataFrame:
@@ -52,6 +54,6 @@ def drop_exact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
 
 
 def drop_near(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with one row of each component of near duplicates."""
-    gone = near_duplicates(docs, text, doc_id).filter("not kept").select(F.col("doc_id").alias("__id"))
+    """docs with one row of each component of near duplicates, whose texts are similar to NEAR_PERCENT or more."""
+    gone = near_duplicates(docs, text, doc_id, NEAR_PERCENT).filter("not kept").select(F.col("doc_id").alias("__id"))
     return _without(docs, {"__id": F.col(doc_id).cast("long")}, gone, "near-drop")

@@ -16,7 +16,7 @@ that still hold several components in full.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,7 @@ from quillstone.shelf import Shelf
 
 #: Blocks of each collection, MinHashes of a block.
 BLOCKS, DEPTH = 8, 2
+#: Similarity of a link, in percent, unless a caller asks for another.
 PERCENT = 85
 #: Keys that one task of the bucket stage sorts, about.
 KEYS_A_TASK = 250_000
@@ -94,7 +95,7 @@ def _ordered(keys: np.ndarray, nodes: np.ndarray, turn: int) -> np.ndarray:
     return np.lexsort((inner, keys))
 
 
-def pairs_in_buckets(keys: np.ndarray, nodes: np.ndarray, groups: np.ndarray, sizes: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
+def pairs_in_buckets(keys: np.ndarray, nodes: np.ndarray, groups: np.ndarray, sizes: np.ndarray, turn: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs of nodes of different groups whose sizes allow a link, and the order that keeps buckets together.
 
     In turn 0 every member of a bucket is paired with the bucket's first member, whatever
@@ -120,13 +121,13 @@ def pairs_in_buckets(keys: np.ndarray, nodes: np.ndarray, groups: np.ndarray, si
     a, b = np.concatenate(a), np.concatenate(b)
     fits = g[a] != g[b]
     if turn:
-        fits &= 100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b])
+        fits &= 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
     low, high = np.minimum(v[a], v[b])[fits], np.maximum(v[a], v[b])[fits]
     pairs = np.unique(np.stack([low, high]), axis=1) if len(low) else np.zeros((2, 0), np.int64)
     return pairs, order
 
 
-def pairs_across_groups(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def pairs_across_groups(records: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of different groups within a key whose sizes allow a link; nodes of groups alone in their key cost nothing."""
     r = records[np.lexsort((records["node"], records["group"], records["key"]))]
     change = np.flatnonzero((r["key"][1:] != r["key"][:-1]) | (r["group"][1:] != r["group"][:-1])) + 1
@@ -141,7 +142,7 @@ def pairs_across_groups(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(later):
             continue
         for x in r[runs[i] : runs[i + 1]]:
-            y = later[100 * np.minimum(later["size"], x["size"]) >= PERCENT * np.maximum(later["size"], x["size"])]["node"]
+            y = later[100 * np.minimum(later["size"], x["size"]) >= percent * np.maximum(later["size"], x["size"])]["node"]
             low.append(np.minimum(y, x["node"]))
             high.append(np.maximum(y, x["node"]))
     pairs = np.unique(np.stack([np.concatenate(low), np.concatenate(high)]), axis=1)
@@ -158,7 +159,7 @@ def _stretches(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Reco
             yield b.slice(at, rows)
 
 
-def _candidates(nodes: DataFrame, turn: int, buckets: int) -> DataFrame:
+def _candidates(nodes: DataFrame, turn: int, buckets: int, percent: int) -> DataFrame:
     """Distinct candidate pairs (a, b) of nodes (node, grp, n_shingles, blocks)."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +171,7 @@ def _candidates(nodes: DataFrame, turn: int, buckets: int) -> DataFrame:
             keys = table_keys(np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint64).reshape(len(node), -1))
             width = keys.shape[1]
             keys, node, group, size = keys.reshape(-1), np.repeat(node, width), np.repeat(group, width), np.repeat(size, width)
-            pairs, order = pairs_in_buckets(keys, node, group, size, turn)
+            pairs, order = pairs_in_buckets(keys, node, group, size, turn, percent)
             records = np.empty(len(order), _RECORD)
             for name, x in (("key", keys), ("node", node), ("group", group), ("size", size)):
                 records[name] = x[order]
@@ -190,7 +191,7 @@ def _candidates(nodes: DataFrame, turn: int, buckets: int) -> DataFrame:
 
     def joined(table: pa.Table) -> pa.Table:
         records = np.frombuffer(b"".join(table.column("records").to_pylist()), _RECORD)
-        pairs, _ = pairs_in_buckets(records["key"].copy(), records["node"].copy(), records["group"].copy(), records["size"].copy(), turn)
+        pairs, _ = pairs_in_buckets(records["key"].copy(), records["node"].copy(), records["group"].copy(), records["size"].copy(), turn, percent)
         return pa.table({"a": pairs[0], "b": pairs[1]})
 
     def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +215,7 @@ def _mixed_keys(sent: DataFrame) -> DataFrame:
     return sent.filter("bucket >= 0").groupBy("bucket").applyInArrow(mixed, "key long")
 
 
-def _remaining(nodes: DataFrame, mixed: DataFrame, buckets: int) -> DataFrame:
+def _remaining(nodes: DataFrame, mixed: DataFrame, buckets: int, percent: int) -> DataFrame:
     """All candidate pairs (a, b) between groups in the mixed keys."""
     # Keys beyond the bound aren't sent to the tasks: then every key is looked at again.
     few = mixed.count() <= BROADCAST_IDS
@@ -236,7 +237,7 @@ def _remaining(nodes: DataFrame, mixed: DataFrame, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), pa.array([records[where == i].tobytes() for i in hit], pa.binary())], names=["bucket", "records"])
 
     def joined(table: pa.Table) -> pa.Table:
-        a, b = pairs_across_groups(np.frombuffer(b"".join(table.column("records").to_pylist()), _RECORD))
+        a, b = pairs_across_groups(np.frombuffer(b"".join(table.column("records").to_pylist()), _RECORD), percent)
         return pa.table({"a": a, "b": b})
 
     return nodes.select("node", "grp", "n_shingles", "blocks").mapInArrow(local, _SENT).groupBy("bucket").applyInArrow(joined, "a long, b long").distinct()
@@ -254,7 +255,7 @@ def _members(ids: DataFrame, docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(sets, "node long, members binary")
 
 
-def linked_components(nodes: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+def linked_components(nodes: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     """For each node the least node that links lead to, all links between the sets counted."""
     sizes = np.array([len(s) for s in sets])
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
@@ -274,7 +275,7 @@ def linked_components(nodes: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
             mark[own] = True
             common = np.add.reduceat(mark[tokens], offsets, dtype=np.int64)
             mark[own] = False
-            near = 100 * common >= PERCENT * (sizes[left] + sizes[x] - common)
+            near = 100 * common >= percent * (sizes[left] + sizes[x] - common)
             if near.any():
                 found[left[near]] = root
                 frontier.extend(left[near])
@@ -282,16 +283,19 @@ def linked_components(nodes: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     return found
 
 
-def _solved(table: pa.Table) -> pa.Table:
-    table = table.sort_by("node")
-    nodes = table.column("node").to_numpy()
-    first = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]]))  # a repeated doc_id stands once
-    members = table.column("members").to_pylist()
-    found = linked_components(nodes[first], [np.frombuffer(members[i], np.uint64) for i in first])
-    return pa.table({"node": nodes[first], "component": found})
+def _solver(percent: int) -> Callable[[pa.Table], pa.Table]:
+    def solved(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        nodes = table.column("node").to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]]))  # a repeated doc_id stands once
+        members = table.column("members").to_pylist()
+        found = linked_components(nodes[first], [np.frombuffer(members[i], np.uint64) for i in first], percent)
+        return pa.table({"node": nodes[first], "component": found})
 
+    return solved
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, shelf: Shelf, label: str) -> DataFrame:
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, shelf: Shelf, label: str, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the similarity, as edges (u, v)."""
     ids = shelf.put(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{label}_ids")
     members = shelf.put(_members(ids, docs).dropDuplicates(["node"]), f"{label}_sets")
@@ -304,7 +308,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, shelf: Shelf, label: str) -> D
                 both = np.concatenate([p, q])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= PERCENT * (len(p) + len(q) - common))
+                keep.append(100 * common >= percent * (len(p) + len(q) - common))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["u", "v"])
 
@@ -314,19 +318,19 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, shelf: Shelf, label: str) -> D
     return links
 
 
-def _pairs(grouped: DataFrame, turn: int, buckets: int, shelf: Shelf) -> DataFrame:
-    sent, joined, spelt = _candidates(grouped, turn, buckets)
+def _pairs(grouped: DataFrame, turn: int, buckets: int, shelf: Shelf, percent: int) -> DataFrame:
+    sent, joined, spelt = _candidates(grouped, turn, buckets, percent)
     sent = shelf.put(sent, f"sent_{turn}")
     pairs = sent.filter("bucket >= 0").groupBy("bucket").applyInArrow(joined, "a long, b long").unionByName(sent.filter("bucket < 0").select("records").mapInArrow(spelt, "a long, b long"))
     return shelf.put(pairs.distinct(), f"pairs_{turn}")
 
 
-def _by_rounds(nodes: DataFrame, rows: DataFrame, buckets: int, shelf: Shelf) -> DataFrame:
+def _by_rounds(nodes: DataFrame, rows: DataFrame, buckets: int, shelf: Shelf, percent: int) -> DataFrame:
     """node and component of the nodes of clusters that no task could hold."""
     links, turn, grouped, last = None, 1, nodes.withColumn("grp", F.col("node")), False
     while True:
-        pairs = shelf.put(_remaining(grouped, mixed, buckets), "pairs_last") if last else _pairs(grouped, turn, buckets, shelf)
-        new = _confirmed(pairs, rows, shelf, f"turn_{turn}")
+        pairs = shelf.put(_remaining(grouped, mixed, buckets, percent), "pairs_last") if last else _pairs(grouped, turn, buckets, shelf, percent)
+        new = _confirmed(pairs, rows, shelf, f"turn_{turn}", percent)
         found = new.count()
         links = new if links is None else links.unionByName(new)
         if found:
@@ -340,8 +344,8 @@ def _by_rounds(nodes: DataFrame, rows: DataFrame, buckets: int, shelf: Shelf) ->
         turn += 1
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row.
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row; a Jaccard similarity of percent or more is a link.
 
     Texts without words, null texts included, have no shingles and link with nothing, and
     so does a row with a null doc_id: its component_id is null, and it is kept. Rows that
@@ -357,17 +361,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     nodes = linked.join(classes, "mark").filter("doc_id = node").groupBy("node").agg(F.min_by(F.struct("n_shingles", "blocks"), "mark").alias("s"))
     nodes = shelf.put(nodes.select("node", "s.n_shingles", "s.blocks"), "nodes")
     buckets = max(1, nodes.count() * BLOCKS * BLOCKS // KEYS_A_TASK)
-    ties = _pairs(nodes.withColumn("grp", F.col("node")), 0, buckets, shelf)
+    ties = _pairs(nodes.withColumn("grp", F.col("node")), 0, buckets, shelf, percent)
     clusters = shelf.put(components(ties.select(F.col("a").alias("u"), F.col("b").alias("v")), shelf, "clusters").withColumnRenamed("component", "cluster"), "clustered")
     sized = clusters.join(nodes, "node").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
     sized = shelf.put(sized.withColumn("large", (F.col("n") > CLUSTER_NODES) | (F.col("shingles") > CLUSTER_SHINGLES)), "sized")
     marked = clusters.join(sized.select("cluster", "large"), "cluster")
     small = shelf.put(marked.filter("not large").select("node", "cluster"), "small")
     sets = _members(small.select("node"), rows).join(small, "node")
-    found = shelf.put(sets.groupBy("cluster").applyInArrow(_solved, "node long, component long"), "solved")
+    found = shelf.put(sets.groupBy("cluster").applyInArrow(_solver(percent), "node long, component long"), "solved")
     large = shelf.put(marked.filter("large").join(nodes, "node").select("node", "n_shingles", "blocks"), "large")
     if not large.isEmpty():
-        found = found.unionByName(_by_rounds(large, rows, buckets, shelf))
+        found = found.unionByName(_by_rounds(large, rows, buckets, shelf, percent))
     grouped = nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("grp"))
     final = grouped.select("node", F.col("grp").alias("component_id"))
     named = classes.join(final, "node").select("mark", "component_id")

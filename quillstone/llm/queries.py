@@ -66,7 +66,7 @@ def op6_isomedia(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir), percent=85)
 
 
 def op8_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
