@@ -110,3 +110,10 @@ def as_of(events: DataFrame, states: DataFrame, key: str, event_time: str, state
 
 def union_all(*parts: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def blocks(df: DataFrame, key: str, rows: int) -> list[DataFrame]:
+    """df itself if it has at most so many rows; otherwise disjoint parts by a hash of key, about half as large each, that make the whole."""
+    n = df.count()
+    parts = 1 if n <= rows else -(-2 * n // rows)
+    return [df] if parts == 1 else [df.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == i) for i in range(parts)]

@@ -5,14 +5,19 @@ What is known of the candidate is computed once on the driver and enters as lite
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.numbers import band, clamp
 from quillstone.functions.text import any_term, dollar_figures, has_term, hits, ngrams, overlap_share, percentages, preferred_section, required_section, required_years, role_track, without_benefits, words
+from quillstone.operators.relational import blocks
+from quillstone.shelf import Shelf
 
 #: Weights by role track; other tracks use the first.
 WEIGHTS = {
@@ -22,6 +27,8 @@ WEIGHTS = {
 #: Degrees and their rank.
 DEGREES = (("phd", 100), ("doctorate", 100), ("masters", 85), ("ms ", 85), ("mba", 85), ("bachelors", 70), ("bs ", 70), ("ba ", 70))
 PREFERRED_WEIGHT, FUNCTION_PENALTY = 0.30, 20
+#: Source bullets that a task holds, and counts of shared words that it makes, at once.
+SOURCES_AT_ONCE, CELLS_AT_ONCE = 500, 8_000_000
 
 
 @dataclass(frozen=True)
@@ -244,10 +251,50 @@ def check_score(checks: Column) -> Column:
     return F.greatest(100 - lost, F.lit(0))
 
 
-def grounded(bullets: DataFrame, sources: DataFrame, key: str, bullet: str, source: str, least: float = 0.35) -> DataFrame:
-    """Each bullet with the best share of its words that one source bullet of the same document has."""
-    pairs = bullets.join(sources, key).withColumn("share", F.coalesce(overlap_share(words(F.col(source)), words(F.col(bullet))), F.lit(0.0)))
-    return pairs.groupBy(key, bullet).agg(F.round(F.max("share"), 4).alias("best")).withColumn("grounded", F.col("best") >= least)
+def _most_shared(sources: list[list[str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Raises most of rows (text, most, n, words) to the number of words that one of the sources has; words go."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = {w: i for i, w in enumerate(sorted({w for s in sources for w in s}))}
+        has = np.zeros((len(vocabulary), len(sources)), np.uint8)
+        for k, s in enumerate(sources):
+            has[[vocabulary[w] for w in s], k] = 1
+        known = pa.array(list(vocabulary), pa.string())
+        for b in batches:
+            most, listed = b.column(1).to_numpy(zero_copy_only=False).copy(), b.column(3)
+            rows = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False))
+            ids = pc.fill_null(pc.index_in(listed.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False)
+            rows, ids = rows[ids >= 0], ids[ids >= 0]
+            starts = np.flatnonzero(np.diff(rows, prepend=-1)) if len(rows) else np.zeros(0, np.int64)
+            at, step = 0, max(1, CELLS_AT_ONCE // max(1, len(sources)))
+            while at < len(starts):  # whole rows, as many as fit, one at least
+                end = max(at + 1, int(np.searchsorted(starts, starts[at] + step)))
+                stop = starts[end] if end < len(starts) else len(ids)
+                shared = np.add.reduceat(has[ids[starts[at] : stop]], starts[at:end] - starts[at], axis=0, dtype=np.int32).max(axis=1)
+                most[rows[starts[at:end]]] = np.maximum(most[rows[starts[at:end]]], shared)
+                at = end
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(most, pa.int32()), b.column(2)], names=b.schema.names[:3])
+
+    return search
+
+
+def grounded(bullets: DataFrame, sources: DataFrame, bullet: str, source: str, least: float = 0.35) -> DataFrame:
+    """Each bullet with the best share of its words that one of all source bullets has, 0 where none has any.
+
+    Every bullet is held against every source: sources go to the tasks in blocks.
+    """
+    shelf, found = None, bullets.select(bullet, F.lit(0).alias("most"))
+    parts = blocks(sources.select(source).distinct(), source, SOURCES_AT_ONCE)
+    for i, part in enumerate(parts):
+        known = [r[0] for r in part.select(words(F.col(source))).collect() if r[0]]
+        w = words(F.col(bullet))
+        found = found.select(bullet, "most", F.size(w).alias("n"), w.alias("words")).mapInArrow(_most_shared(known), f"`{bullet}` string, most int, n int")
+        if len(parts) > 1:
+            shelf = shelf or Shelf(bullets.sparkSession, "grounded")
+            found = shelf.put(found, f"block_{i}")
+            shelf.keep(f"block_{i}")
+    best = F.round(F.when(F.col("n") > 0, F.col("most") / F.col("n")).otherwise(0.0), 4)
+    return found.select(bullet, best.alias("best")).withColumn("grounded", F.col("best") >= least)
 
 
 def inconsistent(values: DataFrame, key: str, doc: str, array: str) -> DataFrame:
