@@ -6,7 +6,7 @@ import re
 import pytest
 
 from quillstone import catalog
-from quillstone.operators import scoring
+from quillstone.operators import scoring, similarity
 
 WHERE = "/root/testdata/sf0.001"
 
@@ -40,3 +40,20 @@ def test_bullet_grounding_has_every_line(spark):
     assert set(got) == bullets
     some = random.Random(1).sample(sorted(bullets), min(150, len(bullets)))
     assert {b: got[b] for b in some} == pytest.approx(best_shares(some, sources), abs=2e-4)
+
+
+def test_title_match_has_every_part(spark):
+    parts = spark.read.parquet(f"{WHERE}/part.parquet").select("p_partkey", "p_brand", "p_name").collect()
+    got = {r["p_partkey"]: (r["score"], r["found"]) for r in catalog.queries()["title_match"](spark, WHERE).collect()}
+    assert set(got) == {r["p_partkey"] for r in parts}
+    for p in random.Random(2).sample(parts, 40):
+        best = round(max(similarity.token_set_ratio(f"Senior {p['p_name']}", q["p_name"]) for q in parts if q["p_brand"] == p["p_brand"]), 2)
+        assert got[p["p_partkey"]] == (pytest.approx(best), best >= 75)
+
+
+def test_best_title_of_each_job(spark):
+    """Jobs with equal titles have a row each, and so has one whose board is empty."""
+    jobs = spark.createDataFrame([(1, "a", "data engineer"), (2, "a", "data engineer"), (3, "b", "nurse"), (4, "c", "cook")], "id long, board string, title string")
+    board = spark.createDataFrame([("a", "engineer"), ("a", "cook"), ("b", "pilot")], "board string, listed string")
+    got = {r["id"]: (r["best_title"], r["found"]) for r in similarity.best_title(jobs, board, "board", "title", "listed", "id").collect()}
+    assert got == {1: ("engineer", True), 2: ("engineer", True), 3: ("pilot", False), 4: (None, False)}
