@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from quillstone import catalog
@@ -57,3 +58,19 @@ def test_best_title_of_each_job(spark):
     board = spark.createDataFrame([("a", "engineer"), ("a", "cook"), ("b", "pilot")], "board string, listed string")
     got = {r["id"]: (r["best_title"], r["found"]) for r in similarity.best_title(jobs, board, "board", "title", "listed", "id").collect()}
     assert got == {1: ("engineer", True), 2: ("engineer", True), 3: ("pilot", False), 4: (None, False)}
+
+
+@pytest.mark.parametrize("rows, at_once", [(1000, 500), (20, 3)])
+def test_nearest_has_every_query(spark, monkeypatch, rows, at_once):
+    """Queries in one block and in several; equal vectors go by the larger key."""
+    for name, n in (("QUERY_ROWS", rows), ("BROADCAST_ROWS", rows), ("QUERIES_AT_ONCE", at_once)):
+        monkeypatch.setattr(similarity, name, n, raising=False)
+    r = np.random.default_rng(4)
+    v = r.normal(size=(120, 8))
+    v[100:] = np.eye(8)[0]
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = np.round(unit @ unit.T, 9)
+    want = {(q, k + 1): n for q in range(0, 120, 2) for k, n in enumerate(sorted((n for n in range(120) if n != q), key=lambda n: (-s[q, n], -n))[:4])}
+    got = similarity.nearest(vectors.filter("vec_id % 2 = 0"), vectors, 4).collect()
+    assert len(got) == len(want) and {(x["query_id"], x["rank"]): x["neighbour_id"] for x in got} == want
