@@ -117,10 +117,19 @@ def status_anti(spark, read):
 
 @query("join_same_key_other_row", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey WHERE a.s_suppkey < 5")
 def join_same_key_other_row(spark, read):
+    """The pairs of suppliers 1 to 4; same_key_other_rows counts every supplier's."""
     a = read("supplier").filter("s_suppkey < 5").select(F.col("s_suppkey").alias("a"), "s_nationkey")
     return a.join(read("supplier").select(F.col("s_suppkey").alias("b"), "s_nationkey"), "s_nationkey").filter("a <> b").select("a", "b")
 
 
+@query("same_key_other_rows", "SELECT a.s_suppkey AS a, count(*) AS n FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey GROUP BY 1")
+def same_key_other_rows(spark, read):
+    """How many other suppliers share each one's nation, without listing the pairs; s_suppkey is unique."""
+    s = read("supplier").filter("s_suppkey IS NOT NULL")
+    n = s.groupBy("s_nationkey").agg((F.count(F.lit(1)) - 1).alias("n")).filter("n > 0")
+    return s.join(n, "s_nationkey").select(F.col("s_suppkey").alias("a"), "n")
+
+
 @query("case_insensitive_lookup", "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE lower(n_name) = lower('Nation_3')")
 def case_insensitive_lookup(spark, read):
     n = read("nation").filter(F.lower("n_name") == "nation_3")

@@ -205,7 +205,17 @@ def reference_resolution(spark, read):
 
 @query("comment_headers", "SELECT o_orderkey, 'Acme' AS company, o_orderstatus AS role, 'Remote' AS place FROM orders WHERE o_orderkey < 500")
 def comment_headers(spark, read):
-    o = read("orders").filter("o_orderkey < 500").withColumn("text", F.concat(F.lit("Acme | "), F.col("o_orderstatus"), F.lit(" | Remote\nbody")))
+    """The orders with keys under 500; comment_headers_all has every order."""
+    return _headers(read("orders").filter("o_orderkey < 500"))
+
+
+@query("comment_headers_all", "SELECT o_orderkey, 'Acme' AS company, o_orderstatus AS role, 'Remote' AS place FROM orders")
+def comment_headers_all(spark, read):
+    return _headers(read("orders"))
+
+
+def _headers(orders):
+    o = orders.withColumn("text", F.concat(F.lit("Acme | "), F.col("o_orderstatus"), F.lit(" | Remote\nbody")))
     return o.select("o_orderkey", comment_header("text").alias("h")).select("o_orderkey", "h.*")
 
 

@@ -74,3 +74,11 @@ def test_nearest_has_every_query(spark, monkeypatch, rows, at_once):
     want = {(q, k + 1): n for q in range(0, 120, 2) for k, n in enumerate(sorted((n for n in range(120) if n != q), key=lambda n: (-s[q, n], -n))[:4])}
     got = similarity.nearest(vectors.filter("vec_id % 2 = 0"), vectors, 4).collect()
     assert len(got) == len(want) and {(x["query_id"], x["rank"]): x["neighbour_id"] for x in got} == want
+
+
+def test_headers_and_supplier_counts_have_every_row(spark):
+    read = lambda t: spark.read.parquet(f"{WHERE}/{t}.parquet")
+    assert catalog.queries()["comment_headers_all"](spark, WHERE).select("o_orderkey").distinct().count() == read("orders").count()
+    nations = [(r["s_suppkey"], r["s_nationkey"]) for r in read("supplier").collect()]
+    others = {a: sum(x == y and a != b for b, y in nations) for a, x in nations}
+    assert {r["a"]: r["n"] for r in catalog.queries()["same_key_other_rows"](spark, WHERE).collect()} == {a: n for a, n in others.items() if n}
