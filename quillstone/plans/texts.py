@@ -146,6 +146,14 @@ def dedup_training_rows(spark, read):
 @query("phrase_in_source", "SELECT doc_id, count(*) AS n FROM documents JOIN benchmark b ON contains(documents.text, left(b.text, 60)) GROUP BY 1")
 def phrase_in_source(spark, read):
     """Documents that have the start of a benchmark item, with how many: items are few, each a needle."""
-    needles = small(read("benchmark").select(F.left("text", F.lit(60)).alias("needle")).groupBy().agg(F.collect_list("needle").alias("needles")))
-    counted = read("documents").join(needles).select("doc_id", F.size(F.filter("needles", lambda x: F.col("text").contains(x))).cast("long").alias("n"))
-    return counted.filter("n > 0")
+    return _having(read("documents"), read("benchmark").select(F.left("text", F.lit(60)).alias("needle")))
+
+
+@query("item_in_source", "SELECT doc_id, count(*) AS n FROM documents JOIN benchmark b ON contains(documents.text, b.text) GROUP BY 1")
+def item_in_source(spark, read):
+    """Documents that have a whole benchmark item, with how many; ngram_overlap finds every shared phrase of six words."""
+    return _having(read("documents"), read("benchmark").select(F.col("text").alias("needle")))
+
+
+def _having(docs, items):
+    return docs.join(small(items), F.contains("text", "needle")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))

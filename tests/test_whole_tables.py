@@ -82,3 +82,12 @@ def test_headers_and_supplier_counts_have_every_row(spark):
     nations = [(r["s_suppkey"], r["s_nationkey"]) for r in read("supplier").collect()]
     others = {a: sum(x == y and a != b for b, y in nations) for a, x in nations}
     assert {r["a"]: r["n"] for r in catalog.queries()["same_key_other_rows"](spark, WHERE).collect()} == {a: n for a, n in others.items() if n}
+
+
+def test_item_in_source_wants_the_whole_item(spark, tmp_path):
+    item = "a benchmark item whose first sixty characters are not all that it has to say"
+    rows = [(1, f"before {item} after"), (2, f"only {item[:65]}"), (3, None), (4, "clean")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["doc_id"]: r["n"] for r in catalog.queries()["item_in_source"](spark, str(tmp_path)).collect()}
+    assert got == {1: 1}
