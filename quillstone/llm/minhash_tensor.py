@@ -3,24 +3,25 @@
 Two small collections of MinHash blocks are computed for each distinct shingle set, and
 a table's key joins one block of either: 8 and 8 blocks of 2 make 64 tables of 4 from 32
 MinHashes, where plain banding would take 256. Sets that meet in a table are candidates,
-and candidates are confirmed on the full sets.
+and candidates are confirmed on the full sets of 64-bit shingle hashes.
 
 A table never lists all pairs of a bucket: it ties each member to the bucket's first one,
-and the ties make clusters. A cluster's full sets are then compared in one task, from
-component to component, so that every link between its members counts. Clusters too large
-for a task go through further rounds of the tables instead, which look for links between
-members of different components until a round finds none, and then search the buckets
-that still hold several components in full.
+and the ties make clusters, so that all candidates are inside clusters. A cluster is cut
+into chunks by size band and hash, and each pair of chunks whose sizes allow links is one
+small task: it looks at every candidate pair in it and reports a spanning forest of the
+links. A small cluster is one chunk. The bounds of a chunk decide about cost alone: which
+pairs count is the same at any size.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.components import components
@@ -35,12 +36,10 @@ PERCENT = 85
 KEYS_A_TASK = 250_000
 #: Texts that are hashed, and nodes whose tables are built, at once.
 TEXTS_AT_ONCE, NODES_AT_ONCE = 500, 2500
-#: A cluster of so many members and shingles is compared in one task at most.
-CLUSTER_NODES, CLUSTER_SHINGLES = 20_000, 8_000_000
-#: In the rounds for larger ones, buckets up to this size are searched pair by pair for links between components.
-SMALL = 32
-#: So many ids are broadcast at most (8 bytes each); more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Sets of a chunk of a cluster, and shingles in them, about; clusters of up to twice as much are one chunk.
+CHUNK_NODES, CHUNK_SHINGLES = 256, 1 << 18
+#: So many ids are broadcast at most (some 40 bytes each in memory); more are joined by shuffle.
+BROADCAST_IDS = 250_000
 _HASHES = 2 * BLOCKS * DEPTH
 _RNG = np.random.default_rng(7)
 _MULTIPLY = _RNG.integers(1, 2**63, _HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -59,13 +58,17 @@ def block_hashes(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _mark(members: bytes) -> bytes:
+    return hashlib.blake2b(members, digest_size=16).digest()
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def described(sets: list[np.ndarray]) -> tuple[list[int], list, list]:
         full = [i for i, s in enumerate(sets) if len(s)]
         marks, blocks = [None] * len(sets), [None] * len(sets)
         if full:
             for i, row in zip(full, block_hashes([sets[i] for i in full])):
-                marks[i], blocks[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), row.tobytes()
+                marks[i], blocks[i] = _mark(sets[i].tobytes()), row.tobytes()
         return [len(s) for s in sets], marks, blocks
 
     for b in _stretches(batches, TEXTS_AT_ONCE):
@@ -89,67 +92,19 @@ def table_keys(blocks: np.ndarray) -> np.ndarray:
     return mix(left * np.uint64(0x9E3779B97F4A7C15) + mix(right + tables)).reshape(len(blocks), -1)
 
 
-def _ordered(keys: np.ndarray, nodes: np.ndarray, turn: int) -> np.ndarray:
-    """Sort order by key; within a key by node in turn 0, else at random, anew in each turn and table."""
-    inner = nodes.view(np.uint64) ^ np.uint64(1 << 63) if turn == 0 else mix(nodes.view(np.uint64) + keys * np.uint64(2 * turn + 1))
-    return np.lexsort((inner, keys))
-
-
-def pairs_in_buckets(keys: np.ndarray, nodes: np.ndarray, groups: np.ndarray, sizes: np.ndarray, turn: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of nodes of different groups whose sizes allow a link, and the order that keeps buckets together.
-
-    In turn 0 every member of a bucket is paired with the bucket's first member, whatever
-    their sizes. Later it is also paired with the next one, and buckets of up to SMALL
-    members pair all.
-    """
-    order = _ordered(keys, nodes, turn)
-    k, v, g, n = keys[order], nodes[order], groups[order], sizes[order]
-    same = np.flatnonzero(k[1:] == k[:-1]) if len(k) else np.zeros(0, np.int64)
+def ties_in_buckets(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that tie each member of a bucket to its first one, and the order that keeps buckets together."""
+    order = np.lexsort((nodes, keys))
+    k, v = keys[order], nodes[order]
     first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-    length = np.diff(np.append(first, len(k)))
-    head = np.repeat(first, length)
-    a, b = [head[same + 1]], [same + 1]
-    if turn:
-        a.append(same)
-        b.append(same + 1)
-        for gap in range(2, SMALL):
-            at = np.flatnonzero(np.repeat((length > gap) & (length <= SMALL), length))
-            at = at[at + gap < len(k)]
-            at = at[k[at + gap] == k[at]]
-            a.append(at)
-            b.append(at + gap)
-    a, b = np.concatenate(a), np.concatenate(b)
-    fits = g[a] != g[b]
-    if turn:
-        fits &= 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
-    low, high = np.minimum(v[a], v[b])[fits], np.maximum(v[a], v[b])[fits]
+    head = np.repeat(first, np.diff(np.append(first, len(k))))
+    apart = v[head] != v
+    low, high = v[head][apart], v[apart]
     pairs = np.unique(np.stack([low, high]), axis=1) if len(low) else np.zeros((2, 0), np.int64)
     return pairs, order
 
 
-def pairs_across_groups(records: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of different groups within a key whose sizes allow a link; nodes of groups alone in their key cost nothing."""
-    r = records[np.lexsort((records["node"], records["group"], records["key"]))]
-    change = np.flatnonzero((r["key"][1:] != r["key"][:-1]) | (r["group"][1:] != r["group"][:-1])) + 1
-    runs = np.concatenate([[0], change, [len(r)]])
-    ends = {}  # of each run's key
-    for i in range(len(runs) - 2, -1, -1):
-        a, b = runs[i], runs[i + 1]
-        ends[i] = ends[i + 1] if i + 1 < len(runs) - 1 and r["key"][b] == r["key"][a] else b
-    low, high = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in range(len(runs) - 1):
-        later = r[runs[i + 1] : ends[i]]
-        if not len(later):
-            continue
-        for x in r[runs[i] : runs[i + 1]]:
-            y = later[100 * np.minimum(later["size"], x["size"]) >= percent * np.maximum(later["size"], x["size"])]["node"]
-            low.append(np.minimum(y, x["node"]))
-            high.append(np.maximum(y, x["node"]))
-    pairs = np.unique(np.stack([np.concatenate(low), np.concatenate(high)]), axis=1)
-    return pairs[0], pairs[1]
-
-
-_RECORD = np.dtype([("key", "<u8"), ("node", "<i8"), ("group", "<i8"), ("size", "<i8")])
+_RECORD = np.dtype([("key", "<u8"), ("node", "<i8")])
 _SENT = "bucket int, records binary"
 
 
@@ -159,108 +114,106 @@ def _stretches(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Reco
             yield b.slice(at, rows)
 
 
-def _candidates(nodes: DataFrame, turn: int, buckets: int, percent: int) -> DataFrame:
-    """Distinct candidate pairs (a, b) of nodes (node, grp, n_shingles, blocks)."""
+def _ties(nodes: DataFrame, buckets: int, shelf: Shelf) -> DataFrame:
+    """Distinct pairs (u, v) of nodes (node, blocks) that chain the members of every bucket of every table."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs within a stretch of nodes, as bucket -1; of each bucket and group, one member goes on."""
+        """Ties within a stretch of nodes, as bucket -1; of each bucket, the first member goes on."""
         for b in _stretches(batches, NODES_AT_ONCE):
-            node, group, size = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+            node = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             if not len(node):
                 continue
-            keys = table_keys(np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint64).reshape(len(node), -1))
-            width = keys.shape[1]
-            keys, node, group, size = keys.reshape(-1), np.repeat(node, width), np.repeat(group, width), np.repeat(size, width)
-            pairs, order = pairs_in_buckets(keys, node, group, size, turn, percent)
+            keys = table_keys(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(len(node), -1))
+            keys, node = keys.reshape(-1), np.repeat(node, keys.shape[1])
+            pairs, order = ties_in_buckets(keys, node)
             records = np.empty(len(order), _RECORD)
-            for name, x in (("key", keys), ("node", node), ("group", group), ("size", size)):
-                records[name] = x[order]
-            # The order within a key is by node at first and at random later, so that the first of each group stands for it.
-            grouped = records if turn == 0 else records[np.lexsort((records["group"], records["key"]))]
-            lead = np.ones(len(grouped), bool)
-            lead[1:] = grouped["key"][1:] != grouped["key"][:-1]
-            if turn:
-                lead[1:] |= grouped["group"][1:] != grouped["group"][:-1]
-            sent = grouped[lead]
+            records["key"], records["node"] = keys[order], node[order]
+            lead = np.ones(len(records), bool)
+            lead[1:] = records["key"][1:] != records["key"][:-1]
+            sent = records[lead]
             where = (sent["key"] % np.uint64(buckets)).astype(np.int32)
-            sent = sent[np.argsort(where, kind="stable")]
-            cut = np.searchsorted(np.sort(where), np.arange(buckets + 1))
+            order = np.argsort(where, kind="stable")
+            sent, where = sent[order], where[order]
+            cut = np.searchsorted(where, np.arange(buckets + 1))
             out = [(-1, pairs.T.astype("<i8").tobytes())] if pairs.shape[1] else []
             out += [(i, sent[x:y].tobytes()) for i, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int32()), pa.array([r for _, r in out], pa.binary())], names=["bucket", "records"])
 
     def joined(table: pa.Table) -> pa.Table:
         records = np.frombuffer(b"".join(table.column("records").to_pylist()), _RECORD)
-        pairs, _ = pairs_in_buckets(records["key"].copy(), records["node"].copy(), records["group"].copy(), records["size"].copy(), turn, percent)
-        return pa.table({"a": pairs[0], "b": pairs[1]})
+        pairs, _ = ties_in_buckets(records["key"].copy(), records["node"].copy())
+        return pa.table({"u": pairs[0], "v": pairs[1]})
 
     def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pairs = np.frombuffer(b"".join(b.column(0).to_pylist()), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["u", "v"])
 
-    sent = nodes.select("node", "grp", "n_shingles", "blocks").mapInArrow(local, _SENT)
-    return sent, joined, spelt
+    sent = shelf.put(nodes.select("node", "blocks").mapInArrow(local, _SENT), "sent")
+    across = sent.filter("bucket >= 0").groupBy("bucket").applyInArrow(joined, "u long, v long")
+    return across.unionByName(sent.filter("bucket < 0").select("records").mapInArrow(spelt, "u long, v long"))
 
 
-def _mixed_keys(sent: DataFrame) -> DataFrame:
-    """The keys whose members are of more than one group."""
+def _chunked(placed: DataFrame, percent: int) -> DataFrame:
+    """placed (node, mark, cluster, n_shingles, blocks) with alone and, in keys, the pairs of chunks that each row goes to.
 
-    def mixed(table: pa.Table) -> pa.Table:
-        r = np.frombuffer(b"".join(table.column("records").to_pylist()), _RECORD)
-        r = r[np.lexsort((r["group"], r["key"]))]
-        differ = (r["key"][1:] == r["key"][:-1]) & (r["group"][1:] != r["group"][:-1])
-        return pa.table({"key": np.unique(r["key"][1:][differ]).view(np.int64)})
-
-    return sent.filter("bucket >= 0").groupBy("bucket").applyInArrow(mixed, "key long")
-
-
-def _remaining(nodes: DataFrame, mixed: DataFrame, buckets: int, percent: int) -> DataFrame:
-    """All candidate pairs (a, b) between groups in the mixed keys."""
-    # Keys beyond the bound aren't sent to the tasks: then every key is looked at again.
-    few = mixed.count() <= BROADCAST_IDS
-    wanted = np.sort(np.array([r[0] for r in mixed.collect()], np.int64).view(np.uint64)) if few else None
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _stretches(batches, NODES_AT_ONCE):
-            node, group, size = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
-            if not len(node):
-                continue
-            keys = table_keys(np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint64).reshape(len(node), -1))
-            at = np.arange(keys.size) if wanted is None else np.flatnonzero(np.isin(keys.reshape(-1), wanted))
-            records = np.empty(len(at), _RECORD)
-            row = at // keys.shape[1]
-            for name, x in (("key", keys.reshape(-1)[at]), ("node", node[row]), ("group", group[row]), ("size", size[row])):
-                records[name] = x
-            where = (records["key"] % np.uint64(buckets)).astype(np.int32)
-            hit = np.unique(where)
-            yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), pa.array([records[where == i].tobytes() for i in hit], pa.binary())], names=["bucket", "records"])
-
-    def joined(table: pa.Table) -> pa.Table:
-        a, b = pairs_across_groups(np.frombuffer(b"".join(table.column("records").to_pylist()), _RECORD), percent)
-        return pa.table({"a": a, "b": b})
-
-    return nodes.select("node", "grp", "n_shingles", "blocks").mapInArrow(local, _SENT).groupBy("bucket").applyInArrow(joined, "a long, b long").distinct()
+    Sets whose sizes lie more than a band apart can't be linked. alone marks clusters that
+    are one chunk.
+    """
+    sized = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
+    alone = (F.col("n") <= 2 * CHUNK_NODES) & (F.col("shingles") <= 2 * CHUNK_SHINGLES)
+    # A little wider than the ratio of sizes, so that rounding sets nobody two bands apart.
+    band = F.floor(F.log("n_shingles") / (1.000001 * log(100 / min(percent, 99)))).cast("int")
+    placed = placed.join(sized.select("cluster", alone.alias("alone")), "cluster").withColumn("band", F.when(F.col("alone"), F.lit(0)).otherwise(band))
+    bands = placed.groupBy("cluster", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"), F.first("alone").alias("one"))
+    chunks = F.greatest(F.ceil(F.col("n") / CHUNK_NODES), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).cast("int")
+    bands = bands.select("cluster", "band", F.when(F.col("one"), F.lit(1)).otherwise(chunks).alias("k"))
+    # As many rows as a cluster has bands: their number grows with the logarithm of the sizes.
+    next_to = Window.partitionBy("cluster").orderBy("band")
+    beside = lambda f, by: F.when(f("band").over(next_to) == F.col("band") + by, f("k").over(next_to)).otherwise(F.lit(0))
+    bands = bands.select("cluster", "band", "k", beside(F.lag, -1).alias("k_below"), beside(F.lead, 1).alias("k_above"))
+
+    def upto(n: Column, pair: Callable[[Column], Column]) -> Column:
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), pair)).otherwise(F.array().cast("array<struct<a:int,i:int,b:int,j:int>>"))
+
+    def pair(a: Column, i: Column, b: Column, j: Column) -> Column:
+        return F.struct(a.alias("a"), i.alias("i"), b.alias("b"), j.alias("j"))
+
+    own, at = F.col("band"), F.col("chunk")
+    keys = F.concat(
+        upto(F.col("k"), lambda x: pair(own, F.least(x, at), own, F.greatest(x, at))),
+        upto(F.col("k_below"), lambda x: pair(own - 1, x, own, at)),
+        upto(F.col("k_above"), lambda x: pair(own, at, own + 1, x)),
+    )
+    placed = placed.join(bands, ["cluster", "band"]).withColumn("chunk", F.pmod(F.xxhash64("node", "mark"), F.col("k").cast("long")).cast("int"))
+    return placed.select("node", "mark", "cluster", "alone", "blocks", keys.alias("keys"))
 
 
 def _members(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """node and its full set, for the nodes among ids."""
+    """node, mark and full set of the rows of docs whose doc_id is among ids (node)."""
     few = ids.count() <= BROADCAST_IDS
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _stretches(batches, TEXTS_AT_ONCE):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1).to_pylist())], pa.binary())], names=["node", "members"])
+            found = [s.tobytes() for s in shingle_sets(b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_mark(x) for x in found], pa.binary()), pa.array(found, pa.binary())], names=["node", "mark", "members"])
 
     texts = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["node"], "left_semi")
-    return texts.mapInArrow(sets, "node long, members binary")
+    return texts.mapInArrow(sets, "node long, mark binary, members binary")
 
 
-def linked_components(nodes: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
-    """For each node the least node that links lead to, all links between the sets counted."""
+def linked_components(nodes: np.ndarray, sets: list[np.ndarray], blocks: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """For each node the least node that links lead to, all links between sets that meet in a table counted."""
     sizes = np.array([len(s) for s in sets])
-    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    tokens_of = np.concatenate(sets)
+    order = np.argsort(tokens_of, kind="stable")
+    ids = np.empty(len(order), np.int32)
+    ordered = tokens_of[order]
+    ids[order] = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]]), dtype=np.int32)
+    del tokens_of, ordered, order
     starts = np.cumsum(sizes) - sizes
     mark = np.zeros(int(ids.max()) + 1, bool)
+    first, second = blocks[:, :BLOCKS], blocks[:, BLOCKS:]
     found = nodes.copy()
     left = np.argsort(nodes, kind="stable")
     while len(left):
@@ -271,11 +224,14 @@ def linked_components(nodes: np.ndarray, sets: list[np.ndarray], percent: int =
             if tokens is None:
                 tokens = np.concatenate([ids[starts[y] : starts[y] + sizes[y]] for y in left])
                 offsets = np.cumsum(sizes[left]) - sizes[left]
+            meets = (first[left] == first[x]).any(1) & (second[left] == second[x]).any(1)
+            if not meets.any():
+                continue
             own = ids[starts[x] : starts[x] + sizes[x]]
             mark[own] = True
             common = np.add.reduceat(mark[tokens], offsets, dtype=np.int64)
             mark[own] = False
-            near = 100 * common >= percent * (sizes[left] + sizes[x] - common)
+            near = meets & (100 * common >= percent * (sizes[left] + sizes[x] - common))
             if near.any():
                 found[left[near]] = root
                 frontier.extend(left[near])
@@ -283,65 +239,16 @@ def linked_components(nodes: np.ndarray, sets: list[np.ndarray], percent: int =
     return found
 
 
-def _solver(percent: int) -> Callable[[pa.Table], pa.Table]:
-    def solved(table: pa.Table) -> pa.Table:
-        table = table.sort_by("node")
+def _linker(percent: int) -> Callable[[pa.Table], pa.Table]:
+    def linked(table: pa.Table) -> pa.Table:
+        """node, the least node that links lead to within the table, and whether the cluster is one chunk."""
         nodes = table.column("node").to_numpy()
-        first = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]]))  # a repeated doc_id stands once
-        members = table.column("members").to_pylist()
-        found = linked_components(nodes[first], [np.frombuffer(members[i], np.uint64) for i in first], percent)
-        return pa.table({"node": nodes[first], "component": found})
-
-    return solved
-
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("members")]
+        blocks = np.frombuffer(b"".join(table.column("blocks").to_pylist()), np.uint64).reshape(len(sets), -1)
+        found = linked_components(nodes, sets, blocks, percent)
+        return pa.table({"node": nodes, "component": found, "alone": table.column("alone")})
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, shelf: Shelf, label: str, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the similarity, as edges (u, v)."""
-    ids = shelf.put(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{label}_ids")
-    members = shelf.put(_members(ids, docs).dropDuplicates(["node"]), f"{label}_sets")
-
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([p, q])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(p) + len(q) - common))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["u", "v"])
-
-    left, right = members.select(F.col("node").alias("a"), F.col("members").alias("x")), members.select(F.col("node").alias("b"), F.col("members").alias("y"))
-    links = shelf.put(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verified, "u long, v long"), f"{label}_links")
-    shelf.drop(f"{label}_ids", f"{label}_sets")
-    return links
-
-
-def _pairs(grouped: DataFrame, turn: int, buckets: int, shelf: Shelf, percent: int) -> DataFrame:
-    sent, joined, spelt = _candidates(grouped, turn, buckets, percent)
-    sent = shelf.put(sent, f"sent_{turn}")
-    pairs = sent.filter("bucket >= 0").groupBy("bucket").applyInArrow(joined, "a long, b long").unionByName(sent.filter("bucket < 0").select("records").mapInArrow(spelt, "a long, b long"))
-    return shelf.put(pairs.distinct(), f"pairs_{turn}")
-
-
-def _by_rounds(nodes: DataFrame, rows: DataFrame, buckets: int, shelf: Shelf, percent: int) -> DataFrame:
-    """node and component of the nodes of clusters that no task could hold."""
-    links, turn, grouped, last = None, 1, nodes.withColumn("grp", F.col("node")), False
-    while True:
-        pairs = shelf.put(_remaining(grouped, mixed, buckets, percent), "pairs_last") if last else _pairs(grouped, turn, buckets, shelf, percent)
-        new = _confirmed(pairs, rows, shelf, f"turn_{turn}", percent)
-        found = new.count()
-        links = new if links is None else links.unionByName(new)
-        if found:
-            tied = shelf.put(components(links, shelf, f"components_{turn}"), f"tied_{turn}")
-            grouped = nodes.join(tied, "node", "left").select("node", "n_shingles", "blocks", F.coalesce("component", "node").alias("grp"))
-        if last:
-            return grouped.select("node", F.col("grp").alias("component"))
-        if not found:
-            sent = nodes.sparkSession.read.parquet(f"{shelf.path}/sent_{turn}")
-            mixed, last = shelf.put(_mixed_keys(sent), "mixed"), True
-        turn += 1
+    return linked
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
@@ -349,34 +256,52 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     Texts without words, null texts included, have no shingles and link with nothing, and
     so does a row with a null doc_id: its component_id is null, and it is kept. Rows that
-    repeat a doc_id share its component; where their texts differ, one of them stands for
-    the doc_id in links with others. Ties go to the smallest doc_id. An empty table gives no rows.
+    repeat a doc_id share its component: a link of any of their texts counts. Ties go to
+    the smallest doc_id. Texts of any length are taken whole. An empty table gives no
+    rows; other columns are ignored, whatever their names.
     """
     shelf = Shelf(docs.sparkSession, "near")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     signed = shelf.put(rows.mapInArrow(_signed, SIGNED), "signed")
     linked = signed.filter("n_shingles > 0 and doc_id is not null")
-    # Equal sets are one node, named by the smallest doc_id.
+    # Equal sets are one, named by the smallest doc_id; a doc_id that repeats may name several.
     classes = shelf.put(linked.groupBy("mark").agg(F.min("doc_id").alias("node")), "classes")
-    nodes = linked.join(classes, "mark").filter("doc_id = node").groupBy("node").agg(F.min_by(F.struct("n_shingles", "blocks"), "mark").alias("s"))
-    nodes = shelf.put(nodes.select("node", "s.n_shingles", "s.blocks"), "nodes")
+    firsts = linked.join(classes, "mark").filter("doc_id = node")
+    nodes = shelf.put(firsts.groupBy("node", "mark").agg(F.max(F.struct("n_shingles", "blocks")).alias("s")).select("node", "mark", "s.n_shingles", "s.blocks"), "nodes")
     buckets = max(1, nodes.count() * BLOCKS * BLOCKS // KEYS_A_TASK)
-    ties = _pairs(nodes.withColumn("grp", F.col("node")), 0, buckets, shelf, percent)
-    clusters = shelf.put(components(ties.select(F.col("a").alias("u"), F.col("b").alias("v")), shelf, "clusters").withColumnRenamed("component", "cluster"), "clustered")
-    sized = clusters.join(nodes, "node").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
-    sized = shelf.put(sized.withColumn("large", (F.col("n") > CLUSTER_NODES) | (F.col("shingles") > CLUSTER_SHINGLES)), "sized")
-    marked = clusters.join(sized.select("cluster", "large"), "cluster")
-    small = shelf.put(marked.filter("not large").select("node", "cluster"), "small")
-    sets = _members(small.select("node"), rows).join(small, "node")
-    found = shelf.put(sets.groupBy("cluster").applyInArrow(_solver(percent), "node long, component long"), "solved")
-    large = shelf.put(marked.filter("large").join(nodes, "node").select("node", "n_shingles", "blocks"), "large")
-    if not large.isEmpty():
-        found = found.unionByName(_by_rounds(large, rows, buckets, shelf, percent))
-    grouped = nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("grp"))
-    final = grouped.select("node", F.col("grp").alias("component_id"))
-    named = classes.join(final, "node").select("mark", "component_id")
+    clusters = shelf.put(components(_ties(nodes, buckets, shelf), shelf, "clusters").withColumnRenamed("component", "cluster"), "clustered")
+    chunked = shelf.put(_chunked(clusters.join(nodes, "node"), percent), "chunked")
+    shelf.drop("sent", "clustered")
+    sets = _members(chunked.select("node").distinct(), rows)
+    several = linked.groupBy("doc_id").agg(F.min("mark").alias("a"), F.max("mark").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    repeated = shelf.put(several.select("doc_id", (F.col("a") != F.col("b")).alias("differ")), "repeated")
+    if not repeated.isEmpty():
+        sets = sets.dropDuplicates(["node", "mark"])
+    met = sets.join(chunked, ["node", "mark"]).withColumn("key", F.explode("keys")).select("cluster", "key", "alone", "node", "blocks", "members")
+    found = shelf.put(met.groupBy("cluster", "key").applyInArrow(_linker(percent), "node long, component long, alone boolean"), "found")
+    # What a lone chunk found is final; links from several chunks, and of doc_ids that repeat, are joined up.
+    differ = repeated.filter("differ")
+    if differ.isEmpty():
+        open_links, closed = found.filter("not alone and node <> component"), found.filter("alone").select("node", "component")
+    else:
+        open_links, closed = found.filter("node <> component"), None
+    open_links = open_links.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    if closed is None:
+        same = linked.join(differ, "doc_id", "left_semi").join(classes, "mark").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+        open_links = open_links.unionByName(same)
+    open_links = shelf.put(open_links.distinct(), "links")
+    tied = None if open_links.isEmpty() else components(open_links, shelf, "joined")
+    final = tied if closed is None or tied is None else closed.unionByName(tied)
+    if final is None:
+        final = closed if closed is not None else open_links.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    final = shelf.put(final, "final")
+    named = classes.join(final, "node", "left").select("mark", F.coalesce("component", "node").alias("component_id"))
     out = signed.join(named, "mark", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    if closed is None:
+        # A doc_id that repeats is a node of its own.
+        out = out.join(final.select(F.col("node").alias("doc_id"), F.col("component").alias("by_id")), "doc_id", "left")
+        own = F.when(F.col("doc_id").isNotNull(), F.coalesce("by_id", "component_id", "doc_id"))
     out = shelf.put(out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "result")
     shelf.keep("result")
     return out

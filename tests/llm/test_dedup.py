@@ -81,20 +81,93 @@ def brute_components(docs):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("in_one_task", [True, False])
-def test_near_is_brute_force(corpus, monkeypatch, in_one_task):
-    if not in_one_task:
-        monkeypatch.setattr(minhash_tensor, "CLUSTER_NODES", 1)
+def in_chunks(monkeypatch, nodes):
+    """Clusters of more than twice so many sets are cut up."""
+    if nodes:
+        monkeypatch.setattr(minhash_tensor, "CHUNK_NODES", nodes)
+
+
+@pytest.mark.parametrize("chunk", [None, 1, 4])
+def test_near_is_brute_force(corpus, monkeypatch, chunk):
+    in_chunks(monkeypatch, chunk)
     got = minhash_tensor.near_duplicates(corpus).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(collected(corpus))
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+@pytest.mark.parametrize("chunk", [None, 3])
+def test_rows_that_repeat_a_doc_id(spark, monkeypatch, chunk):
+    """A link of any text of a doc_id counts for all its rows."""
+    in_chunks(monkeypatch, chunk)
+    base = {c: [f"{c}{k}" for k in range(60)] for c in "abcd"}
+    text = lambda c, cut=0: " ".join(base[c][: 60 - cut])
+    rows = [(9, text("a")), (9, text("b")), (9, text("b")), (4, text("a", 2)), (5, text("b", 2)), (7, text("c")), (7, "alone"), (8, text("c", 1)), (3, text("d")), (3, text("d")), (2, text("d")), (1, "alone again")]
+    docs = spark.createDataFrame(rows * 2, "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["component_id"]) for r in minhash_tensor.near_duplicates(docs).collect()}
+    assert got == {(9, 4), (4, 4), (5, 4), (7, 7), (8, 7), (3, 2), (2, 2), (1, 1)}
+
+
+def test_many_near_copies_have_the_classes_of_brute_force(spark):
+    """30,000 texts from one template, with up to two words changed each, in over a hundred chunks."""
+    r = np.random.default_rng(17)
+    template = [f"t{k}" for k in range(72)]
+    texts = []
+    for i in range(30_000):
+        words = list(template)
+        for at in r.integers(0, len(words), r.integers(0, 3)):
+            words[at] = f"x{r.integers(0, 4)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {row["doc_id"]: row["component_id"] for row in minhash_tensor.near_duplicates(docs).collect()}
+    # brute force over the distinct sets, each against all later ones that aren't in its class yet
+    sets = {}
+    for i, s in enumerate(shingle_sets([t.encode() for t in texts])):
+        sets.setdefault(s.tobytes(), i)
+    first, values = np.array(list(sets.values())), [np.frombuffer(s, np.uint64) for s in sets]
+    assert len(first) > 60 * minhash_tensor.CHUNK_NODES // 2
+    sizes = np.array([len(v) for v in values])
+    _, ids = np.unique(np.concatenate(values), return_inverse=True)
+    rows = [ids[a : a + n] for a, n in zip(np.cumsum(sizes) - sizes, sizes)]
+    mark, want, left = np.zeros(ids.max() + 1, bool), first.copy(), np.arange(len(first))
+    while len(left):
+        root, frontier, left = left[0], [left[0]], left[1:]
+        tokens, offsets = np.concatenate([rows[i] for i in left] or [ids[:0]]), np.cumsum(sizes[left]) - sizes[left]
+        while frontier and len(left):
+            x = frontier.pop()
+            mark[rows[x]] = True
+            common = np.add.reduceat(mark[tokens], offsets, dtype=np.int64)
+            mark[rows[x]] = False
+            near = 100 * common >= 85 * (sizes[left] + sizes[x] - common)
+            if near.any():
+                want[left[near]] = first[root]
+                frontier.extend(left[near])
+                left = left[~near]
+                tokens, offsets = np.concatenate([rows[i] for i in left] or [ids[:0]]), np.cumsum(sizes[left]) - sizes[left]
+    assert len(set(want)) < len(want) // 2
+    assert {k: got[k] for k in first.tolist()} == dict(zip(first.tolist(), want.tolist()))
+
+
+def test_recall_is_the_same_for_one_chunk_and_for_many(spark, monkeypatch):
+    """Pairs a little over the similarity: the tables find nearly all, and the same ones however clusters are cut."""
+    r = random.Random(3)
+    texts = []
+    for i in range(400):
+        words = [f"w{i}x{k}" for k in range(100)]
+        texts += [" ".join(words), " ".join(words[r.randint(0, 7) : 100 - r.randint(0, 7)])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    whole = {(x["doc_id"], x["component_id"]) for x in minhash_tensor.near_duplicates(docs).collect()}
+    in_chunks(monkeypatch, 1)
+    assert whole == {(x["doc_id"], x["component_id"]) for x in minhash_tensor.near_duplicates(docs).collect()}
+    assert sum(c == 2 * (i // 2) for i, c in whole if i % 2) >= 0.99 * 400
+
+
 def test_linked_components_of_a_chain():
     sets = [np.arange(i, i + 40, dtype=np.uint64) for i in range(0, 40, 3)] + [np.arange(500, 540, dtype=np.uint64)]
     nodes = np.arange(len(sets))[::-1].copy()
-    found = minhash_tensor.linked_components(nodes, sets)
+    found = minhash_tensor.linked_components(nodes, sets, np.zeros((len(sets), 16), np.uint64))
     assert set(found[:-1]) == {1} and found[-1] == 0
+    apart = minhash_tensor.linked_components(nodes, sets, np.arange(16 * len(sets), dtype=np.uint64).reshape(-1, 16))
+    assert (apart == nodes).all()
 
 
 def test_shingle_sets_of_pieces_are_those_of_the_whole(monkeypatch):

@@ -26,11 +26,11 @@ def brute_kept(texts, percent):
     return {i for i in range(len(sets)) if find(i) == i}
 
 
-@pytest.mark.parametrize("in_one_task", [True, False])
-def test_near_is_brute_force_at_80(spark, monkeypatch, in_one_task):
+@pytest.mark.parametrize("chunk", [None, 1])
+def test_near_is_brute_force_at_80(spark, monkeypatch, chunk):
     """Pairs on both sides of 0.8 and of 0.85, and chains of them."""
-    if not in_one_task:
-        monkeypatch.setattr(minhash_tensor, "CLUSTER_NODES", 1)
+    if chunk:
+        monkeypatch.setattr(minhash_tensor, "CHUNK_NODES", chunk)
     r = random.Random(5)
     texts = []
     for i in range(60):
