@@ -19,8 +19,10 @@ import numpy as np
 
 #: Tuples that are handled at once, bytes of queued tuples held in memory.
 BLOCK, MEMORY = 1 << 16, 16 << 20
-#: A reduced string up to this long is sorted in memory.
-BASE = 1 << 22
+#: A reduced string up to this long ends the recursion: it is sorted in memory.
+BASE = 1 << 16
+#: With so many symbols at most each has a queue of its own.
+FEW_SYMBOLS = 256
 
 
 def _joined(blocks: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -285,6 +287,140 @@ def _induce(t: np.ndarray, n: int, symbols: int, lms: np.ndarray, lms_lcp: np.nd
     return out_at, out_lcp
 
 
+class _Ranges:
+    """Symbols in ranges of about BLOCK suffixes each; a symbol with more of them has a range of its own."""
+
+    def __init__(self, t: np.ndarray, n: int, symbols: int):
+        upto = np.zeros(symbols + 1, np.int64)
+        for at in range(0, n, BLOCK):
+            upto[1:] += np.bincount(t[at : at + BLOCK][: n - at], minlength=symbols)[:symbols]
+        np.cumsum(upto, out=upto)
+        starts, at = [0], 0
+        while upto[at] < n:
+            at = max(at + 1, int(np.searchsorted(upto, upto[at] + BLOCK, "right")) - 1)
+            starts.append(at)
+        self.edges = np.array(starts)
+        self.of = np.searchsorted(self.edges, np.arange(symbols), "right").astype(np.int32) - 1
+
+    def __len__(self) -> int:
+        return len(self.edges) - 1
+
+
+def _in_range_order(symbol: np.ndarray, kind: np.ndarray, follow: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of a range of symbols.
+
+    Within a symbol come first the suffixes that a queue held, in their order (kind 0), then
+    those that precede others of the range (kind 1; follow names the other), in the order
+    of those, then the ones whose order is known from before (kind 2). Ranks of single
+    suffixes are extended along the chains, by doubling.
+    """
+    n, key, follow = len(symbol), 3 * symbol + kind, follow.copy()
+    order = np.argsort(key, kind="stable")
+    fresh = (key[order[1:]] != key[order[:-1]]) | (kind[order[1:]] != 1)  # only those of kind 1 have equals
+    while not fresh.all():
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum(fresh)])
+        key = rank * n + rank[follow]
+        follow = follow[follow]
+        order = np.argsort(key, kind="stable")
+        fresh = key[order[1:]] != key[order[:-1]]
+    return order
+
+
+def _phase(t: np.ndarray, ranges: _Ranges, queue: RunQueue, known, keep, down: bool) -> None:
+    """One direction of the induction, a range of symbols at a time; known(r) gives the suffixes of a range whose order is known, keep(at) takes those that are found, in order.
+
+    Upwards it finds suffixes of type L, downwards those of type S; queues are read and
+    written in the direction of the phase.
+    """
+    sign = -1 if down else 1
+    for r in range(len(ranges) - 1, -1, -1) if down else range(len(ranges)):
+        blocks = [at for at, _ in queue.pop(r)]
+        seeds = np.concatenate(blocks).astype(np.int64) if blocks else np.zeros(0, np.int64)
+        given = known(r)
+        at, kinds, follow = [seeds, given], [np.zeros(len(seeds), np.int8), np.full(len(given), 2, np.int8)], [np.arange(len(seeds) + len(given))]
+        wave, wave_at, size = np.concatenate([seeds, given]), np.arange(len(seeds) + len(given)), len(seeds) + len(given)
+        first = True
+        while len(wave):
+            before = wave - 1
+            p, q = t[before], t[wave]
+            fits = (wave > 0) & (ranges.of[np.minimum(p, len(ranges.of) - 1)] == r) & ((p <= q) if down else (p >= q))
+            if first:  # what is given is of the other type: its like-symboled predecessor is so too
+                fits[len(seeds) :] &= p[len(seeds) :] != q[len(seeds) :]
+                first = False
+            wave, parent = before[fits], wave_at[fits]
+            wave_at = np.arange(size, size + len(wave))
+            size += len(wave)
+            at.append(wave)
+            kinds.append(np.ones(len(wave), np.int8))
+            follow.append(parent)
+        if not size:
+            continue
+        at, kinds = np.concatenate(at), np.concatenate(kinds)
+        order = _in_range_order(sign * t[at].astype(np.int64), kinds, np.concatenate(follow))
+        at, kinds = at[order], kinds[order]
+        keep(r, at[kinds != 2])
+        before = at - 1
+        p = t[before]
+        out = (at > 0) & ((p < t[at]) if down else (p > t[at]))
+        where = ranges.of[np.minimum(p, len(ranges.of) - 1)]
+        out &= (where < r) if down else (where > r)
+        before, where = before[out], where[out]
+        order = np.argsort(where, kind="stable")
+        before, where = before[order], where[order]
+        cut = np.concatenate([[0], np.flatnonzero(where[1:] != where[:-1]) + 1, [len(where)]])
+        for x, y in zip(cut, cut[1:]):
+            if y > x:
+                queue.push(int(where[x]), before[x:y].astype(queue.kind), queue.none)
+
+
+def _induce_names(t: np.ndarray, n: int, symbols: int, lms: np.ndarray, memory: int, folder: str | None) -> np.ndarray:
+    """All suffixes of a string of names in order, from the LMS suffixes in order (sorted by their symbols at least).
+
+    Names are many and each has few suffixes, so that the queues are for ranges of names
+    and a range is put in order at once. What is held is a range, the rest are files.
+    """
+    small, none = np.int32 if n < 2**31 else np.int64, np.zeros(0, np.uint8)
+    ranges = _Ranges(t, n, symbols)
+    given = np.searchsorted(ranges.of[t[lms]], np.arange(len(ranges) + 1))
+    low, bounds, filled = _scratch(n, small, memory, folder), {}, 0
+
+    def keep_low(r: int, at: np.ndarray) -> None:
+        nonlocal filled
+        low[filled : filled + len(at)] = at
+        bounds[r] = (filled, filled + len(at))
+        filled += len(at)
+
+    def queue() -> RunQueue:
+        q = RunQueue(memory, folder)
+        q.kind, q.none = small, none
+        return q
+
+    upward = queue()
+    upward.push(int(ranges.of[t[n - 1]]), np.array([n - 1], small), none)
+    _phase(t, ranges, upward, lambda r: lms[given[r] : given[r + 1]].astype(np.int64), keep_low, False)
+    upward.close()
+    out, top = _scratch(n, small, memory, folder), n
+
+    def lows(r: int) -> np.ndarray:
+        a, b = bounds.get(r, (0, 0))
+        return low[a:b][::-1].astype(np.int64)
+
+    def keep_high(r: int, at: np.ndarray) -> None:
+        """Lays a range's suffixes out downwards: within a symbol those of type S stand above those of type L."""
+        nonlocal top
+        a, b = bounds.get(r, (0, 0))
+        both = np.concatenate([at[::-1], low[a:b]])
+        kind = np.concatenate([np.ones(len(at), np.int8), np.zeros(b - a, np.int8)])
+        out[top - len(both) : top] = both[np.lexsort((kind, t[both]))]
+        top -= len(both)
+
+    downward = queue()
+    _phase(t, ranges, downward, lows, keep_high, True)
+    downward.close()
+    return out
+
+
 def _doubled(names: np.ndarray, depth: int) -> np.ndarray:
     """Order of the suffixes of names by their first depth symbols at least."""
     n, rank, k = len(names), names.astype(np.int64), 1
@@ -314,6 +450,13 @@ def _names(t: np.ndarray, order: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(~same)])
 
 
+def _order(t: np.ndarray, n: int, symbols: int, lms: np.ndarray, cap: int, memory: int, folder: str | None) -> np.ndarray:
+    """All suffixes in order, from the LMS suffixes in order, without common prefixes."""
+    if symbols <= FEW_SYMBOLS:
+        return _induce(t, n, symbols, lms, np.zeros(0, np.uint8), cap, False, memory, folder)[0]
+    return _induce_names(t, n, symbols, lms, memory, folder)
+
+
 def _sorted_lms(t: np.ndarray, n: int, symbols: int, cap: int, memory: int, base: int, folder: str | None) -> np.ndarray:
     """The LMS suffixes in the order of their first cap symbols at least."""
     s = _types(t[:n])
@@ -321,7 +464,7 @@ def _sorted_lms(t: np.ndarray, n: int, symbols: int, cap: int, memory: int, base
     if len(lms) < 2:
         return lms
     # A first induction sorts the LMS substrings, whatever the order within a symbol.
-    rough, _ = _induce(t, n, symbols, lms[np.argsort(t[lms], kind="stable")], np.zeros(0, np.uint8), cap, False, memory, folder)
+    rough = _order(t, n, symbols, lms[np.argsort(t[lms], kind="stable")], cap, memory, folder)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     order = np.concatenate([at[is_lms[at]] for at, _ in _cut(rough, rough)]).astype(np.int64)
@@ -335,17 +478,17 @@ def _sorted_lms(t: np.ndarray, n: int, symbols: int, cap: int, memory: int, base
         return lms[_doubled(reduced, -(-cap // 2) + 1)]
     kinds = int(reduced.max()) + 1
     padded = np.concatenate([reduced, np.full(cap + 8, kinds, np.int64)])
-    inner, _ = _sorted(padded, len(reduced), kinds + 1, -(-cap // 2) + 1, memory, base, folder, False)
-    return lms[inner]
+    depth = -(-cap // 2) + 1
+    inner = _sorted_lms(padded, len(reduced), kinds + 1, depth, memory, base, folder)
+    return lms[_order(padded, len(reduced), kinds + 1, inner, depth, memory, folder)]
 
 
-def _sorted(t: np.ndarray, n: int, symbols: int, cap: int, memory: int, base: int, folder: str | None, carry: bool) -> tuple[np.ndarray, np.ndarray]:
+def _sorted(t: np.ndarray, n: int, symbols: int, cap: int, memory: int, base: int, folder: str | None) -> tuple[np.ndarray, np.ndarray]:
     lms = _sorted_lms(t, n, symbols, cap, memory, base, folder)
     common = np.zeros(len(lms), np.uint8)
-    if carry and len(lms) > 1:
-        for i in range(1, len(lms), BLOCK):
-            common[i : i + BLOCK] = _compare(t, lms[i - 1 : i - 1 + len(lms[i : i + BLOCK])], lms[i : i + BLOCK], cap)
-    return _induce(t, n, symbols, lms, common, cap, carry, memory, folder)
+    for i in range(1, len(lms), BLOCK):
+        common[i : i + BLOCK] = _compare(t, lms[i - 1 : i - 1 + len(lms[i : i + BLOCK])], lms[i : i + BLOCK], cap)
+    return _induce(t, n, symbols, lms, common, cap, True, memory, folder)
 
 
 def suffix_array(text: bytes, cap: int = 50, memory: int = MEMORY, base: int = BASE, folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -361,4 +504,4 @@ def suffix_array(text: bytes, cap: int = 50, memory: int = MEMORY, base: int = B
     t = _scratch(n + cap + 9, np.uint16, memory, folder)
     t[:n] = np.frombuffer(text, np.uint8)
     t[n:] = np.arange(256, 256 + cap + 9)  # past the end, equal to nothing
-    return _sorted(t, n, 256, cap, memory, base, folder, True)
+    return _sorted(t, n, 256, cap, memory, base, folder)
