@@ -7,12 +7,16 @@ shards by minimiser, each distinct stretch once from each batch of documents. A
 sorts the suffixes of its distinct stretches externally; a run of suffixes with common
 prefixes of 50 bytes or more is one window, and the smallest document in it keeps it.
 What each stretch learnt goes back to the batches, where the occurrences are, so that no
-passage, however common, gathers its documents in one place.
+passage, however common, gathers its documents in one place. The stretches of a minimiser
+that very many documents have differ where the passage ends; they are sent as single
+windows, which go to shards by their own checksum, so that no minimiser fills a shard.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm.columns import fresh, own_columns
 from quillstone.llm.induced_sort import BLOCK, suffix_array
 from quillstone.llm.shingles import _BYTE, _POWERS, mix
 from quillstone.shelf import Shelf
@@ -29,8 +34,10 @@ WINDOW, ANCHOR = 50, 20
 BATCH_BYTES, SHARD_BYTES = 8 << 20, 4 << 20
 #: Bytes that are hashed at once.
 PIECE = 1 << 18
-#: So many rows of ids are broadcast at most (40 bytes each); more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Stretches of a minimiser that more documents have are sent window by window.
+HOT_DOCS = 1000
+#: So many rows of ids are broadcast at most (some 100 bytes each in memory); more are joined by shuffle.
+BROADCAST_IDS = 250_000
 NO_DOC = np.iinfo(np.int64).max
 
 
@@ -102,87 +109,135 @@ def _cells(table: pa.Table, name: str, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
 
-_NOTED = "bucket long, batch long, parts binary, several binary"
+_NOTED = "bucket long, batch long, parts binary, docs binary"
 
 
 def _noter(buckets: int):
     def note(table: pa.Table) -> pa.Table:
-        """The distinct minimisers of a batch by bucket, and whether several of its documents have them."""
+        """The distinct minimisers of a batch by bucket, and how many of its documents have each."""
         ids = table.column("doc_id").to_numpy()
         value, number, _, _ = stretches(table.column("text").to_pylist())
         doc = ids[number] if len(number) else number
         order = np.lexsort((doc, value))
         value, doc = value[order], doc[order]
-        head = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, np.int64)
-        last = np.append(head[1:], len(value)) - 1 if len(head) else head
-        several = doc[head] != doc[last]
+        new = np.ones(len(value), bool)
+        new[1:] = value[1:] != value[:-1]
+        head = np.flatnonzero(new)
+        new[1:] |= doc[1:] != doc[:-1]
+        count = np.minimum(np.add.reduceat(new, head, dtype=np.int64) if len(head) else head, 0xFFFF).astype("<u2")
         value = value[head]
         bucket = (value % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        value, several, bucket = value[order], several[order], bucket[order]
-        cut = np.searchsorted(bucket, np.unique(bucket))
+        part, count, bucket = (value[order] >> np.uint64(32)).astype("<u4"), count[order], bucket[order]
+        cut = np.searchsorted(bucket, np.unique(bucket)).tolist()
         pieces = list(zip(cut, [*cut[1:], len(bucket)]))
-        part = (value >> np.uint64(32)).astype("<u4")
-        return pa.table({"bucket": pa.array([int(bucket[a]) for a, _ in pieces], pa.int64()), "batch": pa.array([table.column("batch")[0].as_py()] * len(pieces), pa.int64()), "parts": pa.array([part[a:b].tobytes() for a, b in pieces], pa.binary()), "several": pa.array([several[a:b].tobytes() for a, b in pieces], pa.binary())})
+        batch = table.column("batch")[0].as_py()
+        return pa.table({
+            "bucket": pa.array([int(bucket[a]) for a, _ in pieces], pa.int64()),
+            "batch": pa.array([batch] * len(pieces), pa.int64()),
+            "parts": pa.array([part[a:b].tobytes() for a, b in pieces], pa.binary()),
+            "docs": pa.array([count[a:b].tobytes() for a, b in pieces], pa.binary()),
+        })
 
     return note
 
 
-_REPEATED = "batch long, bucket long, parts binary"
+_REPEATED = "batch long, bucket long, parts binary, hot binary"
 
 
 def _repeated(table: pa.Table) -> pa.Table:
-    """Of each batch's minimisers in a bucket those that several documents have."""
+    """Of each batch's minimisers in a bucket those that several documents have, and whether very many have them."""
     blobs = table.column("parts").to_pylist()
-    part, several = np.frombuffer(b"".join(blobs), "<u4"), np.frombuffer(b"".join(table.column("several").to_pylist()), bool)
+    part, docs = np.frombuffer(b"".join(blobs), "<u4"), _cells(table, "docs", "<u2")
     row = np.repeat(np.arange(len(blobs)), [len(b) // 4 for b in blobs])
-    value, back, count = np.unique(part, return_inverse=True, return_counts=True)
-    hot = count > 1
-    hot[back[several]] = True
-    keep = hot[back]
-    part, row = part[keep], row[keep]
+    _, back = np.unique(part, return_inverse=True)
+    total = np.bincount(back, weights=docs)[back]
+    keep = total > 1
+    part, row, hot = part[keep], row[keep], total[keep] > HOT_DOCS
     cut = np.searchsorted(row, np.arange(len(blobs) + 1))
     mine = [i for i in range(len(blobs)) if cut[i + 1] > cut[i]]
-    return pa.table({"batch": table.column("batch").combine_chunks().take(pa.array(mine, pa.int64())), "bucket": table.column("bucket").combine_chunks().take(pa.array(mine, pa.int64())), "parts": pa.array([part[cut[i] : cut[i + 1]].tobytes() for i in mine], pa.binary())})
+    at = pa.array(mine, pa.int64())
+    return pa.table({
+        "batch": table.column("batch").combine_chunks().take(at),
+        "bucket": table.column("bucket").combine_chunks().take(at),
+        "parts": pa.array([part[cut[i] : cut[i + 1]].tobytes() for i in mine], pa.binary()),
+        "hot": pa.array([hot[cut[i] : cut[i + 1]].tobytes() for i in mine], pa.binary()),
+    })
 
 
 _SENT = "batch long, shard long, ids binary, lengths binary, lows binary, highs binary, content binary, docs binary, shas binary, starts binary"
 _SENT_FIELDS = ("ids", "lengths", "lows", "highs", "content", "docs", "shas", "starts")
 
 
+def _wanted(repeated: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The minimisers of a batch that are repeated, in order, less the bits that the bucket gives, and which of them are hot."""
+    keys, hot = [], []
+    for bucket, parts, flags in zip(repeated.column("bucket").to_pylist(), repeated.column("parts"), repeated.column("hot")):
+        keys.append((np.frombuffer(parts.as_buffer(), "<u4").astype(np.uint64) << np.uint64(32)) | np.uint64(bucket))
+        hot.append(np.frombuffer(flags.as_buffer(), bool))
+    key, at = np.unique(np.concatenate(keys), return_index=True)
+    return key, np.concatenate(hot)[at]
+
+
 def _sender(buckets: int, shards: int):
     def send(texts: pa.Table, repeated: pa.Table) -> pa.Table:
-        """The distinct stretches with repeated minimisers by shard, and as shard -1 where they occur."""
+        """The distinct stretches with repeated minimisers by shard, and as shard -1 where they occur.
+
+        Strings are numbered within the batch: stretches first, then the windows of hot
+        stretches, which go out in their place. Row -1 also tells of which windows each hot
+        stretch consists (lows: stretches, highs: windows, in order).
+        """
         rows: list[dict] = []
         if texts.num_rows and repeated.num_rows:
             batch = texts.column("batch")[0].as_py()
-            wanted = np.unique(np.concatenate([(np.frombuffer(p, "<u4").astype(np.uint64) << np.uint64(32)) | np.uint64(b) for b, p in zip(repeated.column("bucket").to_pylist(), repeated.column("parts").to_pylist())]))
+            wanted, is_hot = _wanted(repeated)
             contents = texts.column("text").to_pylist()
             ids = texts.column("doc_id").to_numpy()
             value, number, start, count = stretches(contents)
             key = (value >> np.uint64(32) << np.uint64(32)) | (value % np.uint64(buckets))
             at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
             hit = np.flatnonzero(wanted[at] == key)
+            hot_at = is_hot[at[hit]]
             value, number, start, count = value[hit], number[hit], start[hit], count[hit]
             known: dict[bytes, int] = {}
-            local = np.fromiter((known.setdefault(contents[i][s : s + c], len(known)) for i, s, c in zip(number.tolist(), start.tolist(), (count + WINDOW - 1).tolist())), np.int64, len(hit))
+            spots = zip(number.tolist(), start.tolist(), (count + WINDOW - 1).tolist())
+            local = np.fromiter((known.setdefault(contents[i][s : s + c], len(known)) for i, s, c in spots), np.int64, len(hit))
+            strings, stretch_count = list(known), len(known)
+            hot = np.zeros(stretch_count, bool)
+            hot[local] = hot_at
+            windows: dict[bytes, int] = {}
+            owner, window = array("q"), array("q")
+            for i in np.flatnonzero(hot).tolist():
+                x = strings[i]
+                for k in range(len(x) - WINDOW + 1):
+                    owner.append(i)
+                    window.append(windows.setdefault(x[k : k + WINDOW], stretch_count + len(windows)))
+            owner, window = np.array(owner, np.int64), np.array(window, np.int64)
+            strings += windows
             doc = ids[number] if len(number) else number
-            low, high = np.full(len(known), NO_DOC), np.full(len(known), -NO_DOC)
+            low, high = np.full(len(strings), NO_DOC), np.full(len(strings), -NO_DOC)
             np.minimum.at(low, local, doc)
             np.maximum.at(high, local, doc)
-            shard_of = np.zeros(len(known), np.int64)
+            np.minimum.at(low, window, low[owner])
+            np.maximum.at(high, window, high[owner])
+            shard_of = np.zeros(len(strings), np.int64)
             shard_of[local] = ((value >> np.uint64(7)) % np.uint64(shards)).astype(np.int64)
+            shard_of[stretch_count:] = [zlib.crc32(x) % shards for x in windows]
+            shard_of[:stretch_count][hot] = -1
             order = np.argsort(shard_of, kind="stable")
-            strings = list(known)
             cut = np.searchsorted(shard_of[order], np.arange(shards + 1))
-            for shard in np.unique(shard_of):
+            for shard in np.unique(shard_of[shard_of >= 0]):
                 own = order[cut[shard] : cut[shard + 1]]
                 mine = [strings[i] for i in own]
                 rows.append({"batch": batch, "shard": int(shard), "ids": own.astype("<u4").tobytes(), "lengths": np.array([len(x) for x in mine], "<u4").tobytes(), "lows": low[own].tobytes(), "highs": high[own].tobytes(), "content": b"".join(mine)})
             if len(hit):
                 used = np.unique(number)
                 shas = texts.column("sha").to_pylist()
-                rows.append({"batch": batch, "shard": -1, "ids": local.astype("<u4").tobytes(), "lengths": np.searchsorted(used, number).astype("<u4").tobytes(), "docs": ids[used].astype("<i8").tobytes(), "shas": b"".join(shas[i] for i in used), "starts": start.astype("<i8").tobytes()})
+                rows.append({
+                    "batch": batch, "shard": -1, "ids": local.astype("<u4").tobytes(), "lengths": np.searchsorted(used, number).astype("<u4").tobytes(),
+                    "lows": owner.astype("<u4").tobytes(), "highs": window.astype("<u4").tobytes(),
+                    "docs": ids[used].astype("<i8").tobytes(), "shas": b"".join(shas[i] for i in used), "starts": start.astype("<i8").tobytes(),
+                })
         schema = pa.schema([("batch", pa.int64()), ("shard", pa.int64()), *((f, pa.binary()) for f in _SENT_FIELDS)])
         return pa.Table.from_pylist([dict.fromkeys(_SENT_FIELDS) | r for r in rows], schema=schema)
 
@@ -192,14 +247,13 @@ def _sender(buckets: int, shards: int):
 _LEARNT = "batch long, ids binary, froms binary, counts binary, docs binary"
 
 
-def earliest(strings: list[bytes], lows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where each string starts in their concatenation, there the rank of the smallest document with the window at each byte, and the documents by rank.
+def earliest(text: bytes, lengths: np.ndarray, lows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each string starts in text, there the rank of the smallest document with the window at each byte, and the documents by rank.
 
-    Bytes where no window of a string starts have the rank after the last. The suffixes are
-    looked through in blocks, each up to the end of a window's run.
+    text holds strings of these lengths, each followed by a byte 255. Bytes where no window
+    of a string starts have the rank after the last. The suffixes are looked through in
+    blocks, each up to the end of a window's run.
     """
-    text = b"\xff".join(strings) + b"\xff"
-    lengths = np.array([len(s) for s in strings])
     starts = np.cumsum(lengths + 1) - lengths - 1
     order, common = suffix_array(text, WINDOW)
     docs, rank = np.unique(lows, return_inverse=True)
@@ -227,18 +281,21 @@ def earliest(strings: list[bytes], lows: np.ndarray) -> tuple[np.ndarray, np.nda
 def _learn(table: pa.Table) -> pa.Table:
     """For each batch that sent stretches the runs of windows that a smaller document has, with that document."""
     known: dict[bytes, int] = {}
-    ident, row, high, low = [], [], _cells(table, "highs", "<i8"), _cells(table, "lows", "<i8")
-    for r, (lengths, content) in enumerate(zip(table.column("lengths").to_pylist(), table.column("content").to_pylist())):
-        at = 0
-        for n in np.frombuffer(lengths, "<u4").tolist():
+    ident = array("q")
+    for lengths, content in zip(table.column("lengths"), table.column("content")):
+        at, content = 0, content.as_py()
+        for n in np.frombuffer(lengths.as_buffer(), "<u4").tolist():
             ident.append(known.setdefault(content[at : at + n], len(known)))
             at += n
-        row += [r] * (len(lengths) // 4)
-    ident, row, local = np.array(ident), np.array(row), _cells(table, "ids", "<u4")
+    ident, row = np.array(ident, np.int64), np.repeat(np.arange(table.num_rows), [len(x) // 4 for x in table.column("lengths").to_pylist()])
+    high, low, local = _cells(table, "highs", "<i8"), _cells(table, "lows", "<i8"), _cells(table, "ids", "<u4")
     lows = np.full(len(known), NO_DOC)
     np.minimum.at(lows, ident, low)
-    strings = list(known)
-    starts, least, by_rank = earliest(strings, lows)
+    size = np.fromiter(map(len, known), np.int64, len(known))
+    text = b"\xff".join(known) + b"\xff"
+    known.clear()
+    starts, least, by_rank = earliest(text, size, lows)
+    del text
     # Runs of windows with one document; between two strings there are bytes without a window.
     some = least != len(by_rank)
     change = np.concatenate([[True], least[1:] != least[:-1], [True]])
@@ -262,6 +319,25 @@ def _learn(table: pa.Table) -> pa.Table:
     return pa.table({"batch": table.column("batch").combine_chunks().take(pa.array(mine, pa.int64())), "ids": column(local[which], "<u4"), "froms": column(run_from[run], "<u4"), "counts": column(run_count[run], "<u4"), "docs": column(run_doc[run], "<i8")})
 
 
+def _in_stretches(places: pa.Table, ids: np.ndarray, begin: np.ndarray, count: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What was learnt, by the numbers of stretches: runs of windows of hot stretches join what their windows learnt."""
+    order = np.argsort(ids, kind="stable")
+    ids, begin, count, doc = ids[order], begin[order], count[order], doc[order]
+    owner, window = (_cells(places, n, "<u4").astype(np.int64) for n in ("lows", "highs"))
+    if len(owner) and len(ids):
+        offset = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        at = np.minimum(np.searchsorted(ids, window), len(ids) - 1)
+        hit = ids[at] == window  # a window is a string of its own and learnt one document at most
+        owner, offset, whose = owner[hit], offset[hit], doc[at[hit]]
+        if len(owner):
+            head = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1) | (whose[1:] != whose[:-1])]))
+            ids, begin = np.concatenate([ids, owner[head]]), np.concatenate([begin, offset[head]])
+            count, doc = np.concatenate([count, np.diff(np.append(head, len(owner)))]), np.concatenate([doc, whose[head]])
+            order = np.argsort(ids, kind="stable")
+            ids, begin, count, doc = ids[order], begin[order], count[order], doc[order]
+    return ids, begin, count, doc
+
+
 _SPANS = "doc_id long, sha binary, n_removed long, n_spans long, spans binary"
 
 
@@ -271,9 +347,7 @@ def _cover(places: pa.Table, learnt: pa.Table) -> pa.Table:
     if places.num_rows and learnt.num_rows:
         local, number, start, docs = (_cells(places, n, k) for n, k in (("ids", "<u4"), ("lengths", "<u4"), ("starts", "<i8"), ("docs", "<i8")))
         shas = b"".join(places.column("shas").to_pylist())
-        ids, begin, count, doc = (_cells(learnt, n, k) for n, k in (("ids", "<u4"), ("froms", "<u4"), ("counts", "<u4"), ("docs", "<i8")))
-        order = np.argsort(ids, kind="stable")
-        ids, begin, count, doc = ids[order], begin[order].astype(np.int64), count[order].astype(np.int64), doc[order]
+        ids, begin, count, doc = _in_stretches(places, *(_cells(learnt, n, k).astype(np.int64) for n, k in (("ids", "<u4"), ("froms", "<u4"), ("counts", "<u4"), ("docs", "<i8"))))
         a, b = np.searchsorted(ids, local), np.searchsorted(ids, local, "right")
         each = b - a
         which = np.repeat(np.arange(len(local)), each)
@@ -326,7 +400,7 @@ def repeated_spans(docs: DataFrame, shelf: Shelf, text: str = "text", doc_id: st
     shards = max(1, -(-total // (2 * shard_bytes)))
     sent = shelf.put(sent.applyInArrow(_sender(batches, shards), _SENT), "sent")
     learnt = sent.filter("shard >= 0").select("batch", "shard", "ids", "lengths", "lows", "highs", "content").groupBy("shard").applyInArrow(_learn, _LEARNT)
-    places = sent.filter("shard < 0").select("batch", "ids", "lengths", "docs", "shas", "starts")
+    places = sent.filter("shard < 0").select("batch", "ids", "lengths", "lows", "highs", "docs", "shas", "starts")
     spans = shelf.put(places.groupBy("batch").cogroup(learnt.groupBy("batch")).applyInArrow(_cover, _SPANS), "spans")
     shelf.drop("sent", "prints")
     return marked, spans
@@ -380,13 +454,16 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     """docs with the repeated strings cut out of their texts, and all columns and rows.
 
     Bytes of characters that a cut tears apart are left out as well. A null text stays
-    null; a text that is removed as a whole is empty.
+    null; a text that is removed as a whole is empty. A row with a null doc_id stays as it
+    is, rows that repeat a doc_id and a text are cut alike, an empty table stays one, and
+    other columns may have any names.
     """
     shelf = Shelf(docs.sparkSession, "suffix")
     marked, spans = repeated_spans(docs, shelf, text, doc_id)
-    lost = spans.select("doc_id", "sha", "spans", F.lit(False).alias("__all"))
-    gone = marked.filter("copy").select("doc_id", "sha", F.lit(None).cast("binary").alias("spans"), F.lit(True).alias("__all"))
-    lost = lost.unionByName(gone).distinct().select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha"), F.col("spans").alias("__spans"), "__all")
+    ident, sha, cuts, all_gone = fresh(docs, "id_key", "sha_key", "cut_spans", "all_gone")
+    lost = spans.select("doc_id", "sha", "spans", F.lit(False).alias("whole"))
+    gone = marked.filter("copy").select("doc_id", "sha", F.lit(None).cast("binary").alias("spans"), F.lit(True).alias("whole"))
+    lost = lost.unionByName(gone).distinct().toDF(ident, sha, cuts, all_gone)
     place = docs.columns.index(text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,5 +480,5 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
     # The texts are shuffled once, to meet their spans; rows that lose nothing pass through.
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    keyed = docs.withColumn("__sha", F.unhex(F.sha2(raw, 256))).withColumn("__id", F.col(doc_id).cast("long"))
-    return keyed.join(lost, ["__id", "__sha"], "left").select(*docs.columns, "__spans", "__all").mapInArrow(cut, docs.schema)
+    keyed = docs.select("*", F.unhex(F.sha2(raw, 256)).alias(sha), F.col(doc_id).cast("long").alias(ident))
+    return keyed.join(lost, [ident, sha], "left").select(*own_columns(docs), cuts, all_gone).mapInArrow(cut, docs.schema)
