@@ -10,25 +10,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.block_naming import exact_duplicates, normalised
-from quillstone.llm.minhash_tensor import near_duplicates
+from quillstone.llm.columns import fresh, own_columns
+from quillstone.llm.minhash_tensor import near_rows
 from quillstone.llm.toxicity_zstd import Distance, Toxicity
 from quillstone.shelf import Shelf
 
-#: So many keys of dropped rows are broadcast at most (40 bytes each); more are joined by shuffle.
-BROADCAST_KEYS = 1_000_000
+#: So many keys of dropped rows are broadcast at most (some 100 bytes each in memory); more are joined by shuffle.
+BROADCAST_KEYS = 250_000
 #: Similarity from which a near duplicate is dropped, in percent.
 NEAR_PERCENT = 80
+#: Stands for a null doc_id, which an equi-join wouldn't match.
+NO_ID = -(2**63)
 
 
-def _without(docs: DataFrame, keys: dict[str, Column], dropped: DataFrame, label: str) -> DataFrame:
-    """docs less the rows whose keys are among dropped, with docs' own columns."""
-    gone = Shelf(docs.sparkSession, label).put(dropped.distinct(), "dropped")
+def _without(docs: DataFrame, digest: Column, dropped: DataFrame, doc_id: str, label: str) -> DataFrame:
+    """docs less the rows whose doc_id and digest are among dropped (doc_id, sha), with docs' own columns."""
+    ident, sha = fresh(docs, "id_key", "sha_key")
+    key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NO_ID)).alias(ident)
+    gone = Shelf(docs.sparkSession, label).put(dropped.select(key("doc_id"), F.col("sha").alias(sha)).distinct(), "dropped")
     few = gone.count() <= BROADCAST_KEYS
-    return docs.withColumns(keys).join(F.broadcast(gone) if few else gone, list(keys), "left_anti").select(*docs.columns)
+    keyed = docs.select("*", key(doc_id), digest.alias(sha))
+    return keyed.join(F.broadcast(gone) if few else gone, [ident, sha], "left_anti").select(*own_columns(docs))
 
 
 def drop_toxic(docs: DataFrame, model: Toxicity | float, text: str = "text") -> DataFrame:
-    """The rows of docs whose whole text scores under one half; null texts score as empty ones."""
+    """The rows of docs whose whole text scores under one half, with all their columns.
+
+    Null texts score as empty ones. Each row is scored by itself, so that repeated rows stay
+    or go together, long texts are read whole, and an empty table stays one.
+    """
     place = docs.columns.index(text)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,15 +55,23 @@ def drop_toxic(docs: DataFrame, model: Toxicity | float, text: str = "text") ->
 
 
 def drop_exact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with one row of each group of equal normalised texts."""
-    named = exact_duplicates(docs, text, doc_id)
-    lowest = F.lit(-(2**63))
-    keys = {"__id": F.coalesce(F.col(doc_id).cast("long"), lowest), "__sha": F.unhex(F.sha2(normalised(F.col(text)), 256))}
-    gone = named.filter("not kept").select(F.coalesce("doc_id", lowest).alias("__id"), F.unhex("text_sha256").alias("__sha"))
-    return _without(docs, keys, gone, "exact-drop")
+    """docs with one row of each group of equal normalised texts: the longest text, then the smallest doc_id.
+
+    Null texts count as empty ones and equal each other. Rows that repeat both the doc_id
+    and the normalised text that stay all stay; a doc_id's rows with other texts are judged
+    on their own. An empty table stays one, and other columns may have any names.
+    """
+    gone = exact_duplicates(docs, text, doc_id).filter("not kept").select("doc_id", F.unhex("text_sha256").alias("sha"))
+    return _without(docs, F.unhex(F.sha2(normalised(F.col(text)), 256)), gone, doc_id, "exact-drop")
 
 
 def drop_near(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with one row of each component of near duplicates, whose texts are similar to NEAR_PERCENT or more."""
-    gone = near_duplicates(docs, text, doc_id, NEAR_PERCENT).filter("not kept").select(F.col("doc_id").alias("__id"))
-    return _without(docs, {"__id": F.col(doc_id).cast("long")}, gone, "near-drop")
+    """docs with one document of each component of near duplicates, whose texts are similar to NEAR_PERCENT or more.
+
+    The smallest doc_id stays. Texts without words and rows with a null doc_id stay. Rows
+    go by their doc_id and text, so that another text under the same doc_id is judged on
+    its own. An empty table stays one, and other columns may have any names.
+    """
+    gone = near_rows(docs, text, doc_id, NEAR_PERCENT).filter("not kept").select("doc_id", "sha")
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
+    return _without(docs, digest, gone, doc_id, "near-drop")

@@ -45,7 +45,7 @@ _RNG = np.random.default_rng(7)
 _MULTIPLY = _RNG.integers(1, 2**63, _HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, _HASHES, dtype=np.uint64)
 
-SIGNED = "doc_id long, n_shingles long, mark binary, blocks binary"
+SIGNED = "doc_id long, sha binary, n_shingles long, mark binary, blocks binary"
 
 
 def block_hashes(sets: list[np.ndarray]) -> np.ndarray:
@@ -73,7 +73,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in _stretches(batches, TEXTS_AT_ONCE):
         counts, marks, blocks, held, size = [], [], [], [], 0
-        for s in shingle_sets(b.column(1).to_pylist()):
+        for s in shingle_sets(b.column(2).to_pylist()):
             held.append(s)
             size += len(s)
             if size > 100_000:
@@ -82,7 +82,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, size = [], 0
         for out, new in zip((counts, marks, blocks), described(held)):
             out.extend(new)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(marks, pa.binary()), pa.array(blocks, pa.binary())], names=["doc_id", "n_shingles", "mark", "blocks"])
+        columns = [b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(marks, pa.binary()), pa.array(blocks, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "sha", "n_shingles", "mark", "blocks"])
 
 
 def table_keys(blocks: np.ndarray) -> np.ndarray:
@@ -115,7 +116,7 @@ def _stretches(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Reco
 
 
 def _ties(nodes: DataFrame, buckets: int, shelf: Shelf) -> DataFrame:
-    """Distinct pairs (u, v) of nodes (node, blocks) that chain the members of every bucket of every table."""
+    """Pairs (u, v) of nodes (node, blocks) that tie the members of every bucket of every table."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Ties within a stretch of nodes, as bucket -1; of each bucket, the first member goes on."""
@@ -155,11 +156,12 @@ def _ties(nodes: DataFrame, buckets: int, shelf: Shelf) -> DataFrame:
 
 
 def _chunked(placed: DataFrame, percent: int) -> DataFrame:
-    """placed (node, mark, cluster, n_shingles, blocks) with alone and, in keys, the pairs of chunks that each row goes to.
+    """placed (node, cluster, n_shingles, and others) with alone and, in keys, the pairs of chunks that each row goes to.
 
     Sets whose sizes lie more than a band apart can't be linked. alone marks clusters that
     are one chunk.
     """
+    others = [c for c in placed.columns if c != "n_shingles"]
     sized = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
     alone = (F.col("n") <= 2 * CHUNK_NODES) & (F.col("shingles") <= 2 * CHUNK_SHINGLES)
     # A little wider than the ratio of sizes, so that rounding sets nobody two bands apart.
@@ -185,21 +187,21 @@ def _chunked(placed: DataFrame, percent: int) -> DataFrame:
         upto(F.col("k_below"), lambda x: pair(own - 1, x, own, at)),
         upto(F.col("k_above"), lambda x: pair(own, at, own + 1, x)),
     )
-    placed = placed.join(bands, ["cluster", "band"]).withColumn("chunk", F.pmod(F.xxhash64("node", "mark"), F.col("k").cast("long")).cast("int"))
-    return placed.select("node", "mark", "cluster", "alone", "blocks", keys.alias("keys"))
+    placed = placed.join(bands, ["cluster", "band"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("k").cast("long")).cast("int"))
+    return placed.select(*others, "alone", keys.alias("keys"))
 
 
 def _members(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """node, mark and full set of the rows of docs whose doc_id is among ids (node)."""
+    """first, mark and full set of the rows of docs whose doc_id is among ids (first)."""
     few = ids.count() <= BROADCAST_IDS
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _stretches(batches, TEXTS_AT_ONCE):
             found = [s.tobytes() for s in shingle_sets(b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_mark(x) for x in found], pa.binary()), pa.array(found, pa.binary())], names=["node", "mark", "members"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_mark(x) for x in found], pa.binary()), pa.array(found, pa.binary())], names=["first", "mark", "members"])
 
-    texts = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["node"], "left_semi")
-    return texts.mapInArrow(sets, "node long, mark binary, members binary")
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["first"], "left_semi")
+    return texts.mapInArrow(sets, "first long, mark binary, members binary")
 
 
 def linked_components(nodes: np.ndarray, sets: list[np.ndarray], blocks: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -251,57 +253,52 @@ def _linker(percent: int) -> Callable[[pa.Table], pa.Table]:
     return linked
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row; a Jaccard similarity of percent or more is a link.
-
-    Texts without words, null texts included, have no shingles and link with nothing, and
-    so does a row with a null doc_id: its component_id is null, and it is kept. Rows that
-    repeat a doc_id share its component: a link of any of their texts counts. Ties go to
-    the smallest doc_id. Texts of any length are taken whole. An empty table gives no
-    rows; other columns are ignored, whatever their names.
-    """
+def near_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
+    """What near_duplicates gives, and sha, the digest of the row's text."""
     shelf = Shelf(docs.sparkSession, "near")
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    whole = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.unhex(F.sha2(whole, 256)).alias("sha"), whole.alias("text"))
     signed = shelf.put(rows.mapInArrow(_signed, SIGNED), "signed")
     linked = signed.filter("n_shingles > 0 and doc_id is not null")
-    # Equal sets are one, named by the smallest doc_id; a doc_id that repeats may name several.
-    classes = shelf.put(linked.groupBy("mark").agg(F.min("doc_id").alias("node")), "classes")
-    firsts = linked.join(classes, "mark").filter("doc_id = node")
-    nodes = shelf.put(firsts.groupBy("node", "mark").agg(F.max(F.struct("n_shingles", "blocks")).alias("s")).select("node", "mark", "s.n_shingles", "s.blocks"), "nodes")
-    buckets = max(1, nodes.count() * BLOCKS * BLOCKS // KEYS_A_TASK)
-    clusters = shelf.put(components(_ties(nodes, buckets, shelf), shelf, "clusters").withColumnRenamed("component", "cluster"), "clustered")
-    chunked = shelf.put(_chunked(clusters.join(nodes, "node"), percent), "chunked")
+    # Equal sets are one node, whose row is that of the smallest doc_id. The written table pins the numbers.
+    classes = shelf.put(linked.groupBy("mark").agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()), "classes")
+    firsts = linked.join(classes, "mark").filter("doc_id = first").groupBy("node", "first", "mark")
+    nodes = firsts.agg(F.max(F.struct("n_shingles", "blocks")).alias("s"), F.count(F.lit(1)).alias("n")).select("node", "first", "mark", "s.n_shingles", "s.blocks", "n")
+    nodes = shelf.put(nodes, "nodes")
+    count, repeats = nodes.agg(F.count(F.lit(1)), F.max("n")).first()
+    clusters = components(_ties(nodes, max(1, count * BLOCKS * BLOCKS // KEYS_A_TASK), shelf), shelf, "clusters")
+    clusters = shelf.put(clusters.withColumnRenamed("component", "cluster"), "clustered")
+    chunked = shelf.put(_chunked(clusters.join(nodes.drop("n"), "node"), percent), "chunked")
     shelf.drop("sent", "clustered")
-    sets = _members(chunked.select("node").distinct(), rows)
-    several = linked.groupBy("doc_id").agg(F.min("mark").alias("a"), F.max("mark").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    repeated = shelf.put(several.select("doc_id", (F.col("a") != F.col("b")).alias("differ")), "repeated")
-    if not repeated.isEmpty():
-        sets = sets.dropDuplicates(["node", "mark"])
-    met = sets.join(chunked, ["node", "mark"]).withColumn("key", F.explode("keys")).select("cluster", "key", "alone", "node", "blocks", "members")
-    found = shelf.put(met.groupBy("cluster", "key").applyInArrow(_linker(percent), "node long, component long, alone boolean"), "found")
-    # What a lone chunk found is final; links from several chunks, and of doc_ids that repeat, are joined up.
-    differ = repeated.filter("differ")
-    if differ.isEmpty():
-        open_links, closed = found.filter("not alone and node <> component"), found.filter("alone").select("node", "component")
-    else:
-        open_links, closed = found.filter("node <> component"), None
-    open_links = open_links.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    if closed is None:
-        same = linked.join(differ, "doc_id", "left_semi").join(classes, "mark").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-        open_links = open_links.unionByName(same)
-    open_links = shelf.put(open_links.distinct(), "links")
-    tied = None if open_links.isEmpty() else components(open_links, shelf, "joined")
-    final = tied if closed is None or tied is None else closed.unionByName(tied)
-    if final is None:
-        final = closed if closed is not None else open_links.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    final = shelf.put(final, "final")
-    named = classes.join(final, "node", "left").select("mark", F.coalesce("component", "node").alias("component_id"))
-    out = signed.join(named, "mark", "left")
+    sets = _members(chunked.select("first").distinct(), rows)
+    if repeats is not None and repeats > 1:
+        sets = sets.dropDuplicates(["first", "mark"])
+    met = sets.join(chunked, ["first", "mark"]).withColumn("key", F.explode("keys")).select("cluster", "key", "alone", "node", "blocks", "members")
+    found = shelf.put(met.groupBy("cluster", "key").applyInArrow(_linker(percent), "node long, component long, alone boolean").filter("node <> component"), "found")
+    # What a lone chunk found is final; the links from several chunks are joined up.
+    links = shelf.put(found.filter("not alone").select(F.col("node").alias("u"), F.col("component").alias("v")), "links")
+    joined = found.filter("alone").select("node", "component")
+    if not links.isEmpty():
+        joined = joined.unionByName(components(links, shelf, "joined"))
+    grouped = classes.join(joined, "node", "left").select("mark", "first", F.coalesce("component", "node").alias("component"))
+    grouped = shelf.put(grouped, "grouped")
+    least = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
+    out = signed.select("doc_id", "sha", "n_shingles", "mark").join(grouped.join(least, "component").select("mark", "component_id"), "mark", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    if closed is None:
-        # A doc_id that repeats is a node of its own.
-        out = out.join(final.select(F.col("node").alias("doc_id"), F.col("component").alias("by_id")), "doc_id", "left")
-        own = F.when(F.col("doc_id").isNotNull(), F.coalesce("by_id", "component_id", "doc_id"))
-    out = shelf.put(out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "result")
+    out = out.select("doc_id", "sha", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = shelf.put(out, "result")
     shelf.keep("result")
     return out
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row; a Jaccard similarity of percent or more is a link.
+
+    Texts without words, null texts included, have no shingles and link with nothing, and
+    so does a row with a null doc_id: its component_id is null, and it is kept. Ties go to
+    the smallest doc_id. Links are between texts: rows that repeat a doc_id with another
+    text have a component each, and repeated rows have the same one. Texts of any length
+    are taken whole. An empty table gives no rows; other columns are ignored, whatever
+    their names.
+    """
+    return near_rows(docs, text, doc_id, percent).drop("sha")

@@ -97,14 +97,14 @@ def test_near_is_brute_force(corpus, monkeypatch, chunk):
 
 @pytest.mark.parametrize("chunk", [None, 3])
 def test_rows_that_repeat_a_doc_id(spark, monkeypatch, chunk):
-    """A link of any text of a doc_id counts for all its rows."""
+    """Links are between texts, whatever their rows' doc_ids."""
     in_chunks(monkeypatch, chunk)
     base = {c: [f"{c}{k}" for k in range(60)] for c in "abcd"}
     text = lambda c, cut=0: " ".join(base[c][: 60 - cut])
     rows = [(9, text("a")), (9, text("b")), (9, text("b")), (4, text("a", 2)), (5, text("b", 2)), (7, text("c")), (7, "alone"), (8, text("c", 1)), (3, text("d")), (3, text("d")), (2, text("d")), (1, "alone again")]
     docs = spark.createDataFrame(rows * 2, "doc_id long, text string").repartition(3)
     got = {(r["doc_id"], r["component_id"]) for r in minhash_tensor.near_duplicates(docs).collect()}
-    assert got == {(9, 4), (4, 4), (5, 4), (7, 7), (8, 7), (3, 2), (2, 2), (1, 1)}
+    assert got == {(9, 4), (9, 5), (4, 4), (5, 5), (7, 7), (8, 7), (3, 2), (2, 2), (1, 1)}
 
 
 def test_many_near_copies_have_the_classes_of_brute_force(spark):
@@ -203,8 +203,10 @@ def brute_removal(docs):
     return out
 
 
-@pytest.mark.parametrize("batch", [2000, 1 << 20])
-def test_passages_are_brute_force(corpus, monkeypatch, batch):
+@pytest.mark.parametrize(("batch", "hot"), [(2000, 1000), (2000, 3), (1 << 20, 1000), (1 << 20, 0)])
+def test_passages_are_brute_force(corpus, monkeypatch, batch, hot):
+    """Of hot minimisers, the windows are sent one by one."""
+    monkeypatch.setattr(suffix_dedup, "HOT_DOCS", hot)
     monkeypatch.setattr(suffix_dedup, "repeated_spans", lambda *a, _f=suffix_dedup.repeated_spans: _f(*a, batch_bytes=batch, shard_bytes=batch))
     monkeypatch.setattr(suffix_dedup, "PIECE", 700)
     want = brute_removal(collected(corpus))
