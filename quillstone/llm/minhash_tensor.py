@@ -155,14 +155,16 @@ def _ties(nodes: DataFrame, buckets: int, shelf: Shelf) -> DataFrame:
     return across.unionByName(sent.filter("bucket < 0").select("records").mapInArrow(spelt, "u long, v long"))
 
 
-def _chunked(placed: DataFrame, percent: int) -> DataFrame:
+def _chunked(placed: DataFrame, percent: int, shelf: Shelf) -> DataFrame:
     """placed (node, cluster, n_shingles, and others) with alone and, in keys, the pairs of chunks that each row goes to.
 
     Sets whose sizes lie more than a band apart can't be linked. alone marks clusters that
     are one chunk.
     """
     others = [c for c in placed.columns if c != "n_shingles"]
-    sized = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
+    # Sums are written before they are joined back, so that the rows of a hot cluster are split there.
+    placed = shelf.put(placed, "placed")
+    sized = shelf.put(placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles")), "sized")
     alone = (F.col("n") <= 2 * CHUNK_NODES) & (F.col("shingles") <= 2 * CHUNK_SHINGLES)
     # A little wider than the ratio of sizes, so that rounding sets nobody two bands apart.
     band = F.floor(F.log("n_shingles") / (1.000001 * log(100 / min(percent, 99)))).cast("int")
@@ -173,7 +175,7 @@ def _chunked(placed: DataFrame, percent: int) -> DataFrame:
     # As many rows as a cluster has bands: their number grows with the logarithm of the sizes.
     next_to = Window.partitionBy("cluster").orderBy("band")
     beside = lambda f, by: F.when(f("band").over(next_to) == F.col("band") + by, f("k").over(next_to)).otherwise(F.lit(0))
-    bands = bands.select("cluster", "band", "k", beside(F.lag, -1).alias("k_below"), beside(F.lead, 1).alias("k_above"))
+    bands = shelf.put(bands.select("cluster", "band", "k", beside(F.lag, -1).alias("k_below"), beside(F.lead, 1).alias("k_above")), "bands")
 
     def upto(n: Column, pair: Callable[[Column], Column]) -> Column:
         return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), pair)).otherwise(F.array().cast("array<struct<a:int,i:int,b:int,j:int>>"))
@@ -268,8 +270,8 @@ def near_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", perce
     count, repeats = nodes.agg(F.count(F.lit(1)), F.max("n")).first()
     clusters = components(_ties(nodes, max(1, count * BLOCKS * BLOCKS // KEYS_A_TASK), shelf), shelf, "clusters")
     clusters = shelf.put(clusters.withColumnRenamed("component", "cluster"), "clustered")
-    chunked = shelf.put(_chunked(clusters.join(nodes.drop("n"), "node"), percent), "chunked")
-    shelf.drop("sent", "clustered")
+    chunked = shelf.put(_chunked(clusters.join(nodes.drop("n"), "node"), percent, shelf), "chunked")
+    shelf.drop("sent", "clustered", "placed", "sized", "bands")
     sets = _members(chunked.select("first").distinct(), rows)
     if repeats is not None and repeats > 1:
         sets = sets.dropDuplicates(["first", "mark"])

@@ -384,8 +384,9 @@ def repeated_spans(docs: DataFrame, shelf: Shelf, text: str = "text", doc_id: st
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.unhex(F.sha2(raw, 256)).alias("sha"), raw.alias("text"))
     prints = shelf.put(rows.select("doc_id", "sha", F.octet_length("text").cast("long").alias("n_bytes")), "prints")
-    first = prints.groupBy("sha").agg(F.min("doc_id").alias("first"))
-    marked = prints.join(first, "sha").select("doc_id", "sha", "n_bytes", F.coalesce((F.col("n_bytes") >= WINDOW) & (F.col("doc_id") > F.col("first")), F.lit(False)).alias("copy"))
+    # Of texts that occur once nothing is kept; written first, so that hot texts are split in the join.
+    first = prints.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    marked = prints.join(shelf.put(first, "first"), "sha", "left").select("doc_id", "sha", "n_bytes", F.coalesce((F.col("n_bytes") >= WINDOW) & (F.col("doc_id") > F.col("first")), F.lit(False)).alias("copy"))
     marked = shelf.put(marked, "marked")
     copies = marked.filter("copy").select("doc_id", "sha").distinct()
     total, some = marked.filter("not copy").agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0], copies.count()
@@ -402,7 +403,7 @@ def repeated_spans(docs: DataFrame, shelf: Shelf, text: str = "text", doc_id: st
     learnt = sent.filter("shard >= 0").select("batch", "shard", "ids", "lengths", "lows", "highs", "content").groupBy("shard").applyInArrow(_learn, _LEARNT)
     places = sent.filter("shard < 0").select("batch", "ids", "lengths", "lows", "highs", "docs", "shas", "starts")
     spans = shelf.put(places.groupBy("batch").cogroup(learnt.groupBy("batch")).applyInArrow(_cover, _SPANS), "spans")
-    shelf.drop("sent", "prints")
+    shelf.drop("sent", "prints", "first")
     return marked, spans
 
 
