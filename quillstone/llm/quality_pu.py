@@ -144,13 +144,20 @@ def fit_nnpu(x: np.ndarray, positives: int, prior: float, seed: int = 1) -> Net:
 
 
 def train(docs: DataFrame, positives: DataFrame, allowed, text: str = "text", doc_id: str = "doc_id", n_positive: int = POSITIVES, n_unlabelled: int = UNLABELLED) -> tuple[Net | None, float]:
-    """A net and the class prior; positives holds the doc_id of trusted rows, allowed tells which rows may be used."""
+    """A net and the class prior; positives holds the doc_id of trusted rows, allowed tells which rows may be used.
+
+    Rows are drawn by a hash of their doc_id, up to the stated numbers; those with a null
+    doc_id aren't used, and of rows that repeat one the least text counts. What comes to
+    the driver is a fixed number of features for each, however long the texts. With too
+    few rows, or in an empty table, there is no net and the prior is the share of positives.
+    """
     known = docs.filter(F.col(doc_id).isNotNull() & allowed).select(F.col(doc_id).alias("doc_id"))
     trusted = first_by_hash(positives.select("doc_id").distinct(), "doc_id", n_positive).withColumn("trusted", F.lit(1))
     others = first_by_hash(known.distinct(), "doc_id", n_unlabelled).withColumn("trusted", F.lit(0))
     # At most n_positive + n_unlabelled ids.
     drawn = F.broadcast(trusted.unionByName(others))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(drawn, "doc_id")
+    rows = rows.groupBy("doc_id", "trusted").agg(F.min("text").alias("text"))
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -186,7 +193,11 @@ def score_quality(docs: DataFrame, net: Net | None, prior: float, text: str = "t
 
 
 def quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> DataFrame:
-    """doc_id, held_out, score, predicted for every row, learnt from positive labels outside the held-out fold."""
+    """doc_id, held_out, score, predicted for every row, learnt from positive labels outside the held-out fold.
+
+    Nulls, repeated rows, long texts, empty tables and other columns are handled as train
+    and score_quality say.
+    """
     positives = one_label(labels, label).filter((F.col("label") == 1) & (fold(F.col("doc_id"), folds) != held))
     net, prior = train(docs, positives, fold(F.col(doc_id), folds) != held, text, doc_id)
     return score_quality(docs, net, prior, text, doc_id).withColumn("held_out", fold(F.col("doc_id"), folds) == held)

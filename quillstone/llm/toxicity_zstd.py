@@ -1,8 +1,9 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries share their first part, the commonest words of ordinary
-training text. One ends with words of toxic text whose pieces ordinary text rarely has,
-the other with as many ordinary words of like endings. Each window of a text is
+Two zstandard dictionaries are trained, one on toxic and one on ordinary text. What the
+trainer gets of either is drawn in contrast: of toxic texts the words with pieces that
+ordinary text rarely has, of ordinary texts words of like endings, in as many copies as
+the texts have them. Both follow the same part of common words. Each window of a text is
 compressed with both; where the toxic dictionary saves bytes, the window says something
 that toxic texts say. Thresholds on the savings are calibrated on other labelled rows.
 """
@@ -18,15 +19,16 @@ from math import log
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.sampling import first_by_hash, fold, one_label
 
-#: Labelled rows that the dictionaries and the thresholds are fitted on at most.
+#: Labelled rows that the dictionaries and the thresholds are fitted on at most, and bytes of all their texts.
 TOXIC, ORDINARY, CALIBRATION = 3000, 5000, 5000
+FIT_BYTES = 48 << 20
 WINDOW, STRIDE = 60, 44
-#: Words of the shared part, and bytes of the part that differs.
+#: Words of the shared part, and bytes of a trained part at most.
 SHARED_WORDS, OWN_BYTES = 20_000, 48_000
 #: Pieces of toxic words: their lengths, how often toxic texts must have them (at least, and for each text), and the log ratio of rates.
 PIECES, PIECE_LEAST, PIECE_RATE, PIECE_ODDS = (5, 6, 7), 5, 0.02, 3.0
@@ -52,8 +54,21 @@ def _pieces(word: bytes) -> set[bytes]:
     return {w[i : i + n] for n in PIECES for i in range(len(w) - n + 1)}
 
 
+def _trained(samples: list[bytes]) -> bytes:
+    """What the trainer makes of the samples; samples that are too few or too short to train on stand for themselves."""
+    try:
+        return zstandard.train_dictionary(OWN_BYTES, samples).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(dict.fromkeys(samples))[-OWN_BYTES:]
+
+
+def _samples(texts: list[str], words: set[bytes]) -> list[bytes]:
+    """Every occurrence of the words in the distinct texts, with a blank on either side."""
+    return [b" " + w + b" " for t in dict.fromkeys(texts) for w in WORD.findall(plain(t)) if w in words]
+
+
 def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """The contents of the ordinary and of the toxic dictionary."""
+    """The contents of the ordinary and of the toxic dictionary, equally long."""
     a, b = _word_counts(toxic), _word_counts(ordinary)
     na, nb = len(dict.fromkeys(toxic)) + 1, len(dict.fromkeys(ordinary)) + 1
     in_toxic, in_ordinary = Counter(), Counter()
@@ -63,22 +78,19 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
                 pieces[p] += n
     least = max(PIECE_LEAST, PIECE_RATE * na)
     hot = {p for p, n in in_toxic.items() if n >= least and log((n + 0.5) / na) - log((in_ordinary[p] + 0.5) / nb) > PIECE_ODDS}
-    words = sorted((w for w in a if not hot.isdisjoint(_pieces(w))), key=lambda w: (a[w], w))
-    kept, size = [], 0
-    for w in reversed(words):  # the commonest stand last, nearest to the window
-        size += len(w) + 1
-        if size > OWN_BYTES:
-            break
-        kept.insert(0, w)
+    words = {w for w in a if not hot.isdisjoint(_pieces(w))}
     common = sorted(b, key=lambda w: (-b[w], w))
-    shared = common[:SHARED_WORDS][::-1]
     spare: dict[bytes, list[bytes]] = defaultdict(list)
     for w in reversed(common):
-        spare[w[-3:]].append(w)
-    rest = iter(common[SHARED_WORDS:] or common)
-    twins = [spare[w[-3:]].pop() if spare[w[-3:]] else next(rest, w) for w in kept]
-    frame = [b" " + b" ".join(part) + b" " for part in (shared, twins, kept)]
-    return frame[0] + frame[1], frame[0] + frame[2]
+        if w not in words:
+            spare[w[-3:]].append(w)
+    twins = {spare[w[-3:]].pop() for w in sorted(words) if spare[w[-3:]]}
+    said = _samples(toxic, words)
+    own = _trained(_samples(ordinary, twins)[: len(said)]), _trained(said)
+    size = min(map(len, own))
+    shared = b" " + b" ".join(common[:SHARED_WORDS][::-1]) + b" "
+    # The trainer puts what is used most last, nearest to the window.
+    return tuple(shared + x[len(x) - size :] for x in own)
 
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -141,7 +153,14 @@ def fit(toxic: list[str], ordinary: list[str], calibration: list[tuple[str, int]
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int, held: int, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> Toxicity | float:
-    """A model from labelled rows outside the held-out fold, or the share of toxic rows where there are too few."""
+    """A model from labelled rows outside the held-out fold, or the share of toxic rows where there are too few.
+
+    Rows with a null doc_id or label aren't used. Of rows that repeat a doc_id the least
+    text counts, and the greatest label. Rows are drawn by a hash of their doc_id, up to
+    the stated numbers and up to FIT_BYTES of text in all: what comes to the driver has a
+    bound, however many and however long the labelled documents are. Without any, or in
+    an empty table, the share is 0.
+    """
     known = one_label(labels, label).filter(fold(F.col("doc_id"), folds) != held)
     # A fifth part calibrates; the rest trains dictionaries.
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5))
@@ -149,8 +168,12 @@ def train(docs: DataFrame, labels: DataFrame, folds: int, held: int, text: str =
     for use, n in ((1, TOXIC), (0, ORDINARY)):
         drawn = drawn.unionByName(first_by_hash(known.filter((part != 0) & (F.col("label") == use)), "doc_id", n).withColumn("use", F.lit(use)))
     # At most TOXIC + ORDINARY + CALIBRATION ids.
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
-    got = sorted(rows.select("use", "doc_id", "label", "text").toArrow().to_pylist(), key=lambda r: (r["use"], r["doc_id"], r["text"]))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    sizes = rows.join(F.broadcast(drawn), "doc_id").groupBy("use", "doc_id", "label").agg(F.max(F.octet_length("text")).cast("long").alias("size"))
+    upto = F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id"))
+    within = sizes.withColumn("upto", upto).filter(F.col("upto") <= FIT_BYTES).select("use", "doc_id", "label")
+    chosen = rows.join(F.broadcast(within), "doc_id").groupBy("use", "doc_id", "label").agg(F.min("text").alias("text"))
+    got = sorted(chosen.toArrow().to_pylist(), key=lambda r: (r["use"], r["doc_id"]))
     by_use = {use: [(r["text"], r["label"]) for r in got if r["use"] == use] for use in (0, 1, 2)}
     if not by_use[0] or not by_use[1] or len({y for _, y in by_use[2]}) < 2:
         return sum(r["label"] for r in got) / max(1, len(got))
@@ -178,7 +201,11 @@ def score_toxicity(docs: DataFrame, model: Toxicity | float, text: str = "text",
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> DataFrame:
-    """doc_id, held_out, score, predicted for every row, learnt from labels outside the held-out fold."""
+    """doc_id, held_out, score, predicted for every row, learnt from labels outside the held-out fold.
+
+    Nulls, repeated rows, long texts, empty tables and other columns are handled as train
+    and score_toxicity say.
+    """
     model = train(docs, labels, folds, held, text, doc_id, label)
     model = float(model) if not isinstance(model, Toxicity) else model
     return score_toxicity(docs, model, text, doc_id).withColumn("held_out", fold(F.col("doc_id"), folds) == held)
