@@ -2,7 +2,8 @@
 
 The writer stores bytes as one track of uncompressed 8-bit mono samples. The reader
 walks the nested boxes of any such file, decodes the sample tables and gives codec,
-duration and the byte ranges of the key frames; it never looks inside the samples.
+duration and the byte ranges of the key frames; it never looks inside the samples. Movie
+fragments (moof) are passed over, and edit lists don't shift or cut what is reported.
 """
 
 from __future__ import annotations
@@ -110,6 +111,15 @@ def _table(data: memoryview, at: int, end: int, fmt: str, skip: int = 4) -> list
     return list(struct.iter_unpack(f">{fmt}", data[first : first + n * row]))
 
 
+def _compact(data: memoryview, at: int, end: int, bits: int, n: int) -> list[int]:
+    """n sizes of 4, 8 or 16 bits each; of two in a byte the upper comes first."""
+    if bits not in (4, 8, 16) or at + -(-n * bits // 8) > end:
+        raise ValueError(f"table at {at} has {n} sizes of {bits} bits, which its box can't hold")
+    if bits == 4:
+        return [x for b in data[at : at + -(-n // 2)] for x in (b >> 4, b & 15)][:n]
+    return list(struct.unpack_from(f">{n}{'B' if bits == 8 else 'H'}", data, at))
+
+
 def tracks(data: bytes) -> list[dict]:
     """codec, handler, timescale, duration, samples, and spans and keyframes as (offset, bytes), of each track.
 
@@ -139,6 +149,9 @@ def tracks(data: bytes) -> list[dict]:
         elif kind == "stsz":
             same, n = struct.unpack_from(">II", view, at + 4)
             track["sizes"] = (same, n) if same else [x for (x,) in _table(view, at, end, "I", 8)]
+        elif kind == "stz2":
+            bits, n = struct.unpack_from(">BI", view, at + 7)
+            track["sizes"] = _compact(view, at + 12, end, bits, n)
         elif kind in ("stco", "co64"):
             track["offsets"] = [x for (x,) in _table(view, at, end, "I" if kind == "stco" else "Q")]
     return [_placed(t) for t in found]
@@ -193,7 +206,8 @@ def media_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     Null texts count as empty; the payload of an empty text is one unit of zeros. Each row
     is handled by itself: repeated rows and null doc_ids pass through, equal texts give
-    equal values, an empty table gives no rows and other columns are ignored.
+    equal values, an empty table gives no rows and other columns are ignored. A text of any
+    length is one file, and keyframes holds a range for each of its chunks.
     """
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
