@@ -17,6 +17,8 @@ from quillstone.shelf import Shelf
 
 BITS = 7
 SHARDS = 24
+#: So many strings of a dimension are broadcast with their cells at most; more are joined by shuffle.
+BROADCAST_VALUES = 250_000
 
 
 @lru_cache
@@ -71,9 +73,15 @@ def curve_index(cells: list[Column], bits: int = BITS) -> Column:
     return F.aggregate(planes, start, walk, lambda at: at["place"])
 
 
-def by_name(c: Column, bits: int = BITS) -> Column:
-    """A string's cell: a checksum's low bits; null has cell 0."""
-    return F.coalesce(F.crc32(c.cast("string")).bitwiseAND((1 << bits) - 1), F.lit(0)).cast("int")
+def name_cells(docs: DataFrame, column: str, shelf: Shelf, bits: int = BITS) -> DataFrame:
+    """The distinct strings of a column and their cells, which follow the strings' order; as many strings share a cell as have to.
+
+    The written table pins the cells: a recomputed range partitioning could choose others.
+    """
+    values = docs.select(F.col(column).cast("string").alias(column)).filter(F.col(column).isNotNull()).distinct()
+    ranged = shelf.put(values.repartitionByRange(1 << bits, column).withColumn("part", F.spark_partition_id()), f"values_{column}")
+    parts = (ranged.agg(F.max("part")).first()[0] or 0) + 1
+    return ranged.select(column, F.floor(F.col("part") * (1 << bits) / parts).cast("int").alias(f"cell_{column}"))
 
 
 def by_size(c: Column, bits: int = BITS) -> Column:
@@ -84,11 +92,14 @@ def by_size(c: Column, bits: int = BITS) -> Column:
 def hilbert_shards(docs: DataFrame, shards: int = SHARDS, text: str = "text", doc_id: str = "doc_id", dims: tuple[str, ...] = ("source", "lang")) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, curve and the cells for every row.
 
+    The cells of dims follow the order of the strings, those of sizes their logarithm.
+
     Rows are sorted by place on the curve, then by text checksums, then by doc_id, so that
     equal texts of one place stand together. The run is cut where the running sum of sizes
     passes a multiple of total / shards: a shard's bytes differ from the mean by less than
     the largest row. A null text has size 8 and checksum 0, null dimensions cell 0, a null
-    doc_id comes first; repeated rows take a slot each. Fewer rows than shards leave shards empty.
+    doc_id comes first; repeated rows take a slot each. Fewer rows than shards leave shards empty,
+    an empty table gives no rows, texts of any length count whole and other columns are ignored.
     """
     shelf = Shelf(docs.sparkSession, "hilbert")
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -97,8 +108,12 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, text: str = "text", do
         (F.octet_length(whole) + 8).cast("long").alias("size"),
         F.crc32(whole.cast("binary")).alias("text_crc32"),
         F.xxhash64(whole).alias("mark"),
-        *(by_name(F.col(d)).alias(f"cell_{d}") for d in dims),
+        *(F.col(d).cast("string").alias(d) for d in dims),
     ).withColumn("cell_size", by_size(F.col("size")))
+    for d in dims:
+        cells_of = name_cells(docs, d, shelf)
+        few = cells_of.count() <= BROADCAST_VALUES
+        rows = rows.join(F.broadcast(cells_of) if few else cells_of, d, "left").withColumn(f"cell_{d}", F.coalesce(f"cell_{d}", F.lit(0))).drop(d)
     cells = [*(f"cell_{d}" for d in dims), "cell_size"]
     order = ["curve", "text_crc32", "mark", "doc_id"]
     # The written table pins which task holds which stretch of the run.

@@ -62,7 +62,7 @@ def op5_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_isomedia(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_index(documents(spark, sf_dir)).drop("keyframes")
+    return media_index(documents(spark, sf_dir))
 
 
 def op7_minhash_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:

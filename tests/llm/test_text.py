@@ -165,13 +165,41 @@ def test_shards(spark, odd_documents, no_documents):
     assert order == sorted(order)
     placed = hilbert.hilbert_shards(docs)
     zones = hilbert.zone_map(placed, ["cell_lang", "cell_source", "cell_size"]).cache()
-    want = {r["shard"] for r in placed.filter("cell_lang between 3 and 50").collect()}
-    assert want <= {r["shard"] for r in hilbert.shards_for(zones, "cell_lang", 3, 50).collect()}
+    for cell in ("cell_lang", "cell_source", "cell_size"):
+        want = {r["shard"] for r in placed.filter(f"{cell} between 30 and 50").collect()}
+        assert want <= {r["shard"] for r in hilbert.shards_for(zones, cell, 30, 50).collect()}
+    # Readers that ask for a row's own language, source and size read a part of the shards only.
+    boxes, read = zones.collect(), []
+    for r in rows[::10]:
+        read.append(sum(all(z[f"min_cell_{d}"] <= r[f"cell_{d}"] <= z[f"max_cell_{d}"] for d in ("lang", "source", "size")) for z in boxes))
+    assert np.mean(read) < 12
+    cells = {(r["lang"], r["cell_lang"]) for r in placed.join(docs.select("doc_id", "lang"), "doc_id").collect() if r["lang"] is not None}
+    assert [c for _, c in sorted(cells)] == sorted({c for _, c in cells})
     odd = hilbert.hilbert_shards(odd_documents).collect()
     assert len(odd) == odd_documents.count() and all(0 <= r["shard"] < 24 for r in odd)
     assert hilbert.hilbert_shards(no_documents).count() == 0
 
 
+def test_shards_against_a_plain_model(spark):
+    """Shards and slots worked out again, row by row, from the places on the curve."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [r.asDict() for r in hilbert.hilbert_shards(docs.union(docs.limit(9)), shards=7).collect()]
+    names = {d: sorted({r[d] for r in docs.select(d).collect() if r[d] is not None}) for d in ("source", "lang")}
+    data = {r["doc_id"]: r for r in docs.collect()}
+    total, upto, slots = sum(r["size"] for r in rows), 0, {}
+    for r in sorted(rows, key=lambda r: (r["shard"], r["slot"])):
+        mine = data[r["doc_id"]]
+        for d, values in names.items():
+            assert r[f"cell_{d}"] == (0 if mine[d] is None else values.index(mine[d]) * 128 // len(values))
+        assert r["cell_size"] == min(int(np.floor(np.log2(r["size"]) * 4)), 127)
+        assert r["shard"] == (2 * upto + r["size"]) * 7 // (2 * total)
+        assert r["slot"] == slots.setdefault(r["shard"], 0)
+        slots[r["shard"]] += 1
+        upto += r["size"]
+    key = [(r["curve"], r["text_crc32"]) for r in sorted(rows, key=lambda r: (r["shard"], r["slot"]))]
+    assert key == sorted(key)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=70_000))
 def test_media_round_trip(raw):
@@ -183,7 +211,8 @@ def test_media_round_trip(raw):
     assert [at for at, _ in track["keyframes"]] == [track["spans"][0][0] + i * 65536 for i in range(-(-track["samples"] // 1024))]
 
 
-def test_media_of_other_writers():
+@pytest.mark.parametrize(("bits", "compact"), [(32, b""), (8, bytes([10, 20, 30, 40, 50])), (16, struct.pack(">5H", 10, 20, 30, 40, 50))])
+def test_media_of_other_writers(bits, compact):
     """A video track with sizes of its own, two samples a chunk at first, wide offsets and a wide box."""
     sizes, data = [10, 20, 30, 40, 50], bytes(range(150))
     ftyp = isomedia.box("ftyp", b"isom", bytes(4))
@@ -195,7 +224,7 @@ def test_media_of_other_writers():
         isomedia.full("stts", struct.pack(">IIIII", 2, 4, 100, 1, 50)),
         isomedia.full("stss", struct.pack(">III", 2, 1, 4)),
         isomedia.full("stsc", struct.pack(">I6I", 2, 1, 2, 1, 2, 3, 1)),
-        isomedia.full("stsz", struct.pack(">II5I", 0, 5, *sizes)),
+        isomedia.full("stsz", struct.pack(">II5I", 0, 5, *sizes)) if bits == 32 else isomedia.full("stz2", bytes([0, 0, 0, bits]), struct.pack(">I", 5), compact),
         isomedia.full("co64", struct.pack(">IQQ", 2, base, base + 33)),
     )
     mdia = isomedia.box("mdia", isomedia.full("mdhd", struct.pack(">IIIIHH", 0, 0, 1000, 450, 0, 0)), isomedia.full("hdlr", bytes(4), b"vide", bytes(13)), isomedia.box("minf", stbl))
@@ -258,6 +287,48 @@ def test_toxicity_held_out(spark):
     assert auc > 0.9 and accuracy > 0.95
 
 
+def test_risk_and_its_slope_are_those_of_the_formula():
+    """One step of the fit against the non-negative risk, written out, and its numerical derivative."""
+    rng = np.random.default_rng(1)
+    half, seen = quality_pu.BATCH // 2, []
+    original = quality_pu._fit
+    quality_pu._fit = lambda x, batches, draw, slope, seed: seen.append(slope)
+    try:
+        quality_pu.fit_nnpu(np.zeros((10, 2)), 5, 0.6)
+    finally:
+        quality_pu._fit = original
+    (slope,) = seen
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    for shift in (-2.0, 2.0):  # unlabelled rows that look positive, and negative
+        f = np.concatenate([rng.normal(1, 1, half), rng.normal(shift, 1, half)])
+
+        def parts(g):
+            p, u = g[:half], g[half:]
+            return 0.6 * sigmoid(-p).mean(), sigmoid(u).mean() - 0.6 * sigmoid(p).mean()
+
+        negative = parts(f)[1]
+        risk = (lambda g: -parts(g)[1]) if negative < 0 else (lambda g: sum(parts(g)))
+        want = np.array([(risk(f + 1e-5 * e) - risk(f - 1e-5 * e)) / 2e-5 for e in np.eye(len(f))])
+        assert np.allclose(slope(f), want, atol=1e-7)
+    assert negative > 0 > sigmoid(-9.0) - 0.6 * sigmoid(1.0)
+
+
+def test_classifiers_with_repeated_ids_and_a_byte_bound(spark, monkeypatch):
+    rows = [(i, ("bad" if i % 2 else "good") + f" text number {i} " * 20) for i in range(200)]
+    docs = spark.createDataFrame(rows + rows[:50] * 3 + [(7, "another text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, i % 2) for i in range(200)] * 2, "doc_id long, quality int, toxic int")
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    for f in (quality_pu.quality, toxicity_zstd.toxicity):
+        a = {(r["doc_id"], round(r["score"], 9)) for r in f(docs.filter("text <> 'another text'"), labels).collect()}
+        assert a == {(r["doc_id"], round(r["score"], 9)) for r in f(once, labels).collect()}
+        assert f(docs, labels).count() == docs.count()
+    seen = []
+    monkeypatch.setattr(toxicity_zstd, "FIT_BYTES", 20_000)
+    monkeypatch.setattr(toxicity_zstd, "fit", lambda *a: seen.extend(t for x in a[:2] for t in x) or seen.extend(t for t, _ in a[2]))
+    toxicity_zstd.train(docs, labels, 5, 0)
+    assert 0 < sum(map(len, seen)) <= 20_000
+
+
 def test_nnpu_ignores_negative_labels():
     rng = np.random.default_rng(5)
     good, bad = rng.normal(1, 1, (3000, 4)), rng.normal(-1.5, 1, (1000, 4))
