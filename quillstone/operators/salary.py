@@ -2,59 +2,80 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from quillstone.functions.numbers import PERIODS
 
-HEAD = 3000
-_AMOUNT = r"(\d{1,3}(?:,\d{3})+|\d+(?:\.\d+)?)\s*([kK])?"
-#: Patterns in order of priority, with the confidence of a match.
+#: How much of a text is read, how much around a match tells its period.
+HEAD, REACH = 3000, 50
+_CURRENCY, _AMOUNT, _TO = r"(?:USD\s*)?\$?", r"([\d,]+[Kk]?)", "\\s*(?:[-\u2013\u2014]|to)\\s*"
+#: Kinds of mention in the order of their confidence, with their patterns.
 PATTERNS = (
-    (re.compile(rf"\$\s*{_AMOUNT}\s*(?:-|–|—|to)\s*\$?\s*{_AMOUNT}"), 0.95, "range"),
-    (re.compile(rf"(?:salary|pay|compensation)[^\d$]{{0,40}}\$?\s*{_AMOUNT}", re.I), 0.85, "single"),
-    (re.compile(rf"up\s+to\s+\$\s*{_AMOUNT}", re.I), 0.80, "most"),
-    (re.compile(rf"\$\s*{_AMOUNT}\s*(?:/|per\s+)\s*(?:hr|hour|yr|year|month|week)", re.I), 0.90, "single"),
-    (re.compile(rf"\b{_AMOUNT}\s*(?:-|–|—|to)\s*{_AMOUNT}\b"), 0.70, "range"),
+    ("range", 0.92, rf"(?i){_CURRENCY}{_AMOUNT}{_TO}{_CURRENCY}{_AMOUNT}(?:\s*(?:USD|dollars?|per\s+year|annually|yearly|/yr|/year))?"),
+    ("by_period", 0.88, rf"(?i){_CURRENCY}{_AMOUNT}\s*(?:per|/)\s*(year|yr|hour|hr|month|mo)"),
+    ("labelled", 0.87, rf"(?i)(?:base\s+)?(?:salary|compensation|pay|total\s+comp|total\s+compensation|tc|target\s+compensation|remuneration)[\s:of]+{_CURRENCY}{_AMOUNT}(?:\s*(?:/yr|/year|annually|yearly|per\s+year|/hr|hourly))?"),
+    ("most", 0.75, rf"(?i)(?:up\s+to|as\s+much\s+as|maximum|max|not\s+to\s+exceed)\s+{_CURRENCY}{_AMOUNT}"),
+)
+#: Words that tell a period.
+CLUES = (
+    ("hourly", ("/hr", "per hr", "per hour", "hourly", "/hour")),
+    ("monthly", ("/mo", "per mo", "per month", "monthly", "/month")),
+    ("yearly", ("/yr", "per yr", "per year", "annually", "annual", "yearly", "/year", "a year")),
 )
-_CLUES = (("hourly", r"/\s*hr|/\s*hour|per hour|hourly"), ("monthly", r"/\s*mo|per month|monthly"), ("weekly", r"/\s*wk|per week|weekly"), ("yearly", r"/\s*yr|per year|annual|yearly"))
-SALARY = T.StructType([T.StructField(n, T.StringType() if n in ("period", "raw") else T.DoubleType()) for n in ("low", "high", "period", "confidence", "yearly_low", "yearly_high", "raw")])
 
 
-def _amount(digits: str, kilo: str | None) -> float:
-    return float(digits.replace(",", "")) * (1000 if kilo else 1)
+def amount(token: Column) -> Column:
+    """The number of a token such as 155,000 or 150K; null if it has no digits."""
+    plain = F.replace(token, F.lit(","), F.lit(""))
+    kilo = F.lower(plain).endswith("k")
+    return F.when(kilo, F.substring(plain, F.lit(1), F.length(plain) - 1).try_cast("double") * 1000).otherwise(plain.try_cast("double"))
+
+
+def _period(value: Column, around: Column) -> Column:
+    out = None
+    for name, words in CLUES:
+        said = None
+        for w in words:
+            said = around.contains(w) if said is None else said | around.contains(w)
+        out = F.when(said, name) if out is None else out.when(said, name)
+    return out.when(value <= 300, "hourly").when(value.between(3000, 30_000), "monthly").otherwise("yearly")
+
 
+def _plausible(low: Column, high: Column) -> Column:
+    """Not tiny, not a span of calendar years, not turned round."""
+    years = low.between(1990, 2035) & high.between(1990, 2035) & (F.abs(high - low) < 6)
+    return low.isNotNull() & high.isNotNull() & (low >= 10) & (high >= 10) & ~years & ~((low > 0) & (high > 0) & (low > 3 * high))
 
-def extract_salary(text: str | None) -> dict | None:
-    """The best salary in the first part of a text, or None.
 
-    Year ranges and spans of years of experience don't count. Without a word for the
-    period, amounts under 500 are hourly and others yearly.
+def salary(text: Column) -> Column:
+    """low, high, period, confidence and raw text of the best mention, or null.
+
+    The first plausible mention of the most confident kind counts. A range without a
+    currency needs no pattern of its own, as the currency of a range may be missing. Empty
+    and null texts have none; of a long text the beginning is read, where salaries stand.
     """
-    head, best = (text or "")[:HEAD], None
-    for pattern, confidence, kind in PATTERNS:
-        for m in pattern.finditer(head):
-            parts = m.groups()
-            high_k = parts[3] if kind == "range" else None
-            low = _amount(parts[0], parts[1] or high_k)
-            high = _amount(parts[2], high_k) if kind == "range" else low
-            after = head[m.end() : m.end() + 20].lower()
-            if re.match(r"\s*\+?\s*(years|yrs)\b", after) or 1900 <= low <= 2100 and 1900 <= high <= 2100 and "$" not in m[0]:
-                continue
-            if low > high or high < 10:
-                continue
-            near = head[max(0, m.start() - 50) : m.end() + 50].lower()
-            period = next((p for p, clue in _CLUES if re.search(clue, near)), "hourly" if high < 500 else "yearly")
-            if best is None or confidence > best["confidence"]:
-                units = PERIODS.get(period, 1)
-                best = {"low": None if kind == "most" else low, "high": high, "period": period, "confidence": confidence, "yearly_low": None if kind == "most" else low * units, "yearly_high": high * units, "raw": m[0].strip()}
-    return best
-
-
-@F.pandas_udf(SALARY)
-def salary_of(text: pd.Series) -> pd.DataFrame:
-    empty = dict.fromkeys(("low", "high", "period", "confidence", "yearly_low", "yearly_high", "raw"))
-    return pd.DataFrame([extract_salary(t) or empty for t in text], columns=list(empty))
+    head = F.substring(text, 1, HEAD)
+    return F.coalesce(*(_first(head, kind, confidence, pattern) for kind, confidence, pattern in PATTERNS))
+
+
+def _first(head: Column, kind: str, confidence: float, pattern: str) -> Column:
+    """The first plausible mention of a kind, or null."""
+
+    def read(m: Column) -> Column:
+        one = amount(F.regexp_extract(m, pattern, 1))
+        low, high = one, one
+        if kind == "range":
+            high = amount(F.regexp_extract(m, pattern, 2))
+        elif kind == "most":
+            low = F.when(one.isNotNull(), 0.0)
+        if kind == "by_period":
+            unit = F.lower(F.regexp_extract(m, pattern, 2))
+            period = F.when(unit.isin("year", "yr"), "yearly").when(unit.isin("month", "mo"), "monthly").otherwise("hourly")
+        else:
+            at = F.instr(head, m)
+            period = _period(high, F.lower(F.substring(head, F.greatest(at - REACH, F.lit(1)), F.length(m) + F.least(at - 1, F.lit(REACH)) + REACH)))
+        return F.struct(low.alias("low"), high.alias("high"), period.alias("period"), F.lit(confidence).alias("confidence"), F.trim(m).alias("raw"))
+
+    def fits(s: Column) -> Column:
+        return s["high"].isNotNull() if kind == "by_period" else _plausible(s["high"] if kind == "most" else s["low"], s["high"])
+
+    return F.get(F.filter(F.transform(F.regexp_extract_all(head, F.lit(pattern), F.lit(0)), read), fits), F.lit(0))

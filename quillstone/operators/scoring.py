@@ -199,26 +199,53 @@ def skill_gaps(required: Column, preferred: Column, skills: tuple[str, ...]) ->
     )
 
 
-#: Categories of a posting by its title, the first that matches; then by its description.
+#: Patterns of titles, the first that matches decides: category, confidence, whether such postings are wanted, patterns.
 CATEGORIES = (
-    ("sales", "account executive|sales|business development"),
-    ("management", "manager|director|head of"),
-    ("design", "designer|ux|graphic"),
-    ("data_engineering", "data engineer|etl|data platform"),
-    ("analytics", "analyst|analytics|scientist"),
-    ("reliability", "reliability|devops|sre|platform engineer"),
-    ("software", "engineer|developer|programmer"),
-    ("product", "product"),
-)
+    ("physical_infrastructure", 0.95, False, (
+        r"data center.*(deliver|capacity|construction|mechanical|electrical)", r"(construction|facilities|building|plant)\s+(manager|engineer|lead)",
+        r"(general\s+superintendent|site\s+lead|field\s+engineer)", r"(hvac|cooling|power\s+delivery|commissioning)",
+    )),
+    ("sales_marketing", 0.90, False, (
+        r"^account\s+executive", r"^(enterprise|strategic|growth)\s+account", r"^(business\s+development|sales\s+development)\s+rep",
+        r"^customer\s+success\s+manager", r"^(partner|channel)\s+(manager|director)",
+    )),
+    ("legal_finance_hr", 0.90, False, (
+        r"(counsel|attorney|lawyer|paralegal)", r"^(accountant|tax\s+(manager|director|lead))", r"^(recruiter|recruiting|talent\s+acquisition)",
+        r"^(payroll|compensation|benefits)\s+(manager|specialist|lead)",
+    )),
+    ("software_data_engineering", 0.88, True, (
+        r"(software|backend|fullstack|full.stack|platform|infrastructure|site.reliability)\s+engineer", r"(data|etl|pipeline|database|db|cloud)\s+engineer",
+        r"(devops|sre|reliability)\s+engineer", r"(software|application)\s+(developer|architect)", r"(frontend|front.end)\s+engineer", r"developer\b", r"swe\b",
+    )),
+    ("data_analysis_business_analysis", 0.88, True, (
+        r"(data|business|reporting|intelligence)\s+analyst", r"(business\s+systems|bsa)\s+analyst", r"bi\s+(developer|engineer|analyst)",
+        r"(tableau|power\s*bi|looker)\s+(developer|analyst|engineer)",
+    )),
+    ("analytics_engineering", 0.90, True, (r"analytics\s+engineer", r"(dbt|metrics|data\s+model)\s+engineer")),
+    ("research_science", 0.85, False, (r"(research|applied)\s+scientist", r"(ml|machine\s+learning)\s+researcher", r"research\s+engineer")),
+    ("security_operations", 0.85, False, (
+        r"(security|infosec|cybersecurity|soc)\s+(engineer|analyst|architect)", r"(red\s+team|blue\s+team|threat)\s+(engineer|analyst)", r"trust\s+.?\s*safety",
+    )),
+    ("product_design", 0.85, False, (r"product\s+(manager|lead|director|owner)", r"(ux|ui|product)\s+designer", r"design\s+(manager|director|lead)")),
+    ("executive_management", 0.80, False, (r"^(vp|vice\s+president|director|head\s+of|chief|cto|cio|cfo)\b", r"^(engineering|technical)\s+manager")),
+)
+#: Words of title and description that tell of engineering, and how much of a description is read.
+ENGINEERING_WORDS, CATEGORY_HEAD = ("python", "sql", "data pipeline", "etl", "api", "microservice"), 500
 
 
 def category(title: Column, description: Column) -> Column:
-    t, d = F.lower(F.coalesce(title, F.lit(""))), F.lower(F.coalesce(description, F.lit("")))
+    """category, confidence and wanted of a posting: by title, then by words of the title and the description's beginning, else other."""
+    t = F.lower(F.trim(F.coalesce(title, F.lit(""))))
+    both = F.concat_ws(" ", t, F.lower(F.substring(F.coalesce(description, F.lit("")), 1, CATEGORY_HEAD)))
+
+    def made(name: str, confidence: float, wanted: bool) -> Column:
+        return F.struct(F.lit(name).alias("category"), F.lit(confidence).alias("confidence"), F.lit(wanted).alias("wanted"))
+
     out = None
-    for source in (t, d):
-        for name, pattern in CATEGORIES:
-            out = F.when(source.rlike(pattern), name) if out is None else out.when(source.rlike(pattern), name)
-    return out.otherwise("other")
+    for name, confidence, wanted, patterns in CATEGORIES:
+        held = t.rlike("|".join(f"(?:{p})" for p in patterns))
+        out = F.when(held, made(name, confidence, wanted)) if out is None else out.when(held, made(name, confidence, wanted))
+    return out.when(any_term(both, ENGINEERING_WORDS), made("software_data_engineering", 0.65, True)).otherwise(made("other", 0.50, True))
 
 
 #: Document checks: name, points that a failure costs.

@@ -12,7 +12,7 @@ from quillstone.functions.numbers import interval_overlap, yearly
 from quillstone.operators import scoring as S
 from quillstone.operators import screening as G
 from quillstone.operators.filters import JobQuery
-from quillstone.operators.salary import salary_of
+from quillstone.operators.salary import salary
 from quillstone.registry import query
 from quillstone.sources.tables import POSTINGS_SQL, postings
 
@@ -61,6 +61,10 @@ def work_list(spark, read):
     return postings(spark, read).filter(F.col("alignment_score").isNull() & (F.length("description") > 50)).orderBy(F.desc("posted_date"), "id").limit(60).select("id")
 
 
+def _sum_sql(patterns, text):
+    return " + ".join(f"CAST(regexp_matches({text}, '{p}') AS INT)" for p in patterns)
+
+
 CHAIN = "CASE WHEN salary_max < 130000 THEN 'salary' WHEN company_rating < 3.5 THEN 'rating' WHEN alignment_score < 40 THEN 'alignment' WHEN applicant_count > 500 THEN 'applicants' ELSE 'pass' END"
 SIMPLE_GATES = (
     ("salary", lambda c: [(F.col("salary_max") < c.salary_floor, G.FAIL, 0.95, "salary under floor")]),
@@ -80,20 +84,96 @@ def gate_stats(spark, read):
     return G.gate_statistics(G.screen(postings(spark, read), G.GateConfig(AS_OF), gates=SIMPLE_GATES))
 
 
-CONFIG = G.GateConfig(AS_OF, red=("worthless",), yellow=("the", "and", "with"), yellow_threshold=3, red_skills=("tion",), remote_only=True)
-
-
-@query("screen_full")
+CONFIG = G.GateConfig(AS_OF, red=("worthless",), yellow=("the", "and", "with"), yellow_threshold=3, red_skills=("tion", "spark"), remote_only=True, salary_from_text=False)
+
+
+def _has(text: str, terms) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{t}')" for t in terms) + ")"
+
+
+def _word(text: str, term: str) -> str:
+    return f"regexp_matches({text}, '(^|[^a-z0-9]){term}([^a-z0-9]|$)')"
+
+
+def _required(term: str) -> str:
+    near = f"substring(d, greatest(instr(d, '{term}') - 200, 1), instr(d, '{term}') + {len(term)} + 199 - greatest(instr(d, '{term}') - 200, 1) + 1)"
+    return f"(instr(d, '{term}') > 0 AND NOT ({_has(near, G.WISHED_SIGNALS)} AND NOT {_has(near, G.REQUIRED_SIGNALS)}))"
+
+
+#: Every gate of the full chain in SQL, over c (company), l (place), d (description), all lowered, and the plain columns.
+FULL_CHAIN = {
+    "0A_company": "'pass'",
+    "0J_role": "CASE WHEN id % 8 IN (1, 3, 4, 6) THEN 'fail' ELSE 'pass' END",
+    "0G_red": f"CASE WHEN {_word('d', 'worthless')} THEN 'fail' ELSE 'pass' END",
+    "0H_yellow": f"CASE WHEN {' AND '.join(_word('d', w) for w in ('the', 'and', 'with'))} THEN 'override_required' ELSE 'pass' END",
+    "0B_defense": f"CASE WHEN {_has('c', G.DEFENSE_PRIMES)} OR {_has('d', G.CLEARANCE_KEYWORDS)} OR {_has('cd', [x for x in G.GOV_EMPLOYER_SIGNALS if len(x) >= 5])} OR {' OR '.join(_word('cd', x) for x in G.GOV_EMPLOYER_SIGNALS if len(x) < 5)} THEN 'fail' ELSE 'pass' END",
+    "0C_staffing": f"CASE WHEN {_has('c', G.DIRECT_HIRE_ALLOWLIST)} THEN 'pass' WHEN contains(c, 'amazon') THEN 'fail' WHEN {_has('c', G.STAFFING_AGENCIES)} OR {_has('d', G.STAFFING_SIGNALS)} THEN 'override_required' ELSE 'pass' END",
+    "0D_ghost": "CASE WHEN ghost >= 0.6 THEN 'fail' WHEN ghost >= 0.4 THEN 'override_required' WHEN age > 45 OR applicant_count > 500 THEN 'fail' ELSE 'pass' END",
+    "0E_stack": f"CASE WHEN {_required('tion')} OR {_required('spark')} OR {_has('d', G.CLOUD_PRIMARY)} OR {_has('d', [t.format(k) for k in ('kubernetes', 'terraform', 'dbt', 'snowflake') for t in G.PRIMARY_TEMPLATES])} THEN 'fail' ELSE 'pass' END",
+    "0I_alignment": "CASE WHEN alignment_score < 40 THEN 'fail' WHEN alignment_score < 60 THEN 'override_required' ELSE 'pass' END",
+    "0F_compensation": f"CASE WHEN remote_type <> 'remote' AND NOT {_has('l', (*G.REMOTE_PLACES, *G.SURELY_REMOTE))} AND {_has('l', G.FOREIGN)} THEN 'fail' WHEN remote_type = 'on_site' THEN 'fail' WHEN remote_type = 'hybrid' THEN 'override_required' WHEN coalesce(salary_max, salary_min) < 130000 THEN 'fail' WHEN coalesce(salary_max, salary_min) < 140000 THEN 'override_required' ELSE 'pass' END",
+    "culture": f"CASE WHEN company_rating < 3.5 THEN 'fail' WHEN company_rating < 3.9 OR {_has('d', G.LAYOFFS)} THEN 'override_required' ELSE 'pass' END",
+}
+_FULL = P + f"""
+, a AS (SELECT *, lower(company) AS c, lower(location) AS l, lower(description) AS d, CAST(floor((epoch(TIMESTAMP '2001-08-01') - epoch(posted_date)) / 86400) AS BIGINT) AS age FROM p),
+b AS (SELECT *, c || ' ' || chr(10) || ' ' || d AS cd, {_sum_sql(G.SPECIFIC_PATTERNS, "d")} AS sharp, {" + ".join(f"CAST(contains(d, '{x}') AS INT)" for x in G.VAGUE_PHRASES)} AS vague FROM a),
+g AS (SELECT *, least(CASE WHEN age > 45 THEN 0.25 WHEN age > 30 THEN 0.15 ELSE 0 END + CASE WHEN salary_max IS NULL THEN 0.05 ELSE 0 END
+        + CASE WHEN applicant_count > 500 THEN 0.2 WHEN applicant_count > 200 THEN 0.15 ELSE 0 END
+        + CASE WHEN length(d) < 50 OR sharp + vague > 0 AND round(sharp / (sharp + vague), 2) < 0.3 THEN 0.1 ELSE 0 END
+        + CASE WHEN {_has("d", [x.replace("'", "''") for x in G.GHOST_PHRASES])} THEN 0.15 ELSE 0 END, 1.0) AS ghost FROM b),
+r AS (SELECT id, {list(FULL_CHAIN)} AS gates, [{", ".join(FULL_CHAIN.values())}] AS results FROM g)
+"""
+FULL_SQL = _FULL + """
+, s AS (SELECT id, gates, results, list_position([x <> 'pass' FOR x IN results], true) AS k FROM r)
+SELECT id, CASE WHEN k > 0 THEN gates[k] END AS stopped_by, CASE WHEN k > 0 THEN results[k] ELSE 'pass' END AS outcome, CAST(CASE WHEN k > 0 THEN k ELSE len(gates) END AS INT) AS n_verdicts FROM s
+"""
+OVERRIDES_SQL = _FULL + """
+, f AS (SELECT id, gates, results, [CASE WHEN results[i] = 'fail' OR results[i] = 'override_required' AND NOT (id % 2 = 0 AND gates[i] IN ('0H_yellow', '0F_compensation')) THEN true ELSE false END FOR i IN range(1, len(gates) + 1)] AS stops FROM r),
+s AS (SELECT *, list_position(stops, true) AS k FROM f)
+SELECT CASE WHEN k > 0 THEN gates[k] END AS stopped_by, CASE WHEN k > 0 THEN results[k] ELSE 'pass' END AS outcome, count(*) AS n FROM s GROUP BY 1, 2
+"""
+
+
+@query("screen_full", FULL_SQL)
 def screen_full(spark, read):
     return G.screen(postings(spark, read), CONFIG).select("id", "stopped_by", "outcome", F.size("verdicts").alias("n_verdicts"))
 
 
-@query("screen_with_overrides")
+@query("screen_with_overrides", OVERRIDES_SQL)
 def screen_with_overrides(spark, read):
     granted = read("documents").filter("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.explode(F.array(F.lit("0H_yellow"), F.lit("0F_compensation"))).alias("gate"))
     return G.screen(postings(spark, read), CONFIG, granted).groupBy("stopped_by", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("stack_tiers", P + f"SELECT id, CASE WHEN {_has('lower(description)', G.STACK_SIGNALS)} THEN 1 ELSE 2 END AS tier FROM p")
+def stack_tiers(spark, read):
+    return postings(spark, read).select("id", G.stack_tier(F.col("description"))["tier"].alias("tier"))
+
+
+RESEARCH_SQL = P + """
+, r AS (SELECT lower(s_name) AS company, CASE s_suppkey % 4 WHEN 0 THEN 'declined' WHEN 1 THEN 'approved' WHEN 2 THEN 'exclude' ELSE 'review' END AS decision,
+               CASE WHEN s_suppkey % 2 = 1 THEN CAST(30 + s_suppkey % 20 AS DOUBLE) / 10 END AS rating, CASE WHEN s_suppkey % 3 = 0 THEN TIMESTAMP '2000-12-01' - to_days(CAST(s_suppkey * 90 AS INT)) END AS laid_off FROM supplier)
+SELECT id, CASE WHEN decision IN ('declined', 'exclude') THEN '0A_company' WHEN decision = 'review' THEN '0A_company'
+     WHEN coalesce(rating, company_rating) < 3.9 OR epoch(TIMESTAMP '2001-08-01') - epoch(laid_off) <= 86400 * 30 * 18 + 86399 THEN 'culture' END AS stopped_by
+FROM p LEFT JOIN r ON r.company = lower(p.company)
+"""
+
+
+@query("researched_companies", RESEARCH_SQL)
+def researched_companies(spark, read):
+    """The two gates that read what is known of a company, over research made from the suppliers."""
+    key = F.col("s_suppkey")
+    research = read("supplier").select(
+        F.upper("s_name").alias("company"),
+        F.element_at(F.array(*map(F.lit, ("declined", "approved", "exclude", "review"))), (key % 4 + 1).cast("int")).alias("decision"),
+        F.when(key % 2 == 1, (30 + key % 20).cast("double") / 10).alias("rating"),
+        F.when(key % 3 == 0, F.date_sub(F.lit("2000-12-01").cast("date"), (key * 90).cast("int")).cast("timestamp_ntz")).alias("last_layoff_date"),
+    )
+    gates = tuple(g for g in G.GATES if g[0] in ("0A_company", "culture"))
+    cfg = G.GateConfig(AS_OF, lists={"LAYOFFS": ("\u0000",)})
+    return G.screen(G.with_research(postings(spark, read), research), cfg, gates=gates).select("id", "stopped_by")
+
+
 @query("review_queue", P + f", s AS (SELECT id, alignment_score, {CHAIN} AS g FROM p) SELECT id, CASE g WHEN 'pass' THEN 99 WHEN 'alignment' THEN 1 WHEN 'salary' THEN 2 ELSE 3 END AS tier FROM s WHERE g <> 'pass' ORDER BY tier, alignment_score DESC NULLS LAST, id LIMIT 50")
 def review_queue(spark, read):
     s = G.screen(postings(spark, read), G.GateConfig(AS_OF), gates=SIMPLE_GATES).filter(F.col("outcome") != G.PASS)
@@ -112,10 +192,26 @@ def ghost_score(spark, read):
     return postings(spark, read).select("id", F.round(score, 2).alias("score"))
 
 
-@query("ghost_points", P + ", a AS (SELECT *, CAST(floor((epoch(TIMESTAMP '2001-08-01') - epoch(posted_date)) / 86400) AS BIGINT) AS age FROM p) SELECT id, CAST(floor(100 * (CASE WHEN age > 90 THEN 4 WHEN age > 60 THEN 3 WHEN age > 30 THEN 2 ELSE 0 END + CASE WHEN applicant_count > 500 THEN 3 WHEN applicant_count > 200 THEN 2 ELSE 0 END + CASE WHEN salary_max IS NULL THEN 1 ELSE 0 END) / 15) AS INT) AS confidence FROM a")
+GHOST_POINTS_SQL = P + f"""
+, a AS (SELECT id, applicant_count, lower(description) AS d, CAST(floor((epoch(TIMESTAMP '2001-08-01') - epoch(posted_date)) / 86400) AS BIGINT) AS age,
+               CASE WHEN id % 3 = 0 THEN id % 120 END AS gap, CASE id % 4 WHEN 0 THEN FALSE WHEN 1 THEN TRUE END AS found FROM p),
+b AS (SELECT *, {_sum_sql(G.GHOST_PATTERNS, "d")} AS phrases, {_sum_sql(G.VAGUE_PATTERNS, "d")} AS vague FROM a),
+c AS (SELECT id, CASE WHEN age > 90 THEN 3 WHEN age > 60 THEN 2 WHEN age > 45 THEN 1 ELSE 0 END
+               + CASE WHEN applicant_count > 1000 THEN 3 WHEN applicant_count > 500 THEN 2 WHEN applicant_count > 300 THEN 1 ELSE 0 END
+               + CASE WHEN gap > 90 THEN 2 WHEN gap > 30 THEN 1 ELSE 0 END
+               + CASE WHEN d <> '' THEN least(phrases, 3) + CASE WHEN length(d) < 200 OR vague >= 2 THEN 1 ELSE 0 END ELSE 0 END
+               + CASE WHEN found THEN -1 WHEN NOT found THEN 3 ELSE 0 END AS points FROM b)
+SELECT id, CAST(floor(100 * greatest(points, 0) / 15) AS INT) AS confidence, floor(100 * greatest(points, 0) / 15) >= 25 AS is_ghost FROM c
+"""
+
+
+@query("ghost_points", GHOST_POINTS_SQL)
 def ghost_points(spark, read):
-    points = G.ghost_points(age_days(F.lit(AS_OF).cast("timestamp_ntz"), F.col("posted_date")), F.col("applicant_count"), F.lit(None).cast("int"), F.col("salary_max").isNotNull(), F.lit(0.5), F.lit(None).cast("boolean"))
-    return postings(spark, read).select("id", points.alias("confidence"))
+    """Repost gaps and what career pages say are made from the id, as no table has them."""
+    gap = F.when(F.col("id") % 3 == 0, F.col("id") % 120)
+    found = F.when(F.col("id") % 4 == 0, False).when(F.col("id") % 4 == 1, True)
+    points = G.ghost_points(age_days(F.lit(AS_OF).cast("timestamp_ntz"), F.col("posted_date")), F.col("applicant_count"), gap, F.col("description"), found)
+    return postings(spark, read).select("id", points.alias("confidence")).withColumn("is_ghost", F.col("confidence") >= G.GHOST_FROM)
 
 
 @query("salary_yearly", P + ", s AS (SELECT id, salary_max, CASE id % 4 WHEN 0 THEN 'hourly' WHEN 1 THEN 'weekly' WHEN 2 THEN 'monthly' ELSE 'yearly' END AS period FROM p) SELECT id, salary_max * CASE period WHEN 'hourly' THEN 2080 WHEN 'weekly' THEN 52 WHEN 'monthly' THEN 12 ELSE 1 END AS yearly FROM s")
@@ -130,11 +226,36 @@ def salary_overlap(spark, read):
     return postings(spark, read).filter("salary_min is not null").select("id", F.round(share, 4).alias("share"))
 
 
-@query("salary_extract")
+#: Ways to write a salary of low and high thousands, and what is read from them: low, high (as SQL over l and h), period and confidence.
+WRITTEN = (
+    ("Pay: $%l,000 \u2013 $%h,000 a year", "1000.0 * l", "1000.0 * h", "yearly", 0.92),
+    ("between $%lK-$%hK", "1000.0 * l", "1000.0 * h", "yearly", 0.92),
+    ("Base salary: $%lK", "1000.0 * l", "1000.0 * l", "yearly", 0.87),
+    ("we offer $95/hr now", "95.0", "95.0", "hourly", 0.88),
+    ("up to $%hK", "0.0", "1000.0 * h", "yearly", 0.75),
+    ("%l,000 to %h,000", "1000.0 * l", "1000.0 * h", "yearly", 0.92),
+    ("founded 2019-2022", "NULL", "NULL", None, None),
+    ("5-9 years", "NULL", "NULL", None, None),
+    ("compensation of $9,500 per month", "9500.0", "9500.0", "monthly", 0.88),
+    ("no figures at all", "NULL", "NULL", None, None),
+)
+_CASE = lambda f: "CASE id % 10 " + " ".join(f"WHEN {i} THEN {f(w)}" for i, w in enumerate(WRITTEN)) + " END"
+_TEXT_OR_NULL = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+SALARY_SQL = P + f"""
+, a AS (SELECT id, 80 + id * 37 % 120 AS l, 110 + id * 37 % 120 AS h FROM p),
+s AS (SELECT id, CAST({_CASE(lambda w: w[1])} AS DOUBLE) AS low, CAST({_CASE(lambda w: w[2])} AS DOUBLE) AS high, {_CASE(lambda w: _TEXT_OR_NULL(w[3]))} AS period, CAST({_CASE(lambda w: _TEXT_OR_NULL(w[4]))} AS DOUBLE) AS confidence FROM a)
+SELECT id, low, high, period, confidence, high * CASE period WHEN 'hourly' THEN 2080 WHEN 'monthly' THEN 12 ELSE 1 END AS yearly_high FROM s
+"""
+
+
+@query("salary_extract", SALARY_SQL)
 def salary_extract(spark, read):
-    texts = ["$155,000 – $195,000", "$150K-$200K", "Base salary: $155K", "$95/hr", "up to $180K", "140,000 to 160,000", "2019-2022", "10-15 years"]
-    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
-    return rows.select("id", salary_of("text").alias("s")).select("id", "s.*")
+    """Salaries written into a sentence in ten ways; the expected values follow from the figures, not from the patterns."""
+    low, high = ((F.lit(k) + F.col("id") * 37 % 120).cast("string") for k in (80, 110))
+    sentence = F.element_at(F.array(*(F.lit(w[0]) for w in WRITTEN)), (F.col("id") % len(WRITTEN) + 1).cast("int"))
+    text = F.replace(F.replace(sentence, F.lit("%l"), low), F.lit("%h"), high)
+    found = salary(F.concat(F.lit("We hire. "), text, F.lit(". Apply now.")))
+    return postings(spark, read).select("id", found.alias("s")).select("id", "s.low", "s.high", "s.period", "s.confidence", yearly(F.col("s.high"), F.col("s.period")).alias("yearly_high"))
 
 
 @query("age_labels", P + ", a AS (SELECT id, CAST(floor((epoch(TIMESTAMP '2001-08-01') - epoch(posted_date)) / 86400) AS BIGINT) AS d FROM p) SELECT id, CASE WHEN d <= 0 THEN 'Today' WHEN d < 7 THEN d || 'd' WHEN d < 30 THEN (d // 7) || 'w' ELSE (d // 30) || 'mo' END AS label FROM a")
@@ -147,9 +268,36 @@ def role_tracks(spark, read):
     return postings(spark, read).select("id", T.role_track(F.col("title")).alias("track"), T.seniority(F.col("title")).alias("level"))
 
 
-@query("category_classifier", P + "SELECT CASE WHEN regexp_matches(lower(title), 'account executive|sales|business development') THEN 'sales' WHEN regexp_matches(lower(title), 'manager|director|head of') THEN 'management' WHEN regexp_matches(lower(title), 'designer|ux|graphic') THEN 'design' WHEN regexp_matches(lower(title), 'data engineer|etl|data platform') THEN 'data_engineering' WHEN regexp_matches(lower(title), 'analyst|analytics|scientist') THEN 'analytics' WHEN regexp_matches(lower(title), 'reliability|devops|sre|platform engineer') THEN 'reliability' ELSE 'software' END AS category, count(*) AS n FROM p GROUP BY 1")
+#: Titles of every category, for the classifier; the posting's own title stands among them.
+TITLES = (
+    "Data Center Delivery Lead", "HVAC Technician", "Strategic Account Lead", "Customer Success Manager", "Staff Counsel", "Tax Manager", "Recruiter",
+    "Backend Engineer", "ETL Engineer", "Full-Stack Engineer", "SWE II", "Reporting Analyst", "BI Analyst", "Analytics Engineer", "dbt Engineer", "Applied Scientist",
+    "Research Engineer", "Security Architect", "Trust & Safety Lead", "Product Owner", "UX Designer", "VP Operations", "Engineering Manager", "Gardener", "",
+)
+_CATEGORY_CASES = " ".join("WHEN " + " OR ".join(f"regexp_matches(t, '{x}')" for x in patterns) + f" THEN '{name}|{confidence}'" for name, confidence, _, patterns in S.CATEGORIES)
+_ENGINEERING = " OR ".join(f"contains(b, '{w}')" for w in S.ENGINEERING_WORDS)
+CATEGORY_SQL = P + f"""
+, a AS (SELECT id, lower(trim(CASE WHEN id % 4 = 0 THEN title ELSE list_element({list(TITLES)}, CAST(id % {len(TITLES)} + 1 AS BIGINT)) END)) AS t, lower(left(description, 500)) AS d FROM p),
+c AS (SELECT id, t || ' ' || d AS b, t FROM a),
+k AS (SELECT id, CASE {_CATEGORY_CASES} WHEN {_ENGINEERING} THEN 'software_data_engineering|0.65' ELSE 'other|0.5' END AS k FROM c)
+SELECT id, split_part(k, '|', 1) AS category, CAST(split_part(k, '|', 2) AS DOUBLE) AS confidence,
+       split_part(k, '|', 1) IN ('software_data_engineering', 'data_analysis_business_analysis', 'analytics_engineering', 'other') AS wanted FROM k
+"""
+
+
+def _titled(spark, read):
+    own = F.element_at(F.array(*map(F.lit, TITLES)), (F.col("id") % len(TITLES) + 1).cast("int"))
+    return postings(spark, read).withColumn("title", F.when(F.col("id") % 4 == 0, F.col("title")).otherwise(own))
+
+
+@query("category_classifier", CATEGORY_SQL)
 def category_classifier(spark, read):
-    return postings(spark, read).groupBy(S.category(F.col("title"), F.col("description")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    return _titled(spark, read).select("id", S.category(F.col("title"), F.col("description")).alias("c")).select("id", "c.*")
+
+
+@query("category_counts", f"SELECT category, count(*) AS n FROM ({CATEGORY_SQL}) GROUP BY 1")
+def category_counts(spark, read):
+    return _titled(spark, read).groupBy(S.category(F.col("title"), F.col("description"))["category"].alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("role_labels", P + "SELECT id, CASE id % 8 WHEN 0 THEN 'ENGINEERING_IC' WHEN 1 THEN 'SALES' WHEN 2 THEN 'OTHER' WHEN 3 THEN 'MANAGEMENT' WHEN 4 THEN 'DESIGN' WHEN 5 THEN 'ENGINEERING_IC' WHEN 6 THEN 'MANAGEMENT' ELSE 'ENGINEERING_IC' END AS label, CASE WHEN id % 8 = 2 THEN 0.5 ELSE 0.82 END AS confidence FROM p")

@@ -71,7 +71,7 @@ def specificity_score(spark, read):
     return read("documents").select("doc_id", specificity(F.col("text")).cast("double").alias("score"))
 
 
-HASH_SQL = r"left(sha256(trim(regexp_replace(regexp_replace(lower(text), '[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}', '', 'g'), '[ \n\t\r]+', ' ', 'g'))), 16)"
+HASH_SQL = r"left(sha256(regexp_replace(regexp_replace(regexp_replace(lower(text), '\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b', '', 'g'), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')), 16)"
 
 
 @query("repost_groups", f"SELECT {HASH_SQL} AS hash, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")

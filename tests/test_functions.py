@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import dates, numbers, text
 from quillstone.operators import relational as R
 from quillstone.operators import scoring, screening
-from quillstone.operators.salary import extract_salary
+from quillstone.operators.salary import salary
 from quillstone.operators.similarity import greedy_pairs, token_set_ratio
 from quillstone.sources import tables
 from quillstone.streaming import ingest
@@ -71,11 +71,12 @@ def test_money_and_bands(spark):
 
 @pytest.mark.parametrize(
     ("text_", "low", "high"),
-    [("$155,000 – $195,000", 155000, 195000), ("$150K-$200K", 150000, 200000), ("Base salary: $155K", 155000, 155000), ("$95/hr", 197600, 197600), ("up to $180K", None, 180000), ("140,000 to 160,000", 140000, 160000), ("2019-2022", "none", None), ("10-15 years", "none", None), ("", "none", None), (None, "none", None)],
+    [("$155,000 – $195,000", 155000, 195000), ("$150K-$200K", 150000, 200000), ("Base salary: $155K", 155000, 155000), ("$95/hr", 197600, 197600), ("up to $180K", 0, 180000), ("140,000 to 160,000", 140000, 160000), ("2019-2022", "none", None), ("5-9 years", "none", None), ("10-15 years", 20800, 31200), ("", "none", None), (None, "none", None)],
 )
-def test_salary(text_, low, high):
-    got = extract_salary(text_)
-    assert got is None if low == "none" else (got["yearly_low"], got["yearly_high"]) == (low, high)
+def test_salary(spark, text_, low, high):
+    s = salary(F.col("t"))
+    ((lo, hi),) = values(spark, [(text_,)], "t string", numbers.yearly(s["low"], s["period"]), numbers.yearly(s["high"], s["period"]))
+    assert (lo, hi) == ((None, None) if low == "none" else (low, high))
 
 
 def test_upsert_keeps_enrichment_and_first_seen(spark):
