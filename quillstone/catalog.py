@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillstone.plans import machine_learning, postings, relational, reports, similarity, streams, texts  # noqa: F401  they register
+from quillstone.plans import extraction, machine_learning, opportunities, postings, relational, reports, similarity, streams, texts  # noqa: F401  they register
 from quillstone.registry import ORACLES, QUERIES
 
 
