@@ -98,20 +98,33 @@ def ngrams(c: Column, n: int) -> Column:
     return F.when(runs > 0, F.transform(F.arrays_zip(*shifted), lambda z: F.concat_ws(" ", *(z[f"w{k}"] for k in range(n))))).otherwise(F.array().cast("array<string>"))
 
 
+def ngram_hashes(c: Column, n: int) -> Column:
+    """A 64-bit hash of each run of n blank-separated words, in order; none for shorter texts."""
+    w = F.transform(F.split(squeeze(c), " "), lambda x: F.xxhash64(x))
+    runs = F.size(w) - (n - 1)
+    shifted = [F.slice(w, k + 1, runs).alias(f"w{k}") for k in range(n)]
+    return F.when(runs > 0, F.transform(F.arrays_zip(*shifted), lambda z: F.xxhash64(*(z[f"w{k}"] for k in range(n))))).otherwise(F.array().cast("array<bigint>"))
+
+
+#: Sections of requirements and of wishes in a lowered text, and the headings of benefits.
+REQUIRED = r"(?s)((required|requirements|must have|qualifications).*?)(preferred|nice to have|bonus|$)"
+WISHED = r"(?s)(preferred|nice to have|bonus|desired).*$"
+BENEFITS = r"(?i)(great )?benefits (for|include|package)|our (people|colleagues|comprehensive)|in addition to our competitive|\n *benefits *\n"
+
+
 def required_section(lower: Column) -> Column:
     """From the first requirements heading to the first heading of wishes; the whole text if there is none."""
-    found = F.regexp_extract(lower, r"(?s)((required|requirements|must have|qualifications).*?)(preferred|nice to have|bonus|$)", 1)
+    found = F.regexp_extract(lower, REQUIRED, 1)
     return F.when(found == "", lower).otherwise(found)
 
 
 def preferred_section(lower: Column) -> Column:
-    return F.regexp_extract(lower, r"(?s)(preferred|nice to have|bonus|desired).*$", 0)
+    return F.regexp_extract(lower, WISHED, 0)
 
 
 def without_benefits(c: Column) -> Column:
     """The text before the first heading of benefits."""
-    heading = r"(?i)(great )?benefits (for|include|package)|our (people|colleagues|comprehensive)|in addition to our competitive|\n *benefits *\n"
-    at = F.regexp_instr(c, F.lit(heading))
+    at = F.regexp_instr(c, F.lit(BENEFITS))
     return F.when(at > 0, F.substring(c, F.lit(1), at - 1)).otherwise(c)
 
 

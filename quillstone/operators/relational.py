@@ -112,6 +112,23 @@ def union_all(*parts: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def circuit_states(calls: DataFrame, key: str, time: str, order: str, failed: str, threshold: int = 3, recovery: float = 60.0) -> DataFrame:
+    """calls with what a circuit breaker of each key holds after each: failures, state and whether the next call may go out.
+
+    Failures in a row open the circuit from the threshold on, a success closes it; the next
+    call may try again once the last failure is longer ago than recovery (in seconds).
+    time is a number of seconds; ties go by order. The last call of a key has no next one: null.
+    """
+    line = Window.partitionBy(key).orderBy(time, order)
+    upto = line.rowsBetween(Window.unboundedPreceding, 0)
+    staged = calls.withColumn("__run", F.count_if(~F.col(failed)).over(upto)).withColumn("__last", F.max(F.when(F.col(failed), F.col(time))).over(upto)).withColumn("__next", F.lead(time).over(line))
+    in_a_row = Window.partitionBy(key, "__run").orderBy(time, order).rowsBetween(Window.unboundedPreceding, 0)
+    out = staged.withColumn("failures", F.count_if(F.col(failed)).over(in_a_row))
+    out = out.withColumn("state", F.when(F.col("failures") >= threshold, "OPEN").otherwise("CLOSED"))
+    may = F.when(F.col("__next").isNotNull(), (F.col("state") == "CLOSED") | (F.col("__next") - F.col("__last") > recovery))
+    return out.withColumn("next_may_go", may).drop("__run", "__last", "__next")
+
+
 def blocks(df: DataFrame, key: str, rows: int) -> list[DataFrame]:
     """df itself if it has at most so many rows; otherwise disjoint parts by a hash of key, about half as large each, that make the whole."""
     n = df.count()

@@ -306,7 +306,44 @@ def role_labels(spark, read):
     return postings(spark, read).select("id", role["label"].alias("label"), role["confidence"].cast("double").alias("confidence"))
 
 
-@query("alignment_score")
+def _hit(text: str, term: str) -> str:
+    return _word(text, term) if len(term) <= 3 else f"contains({text}, '{term}')"
+
+
+def _hits(text: str, terms) -> str:
+    return "[x FOR x IN [" + ", ".join(f"CASE WHEN {_hit(text, t)} THEN '{t}' END" for t in sorted(terms)) + "] IF x IS NOT NULL]"
+
+
+_DEGREES = lambda t: "greatest(" + ", ".join(f"CASE WHEN contains({t}, '{d}') THEN {r} ELSE 0 END" for d, r in S.DEGREES) + ")"
+#: The five category scores, in SQL, for PROFILE: skills python, sql, tion, the, airflow; 8 years; a masters degree; domains named in the resume: cloud, data.
+ALIGN_SQL = P + rf"""
+, a AS (SELECT id, lower(title) AS t, lower(CASE WHEN head > 0 THEN left(description, head - 1) ELSE description END) AS d
+        FROM (SELECT *, instr(description, regexp_extract(description, '{T.BENEFITS}', 0)) * CAST(regexp_matches(description, '{T.BENEFITS}') AS INT) AS head FROM p)),
+b AS (SELECT *, CASE WHEN regexp_matches(d, '{T.REQUIRED}') THEN regexp_extract(d, '{T.REQUIRED}', 1) ELSE d END AS need, regexp_extract(d, '{T.WISHED}', 0) AS wish FROM a),
+c AS (SELECT *, {_hits("d", PROFILE.vocabulary)} AS everything, {_hits("need", PROFILE.vocabulary)} AS required, {_hits("wish", PROFILE.vocabulary)} AS wished,
+        {_hits("d", PROFILE.domains)} AS domains, [x FOR x IN [CASE WHEN contains(d, 'ation') OR contains(d, 'communication') THEN 'communication' END, CASE WHEN contains(d, 'lead') THEN 'leadership' END, CASE WHEN contains(d, 'agile') OR contains(d, 'sprint') THEN 'agile' END] IF x IS NOT NULL] AS soft,
+        coalesce(list_max([CAST(y AS INT) FOR y IN regexp_extract_all(d, '([0-9]{{1,3}})[+]? *years? *(of +)?experience', 1)]), 0) AS years FROM b),
+e AS (SELECT *, list_distinct(list_concat(wished, [x FOR x IN everything IF NOT list_contains(required, x)])) AS preferred, ['python', 'sql', 'tion', 'the', 'airflow'] AS skills FROM c),
+f AS (SELECT id, t, required, CASE WHEN contains(t, 'analyst') THEN 'analyst' WHEN contains(t, 'engineering manager') THEN 'leadership' ELSE 'engineering' END AS track,
+        CASE WHEN len(everything) > 0 AND len(required) + 0.3 * len(preferred) > 0 THEN least(100.0, 100 * (len(list_intersect(required, skills)) + 0.3 * len(list_intersect(preferred, skills))) / (len(required) + 0.3 * len(preferred))) ELSE 50 END AS technical,
+        least(greatest(50 + CASE WHEN years = 0 THEN 0 WHEN years <= 8 THEN 25 ELSE -5 * (years - 8) END
+          + CASE WHEN contains(t, 'engineer') OR contains(t, 'developer') THEN 25 WHEN contains(t, 'analyst') OR contains(t, 'manager') THEN 0
+                 ELSE 25.0 * len([w FOR w IN list_distinct(string_split_regex(t, '[ 	]+')) IF contains('{PROFILE.resume.lower()}', w)]) / len(list_distinct(string_split_regex(t, '[ 	]+'))) END, 0), 100) AS experience,
+        CASE WHEN len(domains) > 0 THEN least(100.0, 100.0 * greatest(len(list_intersect(domains, ['cloud', 'data'])) - CAST(contains(d, 'cloud') AND contains(d, 'construction') AND NOT contains(d, 'aws') AS INT), 0) / len(domains)) ELSE 50 END AS domain,
+        CASE WHEN len(soft) > 0 THEN 100.0 * len(list_intersect(soft, ['leadership'])) / len(soft) ELSE 60 END AS soft,
+        CASE WHEN {_DEGREES("d")} > 0 THEN CASE WHEN 85 >= {_DEGREES("d")} THEN 90 ELSE greatest(30.0, 80.0 * 85 / {_DEGREES("d")}) END ELSE 75 END AS education,
+        CAST(contains(d || chr(10) || t, 'account executive') AS INT) + CAST(contains(d || chr(10) || t, 'enterprise') AS INT) + CAST(contains(d || chr(10) || t, 'quota') AS INT) >= 2 AS elsewhere FROM e),
+g AS (SELECT id, track, required, elsewhere, CAST(round(technical, 1) AS DOUBLE) AS technical_score, CAST(round(experience, 1) AS DOUBLE) AS experience_score, CAST(round(domain, 1) AS DOUBLE) AS domain_score,
+        CAST(round(soft, 1) AS DOUBLE) AS soft_score, CAST(round(education, 1) AS DOUBLE) AS education_score, [x FOR x IN required IF x NOT IN ('python', 'sql', 'tion', 'the', 'airflow')] AS gaps FROM f),
+h AS (SELECT *, CASE WHEN track = 'analyst' THEN round(technical_score * 0.35, 1) + round(experience_score * 0.25, 1) + round(domain_score * 0.20, 1) + round(soft_score * 0.10, 1) + round(education_score * 0.10, 1)
+        ELSE round(technical_score * 0.45, 1) + round(experience_score * 0.25, 1) + round(domain_score * 0.15, 1) + round(soft_score * 0.10, 1) + round(education_score * 0.05, 1) END AS total FROM g),
+i AS (SELECT *, CAST(round(greatest(least(greatest(total, 0), 100) - CASE WHEN elsewhere THEN 20 ELSE 0 END, 0), 1) AS DOUBLE) AS overall_score, len(gaps) + CAST(elsewhere AS INT) AS n_gaps FROM h)
+SELECT id, track, technical_score, experience_score, domain_score, soft_score, education_score, overall_score,
+       CASE WHEN overall_score >= 70 AND n_gaps <= 2 THEN 'PROCEED' WHEN overall_score >= 50 OR n_gaps <= 3 THEN 'FLAG' ELSE 'NO_PROCEED' END AS recommendation, array_to_string(gaps, ',') AS gaps FROM i
+"""
+
+
+@query("alignment_score", ALIGN_SQL)
 def alignment_score(spark, read):
     out = S.align(postings(spark, read).drop("alignment_score"), PROFILE)
     return out.select("id", "track", "technical_score", "experience_score", "domain_score", "soft_score", "education_score", "overall_score", "recommendation", F.array_join("critical_gaps", ",").alias("gaps"))
@@ -340,14 +377,42 @@ def traffic_lights(spark, read):
     return read("documents").select("doc_id", G.traffic_light(F.col("text"), ("que",), ("the", "and"), ("idiot",)).alias("light"))
 
 
-@query("duty_coverage")
+DUTY_SQL = r"""
+WITH k AS (SELECT unnest([['that', 'thing', 'the', 'tion'], ['the', 'and', 'with', 'other']]) AS k),
+d AS (SELECT doc_id, [x FOR x IN string_split(text, chr(10)) IF length(x) BETWEEN 15 AND 300][1:50] AS ds FROM documents),
+u AS (SELECT doc_id, unnest(ds) AS x, generate_subscripts(ds, 1) AS i FROM d),
+w AS (SELECT doc_id, i, list_distinct(regexp_extract_all(lower(x), '[a-z]{3,}')) AS w FROM u),
+c AS (SELECT doc_id, i, max(CASE WHEN len(w) > 0 AND len(list_intersect(k, w)) / len(w) >= 0.25 THEN 1 ELSE 0 END) AS covered FROM w, k GROUP BY 1, 2),
+p AS (SELECT doc_id, CAST(round(100.0 * sum(covered) / count(*), 1) AS DOUBLE) AS coverage FROM c GROUP BY 1),
+a AS (SELECT doc_id, coalesce(coverage, 75.0) AS coverage FROM documents LEFT JOIN p USING (doc_id))
+SELECT doc_id, coverage, CASE WHEN coverage >= 80 THEN 'Strong' WHEN coverage >= 65 THEN 'Moderate' WHEN coverage >= 50 THEN 'Partial' ELSE 'Minimal' END AS tier FROM a
+"""
+
+
+@query("duty_coverage", DUTY_SQL)
 def duty_coverage(spark, read):
     duties = F.slice(F.filter(F.split("text", "\n"), lambda x: F.length(x).between(15, 300)), 1, 50)
     pct = S.duty_coverage(duties, ["that thing the tion", "the and with other"], 0.25)
     return read("documents").select("doc_id", pct.alias("coverage")).withColumn("tier", S.coverage_tier(F.col("coverage")))
 
 
-@query("document_checks")
+LETTER_SQL = r"""
+WITH r AS (SELECT text AS resume FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark)),
+d AS (SELECT doc_id, text, lower(text) AS t, source, resume, [w FOR w IN string_split_regex(regexp_replace(text, '^ +| +$', '', 'g'), '[ \t\r\n]+') IF w <> ''] AS w,
+             [x FOR x IN string_split_regex(text, '\n *\n') IF regexp_replace(x, '^ +| +$', '', 'g') <> ''] AS paragraphs,
+             string_split(trim(regexp_replace(lower(text), '[ \n\t\r]+', ' ', 'g')), ' ') AS lw, string_split(trim(regexp_replace(lower(resume), '[ \n\t\r]+', ' ', 'g')), ' ') AS rw FROM documents, r),
+g AS (SELECT *, list_concat(regexp_extract_all(text, '[$][0-9][0-9,.]*[KMBkmb]?'), regexp_extract_all(text, '[0-9]+([.][0-9]+)?%')) AS figures, list_concat(regexp_extract_all(resume, '[$][0-9][0-9,.]*[KMBkmb]?'), regexp_extract_all(resume, '[0-9]+([.][0-9]+)?%')) AS known FROM d),
+c AS (SELECT doc_id, contains(t, lower(source)) AS names_company, len(w) BETWEEN 280 AND 420 AS length, len(paragraphs) BETWEEN 3 AND 5 AS paragraphs, regexp_matches(text, '[0-9]+%|[$][0-9]') AS has_metric,
+             NOT regexp_matches(t, '\[[A-Za-z ]+\]|lorem ipsum|xxx') AS no_placeholder, NOT contains(t, 'kubernetes') AS no_forbidden, len([x FOR x IN figures IF NOT list_contains(known, x)]) = 0 AS grounded,
+             len(lw) < 6 OR NOT list_has_any([array_to_string(lw[i:i + 5], ' ') FOR i IN range(1, len(lw) - 4)], [array_to_string(rw[i:i + 5], ' ') FOR i IN range(1, len(rw) - 4)]) AS no_repetition FROM g)
+SELECT doc_id, CAST(greatest(0, 100 - 8 * CAST(NOT names_company AS INT) - 3 * CAST(NOT length AS INT) - 3 * CAST(NOT paragraphs AS INT) - 3 * CAST(NOT has_metric AS INT) - 15 * CAST(NOT no_placeholder AS INT)
+       - 15 * CAST(NOT no_forbidden AS INT) - 15 * CAST(NOT grounded AS INT) - 8 * CAST(NOT no_repetition AS INT)) AS INT) AS score,
+       concat_ws(',', CASE WHEN NOT names_company THEN 'names_company' END, CASE WHEN NOT length THEN 'length' END, CASE WHEN NOT paragraphs THEN 'paragraphs' END, CASE WHEN NOT has_metric THEN 'has_metric' END,
+       CASE WHEN NOT no_placeholder THEN 'no_placeholder' END, CASE WHEN NOT no_forbidden THEN 'no_forbidden_skill' END, CASE WHEN NOT grounded THEN 'figures_grounded' END, CASE WHEN NOT no_repetition THEN 'no_repetition' END) AS failed FROM c
+"""
+
+
+@query("document_checks", LETTER_SQL)
 def document_checks(spark, read):
     resume = read("benchmark").groupBy().agg(F.min_by("text", "item_id").alias("resume"))
     docs = read("documents").crossJoin(F.broadcast(resume))  # one row

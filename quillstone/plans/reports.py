@@ -180,7 +180,13 @@ def platform_rules(spark, read):
     return read("pages").select("page_id", F.array_join(M.platform_violations(F.col("html"), False, 300, True), ",").alias("violations"))
 
 
-@query("authenticity_audit")
+AUDIT_SQL = """
+WITH d AS (SELECT doc_id, lower(text) AS t, list_distinct(regexp_extract_all(text, '[$][0-9][0-9,.]*[KMkm]?|[0-9]+%')) AS f, list_distinct(regexp_extract_all(text, '(19|20)[0-9]{2}')) AS y FROM documents)
+SELECT doc_id, CAST(greatest(0, 100 - 15 * (len([x FOR x IN f IF x NOT IN ('20%', '$5K')]) + CAST(contains(t, 'kubernetes') AS INT)) - 7 * len([x FOR x IN y IF x <> '2019'])) AS INT) AS score FROM d
+"""
+
+
+@query("authenticity_audit", AUDIT_SQL)
 def authenticity_audit(spark, read):
     return read("documents").select("doc_id", M.authenticity(F.col("text"), F.lit("in 2019 I saved 20% and $5K"), ("kubernetes",)).alias("score"))
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quillstone.operators.relational import circuit_states
 from quillstone.registry import query
 from quillstone.shelf import Shelf
 from quillstone.streaming import ingest
@@ -36,6 +35,22 @@ def rate_limiter(spark, read):
     return e.select("event_id", F.count(F.lit(1)).over(Window.partitionBy("user_id").orderBy("us").rangeBetween(-21_600_000_000, 0)).alias("recent"))
 
 
+CIRCUIT_SQL = """
+WITH e AS (SELECT event_id, user_id, epoch(ts) AS t, event_id % 3 <> 0 AS failed FROM events),
+r AS (SELECT *, count(*) FILTER (NOT failed) OVER w AS run, max(CASE WHEN failed THEN t END) OVER w AS last, lead(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS next FROM e
+      WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT *, count(*) FILTER (failed) OVER (PARTITION BY user_id, run ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS failures FROM r)
+SELECT event_id, failures, CASE WHEN failures >= 3 THEN 'OPEN' ELSE 'CLOSED' END AS state, CASE WHEN next IS NOT NULL THEN failures < 3 OR next - last > 36000 END AS next_may_go FROM f
+"""
+
+
+@query("circuit_breaker", CIRCUIT_SQL)
+def circuit_breaker(spark, read):
+    """Events as calls of their users; two of three fail."""
+    calls = read("events").select("event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("t"), (F.col("event_id") % 3 != 0).alias("failed"))
+    return circuit_states(calls, "user_id", "t", "event_id", "failed", 3, 36_000.0).select("event_id", "failures", "state", "next_may_go")
+
+
 @query("stream_tumbling", "SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_tumbling(spark, read):
     """The same counts from a file stream that is run until all input is read."""
@@ -43,9 +58,8 @@ def stream_tumbling(spark, read):
     shelf = Shelf(spark, "stream")
     source = shelf.put(read("events"), "landing")
     stream = ingest.landing(spark, f"{shelf.path}/landing", schema)
-    name = f"counts_{uuid.uuid4().hex}"
     counts = ingest.tumbling(stream, "ts", "1 day", "event_type")
-    run = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shelf.path}/checkpoint").trigger(availableNow=True).start()
-    run.awaitTermination()
+    sink = counts.writeStream.outputMode("update").foreachBatch(ingest.replace_groups(f"{shelf.path}/counts", ["start", "event_type"]))
+    sink.option("checkpointLocation", f"{shelf.path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     del source
-    return spark.table(name)
+    return ingest.latest_groups(spark, f"{shelf.path}/counts", ["start", "event_type"], counts.schema)

@@ -8,7 +8,7 @@ from quillstone.functions import text as T
 from quillstone.functions.dates import parsed
 from quillstone.operators.relational import keep_first
 from quillstone.operators.screening import SPECIFIC_PATTERNS, VAGUE_PHRASES, specificity
-from quillstone.operators.similarity import shared_phrases, small
+from quillstone.operators.similarity import containing, shared_phrases
 from quillstone.registry import query
 from quillstone.sources.tables import unified
 
@@ -36,7 +36,20 @@ def url_parts(spark, read):
     return read("pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), T.slug(F.regexp_extract("url", "^https?://[^/]+(/.*)?$", 1)).alias("slug"))
 
 
-@query("description_cleaner")
+def _replaced(x: str, *rules: tuple[str, str]) -> str:
+    for pattern, by in rules:
+        x = f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
+    return x
+
+
+CLEANED_SQL = "SELECT page_id, trim(" + _replaced(
+    ENTITY_SQL.format(_replaced("regexp_replace(html, '(?i)<br[ ]*/?>|</(p|div|li|ul|ol|h[1-6]|tr)>', chr(10), 'g')", ("<[^>]*>", " "))),
+    ("&[a-zA-Z]+;|&#[0-9]+;", ""), ("[*][*]([^*]+)[*][*]", r"\1"), (r"\[([^\]]*)\]\([^)]*\)", r"\1"), ("(?m)^#+ *", ""), ("`", ""), (r"[ \t]+", " "),
+).replace("'[ \\t]+', ' ', 'g')", "'[ \\t]+', ' ', 'g')") + ") AS raw FROM pages"
+CLEANED_SQL = f"SELECT page_id, trim(regexp_replace(regexp_replace(raw, ' *\n *', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')) AS text FROM ({CLEANED_SQL})"
+
+
+@query("description_cleaner", CLEANED_SQL)
 def description_cleaner(spark, read):
     return read("pages").select("page_id", T.clean_description(F.col("html")).alias("text"))
 
@@ -132,10 +145,18 @@ def date_formats(spark, read):
     return d.select(parsed(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("iso"), parsed(F.date_format("o_orderdate", "MM/dd/yyyy")).alias("slashed"), parsed(epoch).alias("epoch"))
 
 
-@query("company_names")
+NAMES_SQL = """
+SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'Trade ' || s_name || '|' || s_name || '|' || s_name || ', LLC|' || s_name || ', LLC, d/b/a Trade ' || s_name
+  WHEN 1 THEN s_name || ' (US)|' || s_name || '|' || s_name || ' (US) Inc.' WHEN 2 THEN s_name ELSE s_name || '|' || s_name || ' GmbH' END AS candidates FROM supplier
+"""
+
+
+@query("company_names", NAMES_SQL)
 def company_names(spark, read):
-    names = spark.createDataFrame([("Perfect Path, LLC, d/b/a Trajector Services",), ("Acme (US) Inc.",), ("Plain Name",)], "name string")
-    return names.select("name", T.company_candidates(F.col("name")).alias("candidates"))
+    """Suppliers under trading names, with suffixes and with parentheses."""
+    s, k = F.col("s_name"), F.col("s_suppkey") % 4
+    name = F.when(k == 0, F.concat(s, F.lit(", LLC, d/b/a Trade "), s)).when(k == 1, F.concat(s, F.lit(" (US) Inc."))).when(k == 2, s).otherwise(F.concat(s, F.lit(" GmbH")))
+    return read("supplier").select("s_suppkey", F.array_join(T.company_candidates(name), "|").alias("candidates"))
 
 
 @query("dedup_training_rows", "SELECT lower(source) AS s, lang, min(doc_id) AS doc_id FROM documents GROUP BY 1, 2")
@@ -156,4 +177,4 @@ def item_in_source(spark, read):
 
 
 def _having(docs, items):
-    return docs.join(small(items), F.contains("text", "needle")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return containing(docs, items, "doc_id", "needle").groupBy("doc_id").agg(F.sum("times").alias("n"))

@@ -32,6 +32,21 @@ def sessions(df: DataFrame, time: str, gap: str, key: str) -> DataFrame:
     return df.groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("start"), "n")
 
 
+def replace_groups(folder: str, keys: list[str]):
+    """A micro-batch writer: each batch's updated groups go to a folder of its own number, which a retry overwrites."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={epoch}")
+
+    return write
+
+
+def latest_groups(spark: SparkSession, folder: str, keys: list[str], schema) -> DataFrame:
+    """The groups as their last batch left them."""
+    rows = spark.read.schema(schema).option("basePath", folder).parquet(f"{folder}/batch=*")
+    return keep_last(rows, keys, "batch").drop("batch")
+
+
 def merge_batches(stream: DataFrame, folder: str, key: str, order: str, keep_if_null: list[str], checkpoint: str) -> StreamingQuery:
     """Upserts each micro-batch into a series of snapshots folder/0, folder/1, ...
 
