@@ -174,3 +174,29 @@ def headline_company(headline: Column) -> Column:
         company = F.initcap(F.trim(F.regexp_extract(tail, r"^([^|•/\\-]*)", 1)))
         out = F.when(t.contains(word), F.nullif(company, F.lit(""))) if out is None else out.when(t.contains(word), F.nullif(company, F.lit("")))
     return out
+
+
+def missing_skills(resume: Column) -> Column:
+    """Skills that rows of a table mark as NOT FOUND, lowered and sorted.
+
+    Of the first cell, signs of emphasis go; what stands in parentheses counts by commas,
+    the rest by slashes. Names have 3 to 34 characters, cells 35 at most.
+    """
+    rows = F.filter(F.split(resume, "\n"), lambda x: x.contains("NOT FOUND") & x.contains("|"))
+    cells = F.transform(rows, lambda x: F.get(F.filter(F.transform(F.split(x, r"\|"), _stripped), lambda c: c != ""), F.lit(0)))
+    plain = F.transform(cells, lambda c: _stripped(F.regexp_replace(c, r"[\x{274C}\x{26A0}\x{FE0F}*`]", "")))
+    kept = F.filter(plain, lambda c: c.isNotNull() & (F.upper(c) != "NOT FOUND") & (F.length(c) <= 35))
+    bases = F.flatten(F.transform(kept, lambda c: F.split(F.regexp_replace(c, r"\(.*?\)", ""), "/")))
+    inner = F.flatten(F.transform(kept, lambda c: F.flatten(F.transform(F.regexp_extract_all(c, F.lit(r"\(([^)]+)\)"), F.lit(1)), lambda p: F.split(p, ",")))))
+    names = F.filter(F.transform(F.concat(bases, inner), lambda x: F.lower(_stripped(x))), lambda x: F.length(x).between(3, 34))
+    return F.coalesce(F.array_sort(F.array_distinct(names)), F.array().cast("array<string>"))
+
+
+#: A description's ways to name a place and a salary, in order.
+PLACES = (r"(\w+,\s*[A-Z]{2})", r"(Remote)")
+SALARY_TEXTS = (r"\$[\d,]+\s*-\s*\$[\d,]+", r"\$[\d,]+k?\s*-\s*\$[\d,]+k?", r"[\d,]+\s*-\s*[\d,]+k?")
+
+
+def first_match(text: Column, patterns: Sequence[str], otherwise: str | None = None) -> Column:
+    """What the first of the patterns that occurs matches."""
+    return F.coalesce(*(F.when(text.rlike(p), F.regexp_extract(text, p, 0)) for p in patterns), F.lit(otherwise).cast("string"))

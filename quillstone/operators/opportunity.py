@@ -222,3 +222,57 @@ def merged(parts: Mapping[str, Column]) -> Column:
     """Maps merged into one; where keys repeat, the later map counts."""
     maps = list(parts.values())
     return reduce(lambda a, b: F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b), maps)
+
+
+#: Names and companies that stand for missing ones, wordings that claim a skill, and those that admit a gap.
+PLACEHOLDER_NAMES = ("john doe", "jane doe", "jane smith", "john smith", "first last", "your name", "[name]", "[your name]")
+PLACEHOLDER_COMPANIES = (
+    "abc corporation", "xyz university", "abc university", "def startups", "acme corp", "acme inc", "example corp", "sample company",
+    "company name", "[company]", "123 main st", "anytown",
+)
+CLAIMS = (
+    "experience with {}", "expertise in {}", "proficient in {}", "skilled in {}", "worked with {}", "using {}", "built with {}", "designed with {}",
+    "implemented {}", "deployed {}", "managed {}", "leveraged {}", "utilized {}",
+)
+GAPS = ("growth area", "to develop", "gap", "learning", "eager to learn", "would need to", "don't have", "do not have", "no experience", "not found")
+
+
+def claimed_skills(text: Column, missing: Column, reach: int = 100) -> Column:
+    """The skills among missing that a text claims somewhere: near a wording of a claim or of skills, and not near one of a gap."""
+    low = F.lower(text)
+
+    def claimed(skill: Column) -> Column:
+        count = ((F.length(low) - F.length(F.replace(low, skill, F.lit("")))) / F.length(skill)).cast("int")
+        ends = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda k: F.length(F.call_function("substring_index", low, skill, k)) + 1)
+
+        def said(at: Column) -> Column:
+            near = F.substring(low, F.greatest(at - reach, F.lit(1)), F.least(at - 1, F.lit(reach)) + F.length(skill) + reach)
+            claims = reduce(lambda a, b: a | b, (F.contains(near, F.replace(F.lit(c), F.lit("{}"), skill)) for c in CLAIMS))
+            return ~any_term(near, GAPS) & (claims | near.contains("skill"))
+
+        return (count > 0) & F.exists(ends, said)
+
+    return F.filter(missing, claimed)
+
+
+def authentic_output(text: Column, name: Column, companies: Column, missing: Column) -> Column:
+    """issues, claimed skills and confidence of a generated resume.
+
+    The candidate's name has to occur (a part of more than three letters), no placeholder
+    may, two of the known companies have to where there are any, and no missing skill may
+    be claimed. One issue leaves a confidence of 0.3, more or any claimed skill 0.
+    """
+    low = _low(text)
+    parts = F.filter(F.split(F.lower(name), r"\s+"), lambda p: F.length(p) > 3)
+    named = (F.coalesce(name, F.lit("")) == "") | F.exists(parts, lambda p: F.contains(low, p))
+    real = F.size(F.filter(companies, lambda c: F.contains(low, F.lower(c))))
+    claimed = claimed_skills(low, missing)
+    flags = [F.when(~named, F.lit("name"))] + [F.when(low.contains(p), F.lit(p)) for p in (*PLACEHOLDER_NAMES, *PLACEHOLDER_COMPANIES)] + [F.when((F.size(companies) > 0) & (real < 2), F.lit("companies"))]
+    issues = F.concat(F.array_compact(F.array(*flags)), F.transform(claimed, lambda s: F.concat(F.lit("claimed: "), s)))
+    sure = F.when(F.size(issues) == 0, 1.0).when((F.size(claimed) == 0) & (F.size(issues) == 1), 0.3).otherwise(0.0)
+    return F.struct(issues.alias("issues"), claimed.alias("claimed"), sure.alias("confidence"))
+
+
+def simple_match(title: Column, description: Column, skills: Sequence[str]) -> Column:
+    """0.2 for each skill in the title and 0.1 for each in the description, at most 0.9."""
+    return F.least(0.2 * term_count(_low(title), skills) + 0.1 * term_count(_low(description), skills), F.lit(0.9))

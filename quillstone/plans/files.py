@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.text import lenient_json, repaired
 from quillstone.operators.relational import keep_last
+from quillstone.operators.screening import traffic_light
 from quillstone.registry import query
 from quillstone.shelf import Shelf
 from quillstone.sources import sinks, tables
@@ -103,3 +104,29 @@ def stream_merged(spark, read):
     ingest.merge_batches(stream, f"{shelf.path}/store", "user_id", "event_id", [], f"{shelf.path}/checkpoint").awaitTermination()
     snapshots = spark.read.option("basePath", f"{shelf.path}/store").parquet(f"{shelf.path}/store/*").select("user_id", "event_id", "event_type")
     return keep_last(snapshots, ["user_id"], "event_id")
+
+
+PROFILE_SQL = "SELECT doc_id, CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9])idiot([^a-z0-9]|$)') THEN 'RED' WHEN regexp_matches(lower(text), '(^|[^a-z0-9])que([^a-z0-9]|$)') THEN 'GREEN' ELSE 'NEUTRAL' END AS light, 'NEUTRAL' AS without_profile FROM documents"
+
+
+@query("profile_lights", PROFILE_SQL)
+def profile_lights(spark, read):
+    """Traffic lights by a profile that is read from a file, and by one whose file is missing."""
+    shelf = Shelf(spark, "profile")
+    one = spark.range(1).select(F.lit('{"name": "mine",\n "green": ["que"],\n "red": ["idiot"]}').alias("value"))
+    one.write.text(f"{shelf.path}/mine")
+    lights = []
+    for name in ("mine", "none"):
+        p = tables.keyword_profile(spark, f"{shelf.path}/{name}")
+        lights.append(traffic_light(F.col("text"), p["green"], p["yellow"], p["red"], p["yellow_threshold"]))
+    return read("documents").select("doc_id", lights[0].alias("light"), lights[1].alias("without_profile"))
+
+
+@query("result_file", "SELECT p_partkey AS id, p_partkey % 3 = 0 AS passed FROM part WHERE p_partkey % 3 <> 0")
+def result_file(spark, read):
+    """The rejected entries of one JSON document that lists all results."""
+    shelf = Shelf(spark, "results")
+    entry = F.to_json(F.struct(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 3 == 0).alias("passed")))
+    listing = read("part").groupBy().agg(F.concat(F.lit('{"generated": "now",\n"results": ['), F.array_join(F.collect_list(entry), ",\n"), F.lit("]}")).alias("value"))  # one document, as the tool writes it
+    listing.write.text(f"{shelf.path}/results")
+    return tables.listed(spark, f"{shelf.path}/results", "results", "id: long, passed: boolean").filter("not passed")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillstone.functions import extract as X
 from quillstone.operators import opportunity as O
 from quillstone.operators import screening as G
 from quillstone.registry import query
@@ -206,3 +207,55 @@ def repost_gaps(spark, read):
 @query("title_prefilter", P + "SELECT id FROM p WHERE regexp_matches(lower(title), 'engineer|analyst')")
 def title_prefilter(spark, read):
     return postings(spark, read).filter(F.lower("title").rlike("engineer|analyst")).select("id")
+
+
+GENERATED = (
+    "CASE id % 6 WHEN 0 THEN 'Ann Smith worked at Acorn and Birch, using python' WHEN 1 THEN 'John Doe at Acorn and Birch' WHEN 2 THEN 'Smith at Acorn: proficient in kafka, Birch' "
+    "WHEN 3 THEN 'Ann Smith, Acorn, Birch. No experience with kafka yet' WHEN 4 THEN 'Ann Smith at Acorn only' ELSE 'Smith, Acorn, Birch. Skills: python, airflow' END"
+)
+AUTHENTIC_SQL = P + """
+SELECT id, CASE id % 6 WHEN 0 THEN '' WHEN 1 THEN 'name,john doe' WHEN 2 THEN 'claimed: kafka' WHEN 3 THEN '' WHEN 4 THEN 'companies' ELSE 'claimed: airflow' END AS issues,
+       CAST(CASE id % 6 WHEN 0 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 0.3 ELSE 0 END AS DOUBLE) AS confidence FROM p
+"""
+
+
+@query("authentic_outputs", AUTHENTIC_SQL)
+def authentic_outputs(spark, read):
+    """Six kinds of generated resumes, held against one whose table marks kafka, airflow and dagster as not found."""
+    missing = X.missing_skills(F.lit("| Kafka | ❌ NOT FOUND |\n| Airflow / Dagster | NOT FOUND |\n| Python | found |"))
+    found = O.authentic_output(F.expr(GENERATED), F.lit("Ann Smith"), F.array(F.lit("Acorn"), F.lit("Birch")), missing)
+    return postings(spark, read).select("id", found.alias("f")).select("id", F.array_join("f.issues", ",").alias("issues"), F.col("f.confidence").alias("confidence"))
+
+
+MISSING_SQL = "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'bigquery,google cloud,' || lower(s_name) WHEN 1 THEN 'prefect,s' || s_suppkey || ' tools' WHEN 2 THEN '' ELSE 'spark' END AS skills FROM supplier"
+
+
+@query("missing_skills", MISSING_SQL)
+def missing_skills(spark, read):
+    s, k = F.col("s_name"), F.col("s_suppkey") % 4
+    text = (
+        F.when(k == 0, F.concat(F.lit("Intro\n| **"), s, F.lit("** | ❌ NOT FOUND |\n| Google Cloud (BigQuery, GK) | NOT FOUND |")))
+        .when(k == 1, F.concat(F.lit("|S"), F.col("s_suppkey").cast("string"), F.lit(" tools / Prefect / ab | NOT FOUND |\nNOT FOUND without a table")))
+        .when(k == 2, F.lit("| NOT FOUND | x |\n| a name that is much too long to be the name of a skill | NOT FOUND |"))
+        .otherwise(F.lit("| `Spark` | NOT FOUND |\n| spark | NOT FOUND |"))
+    )
+    return read("supplier").select("s_suppkey", F.array_join(X.missing_skills(text), ",").alias("skills"))
+
+
+SIMPLE_SQL = P + f"SELECT id, CAST(round(least(0.2 * {_n('lower(title)', ('data', 'engineer'))} + 0.1 * {_n('lower(description)', ('data', 'engineer'))}, 0.9), 6) AS DOUBLE) AS score FROM p"
+
+
+@query("simple_matches", SIMPLE_SQL)
+def simple_matches(spark, read):
+    return postings(spark, read).select("id", F.round(O.simple_match(F.col("title"), F.col("description"), ("Data", "Engineer")), 6).alias("score"))
+
+
+TOY_SQL = P + "SELECT id, CASE id % 3 WHEN 0 THEN 'Town, VA' WHEN 1 THEN 'Remote' END AS place, CASE id % 3 WHEN 0 THEN '$' || (100 + id % 50) || ',000 - $' || (200 + id % 50) || ',000' WHEN 1 THEN '90-120k' ELSE 'Not specified' END AS salary FROM p"
+
+
+@query("toy_extractors", TOY_SQL)
+def toy_extractors(spark, read):
+    i = F.col("id")
+    figure = lambda k: F.concat(F.lit("$"), (k + i % 50).cast("string"), F.lit(",000"))
+    text = F.when(i % 3 == 0, F.concat(F.lit("We sit in Town, VA and pay "), figure(100), F.lit(" - "), figure(200))).when(i % 3 == 1, F.lit("Remote work, 90-120k")).otherwise("nothing said")
+    return postings(spark, read).select("id", X.first_match(text, X.PLACES).alias("place"), X.first_match(text, X.SALARY_TEXTS, "Not specified").alias("salary"))

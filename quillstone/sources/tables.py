@@ -104,3 +104,24 @@ def comment_header(c: str = "text") -> Column:
     """Fields of a hiring comment's first line, split at bars: company, role, place."""
     line = F.split(F.substring_index(c, "\n", 1), r"\|")
     return F.struct(F.trim(F.get(line, F.lit(0))).alias("company"), F.trim(F.get(line, F.lit(1))).alias("role"), F.trim(F.get(line, F.lit(2))).alias("place"))
+
+
+PROFILE = "name string, green array<string>, yellow array<string>, red array<string>, yellow_threshold int"
+
+
+def keyword_profile(spark: SparkSession, path: str) -> dict[str, object]:
+    """A keyword profile from a JSON file; a file that is missing gives an empty profile.
+
+    Lists that the file lacks are empty, and the threshold is 2. What comes to the driver
+    is one profile, not data.
+    """
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    row = spark.read.schema(PROFILE).option("multiLine", True).json(path).first() if there else None
+    found = row.asDict() if row else {}
+    return {"name": found.get("name") or "default", **{k: tuple(found.get(k) or ()) for k in ("green", "yellow", "red")}, "yellow_threshold": found.get("yellow_threshold") or 2}
+
+
+def listed(spark: SparkSession, path: str, field: str, schema: str) -> DataFrame:
+    """The entries of a list within one JSON document, a row each."""
+    return spark.read.schema(f"`{field}` array<struct<{schema}>>").option("multiLine", True).json(path).select(F.inline(field))
