@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def fresh(df: DataFrame, *labels: str) -> list[str]:
@@ -22,3 +25,12 @@ def fresh(df: DataFrame, *labels: str) -> list[str]:
 def own_columns(df: DataFrame) -> list[Column]:
     """The columns of df, whatever signs their names have."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def mapped(df: DataFrame, f: Callable, like: DataFrame) -> DataFrame:
+    """df through f, batch by batch, as rows with like's columns.
+
+    Columns have plain names on the way, since names with dots or backticks are no good there.
+    """
+    schema = T.StructType([T.StructField(f"c{i}", x.dataType, True) for i, x in enumerate(like.schema.fields)])
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(f, schema).toDF(*like.columns)

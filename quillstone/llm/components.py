@@ -28,7 +28,9 @@ def components(edges: DataFrame, shelf: Shelf, label: str) -> DataFrame:
 
     Alternates the two half steps until the edges stay as they are, when every edge leads
     from a node to the least one of its component: a number of rounds that grows with the
-    logarithm of the longest path. Only two sums per round come to the driver.
+    logarithm of the longest path. Only two sums per round come to the driver. Repeated
+    edges, edges of a node with itself and either direction are the same; edges must have
+    no nulls, and without edges there are no rows.
     """
     edges = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now, seen, k = shelf.put(edges, f"{label}_0"), None, 0

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.block_naming import exact_duplicates, normalised
-from quillstone.llm.columns import fresh, own_columns
+from quillstone.llm.columns import fresh, mapped, own_columns
 from quillstone.llm.minhash_tensor import near_rows
 from quillstone.llm.toxicity_zstd import Distance, Toxicity
 from quillstone.shelf import Shelf
@@ -51,7 +51,7 @@ def drop_toxic(docs: DataFrame, model: Toxicity | float, text: str = "text") ->
                 keep = model.score(np.array([distance.features(t) for t in texts])) < 0.5 if texts else np.zeros(0, bool)
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return mapped(docs, clean, docs)
 
 
 def drop_exact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -155,8 +155,9 @@ def encode_digests(docs: DataFrame, path: str, text: str = "text", doc_id: str =
     """Token count and digests of ids and of the decoded text for every row.
 
     Null texts count as empty and have no tokens. Each row is handled by itself: null
-    doc_ids and repeated rows pass through, an empty table gives no rows and other columns
-    are ignored. path has to be readable on every executor.
+    doc_ids and repeated rows pass through, texts of any length are encoded whole, an empty
+    table gives no rows and other columns are ignored. path has to be readable on every
+    executor, and name a file of the kind that ForcedBoundaryEncoder knows.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

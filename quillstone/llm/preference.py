@@ -34,8 +34,10 @@ def preference_pairs(turns: DataFrame, pair: str, rejected: str, conv: str = "co
     rendered once; what follows on each side is its completion, and the spans cover the
     trained role's turns in it. Rows with a null pair, side or turn belong to no
     conversation and are left out; null roles and texts count as empty. Turns that repeat
-    a number keep the order of role and text. A pair with one side has an empty prompt-partner:
-    its n_common is 0 and the missing side's completion null.
+    a number, repeated rows included, keep the order of role and text and count each. Of a
+    pair with one side n_common is 0, the prompt empty and the missing side's completion
+    null. Texts of any length are rendered whole, an empty table gives no rows and other
+    columns are ignored, whatever their names.
     """
     said = turns.filter(F.col(pair).isNotNull() & F.col(rejected).isNotNull() & F.col(turn).isNotNull()).select(
         F.col(pair).alias("pair_id"),

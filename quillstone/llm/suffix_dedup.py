@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.columns import fresh, own_columns
+from quillstone.llm.columns import fresh, mapped, own_columns
 from quillstone.llm.induced_sort import BLOCK, suffix_array
 from quillstone.llm.shingles import _BYTE, _POWERS, mix
 from quillstone.shelf import Shelf
@@ -378,7 +378,10 @@ def repeated_spans(docs: DataFrame, shelf: Shelf, text: str = "text", doc_id: st
     """The rows (doc_id, sha, n_bytes, copy) and the spans (doc_id, sha, n_removed, n_spans, spans) to remove.
 
     A row marked as copy has a text that a smaller document has as a whole: all of it goes
-    if it has 50 bytes, and it has no row among the spans.
+    if it has 50 bytes, and it has no row among the spans. Null texts are empty, and shorter
+    ones than 50 bytes have no spans; rows with a null doc_id take no part. Rows that repeat
+    a doc_id don't take from each other. An empty table gives two empty ones; texts of any
+    length are taken whole, and other columns are ignored.
     """
     spark = docs.sparkSession
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
@@ -482,4 +485,5 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     # The texts are shuffled once, to meet their spans; rows that lose nothing pass through.
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     keyed = docs.select("*", F.unhex(F.sha2(raw, 256)).alias(sha), F.col(doc_id).cast("long").alias(ident))
-    return keyed.join(lost, [ident, sha], "left").select(*own_columns(docs), cuts, all_gone).mapInArrow(cut, docs.schema)
+    met = keyed.join(lost, [ident, sha], "left").select(*own_columns(docs), cuts, all_gone)
+    return mapped(met, cut, docs)
