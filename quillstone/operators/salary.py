@@ -33,9 +33,7 @@ def amount(token: Column) -> Column:
 def _period(value: Column, around: Column) -> Column:
     out = None
     for name, words in CLUES:
-        said = None
-        for w in words:
-            said = around.contains(w) if said is None else said | around.contains(w)
+        said = around.rlike("|".join(words))
         out = F.when(said, name) if out is None else out.when(said, name)
     return out.when(value <= 300, "hourly").when(value.between(3000, 30_000), "monthly").otherwise("yearly")
 
