@@ -126,13 +126,13 @@ def salary_text_stats(spark, read):
 
 
 CLEARANCES = ("needs Top Secret access", "a secret clearance", "Public Trust position", "clearance is a plus", "near Ballston station", "nothing")
-CLEARANCE_SQL = P + f"SELECT id, CASE id % 6 WHEN 0 THEN 'top_secret' WHEN 1 THEN 'secret' WHEN 2 THEN 'public_trust' WHEN 3 THEN 'required' END AS level, CASE WHEN id % 6 = 4 OR {_any('lower(location)', X.METRO_WORDS)} THEN TRUE END AS metro FROM p"
+CLEARANCE_SQL = P + f"SELECT id, CASE id % 6 WHEN 0 THEN 'top_secret' WHEN 1 THEN 'secret' WHEN 2 THEN 'public_trust' WHEN 3 THEN 'required' END AS level, CASE WHEN id % 6 = 4 OR {_any('lower(location)', X.METRO_WORDS)} THEN 1 END AS metro FROM p"
 
 
 @query("clearance_levels", CLEARANCE_SQL)
 def clearance_levels(spark, read):
     said = F.element_at(F.array(*map(F.lit, CLEARANCES)), (F.col("id") % 6 + 1).cast("int"))
-    return postings(spark, read).select("id", X.clearance_level(said).alias("level"), X.metro_accessible(F.col("location"), said).alias("metro"))
+    return postings(spark, read).select("id", X.clearance_level(said).alias("level"), X.metro_accessible(F.col("location"), said).cast("int").alias("metro"))
 
 
 LEVEL_TITLES = ("Principal Scientist", "Sr. Engineer", "Engineer II", "Junior Analyst", "Director of Data", "VP Sales", "Engineer", "Lead Architect", "Data Associate")

@@ -40,7 +40,7 @@ WITH e AS (SELECT event_id, user_id, epoch(ts) AS t, event_id % 3 <> 0 AS failed
 r AS (SELECT *, count(*) FILTER (NOT failed) OVER w AS run, max(CASE WHEN failed THEN t END) OVER w AS last, lead(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS next FROM e
       WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)),
 f AS (SELECT *, count(*) FILTER (failed) OVER (PARTITION BY user_id, run ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS failures FROM r)
-SELECT event_id, failures, CASE WHEN failures >= 3 THEN 'OPEN' ELSE 'CLOSED' END AS state, CASE WHEN next IS NOT NULL THEN failures < 3 OR next - last > 36000 END AS next_may_go FROM f
+SELECT event_id, failures, CASE WHEN failures >= 3 THEN 'OPEN' ELSE 'CLOSED' END AS state, CASE WHEN next IS NOT NULL THEN CAST(failures < 3 OR next - last > 36000 AS INT) END AS next_may_go FROM f
 """
 
 
@@ -48,7 +48,7 @@ SELECT event_id, failures, CASE WHEN failures >= 3 THEN 'OPEN' ELSE 'CLOSED' END
 def circuit_breaker(spark, read):
     """Events as calls of their users; two of three fail."""
     calls = read("events").select("event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("t"), (F.col("event_id") % 3 != 0).alias("failed"))
-    return circuit_states(calls, "user_id", "t", "event_id", "failed", 3, 36_000.0).select("event_id", "failures", "state", "next_may_go")
+    return circuit_states(calls, "user_id", "t", "event_id", "failed", 3, 36_000.0).select("event_id", "failures", "state", F.col("next_may_go").cast("int").alias("next_may_go"))
 
 
 @query("stream_tumbling", "SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
