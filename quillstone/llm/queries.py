@@ -11,6 +11,7 @@ from quillstone.llm.hilbert import hilbert_shards
 from quillstone.llm.isomedia import media_index
 from quillstone.llm.minhash_tensor import near_duplicates
 from quillstone.llm.nnls_packing import pack
+from quillstone.llm.periodic_runs import run_digests
 from quillstone.llm.preference import preference_pairs
 from quillstone.llm.quality_pu import quality
 from quillstone.llm.suffix_dedup import removal_digests
@@ -81,6 +82,10 @@ def op10_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op11_sync_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(documents(spark, sf_dir))
+
+
 OP3_SQL = """
 WITH t AS (SELECT conv_id, conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, '') AS role, coalesce(text, '') AS text,
                   row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos
@@ -122,6 +127,7 @@ def queries() -> dict:
         "op8_forced_bpe": op8_forced_bpe,
         "op9_block_naming": op9_block_naming,
         "op10_nnls_packing": op10_nnls_packing,
+        "op11_sync_runs": op11_sync_runs,
     }
 
 
