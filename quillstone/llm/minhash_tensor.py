@@ -5,37 +5,23 @@ a table's key joins one block of either: 8 and 8 blocks of 2 make 64 tables of 4
 MinHashes, where plain banding would take 256. Sets that meet in a table are candidates,
 and candidates are confirmed on the full sets of 64-bit shingle hashes.
 
-A table never lists all pairs of a bucket: it ties each member to the bucket's first one,
-and the ties make clusters, so that all candidates are inside clusters. A cluster is cut
-into chunks by size band and hash, and each pair of chunks whose sizes allow links is one
-small task: it looks at every candidate pair in it and reports a spanning forest of the
-links. A small cluster is one chunk. The bounds of a chunk decide about cost alone: which
-pairs count is the same at any size.
+A table never lists all pairs of a bucket: ties, clusters and the search of a large cluster
+by chunks and representatives are those of near_links. Which pairs count is the same at any
+size of cluster.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
-from math import log
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from quillstone.llm.components import components
-from quillstone.llm.shingles import mix, shingle_sets
-from quillstone.shelf import Shelf
+from quillstone.llm.near_links import Search, linked_rows
+from quillstone.llm.shingles import WIDTH, mix
 
 #: Blocks of each collection, MinHashes of a block.
 BLOCKS, DEPTH = 8, 2
 #: Similarity of a link, in percent, unless a caller asks for another.
 PERCENT = 85
-#: Keys that one task of the bucket stage sorts, about.
-KEYS_A_TASK = 250_000
-#: Texts that are hashed, and nodes whose tables are built, at once.
-TEXTS_AT_ONCE, NODES_AT_ONCE = 500, 2500
 #: Sets of a chunk of a cluster, and shingles in them, about; clusters of up to twice as much are one chunk.
 CHUNK_NODES, CHUNK_SHINGLES = 256, 1 << 18
 #: So many ids are broadcast at most (some 40 bytes each in memory); more are joined by shuffle.
@@ -45,8 +31,6 @@ _RNG = np.random.default_rng(7)
 _MULTIPLY = _RNG.integers(1, 2**63, _HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, _HASHES, dtype=np.uint64)
 
-SIGNED = "doc_id long, sha binary, n_shingles long, mark binary, blocks binary"
-
 
 def block_hashes(sets: list[np.ndarray]) -> np.ndarray:
     """For each non-empty set a row with the hashes of its 2 * BLOCKS blocks of MinHashes."""
@@ -58,34 +42,6 @@ def block_hashes(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _mark(members: bytes) -> bytes:
-    return hashlib.blake2b(members, digest_size=16).digest()
-
-
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def described(sets: list[np.ndarray]) -> tuple[list[int], list, list]:
-        full = [i for i, s in enumerate(sets) if len(s)]
-        marks, blocks = [None] * len(sets), [None] * len(sets)
-        if full:
-            for i, row in zip(full, block_hashes([sets[i] for i in full])):
-                marks[i], blocks[i] = _mark(sets[i].tobytes()), row.tobytes()
-        return [len(s) for s in sets], marks, blocks
-
-    for b in _stretches(batches, TEXTS_AT_ONCE):
-        counts, marks, blocks, held, size = [], [], [], [], 0
-        for s in shingle_sets(b.column(2).to_pylist()):
-            held.append(s)
-            size += len(s)
-            if size > 100_000:
-                for out, new in zip((counts, marks, blocks), described(held)):
-                    out.extend(new)
-                held, size = [], 0
-        for out, new in zip((counts, marks, blocks), described(held)):
-            out.extend(new)
-        columns = [b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(marks, pa.binary()), pa.array(blocks, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "sha", "n_shingles", "mark", "blocks"])
-
-
 def table_keys(blocks: np.ndarray) -> np.ndarray:
     """The keys of all tables for rows of block hashes: one block of either collection each."""
     left, right = blocks[:, :BLOCKS, None], blocks[:, None, BLOCKS:]
@@ -93,117 +49,13 @@ def table_keys(blocks: np.ndarray) -> np.ndarray:
     return mix(left * np.uint64(0x9E3779B97F4A7C15) + mix(right + tables)).reshape(len(blocks), -1)
 
 
-def ties_in_buckets(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs that tie each member of a bucket to its first one, and the order that keeps buckets together."""
-    order = np.lexsort((nodes, keys))
-    k, v = keys[order], nodes[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-    head = np.repeat(first, np.diff(np.append(first, len(k))))
-    apart = v[head] != v
-    low, high = v[head][apart], v[apart]
-    pairs = np.unique(np.stack([low, high]), axis=1) if len(low) else np.zeros((2, 0), np.int64)
-    return pairs, order
-
-
-_RECORD = np.dtype([("key", "<u8"), ("node", "<i8")])
-_SENT = "bucket int, records binary"
-
+def _keys_of(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    keys = table_keys(_blocks(blocks))
+    return keys.reshape(-1), np.full(len(blocks), keys.shape[1])
 
-def _stretches(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
 
-
-def _ties(nodes: DataFrame, buckets: int, shelf: Shelf) -> DataFrame:
-    """Pairs (u, v) of nodes (node, blocks) that tie the members of every bucket of every table."""
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Ties within a stretch of nodes, as bucket -1; of each bucket, the first member goes on."""
-        for b in _stretches(batches, NODES_AT_ONCE):
-            node = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            if not len(node):
-                continue
-            keys = table_keys(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(len(node), -1))
-            keys, node = keys.reshape(-1), np.repeat(node, keys.shape[1])
-            pairs, order = ties_in_buckets(keys, node)
-            records = np.empty(len(order), _RECORD)
-            records["key"], records["node"] = keys[order], node[order]
-            lead = np.ones(len(records), bool)
-            lead[1:] = records["key"][1:] != records["key"][:-1]
-            sent = records[lead]
-            where = (sent["key"] % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(where, kind="stable")
-            sent, where = sent[order], where[order]
-            cut = np.searchsorted(where, np.arange(buckets + 1))
-            out = [(-1, pairs.T.astype("<i8").tobytes())] if pairs.shape[1] else []
-            out += [(i, sent[x:y].tobytes()) for i, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int32()), pa.array([r for _, r in out], pa.binary())], names=["bucket", "records"])
-
-    def joined(table: pa.Table) -> pa.Table:
-        records = np.frombuffer(b"".join(table.column("records").to_pylist()), _RECORD)
-        pairs, _ = ties_in_buckets(records["key"].copy(), records["node"].copy())
-        return pa.table({"u": pairs[0], "v": pairs[1]})
-
-    def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            pairs = np.frombuffer(b"".join(b.column(0).to_pylist()), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["u", "v"])
-
-    sent = shelf.put(nodes.select("node", "blocks").mapInArrow(local, _SENT), "sent")
-    across = sent.filter("bucket >= 0").groupBy("bucket").applyInArrow(joined, "u long, v long")
-    return across.unionByName(sent.filter("bucket < 0").select("records").mapInArrow(spelt, "u long, v long"))
-
-
-def _chunked(placed: DataFrame, percent: int, shelf: Shelf) -> DataFrame:
-    """placed (node, cluster, n_shingles, and others) with alone and, in keys, the pairs of chunks that each row goes to.
-
-    Sets whose sizes lie more than a band apart can't be linked. alone marks clusters that
-    are one chunk.
-    """
-    others = [c for c in placed.columns if c != "n_shingles"]
-    # Sums are written before they are joined back, so that the rows of a hot cluster are split there.
-    placed = shelf.put(placed, "placed")
-    sized = shelf.put(placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles")), "sized")
-    alone = (F.col("n") <= 2 * CHUNK_NODES) & (F.col("shingles") <= 2 * CHUNK_SHINGLES)
-    # A little wider than the ratio of sizes, so that rounding sets nobody two bands apart.
-    band = F.floor(F.log("n_shingles") / (1.000001 * log(100 / min(percent, 99)))).cast("int")
-    placed = placed.join(sized.select("cluster", alone.alias("alone")), "cluster").withColumn("band", F.when(F.col("alone"), F.lit(0)).otherwise(band))
-    bands = placed.groupBy("cluster", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"), F.first("alone").alias("one"))
-    chunks = F.greatest(F.ceil(F.col("n") / CHUNK_NODES), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).cast("int")
-    bands = bands.select("cluster", "band", F.when(F.col("one"), F.lit(1)).otherwise(chunks).alias("k"))
-    # As many rows as a cluster has bands: their number grows with the logarithm of the sizes.
-    next_to = Window.partitionBy("cluster").orderBy("band")
-    beside = lambda f, by: F.when(f("band").over(next_to) == F.col("band") + by, f("k").over(next_to)).otherwise(F.lit(0))
-    bands = shelf.put(bands.select("cluster", "band", "k", beside(F.lag, -1).alias("k_below"), beside(F.lead, 1).alias("k_above")), "bands")
-
-    def upto(n: Column, pair: Callable[[Column], Column]) -> Column:
-        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), pair)).otherwise(F.array().cast("array<struct<a:int,i:int,b:int,j:int>>"))
-
-    def pair(a: Column, i: Column, b: Column, j: Column) -> Column:
-        return F.struct(a.alias("a"), i.alias("i"), b.alias("b"), j.alias("j"))
-
-    own, at = F.col("band"), F.col("chunk")
-    keys = F.concat(
-        upto(F.col("k"), lambda x: pair(own, F.least(x, at), own, F.greatest(x, at))),
-        upto(F.col("k_below"), lambda x: pair(own - 1, x, own, at)),
-        upto(F.col("k_above"), lambda x: pair(own, at, own + 1, x)),
-    )
-    placed = placed.join(bands, ["cluster", "band"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("k").cast("long")).cast("int"))
-    return placed.select(*others, "alone", keys.alias("keys"))
-
-
-def _members(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """first, mark and full set of the rows of docs whose doc_id is among ids (first)."""
-    few = ids.count() <= BROADCAST_IDS
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _stretches(batches, TEXTS_AT_ONCE):
-            found = [s.tobytes() for s in shingle_sets(b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_mark(x) for x in found], pa.binary()), pa.array(found, pa.binary())], names=["first", "mark", "members"])
-
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["first"], "left_semi")
-    return texts.mapInArrow(sets, "first long, mark binary, members binary")
+def _blocks(rows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), np.uint64).reshape(len(rows), -1)
 
 
 def linked_components(nodes: np.ndarray, sets: list[np.ndarray], blocks: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -243,54 +95,46 @@ def linked_components(nodes: np.ndarray, sets: list[np.ndarray], blocks: np.ndar
     return found
 
 
-def _linker(percent: int) -> Callable[[pa.Table], pa.Table]:
-    def linked(table: pa.Table) -> pa.Table:
-        """node, the least node that links lead to within the table, and whether the cluster is one chunk."""
-        nodes = table.column("node").to_numpy()
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("members")]
-        blocks = np.frombuffer(b"".join(table.column("blocks").to_pylist()), np.uint64).reshape(len(sets), -1)
-        found = linked_components(nodes, sets, blocks, percent)
-        return pa.table({"node": nodes, "component": found, "alone": table.column("alone")})
-
-    return linked
+def linked_across(components: np.ndarray, is_rest: np.ndarray, sets: list[np.ndarray], blocks: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Pairs of components joined by a link between a row with is_rest and a row without, of sets that meet in a table."""
+    others = np.flatnonzero(~is_rest)
+    if not len(others):
+        return []
+    sizes = np.array([len(s) for s in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    mark = np.zeros(int(ids.max()) + 1, bool)
+    first, second = blocks[:, :BLOCKS], blocks[:, BLOCKS:]
+    tokens = np.concatenate([ids[starts[y] : starts[y] + sizes[y]] for y in others])
+    offsets = np.cumsum(sizes[others]) - sizes[others]
+    found = set()
+    for x in np.flatnonzero(is_rest):
+        meets = (components[others] != components[x]) & (first[others] == first[x]).any(1) & (second[others] == second[x]).any(1)
+        if meets.any():
+            own = ids[starts[x] : starts[x] + sizes[x]]
+            mark[own] = True
+            common = np.add.reduceat(mark[tokens], offsets, dtype=np.int64)
+            mark[own] = False
+            near = meets & (100 * common >= percent * (sizes[others] + sizes[x] - common))
+            found.update((int(components[x]), int(c)) for c in np.unique(components[others[near]]))
+    return list(found)
+
+
+def _search(percent: int) -> Search:
+    return Search(
+        width=WIDTH,
+        keyed=lambda sets: [row.tobytes() for row in block_hashes(sets)],
+        keys_of=_keys_of,
+        keys_each=BLOCKS * BLOCKS,
+        linked=lambda nodes, sets, extra: linked_components(nodes, sets, _blocks(extra), percent),
+        pairs=lambda components, is_rest, sets, extra: linked_across(components, is_rest, sets, _blocks(extra), percent),
+        reads_keys=True,
+    )
 
 
 def near_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """What near_duplicates gives, and sha, the digest of the row's text."""
-    shelf = Shelf(docs.sparkSession, "near")
-    whole = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.unhex(F.sha2(whole, 256)).alias("sha"), whole.alias("text"))
-    signed = shelf.put(rows.mapInArrow(_signed, SIGNED), "signed")
-    linked = signed.filter("n_shingles > 0 and doc_id is not null")
-    # Equal sets are one node, whose row is that of the smallest doc_id. The written table pins the numbers.
-    classes = shelf.put(linked.groupBy("mark").agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()), "classes")
-    firsts = linked.join(classes, "mark").filter("doc_id = first").groupBy("node", "first", "mark")
-    nodes = firsts.agg(F.max(F.struct("n_shingles", "blocks")).alias("s"), F.count(F.lit(1)).alias("n")).select("node", "first", "mark", "s.n_shingles", "s.blocks", "n")
-    nodes = shelf.put(nodes, "nodes")
-    count, repeats = nodes.agg(F.count(F.lit(1)), F.max("n")).first()
-    clusters = components(_ties(nodes, max(1, count * BLOCKS * BLOCKS // KEYS_A_TASK), shelf), shelf, "clusters")
-    clusters = shelf.put(clusters.withColumnRenamed("component", "cluster"), "clustered")
-    chunked = shelf.put(_chunked(clusters.join(nodes.drop("n"), "node"), percent, shelf), "chunked")
-    shelf.drop("sent", "clustered", "placed", "sized", "bands")
-    sets = _members(chunked.select("first").distinct(), rows)
-    if repeats is not None and repeats > 1:
-        sets = sets.dropDuplicates(["first", "mark"])
-    met = sets.join(chunked, ["first", "mark"]).withColumn("key", F.explode("keys")).select("cluster", "key", "alone", "node", "blocks", "members")
-    found = shelf.put(met.groupBy("cluster", "key").applyInArrow(_linker(percent), "node long, component long, alone boolean").filter("node <> component"), "found")
-    # What a lone chunk found is final; the links from several chunks are joined up.
-    links = shelf.put(found.filter("not alone").select(F.col("node").alias("u"), F.col("component").alias("v")), "links")
-    joined = found.filter("alone").select("node", "component")
-    if not links.isEmpty():
-        joined = joined.unionByName(components(links, shelf, "joined"))
-    grouped = classes.join(joined, "node", "left").select("mark", "first", F.coalesce("component", "node").alias("component"))
-    grouped = shelf.put(grouped, "grouped")
-    least = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    out = signed.select("doc_id", "sha", "n_shingles", "mark").join(grouped.join(least, "component").select("mark", "component_id"), "mark", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    out = out.select("doc_id", "sha", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    out = shelf.put(out, "result")
-    shelf.keep("result")
-    return out
+    return linked_rows(docs, text, doc_id, _search(percent), "near", CHUNK_NODES, CHUNK_SHINGLES, BROADCAST_IDS)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.block_naming import exact_duplicates
 from quillstone.llm.forced_bpe import encode_digests
+from quillstone.llm.group_matrix import jaccard_components
 from quillstone.llm.hilbert import hilbert_shards
 from quillstone.llm.isomedia import media_index
 from quillstone.llm.minhash_tensor import near_duplicates
@@ -86,6 +87,10 @@ def op11_sync_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(documents(spark, sf_dir))
 
 
+def op13_group_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir))
+
+
 OP3_SQL = """
 WITH t AS (SELECT conv_id, conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, '') AS role, coalesce(text, '') AS text,
                   row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos
@@ -115,6 +120,26 @@ SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t
 """
 
 
+#: Sets of word shingles, pairs by their common shingles, and the least doc_id that links lead to.
+OP13_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k : k + 2], ' ') AS x FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS k FROM w WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n, md5(string_agg(x, chr(10) ORDER BY x)) AS class FROM s GROUP BY doc_id),
+c AS MATERIALIZED (SELECT class, min(doc_id) AS first, any_value(n) AS n FROM n GROUP BY class),
+r AS MATERIALIZED (SELECT c.first, c.n, s.x FROM c JOIN s ON s.doc_id = c.first),
+p AS MATERIALIZED (
+  SELECT a.first AS u, b.first AS v FROM r a JOIN r b ON a.x = b.x AND a.first < b.first AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n
+  GROUP BY a.first, b.first, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+e AS MATERIALIZED (SELECT u, v FROM p UNION SELECT v, u FROM p),
+reach AS (SELECT u AS root, u AS node FROM e UNION SELECT reach.root, e.v FROM reach JOIN e ON reach.node = e.u),
+least AS (SELECT root, min(node) AS m FROM reach GROUP BY root)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least.m, c.first, w.doc_id) AS component_id, coalesce(least.m, c.first, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (class) LEFT JOIN least ON least.root = c.first
+"""
+
+
 def queries() -> dict:
     return {
         "op1_quality": op1_quality,
@@ -128,8 +153,9 @@ def queries() -> dict:
         "op9_block_naming": op9_block_naming,
         "op10_nnls_packing": op10_nnls_packing,
         "op11_sync_runs": op11_sync_runs,
+        "op13_group_matrix": op13_group_matrix,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op3_preference": OP3_SQL, "op9_block_naming": OP9_SQL}
+    return {"op3_preference": OP3_SQL, "op9_block_naming": OP9_SQL, "op13_group_matrix": OP13_SQL}

@@ -72,39 +72,39 @@ def _words(text: bytes) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
-def _shingles(words: np.ndarray) -> np.ndarray:
+def _shingles(words: np.ndarray, width: int) -> np.ndarray:
     """Hashes of the shingles of one text's words; of fewer words than a shingle has, one for all of them."""
     n = len(words)
     if n == 0:
         return words
-    if n < WIDTH:
+    if n < width:
         return mix((words * _WEIGHTS[:n]).sum(keepdims=True, dtype=np.uint64) + np.uint64(n))
-    total = words[: n - WIDTH + 1] * _WEIGHTS[0]
-    for k in range(1, WIDTH):
-        total = total + words[k : n - WIDTH + 1 + k] * _WEIGHTS[k]
+    total = words[: n - width + 1] * _WEIGHTS[0]
+    for k in range(1, width):
+        total = total + words[k : n - width + 1 + k] * _WEIGHTS[k]
     return mix(total)
 
 
-def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text, in order."""
+def shingle_sets(texts: list[bytes], width: int = WIDTH) -> Iterator[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles of up to WIDTH words, in order."""
     group: list[bytes] = []
     size = 0
     for t in texts:
         if group and size + len(t) > PIECE:
-            yield from _group(group)
+            yield from _group(group, width)
             group, size = [], 0
         if len(t) > PIECE:
-            yield np.unique(_shingles(_words(t)))
+            yield np.unique(_shingles(_words(t), width))
         else:
             group.append(t)
             size += len(t) + 1
-    yield from _group(group)
+    yield from _group(group, width)
 
 
-def _group(texts: list[bytes]) -> Iterator[np.ndarray]:
+def _group(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
     if not texts:
         return
     hashes, starts = word_hashes(b" ".join(texts))
     bounds = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
     for a, b in zip(bounds, bounds[1:]):
-        yield np.unique(_shingles(hashes[a:b]))
+        yield np.unique(_shingles(hashes[a:b], width))
