@@ -10,6 +10,7 @@ from quillstone.llm.forced_bpe import encode_digests
 from quillstone.llm.group_matrix import jaccard_components
 from quillstone.llm.hilbert import hilbert_shards
 from quillstone.llm.isomedia import media_index
+from quillstone.llm.lexical_blocks import ranked_search
 from quillstone.llm.minhash_tensor import near_duplicates
 from quillstone.llm.nnls_packing import pack
 from quillstone.llm.periodic_runs import run_digests
@@ -87,6 +88,10 @@ def op11_sync_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(documents(spark, sf_dir))
 
 
+def op12_geometric_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op13_group_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
@@ -120,6 +125,25 @@ SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t
 """
 
 
+#: Terms, their counts and weights, and every document that has a term of an item.
+OP12_SQL = r"""
+WITH f AS MATERIALIZED (
+  SELECT doc_id, x, count(*) AS tf FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS x FROM documents) GROUP BY doc_id, x),
+q AS MATERIALIZED (
+  SELECT item_id, x, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS x FROM benchmark) GROUP BY item_id, x),
+d AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM f GROUP BY doc_id),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM d),
+m AS (SELECT doc_id, 100 - 75 + (75 * n * docs) // total AS m FROM d, s),
+w AS (SELECT x, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT x, count(*) AS df FROM f GROUP BY x), s),
+r AS (
+  SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN w USING (x) JOIN f USING (x) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM r WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
+
 #: Sets of word shingles, pairs by their common shingles, and the least doc_id that links lead to.
 OP13_SQL = r"""
 WITH RECURSIVE w AS (
@@ -153,9 +177,10 @@ def queries() -> dict:
         "op9_block_naming": op9_block_naming,
         "op10_nnls_packing": op10_nnls_packing,
         "op11_sync_runs": op11_sync_runs,
+        "op12_geometric_blocks": op12_geometric_blocks,
         "op13_group_matrix": op13_group_matrix,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op3_preference": OP3_SQL, "op9_block_naming": OP9_SQL, "op13_group_matrix": OP13_SQL}
+    return {"op3_preference": OP3_SQL, "op9_block_naming": OP9_SQL, "op12_geometric_blocks": OP12_SQL, "op13_group_matrix": OP13_SQL}
