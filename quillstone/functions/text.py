@@ -31,16 +31,44 @@ def squeeze(c: Column) -> Column:
 
 
 def clean_description(c: Column) -> Column:
-    """HTML and light Markdown to plain text with line breaks kept."""
-    c = F.regexp_replace(c, r"(?i)<br[ ]*/?>|</(p|div|li|ul|ol|h[1-6]|tr)>", "\n")
-    c = entities(F.regexp_replace(c, r"<[^>]*>", " "))
-    c = F.regexp_replace(c, r"&[a-zA-Z]+;|&#[0-9]+;", "")
-    c = F.regexp_replace(c, r"[*][*]([^*]+)[*][*]", "$1")
-    c = F.regexp_replace(c, r"\[([^\]]*)\]\([^)]*\)", "$1")
-    c = F.regexp_replace(c, r"(?m)^#+ *", "")
-    c = F.regexp_replace(c, "`", "")
-    c = F.regexp_replace(F.regexp_replace(c, "[ \t]+", " "), " *\n *", "\n")
-    return F.trim(F.regexp_replace(c, "\n{3,}", "\n\n"))
+    """HTML, entities and Markdown to plain text, line breaks kept: tags first, then entities, then marks of Markdown, then blanks.
+
+    The rules run one after the other, so that what one leaves the next one may take: an
+    escaped ampersand becomes the start of an entity, a link's exclamation mark stays.
+    """
+    rest = r"([^\p{L}\p{N}_>][^>]*)?>"
+    blank = r"[ \t\n\r\f\x0B]"
+    for pattern, by in (
+        (rf"(?i)<br{blank}*/?>", "\n"),
+        ("(?i)</(p|div|li|tr|h[1-6])>", "\n"),
+        (f"(?i)<(p|div|li|tr|h[1-6]){rest}", ""),
+        ("<[^>]+>", " "),
+        ("&amp;", "&"),
+        ("&lt;", "<"),
+        ("&gt;", ">"),
+        ("&nbsp;", " "),
+        ("&rsquo;|&lsquo;|&#8217;|&#8216;", "'"),
+        ("&rdquo;|&ldquo;|&#8220;|&#8221;", '"'),
+        ("&mdash;|&#8212;", "—"),
+        ("&ndash;|&#8211;", "–"),
+        ("&#[0-9]+;", ""),
+        (r"&[\p{L}\p{N}_]+;", ""),
+        (r"\*{2,3}([^\n]+?)\*{2,3}", "$1"),
+        (r"_{2,3}([^\n]+?)_{2,3}", "$1"),
+        (r"\\([*\-.#\[\]()&!>`~|])", "$1"),
+        (rf"(?md)^#{{1,6}}{blank}+", ""),
+        (r"\[([^\]]+)\]\([^)]+\)", "$1"),
+        (r"!\[([^\]]*)\]\([^)]+\)", "$1"),
+        (rf"(?md)^\\?\*{blank}+", "• "),
+        ("`([^`]+)`", "$1"),
+        (rf"(?md)^[-*_]{{3,}}{blank}*$", ""),
+        (r"[ \t]+", " "),
+        (" *\n *", "\n"),
+        ("\n{3,}", "\n\n"),
+        (rf"^{blank}+|{blank}+$", ""),
+    ):
+        c = F.regexp_replace(c, F.lit(pattern), F.lit(by))
+    return c
 
 
 def whole_word(term: str) -> str:
@@ -192,9 +220,45 @@ def role_track(title: Column) -> Column:
     )
 
 
-def remote_kind(location: Column, description: Column) -> Column:
-    place, text = F.lower(location), F.lower(description)
-    return F.when(place.contains("remote") | text.contains("fully remote"), "remote").when(place.contains("hybrid") | text.contains("hybrid"), "hybrid").otherwise("on_site")
+def remote_kind(location: Column, offices: Column | None = None) -> Column:
+    """Work model by a place and the names of offices: both words in the place mean hybrid; offices that say nothing mean on-site; otherwise unknown."""
+    place = F.lower(F.coalesce(location, F.lit("")))
+    names = F.coalesce(offices, F.array().cast("array<string>")) if offices is not None else F.array().cast("array<string>")
+    told = F.filter(F.transform(names, lambda x: F.lower(F.coalesce(x, F.lit("")))), lambda x: x.contains("remote") | x.contains("hybrid"))
+    first = F.get(told, F.lit(0))
+    return (
+        F.when(place.contains("remote") & place.contains("hybrid"), "hybrid")
+        .when(place.contains("remote"), "remote")
+        .when(place.contains("hybrid"), "hybrid")
+        .when(first.contains("remote"), "remote")
+        .when(first.contains("hybrid"), "hybrid")
+        .when(F.size(names) > 0, "on_site")
+    )
+
+
+def remote_kind_of_text(text: Column) -> Column:
+    """Work model by a free text; unknown if it says none of the words."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    onsite = t.contains("onsite") | t.contains("on-site") | t.contains("in-office")
+    return F.when(t.contains("remote") & t.contains("hybrid"), "hybrid").when(t.contains("remote"), "remote").when(onsite, "on_site")
+
+
+def remote_kind_of_flag(is_remote: Column, description: Column) -> Column:
+    """Work model by a flag, where the description of a job that isn't remote may say hybrid; unknown without a flag."""
+    return F.when(is_remote, "remote").when(~is_remote & F.lower(F.coalesce(description, F.lit(""))).contains("hybrid"), "hybrid").when(~is_remote, "on_site")
+
+
+def remote_kind_of_row(is_remote: Column, location: Column) -> Column:
+    """Work model by a flag as text, else by the place; never unknown."""
+    place = F.lower(F.coalesce(location, F.lit("")))
+    yes = F.lower(F.coalesce(is_remote, F.lit(""))).isin("true", "1", "yes")
+    return F.when(yes | place.contains("remote"), "remote").when(place.contains("hybrid"), "hybrid").otherwise("on_site")
+
+
+def remote_kind_of_workplace(is_remote: Column, workplace: Column) -> Column:
+    """Work model by a flag and a kind of workplace; unknown for a kind that isn't known."""
+    kind, flag = F.lower(F.coalesce(workplace, F.lit(""))), F.coalesce(is_remote, F.lit(False))
+    return F.when(flag | (kind == "remote"), "remote").when(kind == "hybrid", "hybrid").when(kind.isin("onsite", "on-site", ""), "on_site")
 
 
 def company_candidates(name: Column) -> Column:

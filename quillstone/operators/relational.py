@@ -134,3 +134,22 @@ def blocks(df: DataFrame, key: str, rows: int) -> list[DataFrame]:
     n = df.count()
     parts = 1 if n <= rows else -(-2 * n // rows)
     return [df] if parts == 1 else [df.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == i) for i in range(parts)]
+
+
+# Companies that count as valued contacts, and words of leading titles.
+VALUED_COMPANIES = ("airbnb", "uber", "google", "microsoft", "amazon", "apple", "meta")
+LEADING_TITLES = ("director", "vp", "ceo", "cto", "head of", "chief")
+
+
+def network_quality(contacts: DataFrame, keys: list[str], company: str, place: str, title: str) -> DataFrame:
+    """Score up to 100 and rating of each group of contacts.
+
+    Five parts: 20 times the share of distinct companies, 3 a place up to 15, 5 a contact at a
+    valued company up to 25, 2 a contact up to 20, 4 a leading title up to 20. Null values
+    count as no company, place or title, but their rows as contacts.
+    """
+    has = lambda c, terms: F.count_if(reduce(lambda x, y: x | y, (F.contains(F.lower(c), F.lit(t)) for t in terms)))
+    n, capped = F.count(F.lit(1)), lambda most, x: F.least(F.lit(float(most)), x.cast("double"))
+    score = capped(20, 20 * F.count_distinct(company) / n) + capped(15, 3 * F.count_distinct(place)) + capped(25, 5 * has(company, VALUED_COMPANIES)) + capped(20, 2 * n) + capped(20, 4 * has(title, LEADING_TITLES))
+    rating = F.when(F.col("s") >= 80, "Excellent").when(F.col("s") >= 60, "Very Good").when(F.col("s") >= 40, "Good").otherwise("Building")
+    return contacts.groupBy(*keys).agg(score.alias("s")).select(*keys, F.round("s", 1).alias("score"), rating.alias("rating"))

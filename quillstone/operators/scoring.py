@@ -5,6 +5,7 @@ What is known of the candidate is computed once on the driver and enters as lite
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass
 
@@ -155,15 +156,107 @@ def blended(keyword: Column, semantic: Column, threshold: float = 25) -> Column:
     return F.when((keyword >= threshold) & semantic.isNotNull(), F.round(0.6 * keyword + 0.4 * semantic, 1)).otherwise(keyword)
 
 
-def duty_coverage(duties: Column, statements: list[str], at_least: float = 0.25) -> Column:
-    """Percentage of duties of whose words some statement has the share at_least; 75 without duties."""
-    known = F.array(*(words(F.lit(s)) for s in statements)) if statements else F.array().cast("array<array<string>>")
-    covered = F.filter(duties, lambda d: F.exists(known, lambda k: F.coalesce(overlap_share(k, words(d)), F.lit(0.0)) >= at_least))
-    return F.when(F.size(duties) > 0, F.round(100 * F.size(covered) / F.size(duties), 1)).otherwise(75.0)
+# Kinds of duties, the middle of each one's weights, and its signals.
+DUTY_KINDS = (
+    ("core_technical", 0.50, (
+        "python", "sql", "java", "javascript", "typescript", "golang", "rust", "api", "rest", "graphql", "microservices", "architecture", "design",
+        "algorithm", "data structure", "machine learning", "ml", "ai", "nlp", "etl", "pipeline", "database", "schema", "query", "index", "aws", "azure",
+        "gcp", "cloud", "docker", "kubernetes", "react", "angular", "vue", "node", "django", "flask", "fastapi", "spark", "kafka", "airflow", "dbt",
+        "snowflake", "databricks", "pytorch", "tensorflow", "scikit", "pandas", "numpy", "ci/cd", "devops", "infrastructure", "terraform", "ansible",
+        "build", "implement", "develop", "engineer", "code", "program", "system", "platform", "framework", "library", "tool",
+    )),
+    ("implementation", 0.25, (
+        "deploy", "release", "ship", "deliver", "execute", "implement", "test", "unit test", "integration test", "qa", "quality", "monitor", "observe",
+        "logging", "metrics", "alerting", "maintain", "support", "operate", "run", "manage", "process", "workflow", "automation", "script", "agile",
+        "scrum", "sprint", "kanban", "jira", "documentation", "spec", "requirement", "requirement", "debug", "troubleshoot", "resolve", "fix", "optimize",
+    )),
+    ("leadership", 0.20, (
+        "lead", "mentor", "coach", "guide", "manage", "team", "cross-functional", "stakeholder", "partner", "communicate", "present", "report", "align",
+        "hire", "recruit", "interview", "onboard", "roadmap", "strategy", "prioritize", "plan", "influence", "drive", "own", "accountable",
+        "collaborate", "coordinate", "facilitate",
+    )),
+    ("domain", 0.10, (
+        "fintech", "finance", "banking", "payments", "compliance", "healthcare", "hipaa", "ehr", "clinical", "e-commerce", "retail", "supply chain",
+        "saas", "b2b", "b2c", "enterprise", "government", "federal", "regulatory", "security", "soc2", "gdpr", "pci", "media", "content", "advertising",
+        "domain", "industry", "vertical", "sector",
+    )),
+    ("cultural", 0.10, (
+        "ownership", "initiative", "proactive", "self-starter", "adaptable", "flexible", "growth mindset", "passionate", "motivated", "driven",
+        "communication", "written", "verbal", "problem-solving", "analytical", "creative", "fast-paced", "ambiguous", "autonomous", "remote",
+        "distributed", "async",
+    )),
+)
+DUTY_STOP_WORDS = ("the", "and", "for", "with", "that", "this", "will", "are", "have", "has", "our", "you", "your", "their")
+#: What a tier of coverage means for the room that a kind gets, and for how much is rewritten.
+SPACE = {"Strong": "expand", "Moderate": "maintain", "Weak": "trim", "Minimal": "exclude"}
+INTENSITY = {"Strong": "minimal", "Moderate": "light", "Weak": "heavy", "Minimal": "exclude"}
 
 
 def coverage_tier(pct: Column) -> Column:
-    return band(pct, ((80, "Strong"), (65, "Moderate"), (50, "Partial")), "Minimal")
+    """Tiers are closed intervals with gaps between them; a value in a gap is Minimal."""
+    between = lambda low, high, label: (pct.between(low, high), label)
+    out = F.when(pct.isNull(), F.lit(None).cast("string"))
+    for held, label in (between(80.0, 100.0, "Strong"), between(50.0, 79.9, "Moderate"), between(25.0, 49.9, "Weak")):
+        out = out.when(held, label)
+    return out.otherwise("Minimal")
+
+
+def plain_words(c: Column, least: int = 3) -> Column:
+    """Distinct words of at least so many letters a-z with no letter, digit or underscore beside them, in a lowered text."""
+    return F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: w.rlike(f"^[a-z]{{{least},}}$")))
+
+
+def duty_lines(text: Column, most: int = 50) -> Column:
+    """Bulleted or numbered lines, then distinct others that begin with a capitalised word, of plausible lengths, up to most."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^[ \t\r\f]+|[ \t\r\f]+$", ""))
+    mark = r"^([-*•]|[0-9]+[.)]) +"
+    marked = F.transform(F.filter(lines, lambda x: x.rlike(mark)), lambda x: F.regexp_replace(x, mark, ""))
+    marked = F.filter(marked, lambda x: (F.length(x) > 15) & (F.length(x) < 300))
+    verbs = F.filter(lines, lambda x: (F.length(x) > 20) & (F.length(x) < 300) & x.rlike(r"^[A-Z][a-z]+([^\p{L}\p{N}_]|$)"))
+    return F.slice(F.concat(marked, F.array_except(verbs, marked)), 1, most)
+
+
+def resume_statements(resume: str) -> list[str]:
+    """Lines of one résumé that state something: bulleted ones, and longer ones that begin with a capitalised word; from 20 signs on."""
+    lines = [x.strip() for x in resume.splitlines()]
+    marked = [m[1] for x in lines if (m := re.match(r"(?:[-*•]|[0-9]+[.)]) (.+)", x))]
+    marked += [x for x in lines if len(x) > 30 and x not in marked and re.match("[A-Z][a-z]+ ", x)]
+    return [x for x in marked if len(x) >= 20]
+
+
+def duty_coverage(text: Column, resume: str, at_least: float = 0.25) -> Column:
+    """How far one résumé covers the duties of a description.
+
+    A struct of coverage, tier and intensity, scores and space of each kind of duty, and the
+    duties that are matched and uncovered. A duty is matched if its words, without stop words,
+    have the share at_least of the words of all statements together. A kind that the text
+    never names scores 75.
+    """
+    t = F.lower(text)
+    known = sorted(set(re.findall(r"\b[a-z]{3,}\b", " ".join(resume_statements(resume)).lower())))
+    said = F.array(*map(F.lit, known)).cast("array<string>")
+    score = {}
+    for kind, _, signals in DUTY_KINDS:
+        wanted = sum((t.contains(s).cast("int") for s in signals), F.lit(0))
+        have = sum(s in resume.lower() for s in signals)
+        score[kind] = F.when(wanted == 0, 75.0).otherwise(F.round(100 * F.least(have / wanted, F.lit(1.0)), 1))
+    pct = F.least(sum((w * score[k] for k, w, _ in DUTY_KINDS), F.lit(0.0)) / sum(w for _, w, _ in DUTY_KINDS), F.lit(100.0))
+
+    def matched(duty: Column) -> Column:
+        w = F.array_except(plain_words(duty), F.array(*map(F.lit, DUTY_STOP_WORDS)))
+        return F.coalesce(F.size(F.array_intersect(w, said)) / F.nullif(F.size(w), F.lit(0)) >= at_least, F.lit(False))
+
+    label = lambda tier, labels: F.element_at(F.create_map(*(F.lit(x) for kv in labels.items() for x in kv)), tier)
+    duties = duty_lines(text)
+    return F.struct(
+        F.round(pct, 1).alias("coverage"),
+        coverage_tier(pct).alias("tier"),
+        label(coverage_tier(pct), INTENSITY).alias("intensity"),
+        F.struct(*(score[k].alias(k) for k, _, _ in DUTY_KINDS)).alias("kinds"),
+        F.struct(*(label(coverage_tier(score[k]), SPACE).alias(k) for k, _, _ in DUTY_KINDS)).alias("space"),
+        F.filter(duties, matched).alias("matched"),
+        F.filter(duties, lambda d: ~matched(d)).alias("uncovered"),
+    )
 
 
 def match_score(title: Column, description: Column, skills: tuple[str, ...]) -> Column:
@@ -252,17 +345,25 @@ def category(title: Column, description: Column) -> Column:
 SEVERITY = {"critical": 15, "major": 8, "minor": 3}
 
 
+#: Fixed value: the figures that a letter has one of at least.
+METRIC = r"[0-9]+[%xX]|[$][0-9,.]+[MmKkBb]?|[0-9]+[+]|[0-9]+[.][0-9]+[xX]"
+
+
 def document_checks(letter: Column, resume: Column, company: Column, forbidden: tuple[str, ...], placeholders: str = r"\[[A-Za-z ]+\]|lorem ipsum|xxx") -> Column:
     """One struct (name, severity, passed) for each check of a generated letter."""
     low, source = F.lower(letter), F.lower(resume)
     count = F.size(F.filter(F.split(F.trim(letter), "[ \t\r\n]+"), lambda w: w != ""))
-    paragraphs = F.size(F.filter(F.split(letter, "\n *\n"), lambda p: F.trim(p) != ""))
-    repeated = F.arrays_overlap(ngrams(low, 6), ngrams(source, 6))
+    word_count = lambda c: F.size(F.filter(F.split(c, "[ \t\r\n\f]+"), lambda w: w != ""))
+    paragraphs = F.size(F.filter(F.split(letter, "\n\n"), lambda p: word_count(p) > 20))
+    lines = F.split(F.regexp_replace(letter, "^[ \t\r\n\f]+|[ \t\r\n\f]+$", ""), "\n")
+    body = F.when(F.size(lines) > 1, F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(1))), "\n")).otherwise(letter)
+    figures = lambda c: F.regexp_extract_all(c, F.lit(r"[0-9]+[%xX]|[$][0-9,.]+[MmKkBb]?"), F.lit(0))
+    repeated = F.arrays_overlap(figures(letter), figures(resume)) | F.exists(ngrams(low, 6), lambda g: F.contains(source, g))
     checks = (
-        ("names_company", "major", low.contains(F.lower(company))),
+        ("names_company", "major", F.lower(body).contains(F.lower(company))),
         ("length", "minor", count.between(280, 420)),
-        ("paragraphs", "minor", paragraphs.between(3, 5)),
-        ("has_metric", "minor", letter.rlike("[0-9]+%|[$][0-9]")),
+        ("paragraphs", "minor", paragraphs == 4),
+        ("has_metric", "minor", letter.rlike(METRIC)),
         ("no_placeholder", "critical", ~low.rlike(placeholders)),
         ("no_forbidden_skill", "critical", ~any_term(low, forbidden) if forbidden else F.lit(True)),
         ("figures_grounded", "critical", F.size(F.array_except(F.array_union(dollar_figures(letter), percentages(letter)), F.array_union(dollar_figures(resume), percentages(resume)))) == 0),

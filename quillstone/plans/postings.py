@@ -100,13 +100,31 @@ def _required(term: str) -> str:
     return f"(instr(d, '{term}') > 0 AND NOT ({_has(near, G.WISHED_SIGNALS)} AND NOT {_has(near, G.REQUIRED_SIGNALS)}))"
 
 
+#: The wordings again, as SQL text, so that the two engines don't share a list.
+GHOST_SQL = (
+    "talent community|talent pipeline|future opportunities|no immediate openings|building our team for|pool of candidates|general application|we are always looking"
+    "|evergreen requisition|proactive sourcing|talent pool|ongoing recruitment|continuous hiring|we''re always hiring|rolling basis|no specific opening|speculative application"
+).split("|")
+DOD, EDGE = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
+GOVERNMENT_SQL = (
+    " OR ".join(f"regexp_matches(cd, '(^|{EDGE}){x}({EDGE}|$)')" for x in ("nsa", "cia", "dia", "nro", "nga", "fbi", "dhs", "usaf", "fema"))
+    + f" OR regexp_matches(cd, '(^|{EDGE})dod {DOD}') OR "
+    + _has("cd", (
+        "department of defense", "department of energy", "national security agency", "central intelligence agency", "defense intelligence agency", "national reconnaissance office",
+        "national geospatial", "department of homeland", "us army", "us navy", "us marine", "space force", "darpa", "iarpa", "naval research", "army research", "air force research",
+        "intelligence community", "ic contractor", "federal emergency management", "department of veterans", "department of justice", "department of state", "department of treasury",
+        "department of interior", "department of labor", "department of education", "department of agriculture", "department of commerce", "department of transportation",
+        "department of health", "department of housing",
+    ))
+)
+
 #: Every gate of the full chain in SQL, over c (company), l (place), d (description), all lowered, and the plain columns.
 FULL_CHAIN = {
     "0A_company": "'pass'",
     "0J_role": "CASE WHEN id % 8 IN (1, 3, 4, 6) THEN 'fail' ELSE 'pass' END",
     "0G_red": f"CASE WHEN {_word('d', 'worthless')} THEN 'fail' ELSE 'pass' END",
     "0H_yellow": f"CASE WHEN {' AND '.join(_word('d', w) for w in ('the', 'and', 'with'))} THEN 'override_required' ELSE 'pass' END",
-    "0B_defense": f"CASE WHEN {_has('c', G.DEFENSE_PRIMES)} OR {_has('d', G.CLEARANCE_KEYWORDS)} OR {_has('cd', [x for x in G.GOV_EMPLOYER_SIGNALS if len(x) >= 5])} OR {' OR '.join(_word('cd', x) for x in G.GOV_EMPLOYER_SIGNALS if len(x) < 5)} THEN 'fail' ELSE 'pass' END",
+    "0B_defense": f"CASE WHEN {_has('c', G.DEFENSE_PRIMES)} OR {_has('d', G.CLEARANCE_KEYWORDS)} OR {GOVERNMENT_SQL} THEN 'fail' ELSE 'pass' END",
     "0C_staffing": f"CASE WHEN {_has('c', G.DIRECT_HIRE_ALLOWLIST)} THEN 'pass' WHEN contains(c, 'amazon') THEN 'fail' WHEN {_has('c', G.STAFFING_AGENCIES)} OR {_has('d', G.STAFFING_SIGNALS)} THEN 'override_required' ELSE 'pass' END",
     "0D_ghost": "CASE WHEN ghost >= 0.6 THEN 'fail' WHEN ghost >= 0.4 THEN 'override_required' WHEN age > 45 OR applicant_count > 500 THEN 'fail' ELSE 'pass' END",
     "0E_stack": f"CASE WHEN {_required('tion')} OR {_required('spark')} OR {_has('d', G.CLOUD_PRIMARY)} OR {_has('d', [t.format(k) for k in ('kubernetes', 'terraform', 'dbt', 'snowflake') for t in G.PRIMARY_TEMPLATES])} THEN 'fail' ELSE 'pass' END",
@@ -120,7 +138,7 @@ b AS (SELECT *, c || ' ' || chr(10) || ' ' || d AS cd, {_sum_sql(G.SPECIFIC_PATT
 g AS (SELECT *, least(CASE WHEN age > 45 THEN 0.25 WHEN age > 30 THEN 0.15 ELSE 0 END + CASE WHEN salary_max IS NULL THEN 0.05 ELSE 0 END
         + CASE WHEN applicant_count > 500 THEN 0.2 WHEN applicant_count > 200 THEN 0.15 ELSE 0 END
         + CASE WHEN length(d) < 50 OR sharp + vague > 0 AND round(sharp / (sharp + vague), 2) < 0.3 THEN 0.1 ELSE 0 END
-        + CASE WHEN {_has("d", [x.replace("'", "''") for x in G.GHOST_PHRASES])} THEN 0.15 ELSE 0 END, 1.0) AS ghost FROM b),
+        + CASE WHEN {_has("d", GHOST_SQL)} THEN 0.15 ELSE 0 END, 1.0) AS ghost FROM b),
 r AS (SELECT id, {list(FULL_CHAIN)} AS gates, [{", ".join(FULL_CHAIN.values())}] AS results FROM g)
 """
 FULL_SQL = _FULL + """
@@ -145,6 +163,34 @@ def screen_with_overrides(spark, read):
     return G.screen(postings(spark, read), CONFIG, granted).groupBy("stopped_by", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
+CLEARANCE_LABELS = ("required", "Required and active", "no", "TS/SCI", "preferred", "n/a", "public trust", "", "yes please")
+CONTEXTS = (
+    "security clearance", "clearance required", "clearance preferred", "defense contractor", "government contractor", "federal agency", "government agency",
+    "department of defense", "intelligence community", "national security", "classified work", "classified information", "homeland security", "military contract",
+    "federal client", "government client", "ic contractor", "federal government", "public trust clearance", "dod contract", "fema funded", "fema grant", "fema program",
+    "government services", "federal funding", "federal express", "the agency", "dod ", "dod x", "anything else",
+)
+DEFENSE_SQL = P + f"""
+, a AS (SELECT id, lower(company) AS c, lower(description) || ' ' || list_extract({list(CONTEXTS)}, CAST(id % 31 + 1 AS INT)) AS d0, lower(list_extract({list(CLEARANCE_LABELS)}, CAST(id % 10 + 1 AS INT))) AS l FROM p),
+b AS (SELECT id, c, coalesce(d0, '') AS d, l, c || ' ' || chr(10) || ' ' || coalesce(d0, '') AS cd FROM a),
+t AS (SELECT id, CASE WHEN {_has('c', G.DEFENSE_PRIMES)} THEN 'defense prime'
+  WHEN {_has('d', ('security clearance', 'top secret', 'ts/sci', 'secret clearance', 'ts clearance', 'sci clearance', 'public trust', 'clearance required', 'active clearance', 'dod clearance', 'polygraph', 'ci poly', 'full scope poly', 'lifestyle poly', 'interim clearance', 'eligibility for clearance', 'must be clearable', 'ability to obtain clearance', 'current clearance', 'classified environment', 'classified information', 'noforn', 'sci eligible'))} THEN 'clearance in the description'
+  WHEN l IN ('yes', 'true', '1', 'active', 'current', 'required and active', 'secret', 'top secret', 'ts', 'ts/sci', 'sci', 'confidential', 'dod', 'interim', 'public trust') THEN 'clearance field'
+  WHEN l NOT IN ('no', 'false', 'none', '0', '', 'n/a', 'not required', 'not applicable', 'na', 'null') AND {_has('d', [x for x in CONTEXTS[:25]])} THEN 'clearance field and context'
+  WHEN {GOVERNMENT_SQL} THEN 'government employer' END AS reason FROM b)
+SELECT id, reason FROM t WHERE reason IS NOT NULL
+"""
+
+
+@query("defense_gate", DEFENSE_SQL)
+def defense_gate(spark, read):
+    """The clearance gate by itself; labels and wordings come by the id, as no table has them."""
+    pick = lambda values, k: F.get(F.array(*map(F.lit, values)), (F.col("id") % k).cast("int"))
+    jobs = postings(spark, read).withColumn("description", F.coalesce(F.concat("description", F.lit(" "), pick(CONTEXTS, 31)), F.lit(""))).withColumn("clearance_required", pick(CLEARANCE_LABELS, 10))
+    gates = tuple(g for g in G.GATES if g[0] == "0B_defense")
+    return G.screen(jobs, G.GateConfig(AS_OF), gates=gates).filter(F.col("stopped_by").isNotNull()).select("id", F.col("verdicts")[0]["reason"].alias("reason"))
+
+
 @query("stack_tiers", P + f"SELECT id, CASE WHEN {_has('lower(description)', G.STACK_SIGNALS)} THEN 1 ELSE 2 END AS tier FROM p")
 def stack_tiers(spark, read):
     return postings(spark, read).select("id", G.stack_tier(F.col("description"))["tier"].alias("tier"))
@@ -377,34 +423,58 @@ def traffic_lights(spark, read):
     return read("documents").select("doc_id", G.traffic_light(F.col("text"), ("que",), ("the", "and"), ("idiot",)).alias("light"))
 
 
+RESUME = """Summary
+Data engineer for public services
+- Built and ran that thing the tion pipeline with airflow and python
+- Led the team that shipped reports, 40% faster
+1. Plan and deliver quality checks for the platform
+Managed releases with other groups, and tested what they own
+short"""
+
 DUTY_SQL = r"""
-WITH k AS (SELECT unnest([['that', 'thing', 'the', 'tion'], ['the', 'and', 'with', 'other']]) AS k),
-d AS (SELECT doc_id, [x FOR x IN string_split(text, chr(10)) IF length(x) BETWEEN 15 AND 300][1:50] AS ds FROM documents),
-u AS (SELECT doc_id, unnest(ds) AS x, generate_subscripts(ds, 1) AS i FROM d),
-w AS (SELECT doc_id, i, list_distinct(regexp_extract_all(lower(x), '[a-z]{3,}')) AS w FROM u),
-c AS (SELECT doc_id, i, max(CASE WHEN len(w) > 0 AND len(list_intersect(k, w)) / len(w) >= 0.25 THEN 1 ELSE 0 END) AS covered FROM w, k GROUP BY 1, 2),
-p AS (SELECT doc_id, CAST(round(100.0 * sum(covered) / count(*), 1) AS DOUBLE) AS coverage FROM c GROUP BY 1),
-a AS (SELECT doc_id, coalesce(coverage, 75.0) AS coverage FROM documents LEFT JOIN p USING (doc_id))
-SELECT doc_id, coverage, CASE WHEN coverage >= 80 THEN 'Strong' WHEN coverage >= 65 THEN 'Moderate' WHEN coverage >= 50 THEN 'Partial' ELSE 'Minimal' END AS tier FROM a
+WITH k AS (SELECT ['airflow', 'and', 'built', 'checks', 'data', 'deliver', 'engineer', 'faster', 'for', 'groups', 'led', 'managed', 'other', 'own', 'pipeline', 'plan', 'platform', 'public', 'python', 'quality', 'ran', 'releases', 'reports', 'services', 'shipped', 'team', 'tested', 'that', 'the', 'they', 'thing', 'tion', 'what', 'with'] AS k),
+d AS (SELECT doc_id, text, lower(text) AS t, [regexp_replace(x, '^[ \t\r\f]+|[ \t\r\f]+$', '', 'g') FOR x IN string_split(text, chr(10))] AS lines FROM documents),
+m AS (SELECT *, [y FOR y IN [regexp_replace(x, '^([-*•]|[0-9]+[.)]) +', '') FOR x IN lines IF regexp_matches(x, '^([-*•]|[0-9]+[.)]) +')] IF length(y) > 15 AND length(y) < 300] AS marked FROM d),
+v AS (SELECT *, [x FOR x IN lines IF length(x) > 20 AND length(x) < 300 AND regexp_matches(x, '^[A-Z][a-z]+([^\p{L}\p{N}_]|$)')] AS verbs FROM m),
+e AS (SELECT doc_id, t, list_concat(marked, [verbs[i] FOR i IN range(1, len(verbs) + 1) IF NOT list_contains(marked, verbs[i]) AND list_position(verbs, verbs[i]) = i])[1:50] AS duties FROM v),
+u AS (SELECT doc_id, unnest(duties) AS x, generate_subscripts(duties, 1) AS i FROM e),
+w AS (SELECT doc_id, i, list_distinct([y FOR y IN string_split_regex(lower(x), '[^\p{L}\p{N}_]+') IF regexp_full_match(y, '[a-z]{3,}') AND y NOT IN ('the', 'and', 'for', 'with', 'that', 'this', 'will', 'are', 'have', 'has', 'our', 'you', 'your', 'their')]) AS w FROM u),
+c AS (SELECT doc_id, count(*) FILTER (len(w) > 0 AND len(list_intersect(k, w)) / len(w) >= 0.25) AS n_matched, count(*) AS n FROM w, k GROUP BY 1),
+s AS (SELECT doc_id,
+  len([s FOR s IN ['python', 'sql', 'java', 'javascript', 'typescript', 'golang', 'rust', 'api', 'rest', 'graphql', 'microservices', 'architecture', 'design', 'algorithm', 'data structure', 'machine learning', 'ml', 'ai', 'nlp', 'etl', 'pipeline', 'database', 'schema', 'query', 'index', 'aws', 'azure', 'gcp', 'cloud', 'docker', 'kubernetes', 'react', 'angular', 'vue', 'node', 'django', 'flask', 'fastapi', 'spark', 'kafka', 'airflow', 'dbt', 'snowflake', 'databricks', 'pytorch', 'tensorflow', 'scikit', 'pandas', 'numpy', 'ci/cd', 'devops', 'infrastructure', 'terraform', 'ansible', 'build', 'implement', 'develop', 'engineer', 'code', 'program', 'system', 'platform', 'framework', 'library', 'tool'] IF contains(t, s)]) AS a,
+  len([s FOR s IN ['deploy', 'release', 'ship', 'deliver', 'execute', 'implement', 'test', 'unit test', 'integration test', 'qa', 'quality', 'monitor', 'observe', 'logging', 'metrics', 'alerting', 'maintain', 'support', 'operate', 'run', 'manage', 'process', 'workflow', 'automation', 'script', 'agile', 'scrum', 'sprint', 'kanban', 'jira', 'documentation', 'spec', 'requirement', 'requirement', 'debug', 'troubleshoot', 'resolve', 'fix', 'optimize'] IF contains(t, s)]) AS b,
+  len([s FOR s IN ['lead', 'mentor', 'coach', 'guide', 'manage', 'team', 'cross-functional', 'stakeholder', 'partner', 'communicate', 'present', 'report', 'align', 'hire', 'recruit', 'interview', 'onboard', 'roadmap', 'strategy', 'prioritize', 'plan', 'influence', 'drive', 'own', 'accountable', 'collaborate', 'coordinate', 'facilitate'] IF contains(t, s)]) AS c,
+  len([s FOR s IN ['fintech', 'finance', 'banking', 'payments', 'compliance', 'healthcare', 'hipaa', 'ehr', 'clinical', 'e-commerce', 'retail', 'supply chain', 'saas', 'b2b', 'b2c', 'enterprise', 'government', 'federal', 'regulatory', 'security', 'soc2', 'gdpr', 'pci', 'media', 'content', 'advertising', 'domain', 'industry', 'vertical', 'sector'] IF contains(t, s)]) AS d,
+  len([s FOR s IN ['ownership', 'initiative', 'proactive', 'self-starter', 'adaptable', 'flexible', 'growth mindset', 'passionate', 'motivated', 'driven', 'communication', 'written', 'verbal', 'problem-solving', 'analytical', 'creative', 'fast-paced', 'ambiguous', 'autonomous', 'remote', 'distributed', 'async'] IF contains(t, s)]) AS e FROM e),
+-- So many signals of each kind are in the resume.
+r AS (SELECT doc_id, [CASE WHEN z[1] = 0 THEN 75.0 ELSE round(100 * least(z[2] / z[1], 1.0), 1) END FOR z IN list_zip([a, b, c, d, e], [6, 6, 5, 0, 0])] AS k FROM s),
+p AS (SELECT doc_id, least((0.5 * k[1] + 0.25 * k[2] + 0.2 * k[3] + 0.1 * k[4] + 0.1 * k[5]) / 1.15, 100.0) AS pct, k FROM r),
+l AS (SELECT doc_id, round(pct, 1) AS coverage, CASE WHEN pct BETWEEN 80 AND 100 THEN 'Strong' WHEN pct BETWEEN 50 AND 79.9 THEN 'Moderate' WHEN pct BETWEEN 25 AND 49.9 THEN 'Weak' ELSE 'Minimal' END AS tier,
+        [CASE WHEN x BETWEEN 80 AND 100 THEN 'expand' WHEN x BETWEEN 50 AND 79.9 THEN 'maintain' WHEN x BETWEEN 25 AND 49.9 THEN 'trim' ELSE 'exclude' END FOR x IN k] AS space FROM p)
+SELECT doc_id, CAST(coverage AS DOUBLE) AS coverage, tier, CASE tier WHEN 'Strong' THEN 'minimal' WHEN 'Moderate' THEN 'light' WHEN 'Weak' THEN 'heavy' ELSE 'exclude' END AS intensity,
+  array_to_string(space, ',') AS space, CAST(coalesce(n_matched, 0) AS INT) AS n_matched, CAST(coalesce(n - n_matched, 0) AS INT) AS n_uncovered
+FROM l LEFT JOIN c USING (doc_id)
 """
 
 
 @query("duty_coverage", DUTY_SQL)
 def duty_coverage(spark, read):
-    duties = F.slice(F.filter(F.split("text", "\n"), lambda x: F.length(x).between(15, 300)), 1, 50)
-    pct = S.duty_coverage(duties, ["that thing the tion", "the and with other"], 0.25)
-    return read("documents").select("doc_id", pct.alias("coverage")).withColumn("tier", S.coverage_tier(F.col("coverage")))
+    d = read("documents").select("doc_id", S.duty_coverage(F.col("text"), RESUME).alias("d"))
+    space = F.concat_ws(",", *(f"d.space.{k}" for k, _, _ in S.DUTY_KINDS))
+    return d.select("doc_id", "d.coverage", "d.tier", "d.intensity", space.alias("space"), F.size("d.matched").alias("n_matched"), F.size("d.uncovered").alias("n_uncovered"))
 
 
 LETTER_SQL = r"""
 WITH r AS (SELECT text AS resume FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark)),
 d AS (SELECT doc_id, text, lower(text) AS t, source, resume, [w FOR w IN string_split_regex(regexp_replace(text, '^ +| +$', '', 'g'), '[ \t\r\n]+') IF w <> ''] AS w,
-             [x FOR x IN string_split_regex(text, '\n *\n') IF regexp_replace(x, '^ +| +$', '', 'g') <> ''] AS paragraphs,
+             [x FOR x IN string_split(text, chr(10) || chr(10)) IF len([w FOR w IN string_split_regex(x, '[ \t\r\n\f]+') IF w <> '']) > 20] AS paragraphs,
+             string_split(regexp_replace(text, '^[ \t\r\n\f]+|[ \t\r\n\f]+$', '', 'g'), chr(10)) AS lines,
              string_split(trim(regexp_replace(lower(text), '[ \n\t\r]+', ' ', 'g')), ' ') AS lw, string_split(trim(regexp_replace(lower(resume), '[ \n\t\r]+', ' ', 'g')), ' ') AS rw FROM documents, r),
 g AS (SELECT *, list_concat(regexp_extract_all(text, '[$][0-9][0-9,.]*[KMBkmb]?'), regexp_extract_all(text, '[0-9]+([.][0-9]+)?%')) AS figures, list_concat(regexp_extract_all(resume, '[$][0-9][0-9,.]*[KMBkmb]?'), regexp_extract_all(resume, '[0-9]+([.][0-9]+)?%')) AS known FROM d),
-c AS (SELECT doc_id, contains(t, lower(source)) AS names_company, len(w) BETWEEN 280 AND 420 AS length, len(paragraphs) BETWEEN 3 AND 5 AS paragraphs, regexp_matches(text, '[0-9]+%|[$][0-9]') AS has_metric,
+c AS (SELECT doc_id, contains(lower(CASE WHEN len(lines) > 1 THEN array_to_string(lines[2:], chr(10)) ELSE text END), lower(source)) AS names_company, len(w) BETWEEN 280 AND 420 AS length, len(paragraphs) = 4 AS paragraphs, regexp_matches(text, '\d+[%xX]|\$[\d,.]+[MmKkBb]?|\d+\+|\d+\.\d+[xX]') AS has_metric,
              NOT regexp_matches(t, '\[[A-Za-z ]+\]|lorem ipsum|xxx') AS no_placeholder, NOT contains(t, 'kubernetes') AS no_forbidden, len([x FOR x IN figures IF NOT list_contains(known, x)]) = 0 AS grounded,
-             len(lw) < 6 OR NOT list_has_any([array_to_string(lw[i:i + 5], ' ') FOR i IN range(1, len(lw) - 4)], [array_to_string(rw[i:i + 5], ' ') FOR i IN range(1, len(rw) - 4)]) AS no_repetition FROM g)
+             NOT list_has_any(regexp_extract_all(text, '\d+[%xX]|\$[\d,.]+[MmKkBb]?'), regexp_extract_all(resume, '\d+[%xX]|\$[\d,.]+[MmKkBb]?'))
+             AND (len(lw) < 6 OR len([i FOR i IN range(1, len(lw) - 4) IF contains(lower(resume), array_to_string(lw[i:i + 5], ' '))]) = 0) AS no_repetition FROM g)
 SELECT doc_id, CAST(greatest(0, 100 - 8 * CAST(NOT names_company AS INT) - 3 * CAST(NOT length AS INT) - 3 * CAST(NOT paragraphs AS INT) - 3 * CAST(NOT has_metric AS INT) - 15 * CAST(NOT no_placeholder AS INT)
        - 15 * CAST(NOT no_forbidden AS INT) - 15 * CAST(NOT grounded AS INT) - 8 * CAST(NOT no_repetition AS INT)) AS INT) AS score,
        concat_ws(',', CASE WHEN NOT names_company THEN 'names_company' END, CASE WHEN NOT length THEN 'length' END, CASE WHEN NOT paragraphs THEN 'paragraphs' END, CASE WHEN NOT has_metric THEN 'has_metric' END,
@@ -420,6 +490,35 @@ def document_checks(spark, read):
     return docs.select("doc_id", checks.alias("c")).select("doc_id", S.check_score(F.col("c")).alias("score"), F.array_join(F.transform(F.filter("c", lambda x: ~x["passed"]), lambda x: x["name"]), ",").alias("failed"))
 
 
-@query("clearance_and_remote", P + "SELECT id, CASE WHEN contains(lower(location), 'remote') THEN 'remote' WHEN contains(lower(location), 'hybrid') OR contains(lower(description), 'hybrid') THEN 'hybrid' ELSE 'on_site' END AS kind FROM p")
+REMOTE_SQL = P + """
+, r AS (SELECT id, lower(location) AS l, lower(description) AS d, CASE id % 5 WHEN 0 THEN 'Remote' WHEN 1 THEN 'Hybrid, Remote first' WHEN 2 THEN 'hybrid' WHEN 3 THEN 'Berlin' END AS place,
+               CASE id % 7 WHEN 0 THEN [] WHEN 1 THEN ['Main', 'Remote hub'] WHEN 2 THEN ['Hybrid house', 'Remote'] ELSE ['Main'] END AS offices,
+               CASE id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS flag, list_extract(['Remote', 'hybrid', 'OnSite', 'on-site', 'elsewhere', ''], CAST(id % 6 + 1 AS INT)) AS workplace FROM p),
+q AS (SELECT *, lower(coalesce(place, '')) AS pl, coalesce(l, '') || ' ' || coalesce(d, '') || CASE id % 4 WHEN 0 THEN ' in-office' WHEN 1 THEN ' remote, hybrid' WHEN 2 THEN ' remote' ELSE '' END AS t FROM r)
+SELECT id,
+  CASE WHEN contains(pl, 'remote') AND contains(pl, 'hybrid') THEN 'hybrid' WHEN contains(pl, 'remote') THEN 'remote' WHEN contains(pl, 'hybrid') THEN 'hybrid'
+       WHEN id % 7 = 1 THEN 'remote' WHEN id % 7 = 2 THEN 'hybrid' WHEN id % 7 > 0 THEN 'on_site' END AS of_place,
+  CASE WHEN contains(t, 'remote') AND contains(t, 'hybrid') THEN 'hybrid' WHEN contains(t, 'remote') THEN 'remote' WHEN contains(t, 'onsite') OR contains(t, 'on-site') OR contains(t, 'in-office') THEN 'on_site' END AS of_text,
+  CASE WHEN flag THEN 'remote' WHEN NOT flag AND contains(t, 'hybrid') THEN 'hybrid' WHEN NOT flag THEN 'on_site' END AS of_flag,
+  CASE WHEN id % 11 IN (1, 2, 3) OR contains(pl, 'remote') THEN 'remote' WHEN contains(pl, 'hybrid') THEN 'hybrid' ELSE 'on_site' END AS of_row,
+  CASE WHEN coalesce(flag, false) OR lower(workplace) = 'remote' THEN 'remote' WHEN workplace = 'hybrid' THEN 'hybrid' WHEN lower(workplace) IN ('onsite', 'on-site', '') THEN 'on_site' END AS of_workplace
+FROM q
+"""
+
+
+@query("clearance_and_remote", REMOTE_SQL)
 def clearance_and_remote(spark, read):
-    return postings(spark, read).select("id", T.remote_kind(F.col("location"), F.col("description")).alias("kind"))
+    """The work model by each of five sets of rules; places, offices, flags and kinds of workplace come by the id."""
+    pick = lambda k, *values: F.get(F.array(*map(F.lit, values)), (F.col("id") % k).cast("int"))
+    names = F.when(F.col("id") % 7 == 0, F.array().cast("array<string>")).when(F.col("id") % 7 == 1, F.array(F.lit("Main"), F.lit("Remote hub"))).when(F.col("id") % 7 == 2, F.array(F.lit("Hybrid house"), F.lit("Remote")))
+    place, flag = pick(5, "Remote", "Hybrid, Remote first", "hybrid", "Berlin"), pick(3, True, False)
+    text = F.concat(F.coalesce("location", F.lit("")), F.lit(" "), F.coalesce("description", F.lit("")), F.coalesce(pick(4, " in-office", " remote, hybrid", " remote"), F.lit("")))
+    said = pick(11, "no", "True", "1", "yes", "false", "")
+    return postings(spark, read).select(
+        "id",
+        T.remote_kind(place, names.otherwise(F.array(F.lit("Main")))).alias("of_place"),
+        T.remote_kind_of_text(text).alias("of_text"),
+        T.remote_kind_of_flag(flag, text).alias("of_flag"),
+        T.remote_kind_of_row(said, place).alias("of_row"),
+        T.remote_kind_of_workplace(flag, pick(6, "Remote", "hybrid", "OnSite", "on-site", "elsewhere", "")).alias("of_workplace"),
+    )

@@ -310,9 +310,24 @@ def concentration(spark, read):
     return g.agg(F.round(F.max("n") / F.sum("n"), 4).alias("concentration"), F.round(F.count(F.lit(1)) / (0.1 * F.sum("n")), 4).alias("diversity"))
 
 
-@query("network_quality", "SELECT least(count(*) / 50.0, 20) + least(count(DISTINCT c_nationkey), 20) + least(4.0 * count(DISTINCT c_mktsegment), 20) AS score FROM customer")
+NETWORK_SQL = """
+WITH c AS (SELECT c_nationkey, CASE c_custkey % 19 WHEN 0 THEN 'Google LLC' WHEN 1 THEN 'Meta Platforms' ELSE c_mktsegment || ' ' || CAST(c_custkey % 40 AS VARCHAR) END AS company,
+                  CASE WHEN c_custkey % 10 <> 9 THEN CAST(c_custkey % 6 AS VARCHAR) END AS place, CASE c_custkey % 23 WHEN 0 THEN 'VP of Data' WHEN 5 THEN 'Head of Platform' WHEN 9 THEN NULL ELSE 'Engineer' END AS title FROM customer),
+n AS (SELECT c_nationkey, least(20, count(DISTINCT company) / count(*) * 20) + least(15, count(DISTINCT place) * 3)
+        + least(25, 5 * count(*) FILTER (regexp_matches(lower(company), 'airbnb|uber|google|microsoft|amazon|apple|meta')))
+        + least(20, count(*) * 2) + least(20, 4 * count(*) FILTER (regexp_matches(lower(title), 'director|vp|ceo|cto|head of|chief'))) AS s FROM c GROUP BY 1)
+SELECT c_nationkey, CAST(round(s, 1) AS DOUBLE) AS score, CASE WHEN s >= 80 THEN 'Excellent' WHEN s >= 60 THEN 'Very Good' WHEN s >= 40 THEN 'Good' ELSE 'Building' END AS rating FROM n
+"""
+
+
+@query("network_quality", NETWORK_SQL)
 def network_quality(spark, read):
-    return read("customer").agg((F.least(F.count(F.lit(1)) / 50.0, F.lit(20.0)) + F.least(F.count_distinct("c_nationkey"), F.lit(20)) + F.least(4.0 * F.count_distinct("c_mktsegment"), F.lit(20.0))).alias("score"))
+    """The contacts of each nation; companies, places and titles come by the key."""
+    key = F.col("c_custkey")
+    company = F.when(key % 19 == 0, "Google LLC").when(key % 19 == 1, "Meta Platforms").otherwise(F.concat_ws(" ", "c_mktsegment", (key % 40).cast("string")))
+    title = F.when(key % 23 == 0, "VP of Data").when(key % 23 == 5, "Head of Platform").when(key % 23 != 9, "Engineer")
+    contacts = read("customer").select("c_nationkey", company.alias("company"), F.when(key % 10 != 9, (key % 6).cast("string")).alias("place"), title.alias("title"))
+    return R.network_quality(contacts, ["c_nationkey"], "company", "place", "title")
 
 
 @query("priority_bands", "SELECT count(*) FILTER (l_discount >= 0.09) AS high, count(*) FILTER (l_discount >= 0.05 AND l_discount < 0.09) AS middle, count(*) FILTER (l_discount < 0.05) AS low, round(avg(l_discount), 4) AS mean FROM lineitem")

@@ -42,16 +42,31 @@ def _replaced(x: str, *rules: tuple[str, str]) -> str:
     return x
 
 
-CLEANED_SQL = "SELECT page_id, trim(" + _replaced(
-    ENTITY_SQL.format(_replaced("regexp_replace(html, '(?i)<br[ ]*/?>|</(p|div|li|ul|ol|h[1-6]|tr)>', chr(10), 'g')", ("<[^>]*>", " "))),
-    ("&[a-zA-Z]+;|&#[0-9]+;", ""), ("[*][*]([^*]+)[*][*]", r"\1"), (r"\[([^\]]*)\]\([^)]*\)", r"\1"), ("(?m)^#+ *", ""), ("`", ""), (r"[ \t]+", " "),
-).replace("'[ \\t]+', ' ', 'g')", "'[ \\t]+', ' ', 'g')") + ") AS raw FROM pages"
-CLEANED_SQL = f"SELECT page_id, trim(regexp_replace(regexp_replace(raw, ' *\n *', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')) AS text FROM ({CLEANED_SQL})"
+_BLANK = r"[ \t\n\r\f\x0B]"
+CLEANED_SQL = "SELECT page_id, " + _replaced(
+    "html", (r"(?i)<br[ \t\n\r\f\x0B]*/?>", "\n"), ("(?i)</(?:p|div|li|tr|h[1-6])>", "\n"), (r"(?i)<(?:p|div|li|tr|h[1-6])(?:[^\p{L}\p{N}_>][^>]*)?>", ""), ("<[^>]+>", " "),
+    ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&rsquo;|&lsquo;|&#8217;|&#8216;", "''"), ("&rdquo;|&ldquo;|&#8220;|&#8221;", '"'), ("&mdash;|&#8212;", "—"),
+    ("&ndash;|&#8211;", "–"), (r"&#\d+;", ""), (r"&[\p{L}\p{N}_]+;", ""), (r"\*{2,3}(.+?)\*{2,3}", r"\1"), (r"_{2,3}(.+?)_{2,3}", r"\1"), (r"\\([*\-\.#\[\]\(\)&!>`~|])", r"\1"),
+    (rf"(?m)^#{{1,6}}{_BLANK}+", ""), (r"\[([^\]]+)\]\([^\)]+\)", r"\1"), (r"!\[([^\]]*)\]\([^\)]+\)", r"\1"), (rf"(?m)^\\?\*{_BLANK}+", "• "), ("`([^`]+)`", r"\1"),
+    (rf"(?m)^[-*_]{{3,}}{_BLANK}*$", ""), (r"[ \t]+", " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n"), (rf"^{_BLANK}+|{_BLANK}+$", ""),
+) + " AS text FROM pages"
+#: Marks that the pages themselves may lack, after each page's markup.
+MARKS = r"""
+&lt;b&gt; &amp;amp; &quot;x&quot; &rsquo;tis &ldquo;so&rdquo; &#8212; &ndash; &#169; &copy; <pre>kept</pre><P class="x">one<LI>two</li>
+## Heading
+**bold** ***both*** __under__ a__b__c \*not\* \[x\] ![alt](u) [link](v) `code`
+* item
+\* other
+---
+_ _ _
+*** 
+end <br / > <br/> 
+"""
 
 
-@query("description_cleaner", CLEANED_SQL)
+@query("description_cleaner", f"WITH pages AS (SELECT page_id, html || '{MARKS}' AS html FROM pages) {CLEANED_SQL}")
 def description_cleaner(spark, read):
-    return read("pages").select("page_id", T.clean_description(F.col("html")).alias("text"))
+    return read("pages").select("page_id", T.clean_description(F.concat("html", F.lit(MARKS))).alias("text"))
 
 
 @query("page_text_probe", r"WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(html), '(?s)<(script|style).*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \n\t\r]+', ' ', 'g')) AS txt FROM pages) SELECT page_id, CASE WHEN length(txt) < 500 THEN 'inconclusive' WHEN contains(txt, 'contact') THEN 'found' ELSE 'missing' END AS probe FROM t")
