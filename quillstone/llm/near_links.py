@@ -55,16 +55,15 @@ def ties_in_buckets(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np
     return pairs, order
 
 
-def ties(nodes: DataFrame, keys_of: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], buckets: int, at_once: int, shelf: Shelf) -> DataFrame:
-    """Pairs (u, v) of nodes (node, keys) that tie the members of every bucket; keys_of gives all keys of some rows, and how many each has."""
+def ties(rows: DataFrame, keyed: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int, at_once: int, shelf: Shelf) -> DataFrame:
+    """Pairs (u, v) of nodes that tie the members of every bucket; keyed gives the nodes of some rows, all their keys, and how many each has."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Ties within a stretch of nodes, as bucket -1; of each bucket, the first member goes on."""
         for b in stretches(batches, at_once):
-            node = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            node, keys, counts = keyed(b)
             if not len(node):
                 continue
-            keys, counts = keys_of(b.column(1).to_pylist())
             node = np.repeat(node, counts)
             pairs, order = ties_in_buckets(keys, node)
             records = np.empty(len(order), _RECORD)
@@ -90,7 +89,7 @@ def ties(nodes: DataFrame, keys_of: Callable[[list[bytes]], tuple[np.ndarray, np
             pairs = np.frombuffer(b"".join(b.column(0).to_pylist()), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["u", "v"])
 
-    sent = shelf.put(nodes.select("node", "keys").mapInArrow(local, "bucket int, records binary"), "sent")
+    sent = shelf.put(rows.mapInArrow(local, "bucket int, records binary"), "sent")
     across = sent.filter("bucket >= 0").groupBy("bucket").applyInArrow(joined, "u long, v long")
     return across.unionByName(sent.filter("bucket < 0").select("records").mapInArrow(spelt, "u long, v long"))
 
@@ -242,16 +241,51 @@ class Search:
     keys_each: int
     linked: Linker
     pairs: Pairs
-    #: Whether the searches read what keys are made from.
+    #: Whether the searches read what keys are made from. If not, that isn't kept: keys come from the texts again.
     reads_keys: bool
 
 
+def _code(mark: bytes) -> int:
+    return int.from_bytes(mark[:7], "big")
+
+
+def _keyed_texts(search: Search) -> Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def keyed(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of a batch of texts the codes of their sets, and the keys."""
+        nodes, keys, counts, held, size = [], [], [], [], 0
+
+        def told() -> None:
+            more, each = search.keys_of(search.keyed(held))
+            nodes.extend(_code(_mark(s.tobytes())) for s in held)
+            keys.append(more)
+            counts.append(each)
+
+        for s in shingle_sets(b.column(0).to_pylist(), search.width):
+            if len(s):
+                held.append(s)
+                size += len(s)
+            if size > 100_000:
+                told()
+                held, size = [], 0
+        if held:
+            told()
+        none = np.zeros(0, np.int64)
+        return np.array(nodes, np.int64), np.concatenate(keys) if keys else none, np.concatenate(counts) if counts else none
+
+    return keyed
+
+
+def _keyed_nodes(search: Search) -> Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    return lambda b: (b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), *search.keys_of(b.column(1).to_pylist()))
+
+
 def _signer(search: Search) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def described(sets: list[np.ndarray]) -> tuple[list[int], list, list]:
         full = [i for i, s in enumerate(sets) if len(s)]
         marks, keys = [None] * len(sets), [None] * len(sets)
         if full:
-            for i, k in zip(full, search.keyed([sets[i] for i in full])):
+            made = search.keyed([sets[i] for i in full]) if search.reads_keys else [None] * len(full)
+            for i, k in zip(full, made):
                 marks[i], keys[i] = _mark(sets[i].tobytes()), k
         return [len(s) for s in sets], marks, keys
 
@@ -291,9 +325,14 @@ def linked_rows(docs: DataFrame, text: str, doc_id: str, search: Search, label:
     distinct = firsts.agg(F.max(F.struct("n_shingles", "keys")).alias("s"), F.count(F.lit(1)).alias("n")).select("node", "first", "mark", "s.n_shingles", "s.keys", "n")
     distinct = shelf.put(distinct, "nodes")
     count, repeats = distinct.agg(F.count(F.lit(1)), F.max("n")).first()
-    clusters = components(ties(distinct, search.keys_of, max(1, count * search.keys_each // KEYS_A_TASK), NODES_AT_ONCE, shelf), shelf, "clusters")
-    extra = F.col("keys") if search.reads_keys else F.lit(None).cast("binary")
-    placed = clusters.withColumnRenamed("component", "cluster").join(distinct, "node").select("cluster", "node", F.col("n_shingles").alias("size"), "first", "mark", extra.alias("extra"))
+    buckets = max(1, count * search.keys_each // KEYS_A_TASK)
+    if search.reads_keys:
+        code, tied = F.col("node"), ties(distinct.select("node", "keys"), _keyed_nodes(search), buckets, NODES_AT_ONCE, shelf)
+    else:
+        # Codes stand for sets until clusters are known. If two sets had one code, they would share a cluster and no more.
+        code, tied = F.expr("cast(conv(hex(substring(mark, 1, 7)), 16, 10) AS bigint)"), ties(rows.filter("doc_id is not null").select("text"), _keyed_texts(search), buckets, TEXTS_AT_ONCE, shelf)
+    clusters = components(tied, shelf, "clusters").select(F.col("node").alias("code"), F.col("component").alias("cluster"))
+    placed = clusters.join(distinct.withColumn("code", code), "code").select("cluster", "node", F.col("n_shingles").alias("size"), "first", "mark", F.col("keys").alias("extra"))
     placed = shelf.put(placed, "placed")
     shelf.drop("sent", "nodes")
 
