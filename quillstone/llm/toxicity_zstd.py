@@ -156,10 +156,11 @@ def train(docs: DataFrame, labels: DataFrame, folds: int, held: int, text: str =
     """A model from labelled rows outside the held-out fold, or the share of toxic rows where there are too few.
 
     Rows with a null doc_id or label aren't used. Of rows that repeat a doc_id the least
-    text counts, and the greatest label. Rows are drawn by a hash of their doc_id, up to
-    the stated numbers and up to FIT_BYTES of text in all: what comes to the driver has a
-    bound, however many and however long the labelled documents are. Without any, or in
-    an empty table, the share is 0.
+    text counts, and the greatest label. Rows are drawn by a hash of their doc_id, for each
+    use up to the stated number and up to its part of FIT_BYTES: what comes to the driver has
+    a bound, however many and however long the labelled documents are. A text of more than
+    a quarter of its use's bytes is left out by itself. Without any rows, or in an empty
+    table, the share is 0.
     """
     known = one_label(labels, label).filter(fold(F.col("doc_id"), folds) != held)
     # A fifth part calibrates; the rest trains dictionaries.
@@ -170,8 +171,10 @@ def train(docs: DataFrame, labels: DataFrame, folds: int, held: int, text: str =
     # At most TOXIC + ORDINARY + CALIBRATION ids.
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     sizes = rows.join(F.broadcast(drawn), "doc_id").groupBy("use", "doc_id", "label").agg(F.max(F.octet_length("text")).cast("long").alias("size"))
-    upto = F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id"))
-    within = sizes.withColumn("upto", upto).filter(F.col("upto") <= FIT_BYTES).select("use", "doc_id", "label")
+    allowed = F.when(F.col("use") == 0, FIT_BYTES // 2).otherwise(FIT_BYTES // 4)
+    # As many rows as are drawn, one window for each use.
+    upto = F.sum("size").over(Window.partitionBy("use").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    within = sizes.filter(F.col("size") <= allowed / 4).withColumn("upto", upto).filter(F.col("upto") <= allowed).select("use", "doc_id", "label")
     chosen = rows.join(F.broadcast(within), "doc_id").groupBy("use", "doc_id", "label").agg(F.min("text").alias("text"))
     got = sorted(chosen.toArrow().to_pylist(), key=lambda r: (r["use"], r["doc_id"]))
     by_use = {use: [(r["text"], r["label"]) for r in got if r["use"] == use] for use in (0, 1, 2)}
