@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillstone.plans import extraction, files, machine_learning, opportunities, postings, relational, reports, similarity, streams, texts  # noqa: F401  they register
+from quillstone.plans import extraction, files, lines, machine_learning, opportunities, page_data, postings, relational, reports, similarity, stored, streams, texts  # noqa: F401  they register
 from quillstone.registry import ORACLES, QUERIES
 
 

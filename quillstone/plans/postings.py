@@ -182,6 +182,13 @@ SELECT id, reason FROM t WHERE reason IS NOT NULL
 """
 
 
+@query("blended_scores", P + "SELECT id, CASE WHEN alignment_score >= 25 AND id % 4 > 0 THEN round(0.6 * alignment_score + 0.4 * (id * 37 % 101), 1) ELSE alignment_score END AS score FROM p WHERE alignment_score IS NOT NULL")
+def blended_scores(spark, read):
+    """Keyword scores blended with a second score, made from the id, where there is one and the first is worth it."""
+    second = F.when(F.col("id") % 4 > 0, (F.col("id") * 37 % 101).cast("double"))
+    return postings(spark, read).filter("alignment_score is not null").select("id", S.blended(F.col("alignment_score"), second).alias("score"))
+
+
 @query("defense_gate", DEFENSE_SQL)
 def defense_gate(spark, read):
     """The clearance gate by itself; labels and wordings come by the id, as no table has them."""

@@ -115,11 +115,10 @@ def status_anti(spark, read):
     return read("customer").join(read("orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
-@query("join_same_key_other_row", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey WHERE a.s_suppkey < 5")
+@query("join_same_key_other_row", "SELECT a.s_suppkey AS a, count(*) AS n FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey GROUP BY 1")
 def join_same_key_other_row(spark, read):
-    """The pairs of suppliers 1 to 4; same_key_other_rows counts every supplier's."""
-    a = read("supplier").filter("s_suppkey < 5").select(F.col("s_suppkey").alias("a"), "s_nationkey")
-    return a.join(read("supplier").select(F.col("s_suppkey").alias("b"), "s_nationkey"), "s_nationkey").filter("a <> b").select("a", "b")
+    """Another name for same_key_other_rows."""
+    return same_key_other_rows(spark, read)
 
 
 @query("same_key_other_rows", "SELECT a.s_suppkey AS a, count(*) AS n FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey GROUP BY 1")
@@ -270,6 +269,13 @@ def insert_or_ignore(spark, read):
     return R.insert_missing(kind("view"), kind("error"), "user_id")
 
 
+@query("replaced_rows", "SELECT user_id, min(event_id) AS event FROM events WHERE event_type = 'error' GROUP BY 1 UNION ALL SELECT user_id, min(event_id) FROM events WHERE event_type = 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error') GROUP BY 1")
+def replaced_rows(spark, read):
+    """Rows of one kind put in the place of another kind's with the same key."""
+    kind = lambda k: read("events").filter(F.col("event_type") == k).groupBy("user_id").agg(F.min("event_id").alias("event"))
+    return R.replace_all(kind("view"), kind("error"), "user_id")
+
+
 @query("ttl_lookup", "WITH c AS (SELECT user_id, max(ts) AS cached FROM events WHERE event_type = 'signup' GROUP BY 1) SELECT user_id, cached, cached > TIMESTAMP '2024-01-30' - INTERVAL 7 DAY AS fresh FROM c")
 def ttl_lookup(spark, read):
     c = read("events").filter("event_type = 'signup'").groupBy("user_id").agg(F.max("ts").alias("cached"))

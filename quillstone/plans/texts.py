@@ -87,6 +87,53 @@ def keyword_hits(spark, read):
     return read("documents").select("doc_id", F.array_join(T.hits(F.lower("text"), TERMS), ",").alias("hits"))
 
 
+#: Terms searched for, and those of them that are whole words whatever their length; typed for the SQL.
+STACK_TERMS = ("access", "api", "ci/cd", "es", "etl", "go", "in", "lead", "next", "node.js", "python", "r", "rest", "tion", "vault")
+STACK_WHOLE = ("access", "api", "es", "etl", "go", "in", "lead", "next", "r", "rest", "vault")
+
+
+@query("bounded_hits", "SELECT doc_id, array_to_string([x FOR x IN [" + ", ".join(f"CASE WHEN regexp_matches(t, '(^|[^a-z0-9]){x}([^a-z0-9]|$)') THEN '{x}' END" if x in STACK_WHOLE else f"CASE WHEN contains(t, '{x}') THEN '{x}' END" for x in STACK_TERMS) + "] IF x IS NOT NULL], ',') AS hits FROM (SELECT doc_id, lower(text) || ' rest, restore' || CASE WHEN doc_id % 2 = 0 THEN ' go-to next' ELSE ' ongoing leader vaults' END AS t FROM documents)")
+def bounded_hits(spark, read):
+    """Terms as whole words where they are short or known to be parts of other words; two endings by the id add some of either."""
+    t = F.concat(F.lower("text"), F.lit(" rest, restore"), F.when(F.col("doc_id") % 2 == 0, " go-to next").otherwise(" ongoing leader vaults"))
+    return read("documents").select("doc_id", F.array_join(T.hits(t, STACK_TERMS, bounded=T.BOUNDED), ",").alias("hits"))
+
+
+YEARS_SQL = r"""
+WITH t AS (SELECT doc_id, lower(text) || CASE doc_id % 5 WHEN 0 THEN ' (2015-2020) and 3+ years' WHEN 1 THEN ' (2019 – present)' WHEN 2 THEN ' 12 years of experience' WHEN 3 THEN ' 4+ years experience, (2001-2003)' ELSE '' END AS t FROM documents),
+s AS (SELECT doc_id, t, regexp_extract_all(t, '\(([0-9]{4}) *[-–—] *([0-9]{4}|present)\)', 1) AS a, regexp_extract_all(t, '\(([0-9]{4}) *[-–—] *([0-9]{4}|present)\)', 2) AS b, regexp_extract_all(t, '([0-9]{1,3})[+]? *years', 1) AS y, regexp_extract_all(t, '([0-9]{1,3})[+]? *years? *(of +)?experience', 1) AS e FROM t)
+SELECT doc_id, coalesce(greatest(list_max([CASE b[i] WHEN 'present' THEN 2026 ELSE CAST(b[i] AS INT) END - CAST(a[i] AS INT) FOR i IN range(1, len(a) + 1)]), list_max([CAST(x AS INT) FOR x IN y])), 0) AS has, coalesce(list_max([CAST(x AS INT) FOR x IN e]), 0) AS asks FROM s
+"""
+
+
+@query("years_named", YEARS_SQL)
+def years_named(spark, read):
+    """The longest time that a text names and the years that it asks for; endings by the id name some."""
+    k = F.col("doc_id") % 5
+    end = F.when(k == 0, " (2015-2020) and 3+ years").when(k == 1, " (2019 – present)").when(k == 2, " 12 years of experience").when(k == 3, " 4+ years experience, (2001-2003)").otherwise("")
+    t = F.concat(F.lower("text"), end)
+    return read("documents").select("doc_id", T.max_years(t, 2026).alias("has"), T.required_years(t).alias("asks"))
+
+
+SKILLS_SQL = """
+WITH k AS (SELECT unnest(['Node.js', 'CI/CD', 'de la', 'Trust', 'well-known', 'React thing', 'that', 'o-f', 'zz.js']) AS skill),
+s AS (SELECT doc_id, lower(text) AS t, lower(skill) AS s, string_split(lower(skill), ' ') AS w FROM documents, k),
+v AS (SELECT *, [replace(s, '.', ''), replace(s, '.js', ''), replace(s, ' ', ''), replace(s, '-', ' '), replace(s, '/', '')] AS v, list_extract(list_filter(w, lambda x: length(x) = list_max([length(y) FOR y IN w])), 1) AS longest FROM s)
+SELECT doc_id, count(*) AS n, string_agg(s, ',' ORDER BY s) AS skills FROM v
+WHERE s NOT IN ('trust', 'safety', 'privacy', 'governance', 'compliance', 'strategy', 'leadership', 'communication', 'mentoring', 'collaboration', 'innovation', 'passion', 'creativity', 'accountability', 'transparency', 'integrity', 'diversity', 'inclusion', 'payments', 'fintech', 'crypto', 'web3')
+  AND (contains(t, s) OR len(w) >= 2 AND length(longest) >= 3 AND contains(t, longest) OR len([x FOR x IN v IF length(x) >= 2 AND contains(t, x)]) > 0) GROUP BY 1
+"""
+
+
+@query("validated_skills", SKILLS_SQL)
+def validated_skills(spark, read):
+    """Of some skills those that each text bears out, also by their longest word or another spelling."""
+    skills = F.array(*map(F.lit, ("Node.js", "CI/CD", "de la", "Trust", "well-known", "React thing", "that", "o-f", "zz.js")))
+    docs = read("documents").select("doc_id", F.lower("text").alias("t"))
+    kept = docs.select("doc_id", F.array_sort(F.transform(F.filter(skills, lambda s: T.skill_in_source(s, F.col("t"))), F.lower)).alias("k")).filter(F.size("k") > 0)
+    return kept.select("doc_id", F.size("k").cast("long").alias("n"), F.array_join("k", ",").alias("skills"))
+
+
 def _sum(parts: list[str]) -> str:
     return " + ".join(f"CAST({p} AS INT)" for p in parts)
 
@@ -179,10 +226,10 @@ def dedup_training_rows(spark, read):
     return keep_first(read("documents").select(F.lower("source").alias("s"), "lang", "doc_id"), ["s", "lang"], "doc_id")
 
 
-@query("phrase_in_source", "SELECT doc_id, count(*) AS n FROM documents JOIN benchmark b ON contains(documents.text, left(b.text, 60)) GROUP BY 1")
+@query("phrase_in_source", "SELECT doc_id, count(*) AS n FROM documents JOIN benchmark b ON contains(documents.text, b.text) GROUP BY 1")
 def phrase_in_source(spark, read):
-    """Documents that have the start of a benchmark item, with how many: items are few, each a needle."""
-    return _having(read("documents"), read("benchmark").select(F.left("text", F.lit(60)).alias("needle")))
+    """Another name for item_in_source."""
+    return item_in_source(spark, read)
 
 
 @query("item_in_source", "SELECT doc_id, count(*) AS n FROM documents JOIN benchmark b ON contains(documents.text, b.text) GROUP BY 1")
