@@ -129,10 +129,10 @@ def circuit_states(calls: DataFrame, key: str, time: str, order: str, failed: st
     return out.withColumn("next_may_go", may).drop("__run", "__last", "__next")
 
 
-def blocks(df: DataFrame, key: str, rows: int) -> list[DataFrame]:
-    """df itself if it has at most so many rows; otherwise disjoint parts by a hash of key, about half as large each, that make the whole."""
-    n = df.count()
-    parts = 1 if n <= rows else -(-2 * n // rows)
+def blocks(df: DataFrame, key: str, rows: int, text: str | None = None, most: int = 1 << 24) -> list[DataFrame]:
+    """df itself if it has at most so many rows, and at most so many bytes in text; otherwise disjoint parts by a hash of key, about half as large each, that make the whole."""
+    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)) if text else F.lit(0)).first()
+    parts = max(1 if n <= rows else -(-2 * n // rows), 1 if size <= most else -(-2 * size // most))
     return [df] if parts == 1 else [df.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == i) for i in range(parts)]
 
 

@@ -10,6 +10,7 @@ from quillstone.operators.relational import keep_first
 from quillstone.operators.screening import SPECIFIC_PATTERNS, VAGUE_PHRASES, specificity
 from quillstone.operators.similarity import containing, shared_phrases
 from quillstone.registry import query
+from quillstone.session import spread
 from quillstone.sources.tables import unified
 
 ENTITY_SQL = "replace(replace(replace(replace(replace(replace(replace({}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&')"
@@ -84,7 +85,7 @@ def _hit(t: str) -> str:
 
 @query("keyword_hits", "SELECT doc_id, array_to_string([x FOR x IN [" + ", ".join(f"CASE WHEN {_hit(t)} THEN '{t}' END" for t in sorted(TERMS)) + "] IF x IS NOT NULL], ',') AS hits FROM documents")
 def keyword_hits(spark, read):
-    return read("documents").select("doc_id", F.array_join(T.hits(F.lower("text"), TERMS), ",").alias("hits"))
+    return spread(read("documents").select("doc_id", "text")).select("doc_id", F.array_join(T.hits(F.lower("text"), TERMS), ",").alias("hits"))
 
 
 #: Terms searched for, and those of them that are whole words whatever their length; typed for the SQL.
@@ -164,7 +165,7 @@ NGRAM_SQL = r"WITH d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(t
 
 @query("ngram_overlap", NGRAM_SQL)
 def ngram_overlap(spark, read):
-    return shared_phrases(read("documents"), read("benchmark"), "doc_id", "item_id")
+    return shared_phrases(spread(read("documents").select("doc_id", "text")), read("benchmark"), "doc_id", "item_id")
 
 
 @query("word_overlap_ratio", "WITH b AS (SELECT list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark)), d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM documents) SELECT doc_id, round(len(list_intersect(d.w, b.w)) / len(b.w), 4) AS share FROM d, b")
@@ -239,4 +240,4 @@ def item_in_source(spark, read):
 
 
 def _having(docs, items):
-    return containing(docs, items, "doc_id", "needle").groupBy("doc_id").agg(F.sum("times").alias("n"))
+    return containing(spread(docs.select("doc_id", "text")), items, "doc_id", "needle").groupBy("doc_id").agg(F.sum("times").alias("n"))

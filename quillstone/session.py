@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "6g") -> SparkSession:
@@ -18,3 +18,9 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "6g
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if its scan has fewer: for expressions that cost far more than moving their rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstone.functions.text import first_present
+from quillstone.session import spread
 
 #: One posting for each document, from the star schema; the same text in Spark and DuckDB.
 POSTINGS_SQL = """
@@ -41,7 +42,7 @@ def postings(spark: SparkSession, read) -> DataFrame:
     """The postings view over the fixture tables."""
     return spark.sql(
         POSTINGS_SQL.replace("FROM documents d", "FROM {documents} d").replace("JOIN supplier", "JOIN {supplier}").replace("JOIN nation", "JOIN {nation}").replace("JOIN orders", "JOIN {orders}"),
-        documents=read("documents"), supplier=read("supplier"), nation=read("nation"), orders=read("orders"),
+        documents=spread(read("documents")), supplier=read("supplier"), nation=read("nation"), orders=read("orders"),
     )
 
 
