@@ -4,9 +4,7 @@ Each text is cut into blocks of a fixed size. The distinct blocks of all texts a
 sorted and named with integers; then adjacent names are paired, the distinct pairs
 sorted and named again, and so on until one name is left of every text. Names come
 from sorting the contents themselves, so that two texts have one identity only if they
-are equal. Names cover the texts that may have copies: a digest that only one text has
-proves that text unique, as equal texts have equal digests, so that its digest is its
-identity; among texts that share a digest, names decide and the digest never does.
+are equal. Every text is named; digests tell a doc_id's rows apart and decide nothing.
 """
 
 from __future__ import annotations
@@ -21,8 +19,6 @@ from quillstone.shelf import Shelf
 #: Characters that don't count when texts are compared: [\x20\x09-\x0D].
 BLANKS = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 BLOCK = 2048
-#: A set of digests up to this many is broadcast (some 100 bytes each in memory); a larger one is joined by shuffle.
-BROADCAST_DIGESTS = 250_000
 
 
 def normalised(text: Column) -> Column:
@@ -97,21 +93,15 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
         normalised(F.col(text)).alias("norm"),
     ).withColumn("sha", F.unhex(F.sha2("norm", 256)))
     prints = shelf.put(rows.drop("norm"), "prints")
-    shared = shelf.put(prints.groupBy("sha").count().filter("count > 1").select("sha"), "shared")
-    few = shared.count() <= BROADCAST_DIGESTS
-    texts = rows.select("k", "sha", "norm").join(F.broadcast(shared) if few else shared, "sha", "left_semi")
-    named = shelf.put(identities(texts, shelf, block), "named")
+    named = shelf.put(identities(rows.select("k", "sha", "norm"), shelf, block), "named")
 
     best = F.max(F.struct("points", F.col("doc_id").isNotNull().alias("known"), F.bitwise_not("doc_id").alias("order")))
-    marked = prints.join(named, ["k", "sha"], "left")
-    grouped = marked.filter("name is not null").groupBy("level", "name").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best"))
+    marked = shelf.put(prints.join(named, ["k", "sha"]), "marked")
+    grouped = marked.groupBy("level", "name").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best"))
     # Written first, so that the join has two plain shuffles below it, of which hot groups are split.
-    copies = marked.filter("name is not null").join(shelf.put(grouped, "grouped"), ["level", "name"])
-    single = marked.filter("name is null")
+    copies = marked.join(shelf.put(grouped, "grouped"), ["level", "name"])
     columns = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
-    out = copies.withColumn("keep_id", F.bitwise_not("best.order")).unionByName(
-        single.withColumn("keep_id", F.col("doc_id")).withColumn("group_size", F.lit(1).cast("long")), allowMissingColumns=True
-    )
+    out = copies.withColumn("keep_id", F.bitwise_not("best.order"))
     out = out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))).withColumn("text_sha256", F.lower(F.hex("sha"))).select(*columns)
     out = shelf.put(out, "result")
     shelf.keep("result")

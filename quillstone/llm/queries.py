@@ -18,6 +18,7 @@ from quillstone.llm.preference import preference_pairs
 from quillstone.llm.quality_pu import quality
 from quillstone.llm.suffix_dedup import removal_digests
 from quillstone.llm.toxicity_zstd import toxicity
+from quillstone.session import spread
 
 
 TOKENIZER = "word_bpe_49k.json"
@@ -30,7 +31,7 @@ def tokenizer_path() -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:

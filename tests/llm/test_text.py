@@ -329,6 +329,16 @@ def test_classifiers_with_repeated_ids_and_a_byte_bound(spark, monkeypatch):
     assert 0 < sum(map(len, seen)) <= 20_000
 
 
+def test_a_text_beyond_the_byte_bound_is_left_out_alone(spark, monkeypatch):
+    """The longest text would take all bytes of its use; the others still make a model."""
+    rows = [(i, ("bad" if i % 2 else "good") + f" text number {i} " * 20) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity_zstd, "FIT_BYTES", 200_000)
+    for long in range(0, 200, 37):
+        docs = spark.createDataFrame([(i, t * 1000 if i == long else t) for i, t in rows], "doc_id long, text string")
+        assert isinstance(toxicity_zstd.train(docs, labels, 5, 0), toxicity_zstd.Toxicity)
+
+
 def test_nnpu_ignores_negative_labels():
     rng = np.random.default_rng(5)
     good, bad = rng.normal(1, 1, (3000, 4)), rng.normal(-1.5, 1, (1000, 4))
