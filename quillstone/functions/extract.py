@@ -176,6 +176,38 @@ def headline_company(headline: Column) -> Column:
     return out
 
 
+# What stands for a role in a headline, in the order of search.
+ROLE_WORDS = (
+    "engineer", "engineering", "developer", "architect", "manager", "management", "head of", "lead", "director", "directeur", "ceo", "cto", "cfo", "chief",
+    "vp", "president", "consultant", "consulting", "advisor", "analyst", "analytics", "research", "designer", "design", "ux", "ui", "sales", "account",
+    "business development", "marketing", "brand", "growth", "content", "product", "program", "project", "operations", "ops", "operational", "hr",
+    "human resources", "talent", "recruiting",
+)
+
+
+def titled(c: Column) -> Column:
+    """Each stretch of letters with a capital first and small letters behind it."""
+    parts = F.regexp_extract_all(c, F.lit(r"[\p{L}]+|[^\p{L}]+"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))), "")
+
+
+def headline_role(headline: Column) -> Column:
+    """The words around the first role word in the list's order, up to 30 signs either side, without what follows signs of a company; or null.
+
+    The signs (at, for, with and others) may be parts of words.
+    """
+    t = F.lower(headline)
+    word = F.coalesce(*(F.when(F.contains(t, F.lit(w)), F.lit(w)) for w in ROLE_WORDS))
+    at = F.instr(t, word)
+    start = F.greatest(at - 30, F.lit(1))
+    blank = "^[ \t\r\n\f]+|[ \t\r\n\f]+$"
+    strip = lambda c: F.regexp_replace(c, blank, "")
+    phrase = strip(F.concat(strip(F.substr(t, start, at - start)), F.lit(" "), strip(F.substr(t, at, F.length(word) + 30))))
+    for sign in ("at", "for", "with", "|", "-", "@"):
+        phrase = strip(F.substring_index(phrase, sign, 1))
+    return F.when(word.isNotNull(), titled(phrase))
+
+
 def missing_skills(resume: Column) -> Column:
     """Skills that rows of a table mark as NOT FOUND, lowered and sorted.
 

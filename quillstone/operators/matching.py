@@ -163,6 +163,61 @@ def authenticity(letter: Column, resume: Column, blocked: Sequence[str]) -> Colu
     return F.greatest(100 - 15 * (figures + term_count(F.lower(letter), blocked)) - 7 * years, F.lit(0))
 
 
+# Words of inflated scope with what may stand for them, services that aren't verified, figures of a letter.
+SCOPE_WORDS = {
+    "architected": ("designed", "built", "implemented", "contributed to"),
+    "owned": ("managed", "supported", "led", "was responsible for"),
+    "spearheaded": ("led", "initiated", "drove", "supported"),
+    "transformed": ("improved", "enhanced", "updated", "modified"),
+    "revolutionized": ("improved", "modernized", "updated"),
+    "single-handedly": ("contributed", "helped", "supported"),
+}
+UNVERIFIED = ("azure key vault", "azure functions", "azure cosmos db", "azure synapse", "azure databricks", "azure machine learning")
+FIGURE = r"(?i)([0-9][0-9,.]* *(?:%|percent|x(?![\p{L}\p{N}_])|\$[0-9,]+|million|billion|k(?![\p{L}\p{N}_])|hours?|days?|weeks?|minutes?|seconds?))"
+
+
+def audit(letter: Column, resume: Column, history: Column | None = None) -> Column:
+    """What a letter says beyond its résumé: a struct of score, passed, and the figures, scope words, tools and employers that speak against it.
+
+    A figure is borne out if some number of it is anywhere in the résumé; each that isn't counts,
+    repeated ones too. A scope word needs itself or one of its alternatives there, a tool
+    itself. An employer (structs of employer and start in history) counts if the letter names
+    a year from 2000 on before its start. Figures and tools cost 15, the others 7; without
+    figures and tools the letter passes. A null letter has no violations.
+    """
+    low, source = F.lower(F.coalesce(letter, F.lit(""))), F.lower(F.coalesce(resume, F.lit("")))
+    numbers = lambda m: F.regexp_extract_all(m, F.lit("[0-9][0-9,.]*"), F.lit(0))
+    figures = F.filter(F.regexp_extract_all(F.coalesce(letter, F.lit("")), F.lit(FIGURE), F.lit(1)), lambda m: ~F.exists(numbers(m), lambda n: F.contains(source, n)))
+    borne = lambda terms: reduce(lambda a, b: a | b, (F.contains(source, F.lit(t)) for t in terms))
+    scope = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(w)) & ~borne((w, *others)), F.lit(w)) for w, others in SCOPE_WORDS.items())))
+    tools = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(t)) & ~borne((t,)), F.lit(t)) for t in UNVERIFIED)))
+    years = F.regexp_extract_all(F.coalesce(letter, F.lit("")), F.lit(r"(?<![\p{L}\p{N}_])(20[0-9]{2})(?![\p{L}\p{N}_])"), F.lit(1))
+    none = F.array().cast("array<string>")
+    jobs = F.transform(F.filter(history, lambda h: (h["start"] != "") & F.exists(years, lambda y: y < F.substring(h["start"], 1, 4))), lambda h: h["employer"]) if history is not None else none
+    critical = F.size(figures) + F.size(tools)
+    score = F.greatest(100.0 - 15 * critical - 7 * (F.size(scope) + F.size(jobs)), F.lit(0.0))
+    return F.struct(score.alias("score"), (critical == 0).alias("passed"), figures.alias("figures"), scope.alias("scope"), tools.alias("tools"), jobs.alias("employers"))
+
+
+def network_indices(contacts: DataFrame, industry: str, location: str, role: str, company: str, mutual: int | Column) -> DataFrame:
+    """One row with strengths of four groupings of contacts, their diversity, and the reach of the network.
+
+    A grouping's strength is its share of all memberships, its diversity its groups over its
+    members; a null value is no member. Reach joins the network's size, the share of mutual
+    contacts and diversity. Without contacts strengths are null and the rest counts as 0.
+    """
+    dims = (industry, location, role, company)
+    one = contacts.agg(*(F.count(c).alias(f"n_{c}") for c in dims), *(F.count_distinct(c).alias(f"g_{c}") for c in dims), F.count(F.lit(1)).alias("size"))
+    total = sum((F.col(f"n_{c}") for c in dims), F.lit(0))
+    strength = {k: F.try_divide(F.col(f"n_{c}"), total) for k, c in (("industry", industry), ("location", location), ("role", role), ("company", company))}
+    overall = strength["industry"] * 0.3 + strength["location"] * 0.2 + strength["role"] * 0.25 + strength["company"] * 0.25
+    diverse = lambda c: F.col(f"g_{c}") / F.greatest(F.col(f"n_{c}"), F.lit(1))
+    diversity = F.round(diverse(industry) * 0.4 + diverse(location) * 0.3 + diverse(role) * 0.3, 3)
+    size = F.when(F.col("size") <= 100, 0.5).when(F.col("size") <= 500, 0.75).when(F.col("size") <= 1000, 0.9).otherwise(1.0)
+    reach = size * 0.4 + F.coalesce(F.try_divide(mutual if isinstance(mutual, Column) else F.lit(mutual), F.col("size")), F.lit(0.0)) * 0.3 + diversity * 0.3
+    return one.select(*(F.round(v, 3).alias(f"{k}_strength") for k, v in strength.items()), F.round(overall, 3).alias("overall_strength"), diversity.alias("diversity"), F.round(reach, 3).alias("reach"))
+
+
 def enriched(jobs: DataFrame, details: DataFrame, key: str, fill: Sequence[str], longer: Sequence[str] = ()) -> DataFrame:
     """Missing values of fill columns from details by key; of longer columns the longer value wins."""
     d = details.select(key, *(F.col(c).alias(f"__{c}") for c in (*fill, *longer)))

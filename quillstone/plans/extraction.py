@@ -157,3 +157,21 @@ HEADLINES_SQL = P + "SELECT id, CASE id % 6 WHEN 0 THEN 'Acme Labs' WHEN 1 THEN
 def headline_companies(spark, read):
     line = F.element_at(F.array(*map(F.lit, HEADLINES)), (F.col("id") % len(HEADLINES) + 1).cast("int"))
     return postings(spark, read).select("id", X.headline_company(line).alias("company"))
+
+
+ROLE_HEADLINES = ("Senior Data Engineer at Acme Labs | Cloud", "CTO @ Blue-Sky", "VP Growth / o'brien product lead", "Painter with hands", "", "Very long words before the one that counts here: head of Platform and what comes after it for years")
+ROLES_SQL = P + r"""
+, h AS (SELECT id, lower(list_extract(['Senior Data Engineer at Acme Labs | Cloud', 'CTO @ Blue-Sky', 'VP Growth / o''brien product lead', 'Painter with hands', '', 'Very long words before the one that counts here: head of Platform and what comes after it for years'], CAST(id % 6 + 1 AS INT))) || ' ' || left(lower(description), 25) AS t FROM p),
+w AS (SELECT id, t, list_extract([x FOR x IN ['engineer', 'engineering', 'developer', 'architect', 'manager', 'management', 'head of', 'lead', 'director', 'directeur', 'ceo', 'cto', 'cfo', 'chief', 'vp', 'president', 'consultant', 'consulting', 'advisor', 'analyst', 'analytics', 'research', 'designer', 'design', 'ux', 'ui', 'sales', 'account', 'business development', 'marketing', 'brand', 'growth', 'content', 'product', 'program', 'project', 'operations', 'ops', 'operational', 'hr', 'human resources', 'talent', 'recruiting'] IF contains(t, x)], 1) AS w FROM h),
+f AS (SELECT *, instr(t, w) AS a FROM w),
+q AS (SELECT id, w, regexp_replace(regexp_replace(substring(t, greatest(a - 30, 1), a - greatest(a - 30, 1)), '^[ \t\r\n\f]+|[ \t\r\n\f]+$', '', 'g') || ' ' || regexp_replace(substring(t, a, length(w) + 30), '^[ \t\r\n\f]+|[ \t\r\n\f]+$', '', 'g'), '^[ \t\r\n\f]+|[ \t\r\n\f]+$', '', 'g') AS x FROM f),
+s AS (SELECT id, w, regexp_replace(list_extract(string_split_regex(x, 'at|for|with|\||-|@'), 1), '[ \t\r\n\f]+$', '') AS x FROM q)
+SELECT id, CASE WHEN w IS NOT NULL THEN array_to_string([upper(y[1]) || y[2:] FOR y IN regexp_extract_all(x, '[\p{L}]+|[^\p{L}]+')], '') END AS role FROM s
+"""
+
+
+@query("headline_roles", ROLES_SQL)
+def headline_roles(spark, read):
+    """The role phrase of headlines by the id, each with the beginning of its description behind it."""
+    line = F.get(F.array(*map(F.lit, ROLE_HEADLINES)), (F.col("id") % 6).cast("int"))
+    return postings(spark, read).select("id", X.headline_role(F.concat(line, F.lit(" "), F.substring("description", 1, 25))).alias("role"))

@@ -191,6 +191,50 @@ def authenticity_audit(spark, read):
     return read("documents").select("doc_id", M.authenticity(F.col("text"), F.lit("in 2019 I saved 20% and $5K"), ("kubernetes",)).alias("score"))
 
 
+LETTER_AUDIT_SQL = r"""
+WITH d AS (SELECT doc_id, text || list_extract([' I owned it, saved 40% and 7 hours in 2018', ' architected and spearheaded Azure Functions for 3 million, 9x', ' transformed 12,000 k with azure synapse since 2021', ''], CAST(doc_id % 4 + 1 AS INT)) AS text, doc_id % 3 AS k FROM documents),
+m AS (SELECT *, lower(text) AS t, 'Data engineer: managed a platform, 40% faster, 12 people; updated reports with azure synapse.' AS r, regexp_extract_all(text, '(?i)\d[\d,.]* *(?:%|percent|x\b|\$[\d,]+|million|billion|k\b|hours?|days?|weeks?|minutes?|seconds?)') AS f, regexp_extract_all(text, '\b20\d{2}\b') AS y FROM d),
+c AS (SELECT doc_id, len([x FOR x IN f IF len([n FOR n IN regexp_extract_all(x, '[0-9][0-9,.]*') IF contains(lower(r), n)]) = 0]) AS figures,
+        list_concat(CASE WHEN contains(t, 'architected') THEN ['architected'] ELSE [] END, CASE WHEN contains(t, 'spearheaded') THEN ['spearheaded'] ELSE [] END,
+          CASE WHEN contains(t, 'revolutionized') AND false THEN ['revolutionized'] ELSE [] END, CASE WHEN contains(t, 'single-handedly') THEN ['single-handedly'] ELSE [] END) AS scope,
+        [x FOR x IN ['azure key vault', 'azure functions', 'azure cosmos db', 'azure databricks', 'azure machine learning'] IF contains(t, x)] AS tools,
+        CASE WHEN k < 2 AND len([x FOR x IN y IF x < '2019']) > 0 THEN ['Acme'] ELSE [] END AS first, CASE WHEN k = 1 AND len([x FOR x IN y IF x < '2022']) > 0 THEN ['Late'] ELSE [] END AS second FROM m)
+SELECT doc_id, CAST(greatest(100.0 - 15 * (figures + len(tools)) - 7 * (len(scope) + len(first) + len(second)), 0.0) AS DOUBLE) AS score, figures + len(tools) = 0 AS passed, CAST(figures AS INT) AS n_figures,
+  array_to_string(scope, ',') AS scope, array_to_string(tools, ',') AS tools, array_to_string(list_concat(first, second), ',') AS employers FROM c
+"""
+
+
+@query("letter_audit", LETTER_AUDIT_SQL)
+def letter_audit(spark, read):
+    """Letters made of the documents, with endings by the id, against one résumé and histories of employment."""
+    ends = (" I owned it, saved 40% and 7 hours in 2018", " architected and spearheaded Azure Functions for 3 million, 9x", " transformed 12,000 k with azure synapse since 2021", "")
+    letter = F.concat("text", F.get(F.array(*map(F.lit, ends)), (F.col("doc_id") % 4).cast("int")))
+    job = lambda name, start: F.struct(F.lit(name).alias("employer"), F.lit(start).alias("start"))
+    k = F.col("doc_id") % 3
+    history = F.when(k == 0, F.array(job("Acme", "2019-05"))).when(k == 1, F.array(job("Acme", "2019-05"), job("Late", "2022"))).otherwise(F.array(job("None", "")))
+    resume = F.lit("Data engineer: managed a platform, 40% faster, 12 people; updated reports with azure synapse.")
+    found = read("documents").select("doc_id", M.audit(letter, resume, history).alias("a"))
+    return found.select("doc_id", "a.score", "a.passed", F.size("a.figures").alias("n_figures"), *(F.array_join(f"a.{c}", ",").alias(c) for c in ("scope", "tools", "employers")))
+
+
+INDICES_SQL = """
+WITH c AS (SELECT CASE WHEN c_custkey % 9 > 0 THEN c_mktsegment END AS i, CASE WHEN c_custkey % 7 > 0 THEN c_nationkey END AS l, CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 4 END AS r, CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 50 END AS o FROM customer),
+n AS (SELECT count(i) AS ni, count(l) AS nl, count(r) AS nr, count(o) AS no, count(DISTINCT i) AS gi, count(DISTINCT l) AS gl, count(DISTINCT r) AS gr, count(*) AS n FROM c),
+s AS (SELECT *, ni / (ni + nl + nr + no) AS a, nl / (ni + nl + nr + no) AS b, nr / (ni + nl + nr + no) AS c, no / (ni + nl + nr + no) AS d, round(gi / greatest(ni, 1) * 0.4 + gl / greatest(nl, 1) * 0.3 + gr / greatest(nr, 1) * 0.3, 3) AS v FROM n)
+SELECT round(a, 3) AS industry_strength, round(b, 3) AS location_strength, round(c, 3) AS role_strength, round(d, 3) AS company_strength, round(a * 0.3 + b * 0.2 + c * 0.25 + d * 0.25, 3) AS overall_strength, v AS diversity,
+  round(CASE WHEN n <= 100 THEN 0.5 WHEN n <= 500 THEN 0.75 WHEN n <= 1000 THEN 0.9 ELSE 1.0 END * 0.4 + 40 / n * 0.3 + v * 0.3, 3) AS reach FROM s
+"""
+
+
+@query("network_indices", INDICES_SQL)
+def network_indices(spark, read):
+    """Strength, diversity and reach of all customers as contacts; some values are missing by the key."""
+    key = F.col("c_custkey")
+    some = lambda k, c: F.when(key % k > 0, c)
+    contacts = read("customer").select(some(9, F.col("c_mktsegment")).alias("i"), some(7, F.col("c_nationkey")).alias("l"), some(5, key % 4).alias("r"), some(3, key % 50).alias("o"))
+    return M.network_indices(contacts, "i", "l", "r", "o", 40)
+
+
 @query("enrichment", "SELECT s_suppkey, coalesce(CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal END, n_nationkey * 1.0) AS balance, CASE WHEN length(n_name) > length('x') THEN n_name ELSE 'x' END AS note FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def enrichment(spark, read):
     s = read("supplier").select("s_suppkey", F.col("s_nationkey").alias("k"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_acctbal")).alias("balance"), F.lit("x").alias("note"))
