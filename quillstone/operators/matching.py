@@ -83,6 +83,48 @@ def qualification(skills: Column, experience: Column, preference: Column, growth
     return F.round(0.35 * skills + 0.25 * experience + 0.25 * preference + 0.15 * growth, 3)
 
 
+def qualification_skills(required: Column, preferred: Column, own: Sequence[str]) -> Column:
+    """Seven tenths for the share of required skills, three for that of preferred ones; without any, 1 and 0.5."""
+    have = F.array(*map(F.lit, own)).cast("array<string>")
+    share = lambda c, none: F.when(F.size(F.array_distinct(c)) > 0, F.size(F.array_intersect(c, have)) / F.size(F.array_distinct(c))).otherwise(none)
+    return F.least(F.lit(1.0), 0.7 * share(required, 1.0) + 0.3 * share(preferred, 0.5))
+
+
+# Words of a company's trade, and of descriptions that promise learning.
+TRADE_WORDS = ("technology", "tech", "software", "saas", "startup")
+LEARNING_WORDS = ("learning", "development", "training", "new", "cutting-edge", "innovative")
+
+
+def qualification_experience(asked: Column, company: Column, size: Column, years: int, sizes: Sequence[str], led: int) -> Column:
+    """Years held against the first number of years asked for, the company's trade and size, and leading where that is asked for."""
+    low = F.lower(F.coalesce(asked, F.lit("")))
+    wanted = F.coalesce(F.regexp_extract(low, "([0-9]+)[+]?[ \\t\\r\\n\\f]*years?", 1).try_cast("int"), F.lit(0))
+    held = lambda c, terms: reduce(lambda a, b: a | b, (F.contains(F.coalesce(c, F.lit("")), F.lit(t)) for t in terms), F.lit(False))
+    share = F.least(F.lit(1.0), F.lit(years) / F.greatest(wanted, F.lit(1)))
+    trade = F.when(held(F.lower(company), TRADE_WORDS), 1.0).otherwise(0.7)
+    leads = F.when(~F.contains(low, F.lit("leadership")) | F.lit(led > 0), 1.0).otherwise(0.3)
+    return F.least(F.lit(1.0), share * 0.4 + trade * 0.2 + F.when(held(size, sizes), 1.0).otherwise(0.6) * 0.2 + leads * 0.2)
+
+
+def qualification_preference(friendly: Column, location: Column, low: Column, high: Column, stage: Column, remote: bool, places: Sequence[str], wanted: tuple[float, float], stages: Sequence[str]) -> Column:
+    """Place or remote work, overlap of the pay with what is wanted, stage of the company."""
+    place = F.coalesce(location, F.lit(""))
+    there = reduce(lambda a, b: a | b, (F.contains(place, F.lit(p)) for p in places), F.lit(False))
+    where = F.when((F.coalesce(friendly, F.lit(False)) | F.contains(place, F.lit("Remote"))) & F.lit(remote), 1.0).when(there, 0.8).otherwise(0.4)
+    return F.least(F.lit(1.0), where * 0.4 + preference_salary(low, high, *wanted) * 0.35 + F.when(stage.isin(*stages), 1.0).otherwise(0.7) * 0.25)
+
+
+def qualification_growth(title: Column, offers: Column, description: Column, roles: Sequence[str], areas: Sequence[str]) -> Column:
+    """A wanted role in the title, offers that touch the areas to grow in, words of learning (a fifth each)."""
+    within = lambda c, terms: reduce(lambda a, b: a | b, (F.contains(c, F.lit(t.lower())) for t in terms), F.lit(False))
+    role = F.when(within(F.lower(F.coalesce(title, F.lit(""))), roles), 1.0).otherwise(0.6)
+    met = F.size(F.filter(F.coalesce(offers, F.array().cast("array<string>")), lambda o: within(F.lower(o), areas)))
+    growing = F.least(F.lit(1.0), met / len(areas)) if areas else F.lit(0.5)
+    text = F.lower(F.coalesce(description, F.lit("")))
+    learning = F.least(F.lit(1.0), sum((F.when(F.contains(text, F.lit(w)), 0.2).otherwise(0.0) for w in LEARNING_WORDS), F.lit(0.0)))
+    return F.least(F.lit(1.0), role * 0.4 + growing * 0.35 + learning * 0.25)
+
+
 def preference_salary(low: Column, high: Column, want_low: float, want_high: float) -> Column:
     """Share of the wanted range that is offered, 0.3 without overlap, 0.6 if nothing is known."""
     overlap = F.least(F.lit(1.0), (F.least(high, F.lit(want_high)) - F.greatest(low, F.lit(want_low))) / (want_high - want_low))

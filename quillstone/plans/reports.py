@@ -204,6 +204,37 @@ SELECT doc_id, CAST(greatest(100.0 - 15 * (figures + len(tools)) - 7 * (len(scop
 """
 
 
+QUALIFIED_SQL = P + r"""
+, j AS (SELECT *, list_extract(['5+ years', 'leadership and 12 years', '', 'some'], CAST(id % 4 + 1 AS INT)) AS asked, CASE WHEN id % 3 = 0 THEN company || ' Software' ELSE company END AS firm, list_extract(['small', 'mid-size', 'large'], CAST(id % 3 + 1 AS INT)) AS size,
+               list_extract(['seed', 'growth', 'public'], CAST(id % 3 + 1 AS INT)) AS stage, list_distinct(string_split(lower(left(description, 40)), ' ')) AS w, [x FOR x IN string_split(lower(left(description, 20)), ' ')] AS offers, lower(description) AS d FROM p),
+s AS (SELECT id,
+  least(1.0, 0.7 * CASE WHEN len(w) > 0 THEN len(list_intersect(w, ['the', 'que', 'der', 'data'])) / len(w) ELSE 1.0 END + 0.3 * 0.5) AS a,
+  least(1.0, least(1.0, 8 / greatest(CASE id % 4 WHEN 0 THEN 5 WHEN 1 THEN 12 ELSE 0 END, 1)) * 0.4 + CASE WHEN regexp_matches(lower(firm), 'technology|tech|software|saas|startup') THEN 1.0 ELSE 0.7 END * 0.2
+    + CASE WHEN contains(size, 'mid') OR contains(size, 'large') THEN 1.0 ELSE 0.6 END * 0.2 + CASE WHEN id % 4 = 1 THEN 0.3 ELSE 1.0 END * 0.2) AS b,
+  least(1.0, CASE WHEN remote_type = 'remote' THEN 1.0 WHEN contains(location, 'NATION_1') THEN 0.8 ELSE 0.4 END * 0.4
+    + CASE WHEN salary_min IS NULL OR salary_max IS NULL THEN 0.6 WHEN salary_max >= 120000 AND salary_min <= 180000 THEN least(1.0, (least(salary_max, 180000) - greatest(salary_min, 120000)) / 60000) ELSE 0.3 END * 0.35 + CASE WHEN stage IN ('growth') THEN 1.0 ELSE 0.7 END * 0.25) AS c,
+  least(1.0, CASE WHEN contains(lower(title), 'data engineer') OR contains(lower(title), 'manager') THEN 1.0 ELSE 0.6 END * 0.4 + least(1.0, len([o FOR o IN offers IF contains(o, 'th') OR contains(o, 'en')]) / 2) * 0.35
+    + least(1.0, 0.2 * (CAST(contains(d, 'learning') AS INT) + CAST(contains(d, 'development') AS INT) + CAST(contains(d, 'training') AS INT) + CAST(contains(d, 'new') AS INT) + CAST(contains(d, 'cutting-edge') AS INT) + CAST(contains(d, 'innovative') AS INT))) * 0.25) AS g FROM j),
+q AS (SELECT id, round(0.35 * a + 0.25 * b + 0.25 * c + 0.15 * g, 3) AS score FROM s)
+SELECT id, score, round(least(0.95, score + 0.1), 3) AS confidence FROM q WHERE score >= 0.6 ORDER BY score DESC, id
+"""
+
+
+@query("qualified_jobs", QUALIFIED_SQL)
+def qualified_jobs(spark, read):
+    """Postings by their qualification from four parts, those from 0.6 on, the best first; what postings lack comes by the id."""
+    c = F.col
+    pick = lambda k, *values: F.get(F.array(*map(F.lit, values)), (c("id") % k).cast("int"))
+    start = lambda n: F.split(F.lower(F.substring("description", 1, n)), " ", -1)
+    skills = M.qualification_skills(start(40), F.array().cast("array<string>"), ("the", "que", "der", "data"))
+    firm = F.when(c("id") % 3 == 0, F.concat("company", F.lit(" Software"))).otherwise(c("company"))
+    experience = M.qualification_experience(pick(4, "5+ years", "leadership and 12 years", "", "some"), firm, pick(3, "small", "mid-size", "large"), 8, ("mid", "large"), 0)
+    preference = M.qualification_preference(c("remote_type") == "remote", c("location"), c("salary_min"), c("salary_max"), pick(3, "seed", "growth", "public"), True, ("NATION_1",), (120000, 180000), ("growth",))
+    growth = M.qualification_growth(c("title"), start(20), c("description"), ("Data Engineer", "manager"), ("th", "en"))
+    scored = postings(spark, read).select("id", M.qualification(skills, experience, preference, growth).alias("score"))
+    return scored.filter("score >= 0.6").select("id", "score", F.round(F.least(F.lit(0.95), c("score") + 0.1), 3).alias("confidence")).orderBy(F.desc("score"), "id")
+
+
 @query("letter_audit", LETTER_AUDIT_SQL)
 def letter_audit(spark, read):
     """Letters made of the documents, with endings by the id, against one résumé and histories of employment."""
