@@ -202,6 +202,18 @@ def skill_in_source(skill: Column, lower: Column) -> Column:
     return F.coalesce(~s.isin(*NO_SKILLS) & found, F.lit(False))
 
 
+def salary_text(low: Column, high: Column, none: str = "Not specified") -> Column:
+    """A range of pay in whole dollars, or the end that is known; zero counts as unknown."""
+    shown = lambda c: F.concat(F.lit("$"), F.format_number(c, 0))
+    has_low, has_high = F.coalesce(low != 0, F.lit(False)), F.coalesce(high != 0, F.lit(False))
+    return F.when(has_low & has_high, F.concat(shown(low), F.lit(" - "), shown(high))).when(has_low, F.concat(shown(low), F.lit("+"))).when(has_high, F.concat(F.lit("Up to "), shown(high))).otherwise(none)
+
+
+def shortened(c: Column, most: int = 200) -> Column:
+    """The text, or as many of its first signs up to the last blank among them, with three dots."""
+    return F.when(F.length(c) <= most, c).otherwise(F.concat(F.regexp_replace(F.substring(c, 1, most), "(?s) [^ ]*$", ""), F.lit("...")))
+
+
 def dollar_figures(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"[$][0-9][0-9,.]*[KMBkmb]?"), F.lit(0))
 

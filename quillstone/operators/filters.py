@@ -85,3 +85,77 @@ class JobQuery:
             return out.orderBy(*self.order())
         out = out.orderBy(*self.order()).offset(self.offset) if self.offset else out.orderBy(*self.order())
         return out.limit(self.limit) if self.limit is not None else out
+
+
+# What places a job in a region.
+LOCATIONS = {
+    "us": (
+        "United States", ", US", "USA", ", CA", ", NY", ", WA", ", TX", ", VA", "San Francisco", "New York", "Seattle", "Remote - USA", "Remote, US",
+    ),
+    "uk": ("United Kingdom", ", UK", "London", "England"),
+    "canada": ("Canada", "Toronto", "Vancouver", "Montreal"),
+    "europe": ("Germany", "France", "Netherlands", "Spain", "Ireland", "Berlin", "Amsterdam", "Europe"),
+}
+
+
+@dataclass(frozen=True)
+class JobList:
+    """The list of active jobs of the last days, by a source, words, scores, a place and what came of them. None leaves a condition out.
+
+    A place is a work model (remote, hybrid) or a region; other names leave it out. status is
+    "new", for jobs without an answer, or a kind of answer. Jobs without a date posted stay.
+    """
+
+    as_of: datetime
+    days: int = 7
+    limit: int = 200
+    source: str | None = None
+    remote_only: bool = False
+    search: str | None = None
+    sort: str = "remote_first"
+    min_score: float | None = None
+    min_salary: float | None = None
+    seniority: str | None = None
+    location: str | None = None
+    status: str | None = None
+
+    def conditions(self) -> list[Column]:
+        since = F.lit(self.as_of).cast("timestamp_ntz") - F.make_dt_interval(F.lit(self.days))
+        out = [F.col("scraped_date") >= since, F.col("is_active"), F.col("posted_date").isNull() | (F.col("posted_date") >= since)]
+        if self.source:
+            out.append(F.col("source_site") == self.source)
+        if self.remote_only:
+            out.append(F.col("remote_type") == "remote")
+        if self.search:
+            out.append(reduce(or_, (contains_any(F.col(c), (self.search,)) for c in ("title", "company", "description"))))
+        if self.min_score:
+            out.append(F.col("alignment_score") >= self.min_score)
+        if self.min_salary:
+            out.append(F.coalesce("salary_max", "salary_min", F.lit(0)) >= self.min_salary)
+        if self.seniority:
+            out.append(F.col("experience_level") == self.seniority)
+        if self.location in ("remote", "hybrid"):
+            out.append(F.col("remote_type") == self.location)
+        elif self.location in LOCATIONS:
+            out.append(contains_any(F.col("location"), LOCATIONS[self.location]))
+        return out
+
+    def order(self) -> list[Column]:
+        """The named order, then the newest, then the id."""
+        down = lambda c: F.coalesce(c, F.lit(0)).desc()
+        named = {
+            "remote_first": [F.when(F.col("remote_type") == "remote", 0).when(F.col("remote_type") == "hybrid", 1).otherwise(2), down("alignment_score"), down("salary_max")],
+            "score": [down("alignment_score")],
+            "salary": [down("salary_max")],
+            "culture": [down("company_rating"), down("alignment_score")],
+        }
+        return [*named.get(self.sort, []), F.col("scraped_date").desc_nulls_last(), F.col("id")]
+
+    def apply(self, jobs: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+        """jobs that meet the conditions, in order; answers (job_id, response_type) are read for a status alone."""
+        out = jobs.filter(reduce(and_, self.conditions()))
+        if self.status and answers is not None:
+            asked = F.col("response_type") != "none" if self.status == "new" else F.col("response_type") == self.status
+            known = answers.filter(asked).select(F.col("job_id").alias("id"))
+            out = out.join(known, "id", "left_anti" if self.status == "new" else "left_semi")
+        return out.orderBy(*self.order()).limit(self.limit)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
@@ -11,7 +12,7 @@ from quillstone.functions.dates import age_days, age_label
 from quillstone.functions.numbers import interval_overlap, yearly
 from quillstone.operators import scoring as S
 from quillstone.operators import screening as G
-from quillstone.operators.filters import JobQuery
+from quillstone.operators.filters import JobList, JobQuery
 from quillstone.operators.salary import salary
 from quillstone.registry import query
 from quillstone.sources.tables import POSTINGS_SQL, postings
@@ -189,6 +190,70 @@ def blended_scores(spark, read):
     return postings(spark, read).filter("alignment_score is not null").select("id", S.blended(F.col("alignment_score"), second).alias("score"))
 
 
+PLACES = ("Austin, TX", "Greater London", "toronto", "Berlin", "Remote, US", "Elsewhere", None)
+LISTS = (
+    ("remote_first", "us", "new", None), ("score", "uk", None, None), ("salary", "canada", "purchase", None), ("culture", "europe", "new", "senior"), ("date", "remote", "click", None),
+    ("other", "hybrid", None, "mid"),
+)
+_LIST_WHERE = {
+    "us": "location ILIKE '%United States%' OR location ILIKE '%, US%' OR location ILIKE '%USA%' OR location ILIKE '%, CA%' OR location ILIKE '%, NY%' OR location ILIKE '%, WA%' OR location ILIKE '%, TX%' OR location ILIKE '%, VA%' OR location ILIKE '%San Francisco%' OR location ILIKE '%New York%' OR location ILIKE '%Seattle%'",
+    "uk": "location ILIKE '%United Kingdom%' OR location ILIKE '%, UK%' OR location ILIKE '%London%' OR location ILIKE '%England%'",
+    "canada": "location ILIKE '%Canada%' OR location ILIKE '%Toronto%' OR location ILIKE '%Vancouver%' OR location ILIKE '%Montreal%'",
+    "europe": "location ILIKE '%Germany%' OR location ILIKE '%France%' OR location ILIKE '%Netherlands%' OR location ILIKE '%Spain%' OR location ILIKE '%Ireland%' OR location ILIKE '%Berlin%' OR location ILIKE '%Amsterdam%' OR location ILIKE '%Europe%'",
+    "remote": "remote_type = 'remote'", "hybrid": "remote_type = 'hybrid'",
+}
+_LIST_ORDER = {
+    "remote_first": "CASE remote_type WHEN 'remote' THEN 0 WHEN 'hybrid' THEN 1 ELSE 2 END, coalesce(alignment_score, 0) DESC, coalesce(salary_max, 0) DESC, ", "score": "coalesce(alignment_score, 0) DESC, ",
+    "salary": "coalesce(salary_max, 0) DESC, ", "culture": "coalesce(company_rating, 0) DESC, coalesce(alignment_score, 0) DESC, ", "date": "", "other": "",
+}
+
+
+def _list_sql(sort: str, place: str, status: str | None, level: str | None) -> str:
+    answered = {None: "", "new": "AND id NOT IN (SELECT job_id FROM a WHERE response_type <> 'none')"}.get(status, f"AND id IN (SELECT job_id FROM a WHERE response_type = '{status}')")
+    where = f"scraped_date >= TIMESTAMP '2001-08-01' - INTERVAL 3000 DAY AND active AND (posted_date IS NULL OR posted_date >= TIMESTAMP '2001-08-01' - INTERVAL 3000 DAY) AND ({_LIST_WHERE[place]}) {answered}" + (f" AND experience_level = '{level}'" if level else "")
+    return f"SELECT '{sort}' AS sort, id, CAST(row_number() OVER (ORDER BY {_LIST_ORDER[sort]}scraped_date DESC NULLS LAST, id) AS INT) AS rank FROM j WHERE {where} QUALIFY rank <= 25"
+
+
+JOB_LISTS_SQL = P.rstrip() + """
+, j AS (SELECT * REPLACE (list_extract(['Austin, TX', 'Greater London', 'toronto', 'Berlin', 'Remote, US', 'Elsewhere', NULL], CAST(id % 7 + 1 AS INT)) AS location, CASE WHEN id % 10 > 0 THEN posted_date END AS posted_date), posted_date + to_days(CAST(id % 5 AS INT)) AS scraped_date, id % 13 > 0 AS active,
+        CASE id % 2 WHEN 0 THEN 'senior' ELSE 'mid' END AS experience_level FROM p),
+a AS (SELECT user_id AS job_id, CASE event_type WHEN 'view' THEN 'none' ELSE event_type END AS response_type FROM events WHERE user_id % 3 = 0)
+""" + " UNION ALL ".join(f"({_list_sql(*x)})" for x in LISTS)
+
+
+@query("job_lists", JOB_LISTS_SQL)
+def job_lists(spark, read):
+    """Six lists of jobs: every order, place and status; places, levels and days of finding come by the id, answers are events of some users."""
+    c = F.col
+    jobs = postings(spark, read).withColumns({
+        "location": F.get(F.array(*map(F.lit, PLACES)), (c("id") % 7).cast("int")),
+        "scraped_date": c("posted_date") + F.make_dt_interval((c("id") % 5).cast("int")),
+        "posted_date": F.when(c("id") % 10 > 0, c("posted_date")),
+        "is_active": c("id") % 13 > 0,
+        "experience_level": F.when(c("id") % 2 == 0, "senior").otherwise("mid"),
+    })
+    answers = read("events").filter("user_id % 3 = 0").select(c("user_id").alias("job_id"), F.when(c("event_type") == "view", "none").otherwise(c("event_type")).alias("response_type"))
+    out = None
+    for sort, place, status, level in LISTS:
+        asked = JobList(AS_OF, 3000, 25, sort=sort, location=place, status=status, seniority=level)
+        ranked = Window.orderBy(*asked.order())  # 25 rows
+        part = asked.apply(jobs, answers).select(F.lit(sort).alias("sort"), "id", F.row_number().over(ranked).alias("rank"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+SALARY_TEXT_SQL = P + """
+SELECT id, CASE WHEN salary_min IS NOT NULL AND salary_max IS NOT NULL THEN '$' || format('{:,}', CAST(salary_min AS BIGINT)) || ' - $' || format('{:,}', CAST(salary_max AS BIGINT)) WHEN salary_min IS NOT NULL THEN '$' || format('{:,}', CAST(salary_min AS BIGINT)) || '+'
+  WHEN salary_max IS NOT NULL THEN 'Up to $' || format('{:,}', CAST(salary_max AS BIGINT)) ELSE 'Not specified' END AS salary,
+  CASE WHEN length(description) <= 200 THEN description ELSE regexp_replace(left(description, 200), ' [^ ]*$', '') || '...' END AS short FROM p
+"""
+
+
+@query("salary_texts", SALARY_TEXT_SQL)
+def salary_texts(spark, read):
+    return postings(spark, read).select("id", T.salary_text(F.col("salary_min"), F.col("salary_max")).alias("salary"), T.shortened(F.col("description")).alias("short"))
+
+
 @query("defense_gate", DEFENSE_SQL)
 def defense_gate(spark, read):
     """The clearance gate by itself; labels and wordings come by the id, as no table has them."""
