@@ -322,11 +322,30 @@ def undated_hash(c: Column, length: int = 16) -> Column:
     return F.substring(F.sha2(F.regexp_replace(F.regexp_replace(plain, r"^\s+|\s+$", ""), r"\s+", " "), 256), 1, length)
 
 
+#: What Windows' Western code page has between 0x80 and 0x9F, and the signs of the same bytes in Latin-1; five bytes have nothing.
+_WESTERN = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+_SHOWN, _PLACES = "".join(w for _, w in _WESTERN if w), "".join(p for p, w in _WESTERN if w)
+# Sequences that are broken beyond decoding, and the signs that they stand for.
+BROKEN_SIGNS = (
+    ("\u00f0\u0178\u201c\u02c6", "\U0001f4c8"), ("\u00f0\u0178\u017d\u00aa", "\U0001f3aa"), ("\u00f0\u0178\u201c\u0160", "\U0001f4ca"),
+    ("\u00f0\u0178\u2019\u00aa", "\U0001f4aa"), ("\u00f0\u0178\u2018\u201d", "\U0001f454"), ("\u00f0\u0178\u00a4\u009d", "\U0001f91d"),
+    ("\u00f0\u0178\u00a2", "\U0001f3c6"), ("\u00f0\u0178\u00ad", "\U0001f3e2"), ("\u00f0\u0178\u2019\u00a1", "\U0001f4a1"),
+    ("\u00f0\u0178\u2018\u00a5", "\U0001f465"), ("\u00f0\u0178\u0152", "\U0001f30d"),
+)
+
+
 def repaired(c: Column) -> Column:
-    """UTF-8 that was read as Latin-1, read again; anything else unchanged."""
-    back = F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")
-    broken = c.rlike("[ÂÃâ][\u0080-¿]")
-    return F.when(broken & F.try_validate_utf8(F.encode(c, "ISO-8859-1").cast("string")).isNotNull(), back).otherwise(c)
+    """UTF-8 that was read as Windows' Western page or as Latin-1, read again; then some broken signs replaced. Anything else stays."""
+    raw = lambda x: F.encode(x, "ISO-8859-1")
+    valid = lambda x: F.try_validate_utf8(raw(x).cast("string")).isNotNull()
+    western = F.translate(c, _SHOWN, _PLACES)
+    # Conditions one inside the other: only texts that have bytes on the page are encoded at all.
+    on_western, on_latin = c.rlike(f"^[\\x00-\\x7F\\xA0-\\xFF{_SHOWN}]*$"), c.rlike("^[\\x00-\\xFF]*$")
+    latin = F.when(on_latin, F.when(valid(c), F.decode(raw(c), "UTF-8")).otherwise(c)).otherwise(c)
+    c = F.when(on_western, F.when(valid(western), F.decode(raw(western), "UTF-8")).otherwise(latin)).otherwise(latin)
+    for broken, sign in BROKEN_SIGNS:
+        c = F.replace(c, F.lit(broken), F.lit(sign))
+    return c
 
 
 def lenient_json(c: Column, schema: str) -> Column:

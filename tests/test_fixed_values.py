@@ -67,3 +67,24 @@ def test_audit_of_a_letter(spark):
     a = one(spark, M.audit(letter, F.lit("40 things, built"), F.array(F.struct(F.lit("A").alias("employer"), F.lit("2018").alias("start")))).alias("a"))["a"]
     assert (a["figures"], a["scope"], a["tools"], a["employers"], a["score"], a["passed"]) == (["50%", "3x"], [], ["azure functions"], ["A"], 100 - 45 - 7, False)
     assert one(spark, M.audit(F.lit(None).cast("string"), F.lit("x")).alias("a"))["a"]["score"] == 100
+
+
+def test_repair_is_the_model(spark):
+    texts = ["", "plain", "café", "日本 “q” – €", "\U0001f4c8 up", "ñandú — ¿qué?", "Привет", "Ã", "a\x9db", "Â£5 – ok", "Å“uvre", "x\u0178y"]
+    broken = [t.encode().decode("latin-1") for t in texts] + [t.encode().decode("cp1252", "ignore") for t in texts] + texts + ["cafÃ© und €", "\u00f0\u0178\u00a2 sign", "\u00f0\u0178\u2018\u00a5"]
+
+    def model(t):
+        for page in ("cp1252", "latin-1"):
+            try:
+                t = t.encode(page).decode()
+                break
+            except UnicodeError:
+                continue
+        for a, b in T.BROKEN_SIGNS:
+            t = t.replace(a, b)
+        return t
+
+    rows = spark.createDataFrame(list(enumerate(broken)), "i int, t string")
+    got = {r["i"]: r["r"] for r in rows.select("i", T.repaired(F.col("t")).alias("r")).collect()}
+    assert got == {i: model(t) for i, t in enumerate(broken)}
+    assert sum(got[i] != broken[i] for i in got) >= 8
