@@ -34,7 +34,7 @@ def test_stages_of_odd_rows(spark, odd_documents, no_documents):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_rows(name, spark):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{WHERE}/{t}.parquet'")
     got, want = queries.queries()[name](spark, WHERE).toPandas(), con.sql(queries.oracle_sql()[name]).df()
     columns = sorted(want.columns)
