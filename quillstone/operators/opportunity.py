@@ -13,6 +13,7 @@ from quillstone.functions.extract import role_level
 from quillstone.functions.numbers import clamp
 from quillstone.functions.text import any_term
 from quillstone.operators.matching import band_number, company_tier, skills_authenticity, term_count
+from quillstone.operators.relational import top_per_group
 from quillstone.operators.screening import GHOST_PATTERNS
 
 #: Weights of the first score, points of a title's level.
@@ -161,13 +162,18 @@ def select_achievements(bank: DataFrame, wanted: DataFrame, top: int = 4, least:
     """For each job (job_id, category, tools) the best achievements of its category, with boosted score and rank.
 
     bank (id, category, coverage, tools, blocked) has a row for each achievement and
-    category. Each tool that the job asks for adds boost; ties go to the smaller id. The
-    achievements are joined by category, and of a job's candidates only the best go on.
+    category. Each tool that the job asks for adds boost; ties go to the smaller id. Jobs
+    that ask for the same category and tools are answered once; of achievements that no job
+    can tell apart, by coverage and tools, only the first by id are held against them.
     """
     fit = bank.filter(~F.col("blocked") & (F.col("coverage") >= least)).select("id", "category", "coverage", F.col("tools").alias("has"))
-    pairs = wanted.join(fit, "category").withColumn("score", F.col("coverage") + boost * F.size(F.array_intersect("has", F.transform(F.array_distinct("tools"), F.lower))))
-    best = pairs.groupBy("job_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "id"))), 1, top).alias("best"))
-    return best.select("job_id", F.posexplode("best").alias("pos", "b")).select("job_id", (F.col("pos") + 1).alias("rank"), F.col("b.id").alias("id"), (-F.col("b.order")).alias("score"))
+    first = top_per_group(fit, ["category", "coverage", "has"], [F.col("id")], top).drop("rank")
+    asked = wanted.select("category", "tools").distinct()
+    pairs = asked.join(first, "category").withColumn("score", F.col("coverage") + boost * F.size(F.array_intersect("has", F.transform(F.array_distinct("tools"), F.lower))))
+    order = [F.col("score").desc_nulls_last(), F.col("id")]
+    best = top_per_group(pairs, ["category", "tools"], order, top).select(F.col("category").alias("__category"), F.col("tools").alias("__tools"), "id", "score")
+    jobs = wanted.join(best, (F.col("category") == F.col("__category")) & F.col("tools").eqNullSafe(F.col("__tools")))
+    return top_per_group(jobs, ["job_id"], order, top).select("job_id", "rank", "id", "score")
 
 
 #: Thresholds of the checks below.
