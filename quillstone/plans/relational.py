@@ -13,9 +13,12 @@ from quillstone.operators import relational as R
 from quillstone.operators.filters import contains_any, recent_or_unknown
 from quillstone.operators.similarity import small
 from quillstone.registry import query
+from quillstone.session import spread
 
 AS_OF = datetime(2001, 8, 1)
 EVENTS_AS_OF = datetime(2024, 1, 30)
+#: Rows of two numbers that are broadcast, some 16 MB.
+PAIRED_ROWS = 1_000_000
 BANDS = ((400000, "e"), (300000, "d"), (200000, "c"), (100000, "b"))
 BAND_SQL = "CASE WHEN o_totalprice >= 400000 THEN 'e' WHEN o_totalprice >= 300000 THEN 'd' WHEN o_totalprice >= 200000 THEN 'c' WHEN o_totalprice >= 100000 THEN 'b' ELSE 'a' END"
 
@@ -115,10 +118,12 @@ def status_anti(spark, read):
     return read("customer").join(read("orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
-@query("join_same_key_other_row", "SELECT a.s_suppkey AS a, count(*) AS n FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey GROUP BY 1")
+@query("join_same_key_other_row", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey")
 def join_same_key_other_row(spark, read):
-    """Another name for same_key_other_rows."""
-    return same_key_other_rows(spark, read)
+    """Every supplier with each other one of its nation; same_key_other_rows counts them without listing the pairs."""
+    a, b = (read("supplier").select("s_nationkey", F.col("s_suppkey").alias(x)) for x in "ab")
+    # Two numbers a row, so that many rows are small; the left side is spread, as nations are few.
+    return spread(a).join(small(b, PAIRED_ROWS), "s_nationkey").filter("a <> b").select("a", "b")
 
 
 @query("same_key_other_rows", "SELECT a.s_suppkey AS a, count(*) AS n FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey GROUP BY 1")
