@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.extract import role_level
 from quillstone.functions.numbers import clamp
-from quillstone.functions.text import any_term
+from quillstone.functions.text import any_term, once
 from quillstone.operators.matching import band_number, company_tier, skills_authenticity, term_count
 from quillstone.operators.relational import top_per_group
 from quillstone.operators.screening import GHOST_PATTERNS
@@ -268,15 +268,17 @@ def authentic_output(text: Column, name: Column, companies: Column, missing: Col
     may, two of the known companies have to where there are any, and no missing skill may
     be claimed. One issue leaves a confidence of 0.3, more or any claimed skill 0.
     """
-    low = _low(text)
     parts = F.filter(F.split(F.lower(name), r"\s+"), lambda p: F.length(p) > 3)
-    named = (F.coalesce(name, F.lit("")) == "") | F.exists(parts, lambda p: F.contains(low, p))
-    real = F.size(F.filter(companies, lambda c: F.contains(low, F.lower(c))))
-    claimed = claimed_skills(low, missing)
-    flags = [F.when(~named, F.lit("name"))] + [F.when(low.contains(p), F.lit(p)) for p in (*PLACEHOLDER_NAMES, *PLACEHOLDER_COMPANIES)] + [F.when((F.size(companies) > 0) & (real < 2), F.lit("companies"))]
-    issues = F.concat(F.array_compact(F.array(*flags)), F.transform(claimed, lambda s: F.concat(F.lit("claimed: "), s)))
-    sure = F.when(F.size(issues) == 0, 1.0).when((F.size(claimed) == 0) & (F.size(issues) == 1), 0.3).otherwise(0.0)
-    return F.struct(issues.alias("issues"), claimed.alias("claimed"), sure.alias("confidence"))
+
+    def checked(low: Column, claimed: Column) -> Column:
+        named = (F.coalesce(name, F.lit("")) == "") | F.exists(parts, lambda p: F.contains(low, p))
+        real = F.size(F.filter(companies, lambda c: F.contains(low, F.lower(c))))
+        flags = [F.when(~named, F.lit("name"))] + [F.when(low.contains(p), F.lit(p)) for p in (*PLACEHOLDER_NAMES, *PLACEHOLDER_COMPANIES)] + [F.when((F.size(companies) > 0) & (real < 2), F.lit("companies"))]
+        issues = F.concat(F.array_compact(F.array(*flags)), F.transform(claimed, lambda s: F.concat(F.lit("claimed: "), s)))
+        return once(issues, lambda found: F.struct(found.alias("issues"), claimed.alias("claimed"), sure(found, claimed).alias("confidence")))
+
+    sure = lambda issues, claimed: F.when(F.size(issues) == 0, 1.0).when((F.size(claimed) == 0) & (F.size(issues) == 1), 0.3).otherwise(0.0)
+    return once(_low(text), lambda low: once(claimed_skills(low, missing), lambda claimed: checked(low, claimed)))
 
 
 def simple_match(title: Column, description: Column, skills: Sequence[str]) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillstone.functions import extract as X
+from quillstone.functions.text import once
 from quillstone.operators import opportunity as O
 from quillstone.operators import screening as G
 from quillstone.registry import query
@@ -223,7 +224,7 @@ SELECT id, CASE id % 6 WHEN 0 THEN '' WHEN 1 THEN 'name,john doe' WHEN 2 THEN 'c
 def authentic_outputs(spark, read):
     """Six kinds of generated resumes, held against one whose table marks kafka, airflow and dagster as not found."""
     missing = X.missing_skills(F.lit("| Kafka | ❌ NOT FOUND |\n| Airflow / Dagster | NOT FOUND |\n| Python | found |"))
-    found = O.authentic_output(F.expr(GENERATED), F.lit("Ann Smith"), F.array(F.lit("Acorn"), F.lit("Birch")), missing)
+    found = once(F.struct(F.expr(GENERATED).alias("text"), missing.alias("missing")), lambda x: O.authentic_output(x["text"], F.lit("Ann Smith"), F.array(F.lit("Acorn"), F.lit("Birch")), x["missing"]))
     return postings(spark, read).select("id", found.alias("f")).select("id", F.array_join("f.issues", ",").alias("issues"), F.col("f.confidence").alias("confidence"))
 
 
