@@ -246,3 +246,16 @@ def test_odd_rows(odd_documents, no_documents):
     assert suffix_dedup.without_repeats(odd_documents).columns == odd_documents.columns
     for f in (block_naming.exact_duplicates, minhash_tensor.near_duplicates, suffix_dedup.removal_digests, suffix_dedup.without_repeats):
         assert f(no_documents).count() == 0
+
+
+@pytest.mark.parametrize("at_once", [250_000, 5])
+def test_long_paths_need_few_rounds(spark, monkeypatch, at_once):
+    """Ties that one task has are contracted there, so that not even a long path takes rounds of shuffles."""
+    from quillstone.llm import components as C
+
+    monkeypatch.setattr(C, "EDGES_A_TASK", at_once)
+    path = [(i, i + 1) for i in range(100, 160)] + [(7, 3), (3, 7), (3, 3), (9, 7)]
+    shelf = Shelf(spark, "test")
+    found = C.components(spark.createDataFrame(path, "u long, v long").repartition(3), shelf, "c").collect()
+    assert sorted(map(tuple, found)) == [(3, 3), (7, 3), (9, 3), *((i, 100) for i in range(100, 161))]
+    assert at_once == 5 or shelf.names == {"c_0"}
