@@ -8,11 +8,15 @@ so that each is merged once and then looked up.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import lru_cache
 from itertools import chain
+from operator import concat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,8 +56,9 @@ class ForcedBoundaryEncoder:
             if stem != t and symbols:
                 symbols[-1] += self.suffix
             self.joined.update(zip(symbols, symbols[1:]))
+        #: The pairs without the suffix, as strings.
+        self.pairs = {a + b for a, b in self.joined if len(b) == 1}
         self.alphabet = _byte_alphabet()
-        self.shown = re.compile("[!-~]*")  # these stand for themselves
         self.plain = re.compile(f"[{PLAIN}]*")
         # What starts with a letter, a digit or an apostrophe can't start otherwise, so that the commonest kind may come first.
         self.words = re.compile(f"[{LETTERS}]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^ \\t\\n\\r{LETTERS}0-9]+")
@@ -64,7 +69,7 @@ class ForcedBoundaryEncoder:
     def fragments_of(self, word: str) -> list[str]:
         """The pieces of a word, in the vocabulary's alphabet, between forced boundaries."""
         n = len(word) - 1
-        if n < 1 or (word[n - 1], word[n] + self.suffix) in self.joined and self.joined.issuperset(zip(word[: n - 1], word[1:n])):
+        if n < 1 or (word[n - 1], word[n] + self.suffix) in self.joined and self.pairs.issuperset(map(concat, word, word[1:n])):
             return [word]
         pairs = list(zip(word, [*word[1:n], word[n] + self.suffix]))
         cuts = [0, *(i for i, pair in enumerate(pairs, 1) if pair not in self.joined), len(word)]
@@ -82,7 +87,8 @@ class ForcedBoundaryEncoder:
 
     def word_ids(self, word: str) -> tuple[int, ...]:
         """The ids of one word of the pre-tokenizer."""
-        pieces = self.fragments_of(word if self.shown.fullmatch(word) else "".join(self.alphabet[b] for b in word.encode()))
+        shown = word.isascii() and word.isprintable() and " " not in word  # these stand for themselves
+        pieces = self.fragments_of(word if shown else "".join(self.alphabet[b] for b in word.encode()))
         if len(pieces) == 1:
             return tuple([t.id for t in self.final.tokenize(pieces[0])])
         return tuple(chain.from_iterable(self._fragment(p, i == len(pieces) - 1) for i, p in enumerate(pieces)))
@@ -148,6 +154,36 @@ def _byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+@lru_cache(maxsize=2)
+def shared_encoder(path: str) -> ForcedBoundaryEncoder:
+    """The encoder of a worker's tasks: read once for each file, its tables go from task to task."""
+    return ForcedBoundaryEncoder(path)
+
+
+@lru_cache(maxsize=2)
+def shared_table(path: str, render: Callable[[ForcedBoundaryEncoder, tuple[int, ...]], object]) -> "_Words":
+    """A table of the shared encoder; render has to be a function of a module, which is the same for all tasks."""
+    encoder = shared_encoder(path)
+    return encoder.table(lambda ids: render(encoder, ids))
+
+
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Without Python's search for cycles: words and ids are many and make none, and it would go through them again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
+def _digested(encoder: ForcedBoundaryEncoder, ids: tuple[int, ...]) -> tuple[bytes, bytes, int]:
+    """ids as decimals and the tokens themselves, each followed by a space, and their number."""
+    return "".join(f"{i} " for i in ids).encode(), "".join(encoder.token[i] + " " for i in ids).encode(), len(ids)
+
+
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -161,25 +197,24 @@ def encode_digests(docs: DataFrame, path: str, text: str = "text", doc_id: str =
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ForcedBoundaryEncoder(path)
-        # ids as decimals and the tokens themselves, each followed by a space
-        table = encoder.table(lambda ids: ("".join(f"{i} " for i in ids).encode(), "".join(encoder.token[i] + " " for i in ids).encode(), len(ids)))
+        encoder, table = shared_encoder(path), shared_table(path, _digested)
         for batch in batches:
             idents, counts, ids_sha, decoded_sha = batch.column(0), [], [], []
-            for value in batch.column(1):
-                n, ids, decoded = 0, [], []
-                for words, special in encoder.pieces(value.as_py()):
-                    rendered = [table[w] for w in words]
-                    ids += [r[0] for r in rendered]
-                    decoded += [r[1] for r in rendered]
-                    n += sum(r[2] for r in rendered)
-                    if special is not None:
-                        ids.append(b"%d " % special)
-                        decoded.append(encoder.token[special].encode() + b" ")
-                        n += 1
-                counts.append(n)
-                ids_sha.append(hashlib.sha256(b"".join(ids)[:-1]).hexdigest())
-                decoded_sha.append(hashlib.sha256(b"".join(decoded)[:-1]).hexdigest())
+            with uncollected():
+                for value in batch.column(1):
+                    n, ids, decoded = 0, [], []
+                    for words, special in encoder.pieces(value.as_py()):
+                        rendered = [table[w] for w in words]
+                        ids += [r[0] for r in rendered]
+                        decoded += [r[1] for r in rendered]
+                        n += sum(r[2] for r in rendered)
+                        if special is not None:
+                            ids.append(b"%d " % special)
+                            decoded.append(encoder.token[special].encode() + b" ")
+                            n += 1
+                    counts.append(n)
+                    ids_sha.append(hashlib.sha256(b"".join(ids)[:-1]).hexdigest())
+                    decoded_sha.append(hashlib.sha256(b"".join(decoded)[:-1]).hexdigest())
             yield pa.RecordBatch.from_arrays([idents, pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))

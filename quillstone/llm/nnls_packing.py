@@ -12,8 +12,9 @@ histogram. Rows are only numbered within their length and looked up in the plan.
 
 from __future__ import annotations
 
-import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.forced_bpe import ForcedBoundaryEncoder
+from quillstone.llm.forced_bpe import ForcedBoundaryEncoder, shared_encoder, shared_table, uncollected
 from quillstone.shelf import Shelf
 
 WINDOW, END_ID = 4096, 2
@@ -182,6 +183,11 @@ def plan(histogram: np.ndarray, window: int = WINDOW, grid: int = GRID) -> list[
     return rows
 
 
+def _packed(_: ForcedBoundaryEncoder, ids: tuple[int, ...]) -> bytes:
+    """ids as little-endian numbers of 32 bits."""
+    return np.array(ids, "<u4").tobytes() if sys.byteorder == "big" else array("I", ids).tobytes()
+
+
 TOKENISED = "doc_id long, doc_tokens long, crcs array<long>"
 
 
@@ -189,21 +195,21 @@ def tokenised(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = EN
     """Token count, with the closing id, and the checksum of each piece of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ForcedBoundaryEncoder(path)
-        render = encoder.table(lambda ids: struct.pack(f"<{len(ids)}I", *ids)).__getitem__
+        encoder, render = shared_encoder(path), shared_table(path, _packed).__getitem__
         end, width = end_id.to_bytes(4, "little"), 4 * window
         for b in batches:
             counts, crcs = [], []
-            for value in b.column(1).to_pylist():
-                parts: list[bytes] = []
-                for words, special in encoder.pieces(value):
-                    parts.extend(map(render, words))
-                    if special is not None:
-                        parts.append(special.to_bytes(4, "little"))
-                parts.append(end)
-                raw = memoryview(b"".join(parts))
-                counts.append(len(raw) // 4)
-                crcs.append([zlib.crc32(raw[i : i + width]) for i in range(0, len(raw), width)])
+            with uncollected():
+                for value in b.column(1).to_pylist():
+                    parts: list[bytes] = []
+                    for words, special in encoder.pieces(value):
+                        parts.extend(map(render, words))
+                        if special is not None:
+                            parts.append(special.to_bytes(4, "little"))
+                    parts.append(end)
+                    raw = memoryview(b"".join(parts))
+                    counts.append(len(raw) // 4)
+                    crcs.append([zlib.crc32(raw[i : i + width]) for i in range(0, len(raw), width)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], names=["doc_id", "doc_tokens", "crcs"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, TOKENISED)

@@ -366,3 +366,19 @@ def test_distance_sees_toxic_pieces():
     d = toxicity_zstd.Distance(model.ordinary, model.toxic)
     score = lambda t: model.score(d.features(t)[None])[0]
     assert np.mean([score(bad()) > 0.5 for _ in range(50)]) > 0.9 and np.mean([score(plain()) < 0.5 for _ in range(50)]) > 0.9
+
+
+def test_tasks_of_a_worker_share_their_tables(tokenizer_file, encoder):
+    """A task finds the words that earlier ones met; the collector is on again afterwards."""
+    import gc
+
+    from quillstone.llm import forced_bpe, nnls_packing
+
+    table = forced_bpe.shared_table(tokenizer_file, nnls_packing._packed)
+    assert forced_bpe.shared_table(tokenizer_file, nnls_packing._packed) is table and table.encoder is forced_bpe.shared_encoder(tokenizer_file)
+    assert forced_bpe.shared_table(tokenizer_file, forced_bpe._digested) is not table
+    words = ["the", "thtionbleble", "'ll", "!?", "1", "èoieauon"]
+    assert [np.frombuffer(table[w], "<u4").tolist() for w in words] == [encoder[1].encode(w, add_special_tokens=False).ids for w in words]
+    with forced_bpe.uncollected():
+        assert not gc.isenabled()
+    assert gc.isenabled()
