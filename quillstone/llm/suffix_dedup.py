@@ -165,7 +165,9 @@ def _repeated(table: pa.Table) -> pa.Table:
     })
 
 
-_SENT = "batch long, shard long, ids binary, lengths binary, lows binary, highs binary, content binary, docs binary, shas binary, starts binary"
+#: Content is shuffled and kept by the batch, which Spark's own codec makes little smaller.
+_CODEC = pa.Codec("zstd", compression_level=3)
+_SENT = "batch long, shard long, n_bytes long, ids binary, lengths binary, lows binary, highs binary, content binary, docs binary, shas binary, starts binary"
 _SENT_FIELDS = ("ids", "lengths", "lows", "highs", "content", "docs", "shas", "starts")
 
 
@@ -229,7 +231,7 @@ def _sender(buckets: int, shards: int):
             for shard in np.unique(shard_of[shard_of >= 0]):
                 own = order[cut[shard] : cut[shard + 1]]
                 mine = [strings[i] for i in own]
-                rows.append({"batch": batch, "shard": int(shard), "ids": own.astype("<u4").tobytes(), "lengths": np.array([len(x) for x in mine], "<u4").tobytes(), "lows": low[own].tobytes(), "highs": high[own].tobytes(), "content": b"".join(mine)})
+                rows.append({"batch": batch, "shard": int(shard), "ids": own.astype("<u4").tobytes(), "lengths": np.array([len(x) for x in mine], "<u4").tobytes(), "lows": low[own].tobytes(), "highs": high[own].tobytes(), "content": _CODEC.compress(b"".join(mine), asbytes=True), "n_bytes": sum(map(len, mine))})
             if len(hit):
                 used = np.unique(number)
                 shas = texts.column("sha").to_pylist()
@@ -238,8 +240,8 @@ def _sender(buckets: int, shards: int):
                     "lows": owner.astype("<u4").tobytes(), "highs": window.astype("<u4").tobytes(),
                     "docs": ids[used].astype("<i8").tobytes(), "shas": b"".join(shas[i] for i in used), "starts": start.astype("<i8").tobytes(),
                 })
-        schema = pa.schema([("batch", pa.int64()), ("shard", pa.int64()), *((f, pa.binary()) for f in _SENT_FIELDS)])
-        return pa.Table.from_pylist([dict.fromkeys(_SENT_FIELDS) | r for r in rows], schema=schema)
+        schema = pa.schema([("batch", pa.int64()), ("shard", pa.int64()), ("n_bytes", pa.int64()), *((f, pa.binary()) for f in _SENT_FIELDS)])
+        return pa.Table.from_pylist([dict.fromkeys(("n_bytes", *_SENT_FIELDS)) | r for r in rows], schema=schema)
 
     return send
 
@@ -282,8 +284,8 @@ def _learn(table: pa.Table) -> pa.Table:
     """For each batch that sent stretches the runs of windows that a smaller document has, with that document."""
     known: dict[bytes, int] = {}
     ident = array("q")
-    for lengths, content in zip(table.column("lengths"), table.column("content")):
-        at, content = 0, content.as_py()
+    for lengths, content, n_bytes in zip(table.column("lengths"), table.column("content"), table.column("n_bytes").to_pylist()):
+        at, content = 0, _CODEC.decompress(content.as_buffer(), n_bytes, asbytes=True)
         for n in np.frombuffer(lengths.as_buffer(), "<u4").tolist():
             ident.append(known.setdefault(content[at : at + n], len(known)))
             at += n
@@ -403,7 +405,7 @@ def repeated_spans(docs: DataFrame, shelf: Shelf, text: str = "text", doc_id: st
     # The shards are made fine enough for all of the text; those that are small are sorted together with none.
     shards = max(1, -(-total // (2 * shard_bytes)))
     sent = shelf.put(sent.applyInArrow(_sender(batches, shards), _SENT), "sent")
-    learnt = sent.filter("shard >= 0").select("batch", "shard", "ids", "lengths", "lows", "highs", "content").groupBy("shard").applyInArrow(_learn, _LEARNT)
+    learnt = sent.filter("shard >= 0").select("batch", "shard", "n_bytes", "ids", "lengths", "lows", "highs", "content").groupBy("shard").applyInArrow(_learn, _LEARNT)
     places = sent.filter("shard < 0").select("batch", "ids", "lengths", "lows", "highs", "docs", "shas", "starts")
     spans = shelf.put(places.groupBy("batch").cogroup(learnt.groupBy("batch")).applyInArrow(_cover, _SPANS), "spans")
     shelf.drop("sent", "prints", "first")

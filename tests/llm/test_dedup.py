@@ -259,3 +259,27 @@ def test_long_paths_need_few_rounds(spark, monkeypatch, at_once):
     found = C.components(spark.createDataFrame(path, "u long, v long").repartition(3), shelf, "c").collect()
     assert sorted(map(tuple, found)) == [(3, 3), (7, 3), (9, 3), *((i, 100) for i in range(100, 161))]
     assert at_once == 5 or shelf.names == {"c_0"}
+
+
+def test_stretches_go_to_shards_compressed():
+    """What a shard gets is smaller than the stretches themselves, and they come back as they were."""
+    import pyarrow as pa
+
+    text = b"all the words of a passage that two documents have, told again and again: " * 40
+    texts = pa.table({"batch": [0, 0], "doc_id": [1, 2], "sha": [b"a" * 32, b"b" * 32], "text": [text, b"x" + text]})
+    keys = np.unique(suffix_dedup.stretches([text])[0] >> np.uint64(32)).astype("<u4")
+    repeated = pa.table({"batch": [0], "bucket": [0], "parts": [keys.tobytes()], "hot": [b"\0" * len(keys)]})
+    sent = suffix_dedup._sender(1, 1)(texts, repeated).filter(pa.compute.greater_equal(pa.compute.field("shard"), 0)).to_pylist()
+    sizes = [np.frombuffer(r["lengths"], "<u4").sum() for r in sent]
+    assert [r["n_bytes"] for r in sent] == sizes and all(len(r["content"]) < r["n_bytes"] / 2 for r in sent)
+    assert len(suffix_dedup._CODEC.decompress(sent[0]["content"], sent[0]["n_bytes"], asbytes=True)) == sizes[0]
+
+
+def test_packed_order_is_the_stable_one():
+    from quillstone.llm.induced_sort import _stable
+
+    r = np.random.default_rng(1)
+    for high in (1, 3, 1000, 1 << 40, 1 << 62):
+        for n in (0, 1, 2, 999):
+            key = r.integers(0, high, n)
+            assert (_stable(key) == np.argsort(key, kind="stable")).all()
