@@ -100,3 +100,23 @@ def test_cache_is_the_model_and_outlives_a_restart(spark, seed):
 
 def test_catalogue_query_has_all_columns(spark):
     assert catalog.queries()["table_catalogue"](spark, WHERE).count() == sum(len(c.split()) for c in __import__("quillstone.plans.stored", fromlist=["COLUMNS"]).COLUMNS.values())
+
+
+def test_keys_of_a_bucket_share_a_state(spark, monkeypatch):
+    """With one bucket all keys are asked for at once, and each is answered by itself; what no hit can come from goes."""
+    from datetime import datetime, timedelta
+
+    from quillstone.streaming import cache
+
+    assert cache.BUCKETS == 1024
+    monkeypatch.setattr(cache, "BUCKETS", 1)
+    start = datetime(2020, 1, 1)
+    rows = [(i, f"k{i % 7}" if i % 11 else "", start + timedelta(minutes=37 * i)) for i in range(120)]
+    shelf = Shelf(spark, "test")
+    paths = [f"{shelf.path}/{x}" for x in ("landing", "out", "checkpoint")]
+    for part in (rows[:50], rows[50:]):
+        frame = spark.createDataFrame(part, "event_id long, user_id string, ts timestamp")
+        frame.write.mode("append").parquet(paths[0])
+        lookups(spark, paths[0], frame.schema, *paths[1:])
+    got = {x["event_id"]: x["hit"] for x in spark.read.parquet(f"{paths[1]}/batch=*").collect()}
+    assert got == model([(t, i, u) for i, u, t in rows], timedelta(hours=6)) and 0 < sum(got.values()) < 120
