@@ -44,3 +44,16 @@ def test_no_test_day_is_in_its_training_part(spark):
         assert a and b and max(a) < min(b)
         seen.append(b)
     assert not (seen[0] & seen[1] or seen[1] & seen[2])
+
+
+def test_counts_of_the_fit_are_made_once(spark, monkeypatch):
+    """The learners read written counts; the model is that of the whole pipeline."""
+    put = []
+    rows = M.labelled_documents(lambda t: spark.read.parquet(f"{WHERE}/{t}.parquet"))
+    train = M.balanced(rows, "role").coalesce(1)
+    monkeypatch.setattr(Shelf, "put", lambda self, df, name, f=Shelf.put: put.append(name) or f(self, df, name))
+    got = M.fitted_roles(train, Shelf(spark, "test"))
+    assert put == ["counts"]
+    want = M.role_pipeline().fit(train)
+    assert [type(s) for s in got.stages] == [type(s) for s in want.stages] and got.stages[0].labels == want.stages[0].labels
+    assert abs(got.stages[-1].coefficientMatrix.toArray() - want.stages[-1].coefficientMatrix.toArray()).max() < 1e-6
