@@ -165,8 +165,8 @@ def _repeated(table: pa.Table) -> pa.Table:
     })
 
 
-#: Content is shuffled and kept by the batch, which Spark's own codec makes little smaller.
-_CODEC = pa.Codec("zstd", compression_level=3)
+#: How the content of a batch is packed for a shard: Spark's own codec makes it little smaller.
+CODEC = "zstd"
 _SENT = "batch long, shard long, n_bytes long, ids binary, lengths binary, lows binary, highs binary, content binary, docs binary, shas binary, starts binary"
 _SENT_FIELDS = ("ids", "lengths", "lows", "highs", "content", "docs", "shas", "starts")
 
@@ -231,7 +231,7 @@ def _sender(buckets: int, shards: int):
             for shard in np.unique(shard_of[shard_of >= 0]):
                 own = order[cut[shard] : cut[shard + 1]]
                 mine = [strings[i] for i in own]
-                rows.append({"batch": batch, "shard": int(shard), "ids": own.astype("<u4").tobytes(), "lengths": np.array([len(x) for x in mine], "<u4").tobytes(), "lows": low[own].tobytes(), "highs": high[own].tobytes(), "content": _CODEC.compress(b"".join(mine), asbytes=True), "n_bytes": sum(map(len, mine))})
+                rows.append({"batch": batch, "shard": int(shard), "ids": own.astype("<u4").tobytes(), "lengths": np.array([len(x) for x in mine], "<u4").tobytes(), "lows": low[own].tobytes(), "highs": high[own].tobytes(), "content": pa.compress(b"".join(mine), codec=CODEC, asbytes=True), "n_bytes": sum(map(len, mine))})
             if len(hit):
                 used = np.unique(number)
                 shas = texts.column("sha").to_pylist()
@@ -285,7 +285,7 @@ def _learn(table: pa.Table) -> pa.Table:
     known: dict[bytes, int] = {}
     ident = array("q")
     for lengths, content, n_bytes in zip(table.column("lengths"), table.column("content"), table.column("n_bytes").to_pylist()):
-        at, content = 0, _CODEC.decompress(content.as_buffer(), n_bytes, asbytes=True)
+        at, content = 0, pa.decompress(content.as_buffer(), n_bytes, codec=CODEC, asbytes=True)
         for n in np.frombuffer(lengths.as_buffer(), "<u4").tolist():
             ident.append(known.setdefault(content[at : at + n], len(known)))
             at += n
