@@ -13,6 +13,7 @@ from quillstone.llm.block_naming import exact_duplicates, normalised
 from quillstone.llm.columns import fresh, mapped, own_columns
 from quillstone.llm.minhash_tensor import near_rows
 from quillstone.llm.toxicity_zstd import Distance, Toxicity
+from quillstone.llm.worker import release
 from quillstone.shelf import Shelf
 
 #: So many keys of dropped rows are broadcast at most (some 100 bytes each in memory); more are joined by shuffle.
@@ -42,6 +43,7 @@ def drop_toxic(docs: DataFrame, model: Toxicity | float, text: str = "text") ->
     place = docs.columns.index(text)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         distance = None if isinstance(model, float) else Distance(model.ordinary, model.toxic)
         for b in batches:
             texts = [t or "" for t in b.column(place).to_pylist()]

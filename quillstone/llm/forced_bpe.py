@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
+from quillstone.llm.worker import kept
+
 #: Entries that each of a worker's tables may hold; what is forgotten changes no result.
 CACHED = 300_000
 #: Characters of words that may be remembered.
@@ -154,12 +156,14 @@ def _byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+@kept
 @lru_cache(maxsize=2)
 def shared_encoder(path: str) -> ForcedBoundaryEncoder:
     """The encoder of a worker's tasks: read once for each file, its tables go from task to task."""
     return ForcedBoundaryEncoder(path)
 
 
+@kept
 @lru_cache(maxsize=2)
 def shared_table(path: str, render: Callable[[ForcedBoundaryEncoder, tuple[int, ...]], object]) -> "_Words":
     """A table of the shared encoder; render has to be a function of a module, which is the same for all tasks."""

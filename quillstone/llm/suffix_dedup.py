@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from quillstone.llm.columns import fresh, mapped, own_columns
 from quillstone.llm.induced_sort import BLOCK, suffix_array
 from quillstone.llm.shingles import _BYTE, _POWERS, mix
+from quillstone.llm.worker import release
 from quillstone.shelf import Shelf
 
 WINDOW, ANCHOR = 50, 20
@@ -115,6 +116,7 @@ _NOTED = "bucket long, batch long, parts binary, docs binary"
 def _noter(buckets: int):
     def note(table: pa.Table) -> pa.Table:
         """The distinct minimisers of a batch by bucket, and how many of its documents have each."""
+        release()
         ids = table.column("doc_id").to_numpy()
         value, number, _, _ = stretches(table.column("text").to_pylist())
         doc = ids[number] if len(number) else number
@@ -189,6 +191,7 @@ def _sender(buckets: int, shards: int):
         stretches, which go out in their place. Row -1 also tells of which windows each hot
         stretch consists (lows: stretches, highs: windows, in order).
         """
+        release()
         rows: list[dict] = []
         if texts.num_rows and repeated.num_rows:
             batch = texts.column("batch")[0].as_py()
@@ -282,6 +285,7 @@ def earliest(text: bytes, lengths: np.ndarray, lows: np.ndarray) -> tuple[np.nda
 
 def _learn(table: pa.Table) -> pa.Table:
     """For each batch that sent stretches the runs of windows that a smaller document has, with that document."""
+    release()
     known: dict[bytes, int] = {}
     ident = array("q")
     for lengths, content, n_bytes in zip(table.column("lengths"), table.column("content"), table.column("n_bytes").to_pylist()):

@@ -382,3 +382,17 @@ def test_tasks_of_a_worker_share_their_tables(tokenizer_file, encoder):
     with forced_bpe.uncollected():
         assert not gc.isenabled()
     assert gc.isenabled()
+
+
+def test_workers_give_back_their_tables(tokenizer_file):
+    """A task of another stage forgets the tokenizer's tables, and they are the same when made anew."""
+    from quillstone.llm import forced_bpe, near_links, worker
+
+    table = forced_bpe.shared_table(tokenizer_file, nnls_packing._packed)
+    before = table["word"]
+    next(iter(near_links._signer(None)(iter([]))), None)
+    assert forced_bpe.shared_encoder.cache_info().currsize == forced_bpe.shared_table.cache_info().currsize == 0
+    again = forced_bpe.shared_table(tokenizer_file, nnls_packing._packed)
+    assert again is not table and again["word"] == before
+    worker.release()
+    assert forced_bpe.shared_table.cache_info().currsize == 0
