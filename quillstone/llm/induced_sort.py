@@ -19,8 +19,8 @@ import numpy as np
 
 #: Tuples that are handled at once, bytes of queued tuples held in memory.
 BLOCK, MEMORY = 1 << 16, 16 << 20
-#: A reduced string up to this long ends the recursion: it is sorted in memory (some 20 MB).
-BASE = 1 << 19
+#: A reduced string up to this long ends the recursion: it is sorted in memory (some 40 bytes a symbol).
+BASE = 1 << 21
 #: With so many symbols at most each has a queue of its own.
 FEW_SYMBOLS = 256
 
@@ -87,6 +87,15 @@ def _stable(key: np.ndarray) -> np.ndarray:
     return packed & ((1 << bits) - 1)
 
 
+def _order_of(key: np.ndarray) -> np.ndarray:
+    """An order of non-negative whole numbers, equal ones in any."""
+    n = len(key)
+    bits = max(1, n - 1).bit_length()
+    if n and int(key.max()) >> (62 - bits):
+        return np.argsort(key)
+    return _stable(key)
+
+
 def _types(t: np.ndarray) -> np.ndarray:
     """True where the suffix is of type S: smaller than the next one. The end counts as smallest."""
     n = len(t)
@@ -112,6 +121,28 @@ def _compare(t: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarra
     return out.astype(np.uint8)
 
 
+def _common(words: np.ndarray, n: int, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
+    """Common prefixes of the suffixes at a and at b of a text of n bytes, up to cap.
+
+    words holds the eight bytes from each place on, the first of them lowest, and reaches
+    cap places past the end.
+    """
+    out, live = np.minimum(n - np.maximum(a, b), cap), np.arange(len(a))
+    for off in range(0, cap, 8):
+        x = words[a + off] ^ words[b + off]
+        broken = x != 0
+        x = x[broken]
+        # The lowest bit that differs alone has an exact logarithm.
+        at = off + ((np.frexp((x & (~x + np.uint64(1))).astype(np.float64))[1] - 1) >> 3)
+        gone = live[broken]
+        out[gone] = np.minimum(out[gone], at)
+        on = ~broken
+        live, a, b = live[on], a[on], b[on]
+        if not len(live):
+            break
+    return out.astype(np.uint8)
+
+
 class _Sender:
     """Sends predecessors to a queue and keeps, for each symbol, the least common prefix since its last tuple."""
 
@@ -433,19 +464,28 @@ def _induce_names(t: np.ndarray, n: int, symbols: int, lms: np.ndarray, memory:
 
 
 def _doubled(names: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes of names by their first depth symbols at least."""
-    n, rank, k = len(names), names.astype(np.int64), 1
-    while True:
-        follow = np.zeros(n, np.int64)
-        follow[: n - k] = rank[k:] + 1
-        key = rank * (int(rank.max()) + 2) + follow
-        order = _stable(key)
-        fresh = np.concatenate([[False], key[order][1:] != key[order][:-1]])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(fresh)
+    """Order of the suffixes of names by their first depth symbols at least.
+
+    A rank is the place of the first of those that are alike so far; only those that are
+    not alone in their rank are sorted again.
+    """
+    n, k = len(names), 1
+    size = np.bincount(names)
+    rank = (np.cumsum(size) - size)[names]
+    live = np.flatnonzero(size[names] > 1)
+    while k < depth and k < n and len(live):
+        was, ahead = rank[live], live + k
+        key = was * (n + 1) + np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        order = _order_of(key)
+        live, key, was = live[order], key[order], was[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        head = np.flatnonzero(np.concatenate([[True], was[1:] != was[:-1]]))
+        first = np.flatnonzero(new)
+        alike = np.diff(np.append(first, len(key)))
+        rank[live] = was + np.repeat(first, alike) - np.repeat(head, np.diff(np.append(head, len(key))))
+        live = live[np.repeat(alike > 1, alike)]
         k *= 2
-        if k >= depth or k >= n or rank[order[-1]] == n - 1:
-            return order
+    return _stable(rank)
 
 
 def _names(t: np.ndarray, order: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -479,12 +519,14 @@ def _sorted_lms(t: np.ndarray, n: int, symbols: int, cap: int, memory: int, base
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     order = np.concatenate([at[is_lms[at]] for at, _ in _cut(rough, rough)]).astype(np.int64)
+    del s, rough, is_lms
     span = _scratch(n, np.int32 if n < 2**31 - 1 else np.int64, memory, folder)
     span[lms[:-1]] = np.diff(lms) + 1
     span[lms[-1]] = n - lms[-1] + 1  # with the end of the text
     names = _scratch(n, np.int32 if n < 2**31 else np.int64, memory, folder)
     names[order] = _names(t, order, span[order])
     reduced = names[lms]
+    del order, span, names
     if len(reduced) <= base:
         return lms[_doubled(reduced, -(-cap // 2) + 1)]
     kinds = int(reduced.max()) + 1
@@ -496,9 +538,13 @@ def _sorted_lms(t: np.ndarray, n: int, symbols: int, cap: int, memory: int, base
 
 def _sorted(t: np.ndarray, n: int, symbols: int, cap: int, memory: int, base: int, folder: str | None) -> tuple[np.ndarray, np.ndarray]:
     lms = _sorted_lms(t, n, symbols, cap, memory, base, folder)
+    raw = np.zeros(n + cap + 16, np.uint8)
+    raw[:n] = t[:n]
+    words = np.ndarray((n + cap + 8,), "<u8", raw, strides=(1,))
     common = np.zeros(len(lms), np.uint8)
     for i in range(1, len(lms), BLOCK):
-        common[i : i + BLOCK] = _compare(t, lms[i - 1 : i - 1 + len(lms[i : i + BLOCK])], lms[i : i + BLOCK], cap)
+        common[i : i + BLOCK] = _common(words, n, lms[i - 1 : i - 1 + len(lms[i : i + BLOCK])], lms[i : i + BLOCK], cap)
+    del raw, words
     return _induce(t, n, symbols, lms, common, cap, True, memory, folder)
 
 

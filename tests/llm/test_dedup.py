@@ -283,3 +283,22 @@ def test_packed_order_is_the_stable_one():
         for n in (0, 1, 2, 999):
             key = r.integers(0, high, n)
             assert (_stable(key) == np.argsort(key, kind="stable")).all()
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_reduced_strings_are_sorted_in_memory(seed):
+    """Ranks by doubling and common prefixes by eight bytes at a time against plain slices; a shard's reduced string needs no second induction."""
+    from quillstone.llm import induced_sort as I
+
+    r = np.random.default_rng(seed)
+    names = np.unique(r.integers(0, [2, 3, 40][seed % 3], 300), return_inverse=True)[1]
+    depth = [1, 4, 26][seed % 3]
+    cut = [tuple(names[i : i + depth].tolist()) for i in range(len(names))]
+    assert [cut[i] for i in I._doubled(names, depth)] == sorted(cut)
+    text = bytes(r.choice([0, 1, 97, 255], 500, p=[0.1, 0.1, 0.7, 0.1]).tolist()) + bytes([97]) * 100
+    raw = np.zeros(len(text) + 66, np.uint8)
+    raw[: len(text)] = np.frombuffer(text, np.uint8)
+    a, b = np.array([(i, j) for i, j in r.integers(0, len(text), (2000, 2)).tolist() if i != j]).T
+    want = [next((k for k in range(50) if max(i, j) + k >= len(text) or text[i + k] != text[j + k]), 50) for i, j in zip(a.tolist(), b.tolist())]
+    assert I._common(np.ndarray((len(text) + 58,), "<u8", raw, strides=(1,)), len(text), a, b, 50).tolist() == want
+    assert I.BASE >= 2 * suffix_dedup.SHARD_BYTES // 4
