@@ -8,8 +8,8 @@ sorts the suffixes of its distinct stretches externally; a run of suffixes with
 prefixes of 50 bytes or more is one window, and the smallest document in it keeps it.
 What each stretch learnt goes back to the batches, where the occurrences are, so that no
 passage, however common, gathers its documents in one place. The stretches of a minimiser
-that very many documents have differ where the passage ends; they are sent as single
-windows, which go to shards by their own checksum, so that no minimiser fills a shard.
+that so many documents have that it might fill a shard differ where the passage ends; they
+are sent as single windows, which go to shards by their own checksum.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.columns import fresh, mapped, own_columns
+from quillstone.llm.columns import fresh, mapped, own_columns, shuffled
 from quillstone.llm.induced_sort import BLOCK, suffix_array
 from quillstone.llm.shingles import _BYTE, _POWERS, mix
 from quillstone.llm.worker import release
@@ -35,8 +35,9 @@ WINDOW, ANCHOR = 50, 20
 BATCH_BYTES, SHARD_BYTES = 8 << 20, 4 << 20
 #: Bytes that are hashed at once.
 PIECE = 1 << 18
-#: Stretches of a minimiser that more documents have are sent window by window.
-HOT_DOCS = 1000
+#: Stretches of a minimiser that more documents have are sent window by window, many times their bytes: only
+#: where whole ones (2 * WINDOW - ANCHOR bytes at most, one a document, about) might fill a quarter of a shard.
+HOT_DOCS = SHARD_BYTES // (4 * (2 * WINDOW - ANCHOR))
 #: So many rows of ids are broadcast at most (some 100 bytes each in memory); more are joined by shuffle.
 BROADCAST_IDS = 250_000
 NO_DOC = np.iinfo(np.int64).max
@@ -395,13 +396,13 @@ def repeated_spans(docs: DataFrame, shelf: Shelf, text: str = "text", doc_id: st
     prints = shelf.put(rows.select("doc_id", "sha", F.octet_length("text").cast("long").alias("n_bytes")), "prints")
     # Of texts that occur once nothing is kept; written first, so that hot texts are split in the join.
     first = prints.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    marked = prints.join(shelf.put(first, "first"), "sha", "left").select("doc_id", "sha", "n_bytes", F.coalesce((F.col("n_bytes") >= WINDOW) & (F.col("doc_id") > F.col("first")), F.lit(False)).alias("copy"))
+    marked = prints.join(shuffled(shelf.put(first, "first")), "sha", "left").select("doc_id", "sha", "n_bytes", F.coalesce((F.col("n_bytes") >= WINDOW) & (F.col("doc_id") > F.col("first")), F.lit(False)).alias("copy"))
     marked = shelf.put(marked, "marked")
     copies = marked.filter("copy").select("doc_id", "sha").distinct()
     total, some = marked.filter("not copy").agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0], copies.count()
     batches = max(1, -(-total // batch_bytes))
     longer = rows.filter((F.octet_length("text") >= WINDOW) & F.col("doc_id").isNotNull())
-    active = longer.join(F.broadcast(copies) if some <= BROADCAST_IDS else copies, ["doc_id", "sha"], "left_anti")
+    active = longer.join(F.broadcast(copies) if some <= BROADCAST_IDS else shuffled(copies), ["doc_id", "sha"], "left_anti")
     active = _batch(active, batches).repartition("batch")
     noted = active.groupBy("batch").applyInArrow(_noter(batches), _NOTED)
     repeated = noted.groupBy("bucket").applyInArrow(_repeated, _REPEATED)
@@ -428,8 +429,8 @@ def _kept(docs: DataFrame, spans: DataFrame, text: str, doc_id: str, run, schema
     ids = spans.select("doc_id", "sha")
     few = ids.count() <= BROADCAST_IDS
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.unhex(F.sha2(raw, 256)).alias("sha"), raw.alias("text"))
-    some = rows.join(F.broadcast(ids) if few else ids, ["doc_id", "sha"], "left_semi")
-    return some.join(spans.select("doc_id", "sha", "spans").distinct(), ["doc_id", "sha"]).select("doc_id", "sha", "text", "spans").mapInArrow(run, schema)
+    some = rows.join(F.broadcast(ids) if few else shuffled(ids), ["doc_id", "sha"], "left_semi")
+    return some.join(shuffled(spans.select("doc_id", "sha", "spans").distinct()), ["doc_id", "sha"]).select("doc_id", "sha", "text", "spans").mapInArrow(run, schema)
 
 
 def removal_digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -448,8 +449,8 @@ def removal_digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.string())], names=["doc_id", "sha", "kept_sha256"])
 
     kept = _kept(docs, spans, text, doc_id, digest, "doc_id long, sha binary, kept_sha256 string").distinct()
-    lost = spans.select("doc_id", "sha", "n_removed", "n_spans").distinct().join(kept, ["doc_id", "sha"])
-    out = marked.join(lost, ["doc_id", "sha"], "left")
+    lost = spans.select("doc_id", "sha", "n_removed", "n_spans").distinct().join(shuffled(kept), ["doc_id", "sha"])
+    out = marked.join(shuffled(lost), ["doc_id", "sha"], "left")
     nothing = hashlib.sha256(b"").hexdigest()
     return out.select(
         "doc_id",
@@ -491,5 +492,5 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     # The texts are shuffled once, to meet their spans; rows that lose nothing pass through.
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     keyed = docs.select("*", F.unhex(F.sha2(raw, 256)).alias(sha), F.col(doc_id).cast("long").alias(ident))
-    met = keyed.join(lost, [ident, sha], "left").select(*own_columns(docs), cuts, all_gone)
+    met = keyed.join(shuffled(lost), [ident, sha], "left").select(*own_columns(docs), cuts, all_gone)
     return mapped(met, cut, docs)
