@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.block_naming import exact_duplicates, normalised
-from quillstone.llm.columns import fresh, mapped, own_columns
+from quillstone.llm.columns import fresh, mapped, own_columns, shuffled
 from quillstone.llm.minhash_tensor import near_rows
 from quillstone.llm.toxicity_zstd import Distance, Toxicity
 from quillstone.llm.worker import release
@@ -31,7 +31,7 @@ def _without(docs: DataFrame, digest: Column, dropped: DataFrame, doc_id: str, l
     gone = Shelf(docs.sparkSession, label).put(dropped.select(key("doc_id"), F.col("sha").alias(sha)).distinct(), "dropped")
     few = gone.count() <= BROADCAST_KEYS
     keyed = docs.select("*", key(doc_id), digest.alias(sha))
-    return keyed.join(F.broadcast(gone) if few else gone, [ident, sha], "left_anti").select(*own_columns(docs))
+    return keyed.join(F.broadcast(gone) if few else shuffled(gone), [ident, sha], "left_anti").select(*own_columns(docs))
 
 
 def drop_toxic(docs: DataFrame, model: Toxicity | float, text: str = "text") -> DataFrame:
